@@ -51,20 +51,14 @@ def word_tokens(c: Column | str) -> Column:
     return F.regexp_extract_all(F.lower(col(c)), F.lit(WORD_RUN), F.lit(0))
 
 
-def ngrams(tokens: Column, low: int, high: int) -> Column:
-    """All n-grams of ``low`` to ``high`` tokens, joined by a space."""
-    parts = []
-    for n in range(low, high + 1):
-        if n == 1:
-            parts.append(tokens)
-            continue
-        starts = F.when(
-            F.size(tokens) >= n, F.sequence(F.lit(1), F.size(tokens) - (n - 1))
-        ).otherwise(F.array().cast("array<int>"))
-        parts.append(
-            F.transform(starts, lambda i, n=n: F.array_join(F.slice(tokens, i, F.lit(n)), " "))
-        )
-    return F.concat(*parts) if len(parts) > 1 else parts[0]
+def longer_runs(runs: Column, tokens: Column, n: int) -> Column:
+    """Runs of ``n`` neighbouring tokens, from the runs of ``n - 1`` of the same tokens."""
+    count = F.greatest(F.size(tokens) - (n - 1), F.lit(0))
+    return F.zip_with(
+        F.slice(runs, F.lit(1), count),
+        F.slice(tokens, F.lit(n), count),
+        lambda run, token: F.concat(run, F.lit(" "), token),
+    )
 
 
 def starts_with_any(c: Column, prefixes: list[str]) -> Column:

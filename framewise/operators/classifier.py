@@ -27,11 +27,14 @@ from . import features
 from .balance import class_weights
 
 
-def term_stages(text_col: str, ngram_range: tuple[int, int] = NGRAM_RANGE) -> list:
-    """Text to an array of n-grams in column ``_terms``."""
+TEXT = "_text"  # input column of every fitted model
+
+
+def term_stages(ngram_range: tuple[int, int] = NGRAM_RANGE) -> list:
+    """``TEXT`` to an array of n-grams in column ``_terms``."""
     low, high = ngram_range
     stages = [
-        RegexTokenizer(inputCol=text_col, outputCol="_words", pattern=WORD_RUN, gaps=False),
+        RegexTokenizer(inputCol=TEXT, outputCol="_words", pattern=WORD_RUN, gaps=False),
         StopWordsRemover(inputCol="_words", outputCol="_g1", stopWords=STOP_WORDS),
     ]
     stages += [NGram(n=n, inputCol="_g1", outputCol=f"_g{n}") for n in range(max(2, low), high + 1)]
@@ -66,7 +69,7 @@ def fit_features(
         scalingVec=Vectors.dense([r.idf for r in rows]), inputCol="_tf", outputCol="_tfidf"
     )
     return [
-        *term_stages(text_col, ngram_range),
+        *term_stages(ngram_range),
         vectorizer,
         scale,
         Normalizer(p=2.0, inputCol="_tfidf", outputCol="features"),
@@ -94,7 +97,9 @@ def fit_baseline(
         per_class = per_class.withColumn("weight", F.lit(1.0))
     total = per_class.agg(F.sum(F.col("n") * F.col("weight"))).first()[0]
     rows = train.join(F.broadcast(per_class.select(label_col, "weight")), label_col).select(
-        text_col, "weight", encode_label(label_col).cast("double").alias("label_id")
+        F.coalesce(text_col, F.lit("")).alias(TEXT),
+        "weight",
+        encode_label(label_col).cast("double").alias("label_id"),
     )
     vectors = PipelineModel(stages).transform(rows).select("features", "label_id", "weight")
     regression = LogisticRegression(
@@ -111,21 +116,21 @@ def fit_baseline(
     return PipelineModel([*stages, regression.fit(vectors)])
 
 
-def probabilities(model: PipelineModel, df: DataFrame) -> DataFrame:
-    """``df`` with the array column ``_proba``, exact probabilities in label order."""
-    own = df.columns
+def probabilities(model: PipelineModel, df: DataFrame, text: Column) -> DataFrame:
+    """``df`` with the array column ``_proba``, exact probabilities of ``text`` in label order."""
     array = vector_to_array("probability")
     in_order = F.array(*[F.coalesce(F.get(array, i), F.lit(0.0)) for i in range(len(LABELS))])
-    return model.transform(df).select(*own, in_order.alias("_proba"))
+    scored = model.transform(df.withColumn(TEXT, F.coalesce(text, F.lit(""))))
+    return scored.select(*df.columns, in_order.alias("_proba"))
 
 
 def rounded(proba: Column) -> list[Column]:
     return [round_half_even(proba[i], 4) for i in range(len(LABELS))]
 
 
-def predict_baseline(model: PipelineModel, df: DataFrame) -> DataFrame:
+def predict_baseline(model: PipelineModel, df: DataFrame, text_col: str) -> DataFrame:
     """``df`` with conf_left, conf_neutral, conf_right and y_pred."""
-    scored = probabilities(model, df)
+    scored = probabilities(model, df, F.col(text_col))
     p = F.col("_proba")
     return scored.select(
         *df.columns,

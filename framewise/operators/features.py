@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..fixed_values import LABELS, MAX_TERMS, NGRAM_RANGE, STOP_WORDS
 from ..functions.numbers import round_half_even
 from ..functions.scores import best_label, softmax
-from ..functions.text import ngrams, word_tokens
+from ..functions.text import longer_runs, word_tokens
 
 
 def term_rows(
@@ -17,10 +17,15 @@ def term_rows(
     text_col: str,
     ngram_range: tuple[int, int] = NGRAM_RANGE,
 ) -> DataFrame:
-    """id, term: one row per occurrence."""
+    """id, term: one row per occurrence of an n-gram of the tokens that are not stop words."""
+    low, high = ngram_range
     kept = F.filter(word_tokens(text_col), lambda t: ~t.isin(STOP_WORDS))
-    tokens = docs.select(id_col, kept.alias("_tokens"))
-    return tokens.select(id_col, F.explode(ngrams(F.col("_tokens"), *ngram_range)).alias("term"))
+    rows = docs.select(id_col, kept.alias("_n1"))
+    for n in range(2, high + 1):
+        runs = longer_runs(F.col(f"_n{n - 1}"), F.col("_n1"), n)
+        rows = rows.withColumn(f"_n{n}", runs)
+    grams = F.concat(*[F.col(f"_n{n}") for n in range(low, high + 1)])
+    return rows.select(id_col, F.explode(grams).alias("term"))
 
 
 def vocabulary(terms: DataFrame, max_terms: int = MAX_TERMS) -> DataFrame:

@@ -20,7 +20,7 @@ from ..fixed_values import DEFAULT_MODEL, HYPOTHESES, LABELS, MARGIN, MODELS
 from ..functions import gates as G
 from ..functions import scores as S
 from ..functions.numbers import round_half_even
-from ..functions.text import is_blank
+from ..functions.text import clean_text, is_blank
 from ..operators import classifier
 
 # Called once per task that has work; returns the function that scores a batch.
@@ -122,12 +122,14 @@ def predict(
     id_col: str = "headline_id",
     text_col: str = "headline",
     margin: float = MARGIN,
+    raw_text: bool = False,
 ) -> DataFrame:
     """Label every row of ``df``.
 
     ``nli``       scorer: factory of ``f(texts, hypotheses) -> [n, 10]`` entailment scores
     ``bert``      scorer: factory of ``f(texts) -> [n, 3]`` logits in label order
-    ``baseline``  scorer: a fitted ``PipelineModel`` (see ``plans.train``)
+    ``baseline``  scorer: a fitted ``PipelineModel`` (see ``plans.train``), given the clean text
+                  as in training, or the headline as it is with ``raw_text``
     ``lexical``   no scorer: share of the words of a hypothesis found in the headline
     """
     if model not in MODELS:
@@ -156,6 +158,6 @@ def predict(
             scored.select(id_col, "gate", F.array(*p).alias("_proba")), id_col, model
         )
 
-    text = F.when(_is_model(), F.col(text_col)).otherwise(F.lit(""))
-    scored = classifier.probabilities(scorer, gated.withColumn(text_col, text))
+    words = F.col(text_col) if raw_text else clean_text(text_col)
+    scored = classifier.probabilities(scorer, gated, F.when(_is_model(), words))
     return _by_probabilities(scored, id_col, model)

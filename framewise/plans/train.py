@@ -47,7 +47,7 @@ def train(
 
 
 def report_on(model: PipelineModel, rows: DataFrame, text_col: str = "clean_headline") -> DataFrame:
-    scored = predict_baseline(model, rows.select(F.col(text_col), F.col("bias").alias("y_true")))
+    scored = predict_baseline(model, rows.select(F.col(text_col), F.col("bias").alias("y_true")), text_col)
     pairs = scored.select(F.lit("baseline").alias("model"), "y_true", "y_pred")
     return classification_report(confusion(pairs))
 
