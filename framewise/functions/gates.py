@@ -47,6 +47,15 @@ NON_POLITICAL = keyword_pattern(NON_POLITICAL_KEYWORDS)
 POLITICAL = keyword_pattern(POLITICAL_KEYWORDS)
 
 
+def stage_of(non_political: Column, political: Column, passed: str) -> Column:
+    """The first gate wins; ``passed`` names the rows that go through both."""
+    return (
+        F.when(non_political, F.lit("non_political"))
+        .when(~political, F.lit("neutral_political"))
+        .when(political, F.lit(passed))
+    )
+
+
 def _gate(headline: Column | str, passed: str) -> Column:
     text = F.lower(col(headline))
     return (

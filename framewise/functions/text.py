@@ -5,9 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..fixed_values import SEED, WHITE_SPACE
+from ..fixed_values import SEED, WHITE_SPACE, WHITE_SPACE_CHARS
 
-TRIM = f"^[{WHITE_SPACE}]+|[{WHITE_SPACE}]+$"
 URL = f"http[^{WHITE_SPACE}]+"
 WORD_RUN = r"[\p{L}\p{N}_]{2,}"
 
@@ -17,8 +16,8 @@ def col(c: Column | str) -> Column:
 
 
 def strip(c: Column | str) -> Column:
-    """Remove Unicode white space from both ends (``trim`` only removes U+0020)."""
-    return F.regexp_replace(col(c), TRIM, "")
+    """Remove Unicode white space from both ends (``trim`` alone only removes U+0020)."""
+    return F.btrim(col(c), F.lit(WHITE_SPACE_CHARS))
 
 
 def norm_key(c: Column | str) -> Column:

@@ -56,10 +56,8 @@ def fit_features(
     as they become part of the model.
     """
     terms = features.term_rows(docs, id_col, text_col, ngram_range)
-    vocab = features.vocabulary(terms, max_terms)
-    counts = features.term_counts(terms, vocab, id_col)
-    idf = features.inverse_frequencies(counts, docs)
-    rows = vocab.join(idf, "term_id").orderBy("term_id").select("term", "idf").collect()
+    vocab = features.vocabulary(terms, docs, max_terms)
+    rows = vocab.orderBy("term_id").select("term", "idf").collect()
     if not rows:
         raise ValueError("no terms left to build a vocabulary from")
     vectorizer = CountVectorizerModel.from_vocabulary(

@@ -9,6 +9,7 @@ from ..fixed_values import LABELS, MAX_TERMS, NGRAM_RANGE, STOP_WORDS
 from ..functions.numbers import round_half_even
 from ..functions.scores import best_label, softmax
 from ..functions.text import longer_runs, word_tokens
+from ..lineage import written
 
 
 def term_rows(
@@ -17,7 +18,12 @@ def term_rows(
     text_col: str,
     ngram_range: tuple[int, int] = NGRAM_RANGE,
 ) -> DataFrame:
-    """id, term: one row per occurrence of an n-gram of the tokens that are not stop words."""
+    """id, term, is_first: one row per occurrence of an n-gram of the tokens that are not
+    stop words; ``is_first`` is set on one of the occurrences in a document.
+
+    The n-grams of a document are sorted inside its row, so document
+    frequencies need no grouping by document.
+    """
     low, high = ngram_range
     kept = F.filter(word_tokens(text_col), lambda t: ~t.isin(STOP_WORDS))
     rows = docs.select(id_col, kept.alias("_n1"))
@@ -25,57 +31,53 @@ def term_rows(
         runs = longer_runs(F.col(f"_n{n - 1}"), F.col("_n1"), n)
         rows = rows.withColumn(f"_n{n}", runs)
     grams = F.concat(*[F.col(f"_n{n}") for n in range(low, high + 1)])
-    return rows.select(id_col, F.explode(grams).alias("term"))
+    rows = rows.select(id_col, F.sort_array(grams).alias("_sorted"))
+    flagged = F.transform(
+        "_sorted",
+        lambda term, i: F.struct(
+            term.alias("term"), (~term.eqNullSafe(F.get("_sorted", i - 1))).alias("is_first")
+        ),
+    )
+    return rows.select(id_col, F.inline(flagged))
 
 
-def vocabulary(terms: DataFrame, max_terms: int = MAX_TERMS) -> DataFrame:
-    """term, cf, term_id: the most frequent terms, ties by term.
+def vocabulary(terms: DataFrame, docs: DataFrame, max_terms: int = MAX_TERMS) -> DataFrame:
+    """term, term_id, cf, df, idf: the most frequent terms, ties by term.
 
-    Counts combine before the shuffle; the cut is a distributed top-n, and
-    only the ``max_terms`` rows that remain are numbered.
+    cf counts occurrences, df documents; idf = ln((1 + n) / (1 + df)) + 1
+    for n documents. Counts combine before the shuffle, the cut is a
+    distributed top-n, and only the ``max_terms`` rows that remain are numbered.
     """
     top = (
         terms.groupBy("term")
-        .agg(F.count("*").alias("cf"))
+        .agg(F.count("*").alias("cf"), F.count_if("is_first").alias("df"))
         .orderBy(F.desc("cf"), "term")
         .limit(max_terms)
     )
     order = Window.partitionBy(F.lit(0)).orderBy(F.desc("cf"), "term")
-    return top.withColumn("term_id", F.row_number().over(order))
+    n_docs = docs.agg(F.count("*").alias("n")).scalar()
+    idf = F.log((F.lit(1) + n_docs) / (F.lit(1) + F.col("df"))) + 1
+    return top.select("term", F.row_number().over(order).alias("term_id"), "cf", "df", idf.alias("idf"))
 
 
-def term_counts(terms: DataFrame, vocab: DataFrame, id_col: str) -> DataFrame:
-    """id, term_id, tf for the terms of the vocabulary (``max_terms`` rows, broadcast).
+def weights(terms: DataFrame, vocab: DataFrame, id_col: str) -> DataFrame:
+    """id, term, weight: tf * idf over a vocabulary, each document scaled to length 1.
 
-    Rows are laid out by document once; counting and the later norm both
-    use that layout.
+    ``vocab`` has at most ``max_terms`` rows and is broadcast. Rows are laid
+    out by document once; the counts and the norm both use that layout.
     """
-    return (
+    counts = (
         terms.join(F.broadcast(vocab.select("term", "term_id")), "term")
         .select(id_col, "term_id")
         .repartition(F.col(id_col))
         .groupBy(id_col, "term_id")
         .agg(F.count("*").alias("tf"))
     )
-
-
-def inverse_frequencies(counts: DataFrame, docs: DataFrame) -> DataFrame:
-    """term_id, df, idf = ln((1 + n) / (1 + df)) + 1."""
-    n_docs = docs.agg(F.count("*").alias("n")).scalar()
-    return (
-        counts.groupBy("term_id")
-        .agg(F.count("*").alias("df"))
-        .withColumn("idf", F.log((F.lit(1) + n_docs) / (F.lit(1) + F.col("df"))) + 1)
-    )
-
-
-def weights(counts: DataFrame, idf: DataFrame, id_col: str) -> DataFrame:
-    """id, term_id, weight: tf * idf, each document scaled to length 1."""
-    raw = counts.join(F.broadcast(idf.select("term_id", "idf")), "term_id").select(
-        id_col, "term_id", (F.col("tf") * F.col("idf")).alias("_w")
+    raw = counts.join(F.broadcast(vocab.select("term", "term_id", "idf")), "term_id").select(
+        id_col, "term", (F.col("tf") * F.col("idf")).alias("_w")
     )
     norm = F.sqrt(F.sum(F.col("_w") * F.col("_w")).over(Window.partitionBy(id_col)))
-    return raw.select(id_col, "term_id", (F.col("_w") / norm).alias("weight"))
+    return raw.select(id_col, "term", (F.col("_w") / norm).alias("weight"))
 
 
 def tfidf(
@@ -85,14 +87,13 @@ def tfidf(
     max_terms: int = MAX_TERMS,
     ngram_range: tuple[int, int] = NGRAM_RANGE,
 ) -> DataFrame:
-    """id, term, weight."""
+    """id, term, weight.
+
+    The vocabulary is written to the shared folder, so that it is counted once.
+    """
     terms = term_rows(docs, id_col, text_col, ngram_range)
-    vocab = vocabulary(terms, max_terms)
-    counts = term_counts(terms, vocab, id_col)
-    long = weights(counts, inverse_frequencies(counts, docs), id_col)
-    return long.join(F.broadcast(vocab.select("term_id", "term")), "term_id").select(
-        id_col, "term", "weight"
-    )
+    vocab = written(vocabulary(terms, docs, max_terms), "vocabulary")
+    return weights(terms, vocab, id_col)
 
 
 def linear_score(

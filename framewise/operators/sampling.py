@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from ..fixed_values import SEED, TEST_FRACTION
 from ..functions.text import sample_key
+from ..lineage import written
 
 BUCKET_DIGITS = 3
 NOTHING, EVERYTHING = "", "~"  # below and above every hexadecimal key
@@ -45,7 +46,9 @@ def cuts(rows: DataFrame, counts: DataFrame, quotas: DataFrame, group: str) -> D
 
     ``rows`` holds group and _key. A quota of 0 takes nothing, one at or
     above the size of the group takes everything. ``quotas`` must hold few
-    groups (labels or a constant): it is broadcast.
+    groups (labels or a constant): it is broadcast. The result has one row
+    per group and is written to the shared folder, so that the passes over
+    ``rows`` happen once however often it is used.
     """
     running = Window.partitionBy(group).orderBy("_bucket")
     edge = (
@@ -67,7 +70,8 @@ def cuts(rows: DataFrame, counts: DataFrame, quotas: DataFrame, group: str) -> D
     cut = F.when(F.col("_quota") <= 0, F.lit(NOTHING)).otherwise(
         F.coalesce("_found", F.lit(EVERYTHING))
     )
-    return quotas.join(F.broadcast(ranked), group, "left").select(group, cut.alias("_cut"))
+    found = quotas.join(F.broadcast(ranked), group, "left").select(group, cut.alias("_cut"))
+    return written(found, "cuts")
 
 
 def take_fraction(

@@ -39,17 +39,19 @@ def pick(values: list, index) -> F.Column:
     return F.get(F.array(*[F.lit(v) for v in values]), index.cast("int"))
 
 
-def headlines(spark: SparkSession, sf: str) -> DataFrame:
+def headlines(spark: SparkSession, sf: str, topics: bool = True) -> DataFrame:
     """headline_id, headline, url, source, category, source_rank from documents.
 
-    The headline is the whole text followed by a topic, so that both gates
-    and the hypotheses have something to find.
+    The headline is the whole text, followed by a topic where both gates
+    and the hypotheses should have something to find.
     """
     d = table(spark, sf, "documents")
     rank = F.regexp_extract("source", "([0-9]+)$", 1).cast("int")
+    topic = pick(TOPICS, F.col("doc_id") % len(TOPICS))
+    text = F.concat("text", F.lit(" "), topic) if topics else F.col("text")
     return d.select(
         F.col("doc_id").alias("headline_id"),
-        F.concat("text", F.lit(" "), pick(TOPICS, F.col("doc_id") % len(TOPICS))).alias("headline"),
+        text.alias("headline"),
         F.concat(F.lit("https://"), "source", F.lit(".example/"), "doc_id").alias("url"),
         "source",
         pick(FIVE, rank % 5).alias("category"),

@@ -17,7 +17,8 @@ from framewise.operators.dedup import dedup_headlines
 from framewise.operators.keywords import keyword_hits
 from framewise.plans.predict import predict
 from framewise.plans.prepare import prepare
-from framewise.plans.train import report_on, train, usable
+from framewise.plans.train import evaluate as evaluate_model
+from framewise.plans.train import train, usable
 from framewise.sources import tables
 from framewise.sources.dims import hypothesis_dim, label_dim, section_dim, source_dim
 from framewise.streaming.jobs import collect_stream, gate_stream, read_collected
@@ -31,7 +32,12 @@ MAX_ITER = 20
 
 def gate_headlines(spark: SparkSession, sf: str) -> DataFrame:
     h = I.wide_headlines(spark, sf).filter(~is_blank("headline"))
-    h = h.select("headline_id", "headline", G.deciding_stage("headline").alias("gate"))
+    h = h.select(
+        "headline_id",
+        G.is_non_political("headline").alias("is_non_political"),
+        G.is_political("headline").alias("is_political"),
+    )
+    h = h.withColumn("gate", G.stage_of(F.col("is_non_political"), F.col("is_political"), "model"))
     decided = ~G.is_model_prediction(F.col("gate"))
     return h.select(
         "headline_id",
@@ -39,8 +45,8 @@ def gate_headlines(spark: SparkSession, sf: str) -> DataFrame:
         F.when(decided, F.lit("Neutral")).alias("label"),
         *[F.when(decided, c).alias(n) for n, c in zip(CONF, G.gate_confidence())],
         F.when(decided, G.gate_reasoning(F.col("gate"))).alias("reasoning"),
-        G.is_non_political("headline").alias("is_non_political"),
-        G.is_political("headline").alias("is_political"),
+        "is_non_political",
+        "is_political",
     )
 
 
@@ -71,11 +77,9 @@ def label_codes(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def dedup(spark: SparkSession, sf: str) -> DataFrame:
-    h = I.headlines(spark, sf)
-    d = I.table(spark, sf, "documents").select(F.col("doc_id").alias("headline_id"), "text")
-    plain = h.drop("headline").join(d.withColumnRenamed("text", "headline"), "headline_id")
     order = [F.col("source_rank"), F.col("headline_id")]
-    return dedup_headlines(plain, order).select("headline_id", "headline", "source", "category")
+    once = dedup_headlines(I.headlines(spark, sf, topics=False), order)
+    return once.select("headline_id", "headline", "source", "category")
 
 
 def class_distribution(spark: SparkSession, sf: str) -> DataFrame:
@@ -210,11 +214,7 @@ def balance_classes(spark: SparkSession, sf: str) -> DataFrame:
 
 def _raw(spark: SparkSession, sf: str) -> DataFrame:
     """Documents as raw headlines, with their exact copies."""
-    h = I.headlines(spark, sf).drop("headline")
-    d = I.table(spark, sf, "documents").select(
-        F.col("doc_id").alias("headline_id"), F.col("text").alias("headline")
-    )
-    return d.join(h, "headline_id")
+    return I.headlines(spark, sf, topics=False)
 
 
 def prepare_dataset(spark: SparkSession, sf: str) -> DataFrame:
@@ -222,13 +222,14 @@ def prepare_dataset(spark: SparkSession, sf: str) -> DataFrame:
     return prepare(raw, _target(raw))
 
 
-def _usable(spark: SparkSession, sf: str) -> DataFrame:
-    d = I.headlines(spark, sf).withColumn("clean_headline", clean_text("headline"))
-    return usable(d)
+def _processed(spark: SparkSession, sf: str) -> DataFrame:
+    """headline_id, clean_headline, category: a stored table, as preparation leaves it."""
+    clean = clean_text("headline").alias("clean_headline")
+    return written(I.wide_headlines(spark, sf).select("headline_id", clean, "category"), "processed")
 
 
 def train_test_split(spark: SparkSession, sf: str) -> DataFrame:
-    rows = _usable(spark, sf).select("headline_id", "bias")
+    rows = usable(_processed(spark, sf)).select("headline_id", "bias")
     both = sampling.stratified_split(rows, "headline_id", "bias", flag="test_stratified")
     return sampling.plain_split(both, "headline_id", flag="test_plain")
 
@@ -323,34 +324,29 @@ def top_up_headlines(spark: SparkSession, sf: str) -> DataFrame:
     return collected.unionByName(links.top_up(collected, facts, sites, 2 * n_sites))
 
 
-def _terms(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    docs = I.wide_headlines(spark, sf).select(
+def _docs(spark: SparkSession, sf: str) -> DataFrame:
+    return I.wide_headlines(spark, sf).select(
         "headline_id", clean_text("headline").alias("clean_headline")
     )
-    return docs, features.term_rows(docs, "headline_id", "clean_headline")
 
 
 def tfidf_vocabulary(spark: SparkSession, sf: str) -> DataFrame:
-    docs, terms = _terms(spark, sf)
-    vocab = features.vocabulary(terms)
-    counts = features.term_counts(terms, vocab, "headline_id")
-    idf = features.inverse_frequencies(counts, docs)
-    return vocab.join(F.broadcast(idf), "term_id").select(
-        "term", "cf", "term_id", "df", round_half_even(F.col("idf"), 6).alias("idf")
-    )
+    docs = _docs(spark, sf)
+    vocab = features.vocabulary(features.term_rows(docs, "headline_id", "clean_headline"), docs)
+    return vocab.withColumn("idf", round_half_even(F.col("idf"), 6))
 
 
 def tfidf_weights(spark: SparkSession, sf: str) -> DataFrame:
-    docs, _ = _terms(spark, sf)
-    return features.tfidf(docs, "headline_id", "clean_headline").select(
-        "headline_id", "term", round_half_even(F.col("weight"), 6).alias("weight")
+    return features.tfidf(_docs(spark, sf), "headline_id", "clean_headline").withColumn(
+        "weight", round_half_even(F.col("weight"), 6)
     )
 
 
 def linear_score(spark: SparkSession, sf: str) -> DataFrame:
     """Linear scores with coefficients that follow from the term by rule."""
-    docs, terms = _terms(spark, sf)
-    vocab = features.vocabulary(terms)
+    docs = _docs(spark, sf)
+    terms = features.term_rows(docs, "headline_id", "clean_headline")
+    vocab = written(features.vocabulary(terms, docs), "vocabulary")
     size = F.length("term")
     coefficients = vocab.select(
         "term",
@@ -359,17 +355,17 @@ def linear_score(spark: SparkSession, sf: str) -> DataFrame:
             for k, x in enumerate(LABELS)
         ],
     )
-    weights = features.tfidf(docs, "headline_id", "clean_headline")
+    weights = features.weights(terms, vocab, "headline_id")
     return features.linear_score(docs, weights, coefficients, "headline_id", [0.1, 0.0, -0.1])
 
 
 def baseline_train(spark: SparkSession, sf: str) -> DataFrame:
-    return train(_usable(spark, sf), max_iter=MAX_ITER)[1]
+    return train(_processed(spark, sf), max_iter=MAX_ITER)[1]
 
 
 def baseline_predict(spark: SparkSession, sf: str) -> DataFrame:
     """Fit, save, load, then label every headline that passes the gates."""
-    rows = written(_usable(spark, sf).select("headline_id", "clean_headline", "bias"), "training")
+    rows = usable(_processed(spark, sf))
     fitted = classifier.fit_baseline(
         rows, "headline_id", "clean_headline", "bias", max_iter=MAX_ITER
     )
@@ -380,12 +376,12 @@ def baseline_predict(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def baseline_evaluate(spark: SparkSession, sf: str) -> DataFrame:
-    """Report of a model on the rows it was fitted on: all classes, all columns."""
-    rows = written(_usable(spark, sf).select("headline_id", "clean_headline", "bias"), "training")
-    fitted = classifier.fit_baseline(
-        rows, "headline_id", "clean_headline", "bias", max_terms=1000, max_iter=MAX_ITER
-    )
-    return report_on(fitted, rows)
+    """Both kinds of evaluation of one trained model."""
+    processed = _processed(spark, sf)
+    model, _ = train(processed, max_terms=1000, max_iter=MAX_ITER)
+    holdout = evaluate_model(model, processed).withColumn("how", F.lit("holdout"))
+    sample = evaluate_model(model, processed, "sample").withColumn("how", F.lit("sample"))
+    return holdout.unionByName(sample)
 
 
 def csv_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
