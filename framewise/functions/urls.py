@@ -23,13 +23,13 @@ def canonical_url(url: Column | str) -> Column:
     return F.regexp_replace(F.split_part(col(url), F.lit("?"), F.lit(1)), "/+$", "")
 
 
-def _without_dots(path: Column) -> Column:
-    """Resolve '.' and '..' and drop inner empty segments of an absolute path."""
+def _without_dots(path: Column, merged: Column) -> Column:
+    """Resolve '.' and '..'; drop inner empty segments of a path ``merged`` from two."""
     parts = F.split(path, "/")
     last = F.element_at(parts, -1)
-    inner = F.filter(F.slice(parts, 2, F.greatest(F.size(parts) - 2, F.lit(0))), lambda s: s != "")
+    inner = F.slice(parts, 2, F.greatest(F.size(parts) - 2, F.lit(0)))
     kept = F.aggregate(
-        F.concat(inner, F.array(last)),
+        F.concat(F.filter(inner, lambda s: ~merged | (s != "")), F.array(last)),
         F.array().cast("array<string>"),
         lambda acc, s: F.when(s == "..", F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))))
         .when(s == ".", acc)
@@ -50,13 +50,16 @@ def resolve_url(base: Column | str, href: Column | str) -> Column:
     origin = F.regexp_extract(base, ORIGIN, 1)
     base_path = F.regexp_extract(base, ORIGIN + r"([^?#]*)", 2)
     base_query = F.regexp_extract(base, r"^[^?#]*(\?[^#]*)", 1)
-    folder = F.concat(F.regexp_replace(base_path, "[^/]*$", ""))
+    folder = F.regexp_replace(base_path, "[^/]*$", "")
     folder = F.when(folder == "", F.lit("/")).otherwise(folder)
 
     path = F.regexp_extract(rest, r"^([^?#]*)", 1)
     tail = F.substring(rest, F.length(path) + 1, F.length(rest) + 1)
-    full = F.when(path.startswith("/"), path).otherwise(F.concat(folder, path))
-    clean = F.when(full.contains("/.") | full.contains("//"), _without_dots(full)).otherwise(full)
+    merged = ~path.startswith("/")
+    full = F.when(merged, F.concat(folder, path)).otherwise(path)
+    clean = F.when(
+        full.contains("/.") | full.contains("//"), _without_dots(full, merged)
+    ).otherwise(full)
     return (
         F.when(href == "", base)
         .when((own != "") & (own != scheme), href)

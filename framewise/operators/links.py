@@ -23,7 +23,7 @@ from ..fixed_values import (
 from ..functions.html import headline_of, hrefs_of, visible
 from ..functions.text import digest, norm_key
 from ..functions.urls import canonical_url, is_article_link, resolve_url, site_links
-from ..lineage import scratch_path
+from ..lineage import scratch_path, written
 from .dedup import dedup_headlines, keep_first, not_collected
 
 
@@ -78,8 +78,9 @@ def frontier(
 
     At most ``max_pages`` stored pages per site, in order of level, then seed
     position or url. Every level is written to the shared folder, which cuts
-    lineage and gives the next join true sizes: the few links to follow are
-    then broadcast only if they are small, and ``facts`` stays in place.
+    lineage and gives the next join true sizes: the links to follow are
+    broadcast only if their files are small (``spark.sql.autoBroadcastJoinThreshold``),
+    and ``facts`` then stays in place; otherwise both sides are shuffled.
     """
     spark = facts.sparkSession
     path = scratch_path(spark, "frontier")
@@ -93,8 +94,8 @@ def frontier(
         seeds.groupBy("source", canonical_url("url").alias("url"))
         .agg(F.min("position").alias("_position"))
         .join(sites.select("source", "base"), "source")
-        .join(pages, "url")
     )
+    start = written(start, "seeds").join(pages, "url")
     save(_first(start, ["source"], ["_position", "url"], max_pages), 0)
     schema = "source string, base string, url string, title string, links array<string>, level int"
     for level in range(1, max_pages):
@@ -146,7 +147,7 @@ def site_headlines(
     )
     wanted = _first(unseen, ["source", "_from"], ["url"], max_links).filter(is_article_link("url"))
     wanted = wanted.groupBy("source", "url").agg(F.min("level").alias("level"))
-    articles = wanted.join(facts.select("url", "title"), "url").select(
+    articles = written(wanted, "wanted").join(facts.select("url", "title"), "url").select(
         "source", "level", F.lit(1).alias("kind"), "url", F.col("title").alias("headline")
     )
     found = own.unionByName(articles).filter(F.col("headline") != "")
@@ -179,9 +180,8 @@ def top_up(
             F.slice(F.array_sort(site_links("base", F.col("hrefs"), mode)), 1, max_links)
         ).alias("url"),
     )
-    found = links.join(facts.select("url", F.col("title").alias("headline")), "url").filter(
-        F.col("headline") != ""
-    )
+    titles = facts.select("url", F.col("title").alias("headline"))
+    found = written(links, "links").join(titles, "url").filter(F.col("headline") != "")
     once = dedup_headlines(found, [F.col("source_rank"), F.col("url")])
     fresh = not_collected(once, collected)
     return (

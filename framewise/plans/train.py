@@ -37,8 +37,8 @@ def train(
     balanced: bool = True,
 ) -> tuple[PipelineModel, DataFrame]:
     """The fitted model and its classification report on the test split."""
-    split = stratified_split(usable(processed), id_col, "bias", test_fraction)
-    split = written(split.select(id_col, text_col, "bias", "is_test"), "split")
+    rows = written(usable(processed).select(id_col, text_col, "bias"), "usable")
+    split = stratified_split(rows, id_col, "bias", test_fraction)
     model = fit_baseline(
         split.filter(~F.col("is_test")), id_col, text_col, "bias",
         max_terms, ngram_range, max_iter, balanced,

@@ -9,6 +9,7 @@ from pyspark.sql.streaming import StreamingQuery
 from ..fixed_values import DEFAULT_MODEL, LABELS, MODELS
 from ..functions import gates as G
 from ..functions.text import digest, is_blank, norm_key
+from ..lineage import written
 from ..operators.dedup import keep_first
 
 
@@ -67,7 +68,9 @@ def collect_stream(
 
     The table itself is the state, so nothing grows in executors. Each batch
     owns one folder, named by query id and batch number, and overwrites it:
-    a batch that is run again after a crash leaves the same rows.
+    a batch that is run again after a crash leaves the same rows. The batch
+    is written before it is compared, so the join knows its size: the keys
+    of a small batch are broadcast and the stored table is only scanned.
     """
     spark = headlines.sparkSession
     columns = headlines.columns
@@ -75,11 +78,12 @@ def collect_stream(
     def merge(batch: DataFrame, batch_id: int) -> None:
         session = batch.sparkSession
         query_id = session.read.json(f"{checkpoint}/metadata").first()["id"]
-        fresh = keep_first(batch.select(*columns), [digest(norm_key("headline"))], order)
-        fresh = fresh.withColumn("title_key", digest(norm_key("headline")))
+        once = keep_first(batch.select(*columns), [digest(norm_key("headline"))], order)
+        once = written(once.withColumn("title_key", digest(norm_key("headline"))), "batch")
         own = (F.col("query_id") == query_id) & (F.col("batch_id") == batch_id)
-        seen = read_collected(session, path, fresh).filter(~own)
-        fresh = fresh.join(seen.select("title_key"), "title_key", "left_anti")
+        stored = read_collected(session, path, once).filter(~own).select("title_key")
+        seen = stored.join(once.select("title_key"), "title_key", "left_semi")
+        fresh = once.join(seen, "title_key", "left_anti")
         fresh.write.mode("overwrite").parquet(f"{path}/query_id={query_id}/batch_id={batch_id}")
 
     _ensure_folder(spark, path)
