@@ -10,7 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..fixed_values import ENTITIES
-from .text import col, strip
+from .text import col, let, strip
 
 HIDDEN = r"(?is)<!--.*?-->|<script\b.*?</script>|<style\b.*?</style>"
 META = r"""<(?i:meta)\b(?:[^>"']++|"[^"]*+"|'[^']*+')*+>"""
@@ -18,6 +18,7 @@ SHARE_TITLE = r"""(?i:[\s"']property)\s*=\s*["']?og:title["'\s/>]"""
 CONTENT = r"""(?is)[\s"']content\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
 TITLE = r"(?is)<title\b[^>]*>(.*?)</title>"
 H1 = r"(?is)<h1\b[^>]*>(.*?)</h1>"
+NUMBER = r"^((?:[0-9]{1,7}|[xX][0-9a-fA-F]{1,6});?)"
 ANCHOR = r"""(?is)<a\b[^>]*?[\s"']href\s*=\s*(?:"[^"]*"|'[^']*'|[^\s"'>]+)"""
 HREF = r"""(?is)[\s"']href\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
 
@@ -36,34 +37,39 @@ def _char(code: Column) -> Column:
 
 def _numeric_entity(part: Column) -> Column:
     """``part`` follows '&#'; put the character in place of the number."""
-    number = F.regexp_extract(part, r"^([0-9]{1,7}|[xX][0-9a-fA-F]{1,6});?", 1)
-    length = F.length(F.regexp_extract(part, r"^((?:[0-9]{1,7}|[xX][0-9a-fA-F]{1,6});?)", 1))
-    code = F.when(
-        number.rlike("^[xX]"), F.conv(F.substring(number, 2, 6), 16, 10).cast("bigint")
-    ).otherwise(F.expr("null").cast("bigint"))
-    code = F.coalesce(code, F.when(number.rlike("^[0-9]"), number).cast("bigint"))
-    return F.when(number == "", F.concat(F.lit("&#"), part)).otherwise(
-        F.concat(_char(code), F.substring(part, length + 1, F.length(part)))
-    )
 
+    def decoded(number: Column) -> Column:
+        digits = F.regexp_replace(number, ";$", "")
+        code = F.when(
+            digits.rlike("^[xX]"), F.conv(F.substring(digits, 2, 6), 16, 10)
+        ).otherwise(digits)
+        rest = F.substring(part, F.length(number) + 1, F.length(part))
+        return F.when(number == "", F.concat(F.lit("&#"), part)).otherwise(
+            F.concat(let(code.cast("bigint"), _char), rest)
+        )
 
-def decode_entities(c: Column | str) -> Column:
-    """Replace character references; ``&amp;`` last, so nothing is decoded twice."""
-    c = col(c)
-    named = c
+    return let(F.regexp_extract(part, NUMBER, 1), decoded)
+
+
+def _decode(c: Column) -> Column:
     for name, char in ENTITIES.items():
-        named = F.replace(named, F.lit(f"&{name};"), F.lit(char))
-    pieces = F.split(named, "&#")
-    numeric = F.when(
-        F.size(pieces) > 1,
-        F.concat(
-            pieces[0],
+        c = F.replace(c, F.lit(f"&{name};"), F.lit(char))
+    pieces = F.split(c, "&#")
+    numeric = let(
+        pieces,
+        lambda p: F.concat(
+            p[0],
             F.array_join(
-                F.transform(F.slice(pieces, 2, F.greatest(F.size(pieces) - 1, F.lit(0))), _numeric_entity), ""
+                F.transform(F.slice(p, 2, F.greatest(F.size(p) - 1, F.lit(0))), _numeric_entity), ""
             ),
         ),
-    ).otherwise(named)
-    return F.when(c.contains("&"), F.replace(numeric, F.lit("&amp;"), F.lit("&"))).otherwise(c)
+    )
+    return F.replace(numeric, F.lit("&amp;"), F.lit("&"))
+
+
+def decode_entities(c: Column | str) -> Column:
+    """Replace character references; ``&amp;`` last, so nothing is decoded twice."""
+    return let(col(c), lambda x: F.when(x.contains("&"), _decode(x)).otherwise(x))
 
 
 def _attribute(tag: Column, pattern: str) -> Column:
@@ -74,13 +80,13 @@ def headline_of(markup: Column) -> Column:
     """Title of already ``visible`` markup: og:title, else <title>, else <h1>, else null."""
     metas = F.regexp_extract_all(markup, F.lit(META), F.lit(0))
     first = F.coalesce(F.get(F.filter(metas, lambda t: t.rlike(SHARE_TITLE)), 0), F.lit(""))
-    share = decode_entities(_attribute(first, CONTENT))
+    share = decode_entities(let(first, lambda tag: _attribute(tag, CONTENT)))
     heading = F.regexp_replace(F.regexp_extract(markup, H1, 1), "<[^>]*>", "")
-    return (
-        F.when(share != "", strip(share))
-        .when(markup.rlike(TITLE), strip(decode_entities(F.regexp_extract(markup, TITLE, 1))))
-        .when(markup.rlike(H1), strip(decode_entities(heading)))
+    own = (
+        F.when(markup.rlike(TITLE), decode_entities(F.regexp_extract(markup, TITLE, 1)))
+        .when(markup.rlike(H1), decode_entities(heading))
     )
+    return let(share, lambda s: strip(F.when(s != "", s).otherwise(own)))
 
 
 def hrefs_of(markup: Column) -> Column:

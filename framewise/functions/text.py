@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -15,6 +17,11 @@ def col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of ``value``, with ``value`` written and evaluated once however often it is used."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def strip(c: Column | str) -> Column:
     """Remove Unicode white space from both ends (``trim`` alone only removes U+0020)."""
     return F.btrim(col(c), F.lit(WHITE_SPACE_CHARS))
