@@ -85,9 +85,10 @@ def frontier(
     spark = facts.sparkSession
     path = scratch_path(spark, "frontier")
     pages = facts.select("url", "title", "hrefs")
+    links = F.sort_array(site_links("base", F.col("hrefs"), mode))
 
     def save(found: DataFrame, level: int) -> None:
-        out = found.withColumn("links", F.array_sort(site_links("base", F.col("hrefs"), mode)))
+        out = found.withColumn("links", links)
         out.select("source", "base", "url", "title", "links").write.parquet(f"{path}/level={level}")
 
     start = (
@@ -177,7 +178,7 @@ def top_up(
     links = home.select(
         "source", "source_rank", "category",
         F.explode(
-            F.slice(F.array_sort(site_links("base", F.col("hrefs"), mode)), 1, max_links)
+            F.slice(F.sort_array(site_links("base", F.col("hrefs"), mode)), 1, max_links)
         ).alias("url"),
     )
     titles = facts.select("url", F.col("title").alias("headline"))
