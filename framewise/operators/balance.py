@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..fixed_values import SEED
 from ..functions.text import sample_key
-from .sampling import cuts, group_sizes, prefix_counts
+from .sampling import NOTHING, cuts, kept
 
 
 def class_distribution(df: DataFrame, label: str = "bias") -> DataFrame:
@@ -31,31 +33,20 @@ def balance(
 
     Adds ``is_fill``. Classes smaller than their quota leave a shortage,
     which rows left over in the other classes fill. Both steps take rows in
-    hash order. ``label`` must have few values (it has three here).
+    hash order.
     """
-    keyed = df.withColumn("_key", sample_key(id_col, seed)).withColumn("_all", F.lit(0))
+    keyed = df.withColumn("_key", sample_key(id_col, seed))
     rows = keyed.select(label, "_key")
-    counts = prefix_counts(rows, label)
-    everything = Window.partitionBy(F.lit(0))
-    quota = F.ceil(F.lit(target) / F.count("*").over(everything))
-    quotas = group_sizes(counts, label).withColumn("_quota", F.least(quota, F.col("_size")))
-    base = cuts(rows, counts, quotas, label)
-
-    rest = (
-        keyed.select(label, "_all", "_key")
-        .join(F.broadcast(base), label)
-        .filter(F.col("_key") > F.col("_cut"))
-        .select("_all", "_key")
-    )
-    needed = quotas.agg(
-        F.greatest(F.lit(target) - F.sum("_quota"), F.lit(0)).alias("_quota")
-    ).withColumn("_all", F.lit(0))
-    fill = cuts(rest, prefix_counts(rest, "_all"), needed, "_all")
-
-    return (
-        keyed.join(F.broadcast(base), label)
-        .join(F.broadcast(fill.select("_all", F.col("_cut").alias("_fill"))), "_all")
-        .withColumn("is_fill", F.col("_key") > F.col("_cut"))
-        .filter(~F.col("is_fill") | (F.col("_key") <= F.col("_fill")))
-        .select(*df.columns, "is_fill")
-    )
+
+    def quotas(sizes: dict) -> dict:
+        return {g: min(math.ceil(target / len(sizes)), n) for g, n in sizes.items()}
+
+    sizes, base = cuts(rows, label, quotas)
+    in_base = kept(label, base)
+    missing = target - sum(quotas(sizes).values())
+    in_fill = F.lit(False)
+    if missing > 0:
+        rest = rows.filter(~in_base).select(F.lit(0).alias("_all"), "_key")
+        _, fill = cuts(rest, "_all", lambda left: {g: min(missing, n) for g, n in left.items()})
+        in_fill = F.col("_key") <= F.lit(fill.get(0, NOTHING))
+    return keyed.filter(in_base | in_fill).select(*df.columns, (~in_base).alias("is_fill"))

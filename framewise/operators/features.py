@@ -63,17 +63,18 @@ def vocabulary(terms: DataFrame, docs: DataFrame, max_terms: int = MAX_TERMS) ->
 def weights(terms: DataFrame, vocab: DataFrame, id_col: str) -> DataFrame:
     """id, term, weight: tf * idf over a vocabulary, each document scaled to length 1.
 
-    ``vocab`` has at most ``max_terms`` rows and is broadcast. Rows are laid
-    out by document once; the counts and the norm both use that layout.
+    ``vocab`` should be a stored table: it is broadcast if its files are small,
+    as 8,000 terms are. Rows are laid out by document once; the counts and
+    the norm both use that layout.
     """
     counts = (
-        terms.join(F.broadcast(vocab.select("term", "term_id")), "term")
+        terms.join(vocab.select("term", "term_id"), "term")
         .select(id_col, "term_id")
         .repartition(F.col(id_col))
         .groupBy(id_col, "term_id")
         .agg(F.count("*").alias("tf"))
     )
-    raw = counts.join(F.broadcast(vocab.select("term", "term_id", "idf")), "term_id").select(
+    raw = counts.join(vocab.select("term", "term_id", "idf"), "term_id").select(
         id_col, "term", (F.col("tf") * F.col("idf")).alias("_w")
     )
     norm = F.sqrt(F.sum(F.col("_w") * F.col("_w")).over(Window.partitionBy(id_col)))
@@ -103,12 +104,12 @@ def linear_score(
     """id, conf_*, label from long features and a coefficient table.
 
     ``coefficients`` has term and one column per label in lower case
-    (``left``, ``neutral``, ``right``); it has one row per vocabulary term
-    and is broadcast. Documents without a known term get the intercepts.
+    (``left``, ``neutral``, ``right``). Documents without a known term get the
+    intercepts.
     """
     names = [x.lower() for x in LABELS]
     sums = (
-        features.join(F.broadcast(coefficients.select("term", *names)), "term")
+        features.join(coefficients.select("term", *names), "term")
         .groupBy(id_col)
         .agg(*[F.sum(F.col("weight") * F.col(n)).alias(f"_s_{n}") for n in names])
     )

@@ -1,19 +1,22 @@
-"""Exact samples by hash order, without sorting or collecting a group.
+"""Exact samples by hash order, without sorting, shuffling or collecting a group.
 
 The reproducible key of a row is ``md5(seed:id)``. The n rows of a group
 with the smallest keys are those at or below the n-th smallest key, the
-group's *cut*. The cut is found from counts per key prefix: the prefix
-bucket in which the n-th key lies is read off the running count, and only
-the rows of that one bucket (1/4096 of the group) are ranked. Rows are then
-kept by comparing their key with the cut, so the wide rows are never
-shuffled, whatever the size of a group.
-
-Ids must be unique.
+group's *cut*. The cut is found by counting rows per key prefix: the prefix
+in which the n-th key lies is read off the running count, and prefixes are
+made longer until few rows share the one that matters. Only those are
+ranked. Rows are then kept by comparing their key with the cut, so wide rows
+are never shuffled, whatever the size of a group, and the driver sees no
+more than one row per group.
+
+Ids must be unique, and groups few (labels).
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -22,62 +25,95 @@ from ..fixed_values import SEED, TEST_FRACTION
 from ..functions.text import sample_key
 from ..lineage import written
 
-BUCKET_DIGITS = 3
+STEP = 3  # hexadecimal digits a prefix grows by: 4096 parts
+RANKED_ROWS = 100_000  # rows of a group that may be ranked by one task
+MAX_GROUPS = 1000
 NOTHING, EVERYTHING = "", "~"  # below and above every hexadecimal key
 
 
-def _bucket(key: Column) -> Column:
-    return F.substring(key, 1, BUCKET_DIGITS)
-
+def _prefix_counts(rows: DataFrame, group: str, digits: int) -> DataFrame:
+    """Rows per group and key prefix; at most 4096 per group, as other prefixes are filtered out."""
+    prefix = F.substring("_key", 1, digits).alias("_prefix")
+    counts = rows.groupBy(group, prefix).agg(F.count("*").alias("_count"))
+    return written(counts, "prefixes")
 
-def prefix_counts(rows: DataFrame, group: str) -> DataFrame:
-    """Rows per group and key prefix: ``group``, _bucket, _count."""
-    return rows.groupBy(group, _bucket(F.col("_key")).alias("_bucket")).agg(
-        F.count("*").alias("_count")
-    )
 
+def _within(group: str, places: dict) -> Column:
+    """True for the rows of each group that share its prefix."""
+    tests = [F.col(group).eqNullSafe(F.lit(g)) & F.col("_key").startswith(p) for g, p in places.items()]
+    return reduce(lambda a, b: a | b, tests, F.lit(False))
 
-def group_sizes(counts: DataFrame, group: str) -> DataFrame:
-    return counts.groupBy(group).agg(F.sum("_count").alias("_size"))
 
+def _per_group(group: str, values: dict, otherwise) -> Column:
+    out = F.lit(otherwise)
+    for g, v in values.items():
+        out = F.when(F.col(group).eqNullSafe(F.lit(g)), F.lit(v)).otherwise(out)
+    return out
 
-def cuts(rows: DataFrame, counts: DataFrame, quotas: DataFrame, group: str) -> DataFrame:
-    """``group``, _cut: the ``_quota``-th smallest _key of every group in ``quotas``.
 
-    ``rows`` holds group and _key. A quota of 0 takes nothing, one at or
-    above the size of the group takes everything. ``quotas`` must hold few
-    groups (labels or a constant): it is broadcast. The result has one row
-    per group and is written to the shared folder, so that the passes over
-    ``rows`` happen once however often it is used.
-    """
-    running = Window.partitionBy(group).orderBy("_bucket")
-    edge = (
+def _edges(counts: DataFrame, group: str, wanted: dict) -> list:
+    """Per group: the prefix that holds the wanted row, its rank there, and the rows there."""
+    running = Window.partitionBy(group).orderBy("_prefix")
+    upto, n = F.col("_upto"), _per_group(group, wanted, 0)
+    return (
         counts.withColumn("_upto", F.sum("_count").over(running))
-        .join(F.broadcast(quotas.select(group, "_quota")), group)
-        .filter((F.col("_upto") >= F.col("_quota")))
-        .filter(F.col("_upto") - F.col("_count") < F.col("_quota"))
-        .select(
-            group, "_bucket", (F.col("_quota") - F.col("_upto") + F.col("_count")).alias("_left")
-        )
-    )
-    ranked = (
-        rows.withColumn("_bucket", _bucket(F.col("_key")))
-        .join(F.broadcast(edge), [group, "_bucket"])
-        .withColumn("_rank", F.row_number().over(Window.partitionBy(group).orderBy("_key")))
-        .filter(F.col("_rank") == F.col("_left"))
-        .select(group, F.col("_key").alias("_found"))
+        .filter((upto >= n) & (upto - F.col("_count") < n))
+        .select(group, "_prefix", (n - upto + F.col("_count")).alias("_left"), "_count")
+        .collect()
     )
-    cut = F.when(F.col("_quota") <= 0, F.lit(NOTHING)).otherwise(
-        F.coalesce("_found", F.lit(EVERYTHING))
+
+
+def cuts(rows: DataFrame, group: str, quota: Callable[[dict], dict]) -> tuple[dict, dict]:
+    """(sizes, cuts) per group of ``rows`` (columns: group, _key).
+
+    ``quota`` turns the sizes of all groups into the number of rows wanted
+    from each; the cut is the key of the last wanted row.
+    """
+    counts = _prefix_counts(rows, group, STEP)
+    total = counts.groupBy(group).agg(F.sum("_count").alias("_size")).limit(MAX_GROUPS + 1)
+    sizes = {r[0]: r[1] for r in total.collect()}
+    if len(sizes) > MAX_GROUPS:
+        raise ValueError(f"more than {MAX_GROUPS} groups in column {group!r}")
+    wanted = quota(sizes)
+    found = {g: NOTHING for g, n in wanted.items() if n <= 0}
+    found |= {g: EVERYTHING for g, n in wanted.items() if n >= sizes[g] and n > 0}
+    todo = {g: n for g, n in wanted.items() if g not in found}
+    digits = STEP
+    while todo:
+        narrow, wide, ranks = {}, {}, {}
+        for g, prefix, left, count in _edges(counts, group, todo):
+            (narrow if count <= RANKED_ROWS else wide)[g] = prefix
+            ranks[g] = left
+        if narrow:
+            found |= _ranked(rows, group, narrow, ranks)
+        todo = {g: ranks[g] for g in wide}
+        if wide:
+            digits += STEP
+            counts = _prefix_counts(rows.filter(_within(group, wide)), group, digits)
+    return sizes, found
+
+
+def _ranked(rows: DataFrame, group: str, places: dict, ranks: dict) -> dict:
+    """Per group: the key at the given rank among the rows that share the group's prefix."""
+    order = Window.partitionBy(group).orderBy("_key")
+    hits = (
+        rows.filter(_within(group, places))
+        .withColumn("_rank", F.row_number().over(order))
+        .filter(F.col("_rank") == _per_group(group, ranks, 0))
+        .select(group, "_key")
     )
-    found = quotas.join(F.broadcast(ranked), group, "left").select(group, cut.alias("_cut"))
-    return written(found, "cuts")
+    return {r[0]: r[1] for r in hits.collect()}
+
+
+def kept(group: str, found: dict) -> Column:
+    """True for the rows at or below the cut of their group."""
+    return F.col("_key") <= _per_group(group, found, NOTHING)
 
 
 def take_fraction(
     df: DataFrame,
     id_col: str,
-    size: Callable[[Column], Column],
+    size: Callable[[int], int],
     flag: str,
     group: str | None = None,
     seed: int = SEED,
@@ -87,29 +123,25 @@ def take_fraction(
     keyed = df.withColumn("_key", sample_key(id_col, seed))
     if group is None:
         keyed = keyed.withColumn("_all", F.lit(0))
-    rows = keyed.select(by, "_key")
-    counts = prefix_counts(rows, by)
-    quotas = group_sizes(counts, by).withColumn("_quota", size(F.col("_size")).cast("bigint"))
-    found = cuts(rows, counts, quotas, by)
-    out = keyed.join(F.broadcast(found), by).withColumn(flag, F.col("_key") <= F.col("_cut"))
-    return out.select(*df.columns, flag)
+    _, found = cuts(keyed.select(by, "_key"), by, lambda n: {g: size(k) for g, k in n.items()})
+    return keyed.select(*df.columns, kept(by, found).alias(flag))
 
 
 def stratified_split(
     df: DataFrame, id_col: str, label: str, fraction: float = TEST_FRACTION, flag: str = "is_test"
 ) -> DataFrame:
     """Mark ceil(fraction * n) rows of every label as test rows."""
-    return take_fraction(df, id_col, lambda n: F.ceil(F.lit(fraction) * n), flag, label)
+    return take_fraction(df, id_col, lambda n: math.ceil(fraction * n), flag, label)
 
 
 def plain_split(
     df: DataFrame, id_col: str, fraction: float = TEST_FRACTION, flag: str = "is_test"
 ) -> DataFrame:
     """Mark ceil(fraction * n) of all rows as test rows."""
-    return take_fraction(df, id_col, lambda n: F.ceil(F.lit(fraction) * n), flag)
+    return take_fraction(df, id_col, lambda n: math.ceil(fraction * n), flag)
 
 
 def eval_sample(df: DataFrame, id_col: str, fraction: float = TEST_FRACTION) -> DataFrame:
     """round(fraction * n) of all rows."""
-    marked = take_fraction(df, id_col, lambda n: F.rint(F.lit(fraction) * n), "_taken")
+    marked = take_fraction(df, id_col, lambda n: round(fraction * n), "_taken")
     return marked.filter("_taken").drop("_taken")

@@ -14,13 +14,20 @@ from ..fixed_values import (
 )
 
 
+def _literals(spark: SparkSession, rows: list[tuple], names: list[str]) -> DataFrame:
+    """Rows written as literals of the plan, so the optimizer knows how small they are."""
+
+    def lit(v):
+        return F.array(*[F.lit(x) for x in v]) if isinstance(v, list) else F.lit(v)
+
+    structs = [F.struct(*[lit(v).alias(n) for v, n in zip(r, names)]) for r in rows]
+    return spark.range(1).select(F.inline(F.array(*structs)))
+
+
 def source_dim(spark: SparkSession) -> DataFrame:
     """source, base, category, sections, source_rank."""
     rows = [(*s, i) for i, s in enumerate(SOURCES)]
-    return spark.createDataFrame(
-        rows,
-        "source string, base string, category string, sections array<string>, source_rank int",
-    )
+    return _literals(spark, rows, ["source", "base", "category", "sections", "source_rank"])
 
 
 def section_dim(sources: DataFrame) -> DataFrame:
@@ -31,16 +38,16 @@ def section_dim(sources: DataFrame) -> DataFrame:
 def hypothesis_dim(spark: SparkSession) -> DataFrame:
     """class, hyp_id, hypothesis."""
     rows = [(cls, i, text) for i, (cls, text) in enumerate(HYPOTHESES)]
-    return spark.createDataFrame(rows, "class string, hyp_id int, hypothesis string")
+    return _literals(spark, rows, ["class", "hyp_id", "hypothesis"])
 
 
 def label_dim(spark: SparkSession) -> DataFrame:
     """label_id, label."""
-    return spark.createDataFrame(list(enumerate(LABELS)), "label_id int, label string")
+    return _literals(spark, list(enumerate(LABELS)), ["label_id", "label"])
 
 
 def keyword_dim(spark: SparkSession) -> DataFrame:
     """gate, keyword."""
     rows = [("non_political", k) for k in NON_POLITICAL_KEYWORDS]
     rows += [("political", k) for k in POLITICAL_KEYWORDS]
-    return spark.createDataFrame(rows, "gate string, keyword string")
+    return _literals(spark, rows, ["gate", "keyword"])

@@ -92,6 +92,22 @@ def test_balance_equals_brute_force(spark, sizes, target):
     assert rows(B.balance(df, "id", target), "id", "is_fill") == brute_balance(items, target)
 
 
+def test_cuts_with_long_prefixes(spark, monkeypatch):
+    """With few rows allowed to be ranked, prefixes grow until the result is the same."""
+    items = [(k, ("Left", "Neutral", "Right")[k % 3 if k % 2 else 0]) for k in range(3000)]
+    df = spark.createDataFrame(items, "id int, bias string")
+    monkeypatch.setattr(sampling, "RANKED_ROWS", 1)
+    monkeypatch.setattr(sampling, "STEP", 1)
+    assert rows(B.balance(df, "id", 1700), "id", "is_fill") == brute_balance(items, 1700)
+
+
+def test_samples_are_filters_without_a_shuffle(spark):
+    df = spark.createDataFrame([(k, "Left") for k in range(50)], "id int, bias string")
+    for out in (B.balance(df, "id", 20), sampling.plain_split(df, "id"), sampling.stratified_split(df, "id", "bias")):
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan and "Join" not in plan
+
+
 def test_balance_of_nothing(spark):
     empty = spark.createDataFrame([], "id int, bias string")
     assert B.balance(empty, "id", 10).count() == 0
