@@ -111,13 +111,19 @@ def matched_keywords(text: Column | str) -> Column:
     """Every keyword of either gate that occurs in the lower-case ``text``, each once.
 
     Single words are found by one split of the text. Phrases are looked for
-    one by one only in texts where one pattern for all of them matches.
+    one by one only in texts where one pattern for all of them matches, and
+    by pattern only where they occur as plain text.
     """
     text = col(text)
     words = F.array_intersect(
         F.split(text, r"[^\p{L}\p{N}_]+"), F.array(*[F.lit(w) for w in _WORDS])
     )
     phrases = F.array_compact(
-        F.array(*[F.when(text.rlike(keyword_pattern([p])), F.lit(p)) for p in _PHRASES])
+        F.array(
+            *[
+                F.when(text.contains(p) & text.rlike(keyword_pattern([p])), F.lit(p))
+                for p in _PHRASES
+            ]
+        )
     )
     return F.when(text.rlike(_ANY_PHRASE), F.concat(words, phrases)).otherwise(words)
