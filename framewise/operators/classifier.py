@@ -45,7 +45,6 @@ def term_stages(ngram_range: tuple[int, int] = NGRAM_RANGE) -> list:
 
 def fit_features(
     docs: DataFrame,
-    id_col: str,
     text_col: str,
     max_terms: int = MAX_TERMS,
     ngram_range: tuple[int, int] = NGRAM_RANGE,
@@ -55,8 +54,7 @@ def fit_features(
     The vocabulary and its weights (``max_terms`` rows) come to the driver,
     as they become part of the model.
     """
-    terms = features.term_rows(docs, id_col, text_col, ngram_range)
-    vocab = features.vocabulary(terms, docs, max_terms)
+    vocab = features.vocabulary(docs, text_col, max_terms, ngram_range)
     rows = vocab.orderBy("term_id").select("term", "idf").collect()
     if not rows:
         raise ValueError("no terms left to build a vocabulary from")
@@ -76,7 +74,6 @@ def fit_features(
 
 def fit_baseline(
     train: DataFrame,
-    id_col: str,
     text_col: str,
     label_col: str,
     max_terms: int = MAX_TERMS,
@@ -89,7 +86,7 @@ def fit_baseline(
     Spark divides the loss by the sum of the weights, so the penalty is
     divided by it too.
     """
-    stages = fit_features(train, id_col, text_col, max_terms, ngram_range)
+    stages = fit_features(train, text_col, max_terms, ngram_range)
     per_class = class_weights(train, label_col)
     if not balanced:
         per_class = per_class.withColumn("weight", F.lit(1.0))

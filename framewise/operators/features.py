@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,52 +14,91 @@ from ..functions.text import longer_runs, word_tokens
 from ..lineage import written
 
 
+def _with_runs(docs: DataFrame, text_col: str, n: int, keep: list[str]) -> DataFrame:
+    """``keep`` with _n1 .. _n{n}: the n-grams of the tokens that are not stop words."""
+    kept = F.filter(word_tokens(text_col), lambda t: ~t.isin(STOP_WORDS))
+    rows = docs.select(*keep, kept.alias("_n1"))
+    for k in range(2, n + 1):
+        runs = longer_runs(F.col(f"_n{k - 1}"), F.col("_n1"), k)
+        rows = rows.withColumn(f"_n{k}", runs)
+    return rows
+
+
 def term_rows(
     docs: DataFrame,
     id_col: str,
     text_col: str,
     ngram_range: tuple[int, int] = NGRAM_RANGE,
 ) -> DataFrame:
-    """id, term, is_first: one row per occurrence of an n-gram of the tokens that are not
-    stop words; ``is_first`` is set on one of the occurrences in a document.
-
-    The n-grams of a document are sorted inside its row, so document
-    frequencies need no grouping by document.
-    """
+    """id, term: one row per occurrence of an n-gram."""
     low, high = ngram_range
-    kept = F.filter(word_tokens(text_col), lambda t: ~t.isin(STOP_WORDS))
-    rows = docs.select(id_col, kept.alias("_n1"))
-    for n in range(2, high + 1):
-        runs = longer_runs(F.col(f"_n{n - 1}"), F.col("_n1"), n)
-        rows = rows.withColumn(f"_n{n}", runs)
+    rows = _with_runs(docs, text_col, high, [id_col])
     grams = F.concat(*[F.col(f"_n{n}") for n in range(low, high + 1)])
-    rows = rows.select(id_col, F.sort_array(grams).alias("_sorted"))
+    return rows.select(id_col, F.explode(grams).alias("term"))
+
+
+def _occurrences(docs: DataFrame, text_col: str, n: int) -> DataFrame:
+    """term, is_first: one row per occurrence of an n-gram.
+
+    The n-grams of a document are sorted inside its row and ``is_first`` is
+    set once per document, so document counts need no grouping by document.
+    """
+    rows = _with_runs(docs, text_col, n, []).select(F.sort_array(f"_n{n}").alias("_sorted"))
     flagged = F.transform(
         "_sorted",
         lambda term, i: F.struct(
             term.alias("term"), (~term.eqNullSafe(F.get("_sorted", i - 1))).alias("is_first")
         ),
     )
-    return rows.select(id_col, F.inline(flagged))
+    return rows.select(F.inline(flagged))
+
 
+def _top(counts: DataFrame, max_terms: int) -> DataFrame:
+    return counts.orderBy(F.desc("cf"), "term").limit(max_terms)
 
-def vocabulary(terms: DataFrame, docs: DataFrame, max_terms: int = MAX_TERMS) -> DataFrame:
-    """term, term_id, cf, df, idf: the most frequent terms, ties by term.
+
+def vocabulary(
+    docs: DataFrame,
+    text_col: str,
+    max_terms: int = MAX_TERMS,
+    ngram_range: tuple[int, int] = NGRAM_RANGE,
+) -> DataFrame:
+    """term, term_id, cf, df, idf: the most frequent n-grams, ties by term. A stored table.
 
     cf counts occurrences, df documents; idf = ln((1 + n) / (1 + df)) + 1
-    for n documents. Counts combine before the shuffle, the cut is a
-    distributed top-n, and only the ``max_terms`` rows that remain are numbered.
+    for n documents.
+
+    Most n-grams of a large corpus are rare, and shuffling them all would
+    move several times the text. An n-gram is never more frequent than the
+    shorter ones inside it, so the lengths are counted one after the other:
+    an n-gram is shuffled only if both its parts reach the count that the
+    ``max_terms``-th term has so far. The result is the same.
     """
-    top = (
-        terms.groupBy("term")
-        .agg(F.count("*").alias("cf"), F.count_if("is_first").alias("df"))
-        .orderBy(F.desc("cf"), "term")
-        .limit(max_terms)
-    )
+    low, high = ngram_range
+    floor, counted, parts = 1, [], None
+    for n in range(1, high + 1):
+        rows = _occurrences(docs, text_col, n)
+        if parts is not None:
+            for words in (n - 1, 1 - n):  # the first and the last n - 1 words
+                part = F.substring_index(rows["term"], " ", words)
+                rows = rows.join(parts, part == parts["_part"], "left_semi")
+        counts = rows.groupBy("term").agg(
+            F.count("*").alias("cf"), F.count_if("is_first").alias("df")
+        )
+        counts = written(counts.filter(F.col("cf") >= floor), f"terms-{n}")
+        if n >= low:
+            counted.append(counts)
+            best = _top(reduce(DataFrame.unionByName, counted), max_terms)
+            size, least = best.agg(F.count("*"), F.min("cf")).first()
+            floor = least if size == max_terms else 1
+        parts = counts.filter(F.col("cf") >= floor).select(F.col("term").alias("_part"))
     order = Window.partitionBy(F.lit(0)).orderBy(F.desc("cf"), "term")
     n_docs = docs.agg(F.count("*").alias("n")).scalar()
     idf = F.log((F.lit(1) + n_docs) / (F.lit(1) + F.col("df"))) + 1
-    return top.select("term", F.row_number().over(order).alias("term_id"), "cf", "df", idf.alias("idf"))
+    numbered = best.select(
+        "term", F.row_number().over(order).alias("term_id"), "cf", "df", idf.alias("idf")
+    )
+    return written(numbered, "vocabulary")
 
 
 def weights(terms: DataFrame, vocab: DataFrame, id_col: str) -> DataFrame:
@@ -88,13 +129,9 @@ def tfidf(
     max_terms: int = MAX_TERMS,
     ngram_range: tuple[int, int] = NGRAM_RANGE,
 ) -> DataFrame:
-    """id, term, weight.
-
-    The vocabulary is written to the shared folder, so that it is counted once.
-    """
-    terms = term_rows(docs, id_col, text_col, ngram_range)
-    vocab = written(vocabulary(terms, docs, max_terms), "vocabulary")
-    return weights(terms, vocab, id_col)
+    """id, term, weight."""
+    vocab = vocabulary(docs, text_col, max_terms, ngram_range)
+    return weights(term_rows(docs, id_col, text_col, ngram_range), vocab, id_col)
 
 
 def linear_score(

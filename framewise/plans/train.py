@@ -40,7 +40,7 @@ def train(
     rows = written(usable(processed).select(id_col, text_col, "bias"), "usable")
     split = stratified_split(rows, id_col, "bias", test_fraction)
     model = fit_baseline(
-        split.filter(~F.col("is_test")), id_col, text_col, "bias",
+        split.filter(~F.col("is_test")), text_col, "bias",
         max_terms, ngram_range, max_iter, balanced,
     )
     return model, report_on(model, split.filter("is_test"), text_col)

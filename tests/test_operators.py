@@ -187,11 +187,21 @@ def test_tfidf(spark):
 
 def test_vocabulary_counts_repeats_and_documents(spark):
     docs = spark.createDataFrame([(1, "tax tax tax"), (2, "tax poll"), (3, "")], "id int, text string")
-    vocab = features.vocabulary(features.term_rows(docs, "id", "text", (1, 2)), docs, 3)
+    vocab = features.vocabulary(docs, "text", 3, (1, 2))
     assert rows(vocab, "term_id", "term", "cf", "df") == [(1, "tax", 4, 2), (2, "tax tax", 2, 1), (3, "poll", 1, 1)]
     assert rows(vocab.filter("term = 'tax'"), "idf") == [(pytest.approx(np.log(4 / 3) + 1),)]
 
 
+@pytest.mark.parametrize("max_terms,ngram_range", [(5, (1, 3)), (40, (1, 3)), (10000, (1, 3)), (30, (2, 3)), (7, (3, 3))])
+def test_vocabulary_equals_counting_everything(spark, sf, max_terms, ngram_range):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    terms = features.term_rows(docs, "doc_id", "text", ngram_range)
+    counts = terms.groupBy("term").agg(F.count("*").alias("cf"), F.count_distinct("doc_id").alias("df"))
+    want = [tuple(r) for r in counts.orderBy(F.desc("cf"), "term").limit(max_terms).collect()]
+    got = features.vocabulary(docs, "text", max_terms, ngram_range).orderBy("term_id")
+    assert [tuple(r) for r in got.select("term", "cf", "df").collect()] == want
+
+
 def test_class_scores_of_a_score_table(spark):
     left = [0.8, 0.6, 0.7, 0.5]
     right = [0.1, 0.1, 0.2, 0.2]

@@ -324,29 +324,22 @@ def top_up_headlines(spark: SparkSession, sf: str) -> DataFrame:
     return collected.unionByName(links.top_up(collected, facts, sites, 2 * n_sites))
 
 
-def _docs(spark: SparkSession, sf: str) -> DataFrame:
-    return I.wide_headlines(spark, sf).select(
-        "headline_id", clean_text("headline").alias("clean_headline")
-    )
-
-
 def tfidf_vocabulary(spark: SparkSession, sf: str) -> DataFrame:
-    docs = _docs(spark, sf)
-    vocab = features.vocabulary(features.term_rows(docs, "headline_id", "clean_headline"), docs)
+    vocab = features.vocabulary(_processed(spark, sf), "clean_headline")
     return vocab.withColumn("idf", round_half_even(F.col("idf"), 6))
 
 
 def tfidf_weights(spark: SparkSession, sf: str) -> DataFrame:
-    return features.tfidf(_docs(spark, sf), "headline_id", "clean_headline").withColumn(
+    return features.tfidf(_processed(spark, sf), "headline_id", "clean_headline").withColumn(
         "weight", round_half_even(F.col("weight"), 6)
     )
 
 
 def linear_score(spark: SparkSession, sf: str) -> DataFrame:
     """Linear scores with coefficients that follow from the term by rule."""
-    docs = _docs(spark, sf)
+    docs = _processed(spark, sf)
     terms = features.term_rows(docs, "headline_id", "clean_headline")
-    vocab = written(features.vocabulary(terms, docs), "vocabulary")
+    vocab = features.vocabulary(docs, "clean_headline")
     size = F.length("term")
     coefficients = vocab.select(
         "term",
@@ -366,9 +359,7 @@ def baseline_train(spark: SparkSession, sf: str) -> DataFrame:
 def baseline_predict(spark: SparkSession, sf: str) -> DataFrame:
     """Fit, save, load, then label every headline that passes the gates."""
     rows = usable(_processed(spark, sf))
-    fitted = classifier.fit_baseline(
-        rows, "headline_id", "clean_headline", "bias", max_iter=MAX_ITER
-    )
+    fitted = classifier.fit_baseline(rows, "clean_headline", "bias", max_iter=MAX_ITER)
     path = scratch_path(spark, "model")
     classifier.save_model(fitted, path)
     model = classifier.load_model(path)
