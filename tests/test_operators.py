@@ -392,3 +392,52 @@ def test_shared_folder(spark):
     assert spark.sparkContext.getCheckpointDir() is not None
     assert scratch_path(spark, "a") != scratch_path(spark, "a")
     assert scratch_path(spark, "a").startswith(folder.rstrip("/"))
+
+
+class FakeSession:
+    """Just enough of a session to ask where the shared folder is."""
+
+    def __init__(self, master, setting):
+        self.master, self.setting, self.folder = master, setting, None
+        self.sparkContext = self.conf = self
+
+    def getConf(self):
+        return self
+
+    def get(self, name, default=None):
+        assert name == "spark.checkpoint.dir"
+        return self.setting
+
+    def getCheckpointDir(self):
+        return self.folder
+
+    def setCheckpointDir(self, folder):
+        self.folder = folder
+
+
+def test_shared_folder_of_a_cluster():
+    assert shared_folder(FakeSession("yarn", "hdfs:///shared")) == "hdfs:///shared"
+    with pytest.raises(RuntimeError):
+        shared_folder(FakeSession("yarn", None))
+    local = FakeSession("local[2]", None)
+    assert shared_folder(local) == local.folder
+
+
+def test_pages_table(spark, sf):
+    pages = tables.read_pages(spark, f"{sf}/pages.parquet")
+    assert pages.columns == ["page_id", "url", "html"]
+    found = links.page_headlines(pages)
+    assert 0 < found.count() <= pages.count()
+
+
+def test_partitions_do_not_change_results(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select(
+        F.col("doc_id").alias("headline_id"), F.col("text").alias("headline"), "source"
+    )
+    results = []
+    for n in ("3", "8"):
+        spark.conf.set("spark.sql.shuffle.partitions", n)
+        once = dedup_headlines(docs, [F.col("headline_id")])
+        bias = docs.withColumn("bias", F.when(F.col("source") == "src1", "Left").otherwise("Right"))
+        results.append((rows(once, "headline_id"), rows(B.balance(bias, "headline_id", 30), "headline_id", "is_fill")))
+    assert results[0] == results[1]

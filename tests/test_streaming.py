@@ -67,3 +67,25 @@ def test_batch_run_again_leaves_the_same_rows(spark, tmp_path):
     for name in os.listdir(f"{state}/commits"):
         os.remove(f"{state}/commits/{name}")
     assert run() == first == ["A", "B"]
+
+
+def test_predict_on_a_stream_equals_batch(spark, tmp_path):
+    from framewise.plans.predict import predict
+
+    source, out, state = (str(tmp_path / n) for n in ("in", "out", "state"))
+    schema = "headline_id bigint, headline string"
+    rows = [(1, "Hyderabad weather"), (2, "Govt praises government policies"), (3, "Railways plan")]
+    spark.createDataFrame(rows, schema).write.parquet(source)
+    query = (
+        predict(spark.readStream.schema(schema).parquet(source), "lexical")
+        .drop("confidence")
+        .writeStream.format("parquet")
+        .option("path", out)
+        .option("checkpointLocation", state)
+        .trigger(availableNow=True)
+        .start()
+    )
+    query.awaitTermination()
+    batch = predict(spark.read.schema(schema).parquet(source), "lexical").drop("confidence")
+    got = spark.read.parquet(out).select(*batch.columns)
+    assert got.count() == 3 and got.exceptAll(batch).isEmpty()

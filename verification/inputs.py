@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from framewise.functions.html import extract_links
 from framewise.functions.urls import authority
-from framewise.sources.tables import spread
+from framewise.sources.tables import read_pages, spread
 
 FIVE = ["Left", "Left-Center", "Center", "Center-Right", "Right"]
 RAW_CATEGORIES = ["Left", " Left-Center\t", "Center", "Center-Right ", "Right", "Unknown", None, "left"]
@@ -65,7 +65,7 @@ def wide_headlines(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def pages(spark: SparkSession, sf: str) -> DataFrame:
-    return spread(table(spark, sf, "pages").select("page_id", "url", "html"))
+    return spread(read_pages(spark, f"{sf}/pages.parquet"))
 
 
 def based_pages(spark: SparkSession, sf: str) -> DataFrame:
