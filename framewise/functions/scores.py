@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..fixed_values import HYPOTHESES, LABELS, MARGIN, NO_EVIDENCE
 from .numbers import percent_text, round_half_even
-from .text import clean_text, col
+from .text import clean_words, col
 
 
 def hypothesis_words(sentence: str) -> list[str]:
@@ -19,9 +19,7 @@ def hypothesis_words(sentence: str) -> list[str]:
 def known_words(text: Column | str, hypotheses=HYPOTHESES) -> Column:
     """Distinct words of a headline that occur in any hypothesis: a short array."""
     vocabulary = sorted({w for _, h in hypotheses for w in hypothesis_words(h)})
-    return F.array_intersect(
-        F.split(clean_text(text), " "), F.array(*[F.lit(w) for w in vocabulary])
-    )
+    return F.array_intersect(clean_words(text), F.array(*[F.lit(w) for w in vocabulary]))
 
 
 def overlap(words: Column, hypothesis: str) -> Column:

@@ -32,10 +32,18 @@ def norm_key(c: Column | str) -> Column:
     return strip(F.lower(col(c)))
 
 
+def _without_urls(c: Column | str) -> Column:
+    return F.regexp_replace(F.lower(F.coalesce(col(c), F.lit(""))), URL, " ")
+
+
 def clean_text(c: Column | str) -> Column:
     """Lower-case words and digits separated by single spaces; null becomes ''."""
-    text = F.regexp_replace(F.lower(F.coalesce(col(c), F.lit(""))), URL, " ")
-    return F.trim(F.regexp_replace(text, "[^a-z0-9]+", " "))
+    return F.trim(F.regexp_replace(_without_urls(c), "[^a-z0-9]+", " "))
+
+
+def clean_words(c: Column | str) -> Column:
+    """The words of ``clean_text``, perhaps with empty strings at the ends."""
+    return F.split(_without_urls(c), "[^a-z0-9]+")
 
 
 def is_blank(c: Column | str) -> Column:
