@@ -3,16 +3,27 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from framewise.llm import block_names, mixing, packing
+from framewise.llm import block_names, language, mixing, packing, shingle_join
 from framewise.llm.common import stored
 from framewise.llm.tokens import tokenizer_path
 
 
+def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is told: without a letter, or between two languages, they go."""
+    found = language.identify(docs, language.learn_languages(docs))
+    return found.filter(~F.col("lang_ambiguous")).select(*docs.columns)
+
+
 def one_of_equal_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return block_names.keep_one(docs, block_names.exact_dedup(docs))
 
 
+def one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return shingle_join.one_of_component(docs, shingle_join.jaccard_components(docs))
+
+
 def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(docs).select(*docs.columns)
 
@@ -22,7 +33,9 @@ def packed_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 STAGES = [
+    ("language ID", known_language),
     ("exact dedup", one_of_equal_texts),
+    ("n-gram Jaccard join", one_of_near_duplicates),
     ("mixing sources", mixed_sources),
     ("best-fit packing", packed_sequences),
 ]

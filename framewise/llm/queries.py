@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .block_names import exact_dedup
+from .language import held_out, identify, learn_languages
 from .mixing import mix_oracle, mix_sources
 from .packing import pack_documents
+from .shingle_join import jaccard_components
 from .token_files import token_digest
 from .tokens import tokenizer_path
 
@@ -19,6 +22,10 @@ def op1_best_fit_packing(spark: SparkSession, sf: str) -> DataFrame:
     return pack_documents(table(spark, sf, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
+def op2_ngram_jaccard(spark: SparkSession, sf: str) -> DataFrame:
+    return jaccard_components(table(spark, sf, "documents"))
+
+
 def op3_mix_sources(spark: SparkSession, sf: str) -> DataFrame:
     return mix_sources(table(spark, sf, "documents"))
 
@@ -31,11 +38,25 @@ def op6_token_files(spark: SparkSession, sf: str) -> DataFrame:
     return token_digest(table(spark, sf, "documents"), tokenizer_path("byte_bpe_50k.json"), end=2)
 
 
+def op7_language(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents")
+    found = identify(docs.select("doc_id", "text"), learn_languages(docs))
+    return found.select(
+        "doc_id",
+        held_out().alias("held_out"),
+        "lang_pred",
+        F.col("lang_score").alias("score"),
+        F.col("lang_ambiguous").alias("ambiguous"),
+    )
+
+
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
+    "op2_ngram_jaccard": op2_ngram_jaccard,
     "op3_mix_sources": op3_mix_sources,
     "op4_exact_dedup": op4_exact_dedup,
     "op6_token_files": op6_token_files,
+    "op7_language": op7_language,
 }
 
 ORACLE = {
