@@ -12,6 +12,7 @@ from .packing import pack_documents
 from .shingle_join import jaccard_components
 from .token_files import token_digest
 from .tokens import tokenizer_path
+from .toxicity import learn_toxicity, score_toxicity
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -50,6 +51,19 @@ def op7_language(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def op9_toxicity(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents")
+    model = learn_toxicity(docs, table(spark, sf, "labels"))
+    found = score_toxicity(docs.select("doc_id", "text"), model)
+    return found.select(
+        "doc_id",
+        held_out("doc_id", 5, 0).alias("held_out"),
+        F.col("toxic_score").alias("score"),
+        (F.col("toxic_score") >= 0.5).cast("int").alias("predicted"),
+        F.size("toxic_spans").alias("n_passages"),
+    )
+
+
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_ngram_jaccard": op2_ngram_jaccard,
@@ -57,6 +71,7 @@ QUERIES = {
     "op4_exact_dedup": op4_exact_dedup,
     "op6_token_files": op6_token_files,
     "op7_language": op7_language,
+    "op9_toxicity": op9_toxicity,
 }
 
 ORACLE = {
