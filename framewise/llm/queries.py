@@ -13,6 +13,7 @@ from .shingle_join import jaccard_components
 from .token_files import token_digest
 from .tokens import tokenizer_path
 from .toxicity import learn_toxicity, score_toxicity
+from .warc import warc_round_trip
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -35,6 +36,10 @@ def op4_exact_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return exact_dedup(table(spark, sf, "documents")).drop("row_key")
 
 
+def op5_warc(spark: SparkSession, sf: str) -> DataFrame:
+    return warc_round_trip(table(spark, sf, "pages"))
+
+
 def op6_token_files(spark: SparkSession, sf: str) -> DataFrame:
     return token_digest(table(spark, sf, "documents"), tokenizer_path("byte_bpe_50k.json"), end=2)
 
@@ -69,12 +74,23 @@ QUERIES = {
     "op2_ngram_jaccard": op2_ngram_jaccard,
     "op3_mix_sources": op3_mix_sources,
     "op4_exact_dedup": op4_exact_dedup,
+    "op5_warc": op5_warc,
     "op6_token_files": op6_token_files,
     "op7_language": op7_language,
     "op9_toxicity": op9_toxicity,
 }
 
 ORACLE = {
+    "op5_warc": """
+    WITH rows AS (
+      SELECT page_id, coalesce(html, '') AS html, strlen(coalesce(html, '')) AS n FROM pages
+    ), last AS (
+      SELECT html, max(page_id) AS original FROM rows WHERE n >= 1000 GROUP BY html
+    )
+    SELECT page_id, n AS payload_bytes, sha1(html) AS payload_digest,
+      CASE WHEN original <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+      CASE WHEN original <> page_id THEN original END AS refers_to
+    FROM rows LEFT JOIN last USING (html)""",
     "op3_mix_sources": mix_oracle(),
     "op4_exact_dedup": r"""
     WITH rows AS (
