@@ -13,6 +13,7 @@ from .shingle_join import jaccard_components
 from .token_files import token_digest
 from .tokens import tokenizer_path
 from .toxicity import learn_toxicity, score_toxicity
+from .url_filter import judge_urls
 from .warc import warc_round_trip
 
 
@@ -56,6 +57,10 @@ def op7_language(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def op8_url_filter(spark: SparkSession, sf: str) -> DataFrame:
+    return judge_urls(table(spark, sf, "pages"))
+
+
 def op9_toxicity(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents")
     model = learn_toxicity(docs, table(spark, sf, "labels"))
@@ -77,6 +82,7 @@ QUERIES = {
     "op5_warc": op5_warc,
     "op6_token_files": op6_token_files,
     "op7_language": op7_language,
+    "op8_url_filter": op8_url_filter,
     "op9_toxicity": op9_toxicity,
 }
 

@@ -13,10 +13,12 @@ How this spreads over a cluster without losing a link:
   size and threshold). A document that has too few hashes in common with any
   other leaves early; counting that moves 12 bytes a hash and no text.
 * Documents with equal sets are one point.
-* Trees are built among points that share such a hash. A first look links every
-  point with near neighbours only; later looks search the trees, but only where a
-  hash still holds points of different components. So a group of many copies costs a
-  few comparisons a copy, not all its pairs, and still no link between components is missed.
+* Points that share the least hash under one of three orders meet first, each in
+  a tree; links found there are verified at once, and only as many as
+  connect the points leave the task. Then the points meet by all hashes that similar sets
+  must share, but only where those lie in different components, and only pairs that
+  have not met before count. So a group of many copies costs each copy a few
+  comparisons, and still no link between components is missed.
 """
 
 from __future__ import annotations
@@ -25,6 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,8 +39,9 @@ GROUPS = 64
 LEAF = 16
 #: Points of one hash that one task compares; more are dealt to several tasks.
 BLOCK = 4096
-#: Neighbours in tree order that a point is compared with at first.
-NEAR = 24
+#: Orders of the hashes whose least hash brings points together first.
+RUNS = 3
+_FULL = 0xFFFF
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 
 
@@ -180,7 +184,7 @@ def _census(docs: DataFrame, share: tuple[int, int], width: int) -> DataFrame:
 
 
 def _sets(docs: DataFrame, width: int) -> DataFrame:
-    """id, n, f1, f2 (fingerprint of the set), hashes, counts (int32 per group)."""
+    """id, n, f1, f2 (fingerprint of the set), runs (its least hash under each of ``RUNS`` orders), hashes, counts."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -188,19 +192,28 @@ def _sets(docs: DataFrame, width: int) -> DataFrame:
             for a, hashes, first in _batch_sets(batch.column(1), width):
                 n = np.diff(first)
                 of = np.repeat(np.arange(len(n)), n)
-                counts = np.zeros(len(n) * GROUPS, np.int64)
-                np.add.at(counts, of * GROUPS + (mix(hashes) % np.uint64(GROUPS)).astype(np.int64), 1)
-                counts = counts.astype("<i4").reshape(len(n), GROUPS)
-                f1, f2 = np.zeros(len(n), np.uint64), np.zeros(len(n), np.uint64)
-                np.add.at(f1, of, hashes)
-                np.add.at(f2, of, mix(hashes ^ _ODD[0]))
+                counts = np.bincount(of * GROUPS + (mix(hashes) % np.uint64(GROUPS)).astype(np.int64), minlength=len(n) * GROUPS)
+                counts = counts.reshape(len(n), GROUPS)
+                counts[(counts > _FULL).any(1)] = _FULL  # then the bound is the other set's size
+                f1, f2, runs = np.zeros(len(n), np.int64), np.zeros(len(n), np.int64), np.zeros((len(n), RUNS), np.int64)
+                full = np.flatnonzero(n)
+                if len(full):
+                    at = first[:-1][full]
+                    f1[full] = np.add.reduceat(hashes, at).view(np.int64)
+                    f2[full] = np.add.reduceat(mix(hashes ^ _ODD[0]), at).view(np.int64)
+                    for k in range(RUNS):
+                        order = hashes if k == 0 else mix(hashes ^ _ODD[k])
+                        runs[full, k] = np.minimum.reduceat(order, at).view(np.int64)
                 lists = pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(hashes.view(np.int64)))
+                raw = counts.astype("<u2")
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(a, len(n)), pa.array(n), pa.array(f1.view(np.int64)), pa.array(f2.view(np.int64)), lists, pa.array([c.tobytes() for c in counts], pa.binary())],
-                    names=["id", "n", "f1", "f2", "hashes", "counts"],
+                    [ids.slice(a, len(n)), pa.array(n), pa.array(f1), pa.array(f2), pa.array(runs.tolist(), pa.list_(pa.int64())), lists, pa.array([c.tobytes() for c in raw], pa.binary())],
+                    names=["id", "n", "f1", "f2", "runs", "hashes", "counts"],
                 )
 
-    return docs.mapInArrow(make, "id bigint, n bigint, f1 bigint, f2 bigint, hashes array<bigint>, counts binary")
+    return docs.mapInArrow(
+        make, "id bigint, n bigint, f1 bigint, f2 bigint, runs array<bigint>, hashes array<bigint>, counts binary"
+    )
 
 
 class CountTree:
@@ -224,7 +237,7 @@ class CountTree:
             for a in range(0, len(q), 1 << 14):
                 i, j = q[a : a + (1 << 14)], x[a : a + (1 << 14)]
                 least = np.maximum(low[j], _needed(size[i], share))
-                bound = np.minimum(query[i], top[j]).sum(1)
+                bound = np.minimum(query[i], top[j]).sum(1, dtype=np.int64)
                 fits = _similar(bound, size[i], least, share) & (least <= high[j])
                 keep[a : a + (1 << 14)] = fits
             q, x = q[keep], x[keep]
@@ -241,59 +254,191 @@ def _similar(overlap, a, b, share):
     return overlap * (share[0] + share[1]) >= share[0] * (a + b)
 
 
-def _candidates(shared: DataFrame, share: tuple[int, int], near: bool) -> DataFrame:
-    """a, b: pairs of points that share a hash, differ in component and may be similar.
+def _by_cell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows again, cut so that a cell (first three columns) is never divided."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        cell = [c.to_numpy() for c in batch.columns[:3]]
+        same = np.ones(batch.num_rows, bool)
+        for c in cell:
+            same &= c == c[-1]
+        cut = batch.num_rows - int(np.argmin(same[::-1])) if not same.all() else 0
+        if held and any(held[-1].column(k)[-1].as_py() != cell[k][0] for k in range(3)):
+            yield pa.concat_batches(held)
+            held = []
+        if cut:
+            yield pa.concat_batches([*held, batch.slice(0, cut)])
+            held = []
+        held.append(batch.slice(cut))
+    if held:
+        yield pa.concat_batches(held)
 
-    ``shared``: key, cell_a, cell_b, comp, id, n, counts. With ``near`` the
-    likeliest of the neighbours only, else all that the tree finds.
-    """
 
-    def pairs(comp, ids, sizes, counts):
-        order = np.lexsort((*counts.T[:3], sizes))
-        comp, ids, sizes, counts = comp[order], ids[order], sizes[order], counts[order]
-        if near:
-            best, other = np.full(len(ids), -np.inf), np.zeros(len(ids), np.int64)
-            for k in range(1, min(NEAR, len(ids) - 1) + 1):
-                bound = np.minimum(counts[k:], counts[:-k]).sum(1)
-                value = bound / (sizes[k:] + sizes[:-k] - bound)
-                ok = _similar(bound, sizes[k:], sizes[:-k], share) & (comp[k:] != comp[:-k]) & (value > best[k:])
-                best[k:][ok], other[k:][ok] = value[ok], np.flatnonzero(ok)
-            i = np.flatnonzero(best > -np.inf)
-            return ids[i], ids[other[i]]
-        kinds, at, n = np.unique(comp, return_inverse=True, return_counts=True)
-        ask = np.flatnonzero(at != n.argmax())  # points of the largest component needn't ask
-        i, j = CountTree(counts, sizes).search(counts[ask], sizes[ask], share)
-        i = ask[i]
-        use = comp[i] != comp[j]
-        return ids[i[use]], ids[j[use]]
+def _edges_of(batch: pa.RecordBatch) -> np.ndarray:
+    cell = [c.to_numpy() for c in batch.columns[:3]]
+    new = np.zeros(batch.num_rows, bool)
+    new[0] = True
+    for c in cell:
+        new[1:] |= c[1:] != c[:-1]
+    return np.append(np.flatnonzero(new), batch.num_rows)
+
+
+def _counts(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), "<u2").reshape(-1, GROUPS)
+
+
+def _pairs(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0) if len(a) else np.zeros((0, 2), np.int64)
+    return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"])
+
+
+class _Union:
+    def __init__(self, n: int):
+        self.root = np.arange(n)
+
+    def join(self, a: int, b: int) -> None:
+        low, high = sorted((self.root[a], self.root[b]))
+        self.root[self.root == high] = low
+
+
+def _links_within(runs, which, ids, sizes, counts, hashes, first, share) -> tuple[np.ndarray, np.ndarray]:
+    """Links that connect the points of one run as all its links would, each verified.
+
+    ``which`` is the order this run belongs to; pairs that share a run of an
+    earlier order are looked at there.
+    """
+    order = np.lexsort((*counts.T[:3], sizes))
+    tree = CountTree(counts[order], sizes[order])
+    union, found = _Union(len(ids)), []
+
+    def verify(q: int, others: np.ndarray) -> None:
+        others = others[union.root[others] != union.root[q]]
+        if not len(others):
+            return
+        mine = hashes[first[q] : first[q + 1]]
+        length = first[others + 1] - first[others]
+        ends = np.cumsum(length)
+        at = np.repeat(first[others] - (ends - length), length) + np.arange(ends[-1])
+        theirs = hashes[at]
+        place = np.minimum(np.searchsorted(mine, theirs), len(mine) - 1)
+        overlap = np.add.reduceat((mine[place] == theirs).astype(np.int64), ends - length)
+        for x in others[_similar(overlap, sizes[q], sizes[others], share)].tolist():
+            if union.root[x] != union.root[q]:
+                union.join(x, q)
+                found.append((q, x))
+
+    verify(int(order[len(order) // 2]), np.arange(len(ids)))
+    kinds, n = np.unique(union.root, return_counts=True)
+    ask = np.flatnonzero(union.root != kinds[n.argmax()])
+    asked = np.zeros(len(ids), bool)
+    asked[ask] = True
+    for a in range(0, len(ask), 128):
+        some = ask[a : a + 128]
+        i, x = tree.search(counts[some], sizes[some], share)
+        q, x = some[i], order[x]
+        use = (union.root[q] != union.root[x]) & (~asked[x] | (x < q))
+        for k in range(which[0]):
+            use &= runs[q, k] != runs[x, k]
+        q, x = q[use], x[use]
+        edge = np.append(np.flatnonzero(np.append(True, q[1:] != q[:-1])), len(q)) if len(q) else [0]
+        for c, d in zip(edge[:-1], edge[1:]):
+            verify(int(q[c]), x[c:d])
+    pairs = np.array(found, np.int64).reshape(-1, 2)
+    return ids[pairs[:, 0]], ids[pairs[:, 1]]
+
+
+def _first_links(points: DataFrame, share: tuple[int, int]) -> DataFrame:
+    """Verified links among points that share the least hash under one of the orders.
+
+    A run of many points is dealt to blocks of about ``BLOCK``, every two of which meet.
+    """
+    runs = points.select("id", F.posexplode("runs").alias("nth", "run"))
+    sizes = runs.groupBy("nth", "run").agg(F.count("*").alias("m")).filter("m > 1")
+    sizes = sizes.select("nth", "run", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
+    cells = runs.join(sizes, ["nth", "run"])
+    own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
+    cells = cells.withColumn("own", own).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    # one number names the cell within a run: its order, and the two blocks
+    cell = F.col("nth") + RUNS * F.least("own", "with")
+    cells = cells.select("id", "run", cell.cast("int").alias("cell_a"), F.greatest("own", "with").alias("cell_b"))
+    laid = cells.join(points, "id").select("run", "cell_a", "cell_b", "id", "n", "runs", "counts", "hashes")
+    laid = laid.repartition("run", "cell_a", "cell_b").sortWithinPartitions("run", "cell_a", "cell_b")
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, last = [], None
+        for batch in _by_cell(batches):
+            edges, nth = _edges_of(batch), batch.column(1).to_numpy() % RUNS
+            ids, sizes, counts = batch.column(3).to_numpy(), batch.column(4).to_numpy(), _counts(batch.column(6))
+            runs = batch.column(5).flatten().to_numpy().reshape(-1, RUNS)
+            hashes = batch.column(7).flatten().to_numpy().view(np.uint64)
+            first = np.append(0, np.cumsum(pa.compute.list_value_length(batch.column(7)).to_numpy()))
+            out = []
+            for a, b in zip(edges[:-1], edges[1:]):
+                if b - a > 1:
+                    own = first[a : b + 1] - first[a]
+                    out.append(_links_within(runs[a:b], nth[a:b], ids[a:b], sizes[a:b], counts[a:b], hashes[first[a] : first[b]], own, share))
+            if out:
+                yield _pairs(np.concatenate([o[0] for o in out]), np.concatenate([o[1] for o in out]))
+
+    return laid.mapInArrow(find, "a bigint, b bigint").distinct()
 
-        def done():
-            comp, ids, sizes = (np.concatenate([h[k] for h in held]) for k in range(3))
-            raw = b"".join(x for h in held for x in h[3])
-            counts = np.frombuffer(raw, "<i4").reshape(-1, GROUPS)
-            a, b = pairs(comp, ids, sizes, counts)
-            low, high = np.minimum(a, b), np.maximum(a, b)
-            both = np.unique(np.stack([low, high], 1), axis=0) if len(low) else np.zeros((0, 2), np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"])
 
-        for batch in batches:
-            key, ca, cb, comp, ids, sizes = (batch.column(k).to_numpy() for k in range(6))
-            edge = np.flatnonzero((key[1:] != key[:-1]) | (ca[1:] != ca[:-1]) | (cb[1:] != cb[:-1])) + 1
-            for a, b in zip([0, *edge], [*edge, len(key)]):
-                mark = (key[a], ca[a], cb[a])
-                if last is not None and mark != last:
-                    yield done()
-                    held = []
-                last = mark
-                held.append((comp[a:b], ids[a:b], sizes[a:b], batch.column(6).slice(a, b - a).to_pylist()))
-        if held:
-            yield done()
-
-    cells = ["key", "cell_a", "cell_b"]
-    laid = shared.select(*cells, "comp", "id", "n", "counts").repartition(*cells).sortWithinPartitions(*cells)
+def _other_pairs(points: DataFrame, names: DataFrame, share: tuple[int, int]) -> DataFrame:
+    """a, b: all pairs that may still link two components.
+
+    They share one of the hashes that a similar pair must share, no run of
+    ``_first_links``, and the bound by counts lets them be similar.
+    """
+    few = F.col("n") - F.ceil(F.col("n") * share[0] / share[1]) + 1
+    keys = points.select("id", F.explode(F.slice("hashes", F.lit(1), few.cast("int"))).alias("key"))
+    keys = keys.join(names, F.col("id") == F.col("node"), "left").select("id", "key", F.coalesce("component", "id").alias("comp"))
+    sizes = keys.groupBy("key").agg(F.count("*").alias("m"), F.min("comp").alias("c0"), F.max("comp").alias("c1"))
+    sizes = sizes.filter("c0 <> c1").select("key", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
+    own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
+    cells = keys.join(sizes, "key").withColumn("own", own)
+    cells = cells.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    cells = cells.select("key", F.least("own", "with").alias("cell_a"), F.greatest("own", "with").alias("cell_b"), "comp", "id")
+    laid = cells.join(points.select("id", "n", "runs", "counts"), "id").select("key", "cell_a", "cell_b", "comp", "id", "n", "runs", "counts")
+    laid = laid.repartition("key", "cell_a", "cell_b").sortWithinPartitions("key", "cell_a", "cell_b")
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _by_cell(batches):
+            edges = _edges_of(batch)
+            comp, ids, sizes = (batch.column(k).to_numpy() for k in (3, 4, 5))
+            runs, counts = batch.column(6).flatten().to_numpy().reshape(-1, RUNS), _counts(batch.column(7))
+
+            def open_(i, j):
+                return (comp[i] != comp[j]) & (runs[i] != runs[j]).all(1) & _similar(np.minimum(sizes[i], sizes[j]), sizes[i], sizes[j], share)
+
+            out, m = [np.zeros((2, 0), np.int64)], np.diff(edges)
+            cell = np.repeat(np.arange(len(m)), m)
+            small = np.flatnonzero((m <= 2 * LEAF)[cell])
+            for d in range(1, 2 * LEAF):  # all pairs of all small cells at once
+                i, j = small[:-d], small[d:]
+                use = cell[i] == cell[j]
+                if not use.any():
+                    break
+                i, j = i[use], j[use]
+                use = open_(i, j)
+                i, j = i[use], j[use]
+                use = _similar(np.minimum(counts[i], counts[j]).sum(1, dtype=np.int64), sizes[i], sizes[j], share)
+                out.append(np.stack([i[use], j[use]]))
+            for k in np.flatnonzero(m > 2 * LEAF):
+                a, b = edges[k], edges[k + 1]
+                kinds, at, n = np.unique(comp[a:b], return_inverse=True, return_counts=True)
+                ask = np.flatnonzero(at != n.argmax())  # points of the largest component needn't ask
+                order = np.lexsort((*counts[a:b].T[:3], sizes[a:b]))
+                tree = CountTree(counts[a:b][order], sizes[a:b][order])
+                for c in range(0, len(ask), 128):
+                    some = ask[c : c + 128]
+                    i, j = tree.search(counts[a:b][some], sizes[a:b][some], share)
+                    i, j = a + some[i], a + order[j]
+                    use = open_(i, j)
+                    out.append(np.stack([i[use], j[use]]))
+            i, j = np.concatenate(out, 1)
+            yield _pairs(ids[i], ids[j])
+
     return laid.mapInArrow(find, "a bigint, b bigint").distinct()
 
 
@@ -315,16 +460,6 @@ def _verified(pairs: DataFrame, sets: DataFrame, share: tuple[int, int]) -> Data
     return both.filter(_similar(overlap, F.col("na"), F.col("nb"), share)).select("a", "b")
 
 
-def _cells(keys: DataFrame) -> DataFrame:
-    """Deal the points of a hash to blocks of about ``BLOCK``; every two blocks meet in one cell."""
-    sizes = keys.groupBy("key").agg(F.count("*").alias("m"), F.min("comp").alias("c0"), F.max("comp").alias("c1"))
-    sizes = sizes.filter("c0 <> c1").select("key", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
-    own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
-    dealt = keys.join(sizes, "key").withColumn("own", own)
-    dealt = dealt.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    return dealt.select("key", F.least("own", "with").alias("cell_a"), F.greatest("own", "with").alias("cell_b"), "comp", "id")
-
-
 def jaccard_components(
     docs: DataFrame, share: tuple[int, int] = (4, 5), width: int = WORDS, id: str = "doc_id", text: str = "text"
 ) -> DataFrame:
@@ -346,31 +481,11 @@ def jaccard_components(
     first = sets.groupBy("n", "f1", "f2").agg(F.min("id").alias("rep"))
     same = sets.join(first, ["n", "f1", "f2"]).filter("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b"))
     same = stored(same.distinct(), "equal-sets")
-    points = stored(
-        sets.join(first, ["n", "f1", "f2"]).filter("id = rep").dropDuplicates(["id", "n", "f1", "f2"]).select("id", "n", "hashes", "counts"),
-        "points",
-    )
-    few = F.col("n") - F.ceil(F.col("n") * share[0] / share[1]) + 1
-    keys = points.select("id", F.explode(F.slice("hashes", F.lit(1), few.cast("int"))).alias("key"))
-    edges = names = None
-    for look in ("smallest", "near", "all"):
-        use = keys
-        if look == "smallest":
-            use = points.select("id", F.element_at("hashes", 1).alias("key")).withColumn("comp", F.col("id"))
-        else:
-            use = use.join(names, F.col("id") == F.col("node"), "left").select("id", "key", F.coalesce("component", "id").alias("comp"))
-        cells = _cells(use)
-        if look != "all":  # neighbours within a block, and across blocks the first point of each hash
-            cells = cells.filter("cell_a = cell_b")
-        laid = cells.join(points.select("id", "n", "counts"), "id")
-        pairs = _candidates(laid, share, look != "all")
-        if look == "smallest":
-            pivot = use.groupBy("key").agg(F.min("id").alias("a"))
-            pairs = pairs.unionByName(use.join(pivot, "key").filter("id <> a").select("a", F.col("id").alias("b"))).distinct()
-        found = stored(_verified(pairs, points, share), "links")
-        edges = found if edges is None else edges.unionByName(found)
-        names = components(edges)
-    names = components(edges.unionByName(same))
+    points = sets.join(first, ["n", "f1", "f2"]).filter("id = rep").dropDuplicates(["id", "n", "f1", "f2"])
+    points = stored(points.select("id", "n", "runs", "hashes", "counts"), "points")
+    links = stored(_first_links(points, share), "links")
+    more = _verified(_other_pairs(points, components(links), share), points, share)
+    names = components(links.unionByName(stored(more, "links")).unionByName(same))
     out = census.join(names, F.col("doc_id") == F.col("node"), "left")
     out = out.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("bigint"), "copies")))
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
