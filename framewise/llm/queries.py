@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .block_names import exact_dedup
+from .hnsw import near_duplicate_vectors
 from .language import held_out, identify, learn_languages
 from .mixing import mix_oracle, mix_sources
 from .packing import pack_documents
@@ -74,6 +75,10 @@ def op9_toxicity(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def op10_embedding_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    return near_duplicate_vectors(table(spark, sf, "embeddings"))
+
+
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_ngram_jaccard": op2_ngram_jaccard,
@@ -84,6 +89,7 @@ QUERIES = {
     "op7_language": op7_language,
     "op8_url_filter": op8_url_filter,
     "op9_toxicity": op9_toxicity,
+    "op10_embedding_dedup": op10_embedding_dedup,
 }
 
 ORACLE = {
