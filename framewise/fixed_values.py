@@ -136,15 +136,6 @@ such no nor not only own same so than too very can will just don should now woul
 ought cannot
 """.split()
 
-# Named character references decoded in titles and links.
-ENTITIES = {
-    "lt": "<", "gt": ">", "quot": '"', "apos": "'", "nbsp": " ", "ndash": "–",
-    "mdash": "—", "lsquo": "‘", "rsquo": "’", "ldquo": "“",
-    "rdquo": "”", "hellip": "…", "bull": "•", "middot": "·",
-    "laquo": "«", "raquo": "»", "copy": "©", "reg": "®",
-    "trade": "™", "pound": "£", "euro": "€", "eacute": "é",
-}
-
 # Inside of a character class: Unicode white space.
 WHITE_SPACE = (
     r"\x09-\x0d\x1c-\x20\x85\xa0\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"

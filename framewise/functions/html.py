@@ -6,21 +6,31 @@ removed first. Malformed markup is where the two part ways; see README.
 
 from __future__ import annotations
 
+import json
+from html.entities import html5
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..fixed_values import ENTITIES
 from .text import col, let, strip
 
-HIDDEN = r"(?is)<!--.*?-->|<script\b.*?</script>|<style\b.*?</style>"
-META = r"""<(?i:meta)\b(?:[^>"']++|"[^"]*+"|'[^']*+')*+>"""
-SHARE_TITLE = r"""(?i:[\s"']property)\s*=\s*["']?og:title["'\s/>]"""
-CONTENT = r"""(?is)[\s"']content\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
-TITLE = r"(?is)<title\b[^>]*>(.*?)</title>"
-H1 = r"(?is)<h1\b[^>]*>(.*?)</h1>"
+# Every pattern is linear in the page: what is never closed runs to the end of
+# the text, and the body of a tag ends at the next '<'.
+HIDDEN = r"(?is)<!--.*?(?:-->|\z)|<script\b.*?(?:</script>|\z)|<style\b.*?(?:</style>|\z)"
+META = r"""<(?i:meta)\b(?:[^<>"']++|"[^"<]*+"|'[^'<]*+')*+>"""
+SHARE_TITLE = r"""(?i:[\s"']property)\s*+=\s*+["']?og:title["'\s/>]"""
+CONTENT = r"""(?is)[\s"']content\s*+=\s*+(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
+TITLE = r"(?is)<title\b[^<>]*+>(.*?)(?:</title>|\z)"
+H1 = r"(?is)<h1\b[^<>]*+>(.*?)(?:</h1>|\z)"
 NUMBER = r"^((?:[0-9]{1,7}|[xX][0-9a-fA-F]{1,6});?)"
-ANCHOR = r"""(?is)<a\b[^>]*?[\s"']href\s*=\s*(?:"[^"]*"|'[^']*'|[^\s"'>]+)"""
-HREF = r"""(?is)[\s"']href\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
+ANCHOR = r"""(?is)<a\b[^<>]*?[\s"']href\s*+=\s*+(?:"[^"<]*+"|'[^'<]*+'|[^\s"'<>]++)"""
+HREF = r"""(?is)[\s"']href\s*+=\s*+(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
+
+# Named references as HTML defines them; some are known without their semicolon too.
+NAMED = {name[:-1]: text for name, text in html5.items() if name.endswith(";")}
+SHORT = sorted((name for name in html5 if not name.endswith(";")), key=len, reverse=True)
+NAME = r"^([A-Za-z][A-Za-z0-9]*+;)"
+SHORT_NAME = "^(" + "|".join(SHORT) + ")"
 
 
 def visible(html: Column | str) -> Column:
@@ -51,24 +61,45 @@ def _numeric_entity(part: Column) -> Column:
     return let(F.regexp_extract(part, NUMBER, 1), decoded)
 
 
+def _named_entity(part: Column) -> Column:
+    """``part`` follows '&'; put the character in place of the name."""
+    table = F.from_json(F.lit(json.dumps(NAMED)), "map<string,string>")
+
+    def decoded(names: Column) -> Column:
+        known = F.element_at(table, F.rtrim(names["long"], F.lit(";")))
+        short = F.element_at(table, names["short"])
+
+        def rest(name: Column) -> Column:
+            return F.substring(part, F.length(name) + 1, F.length(part))
+
+        return (
+            F.when(known.isNotNull(), F.concat(known, rest(names["long"])))
+            .when(short.isNotNull(), F.concat(short, rest(names["short"])))
+            .when(part.startswith("#"), _numeric_entity(F.substring(part, 2, F.length(part))))
+            .otherwise(F.concat(F.lit("&"), part))
+        )
+
+    both = F.struct(
+        F.regexp_extract(part, NAME, 1).alias("long"), F.regexp_extract(part, SHORT_NAME, 1).alias("short")
+    )
+    return let(both, decoded)
+
+
 def _decode(c: Column) -> Column:
-    for name, char in ENTITIES.items():
-        c = F.replace(c, F.lit(f"&{name};"), F.lit(char))
-    pieces = F.split(c, "&#")
-    numeric = let(
-        pieces,
+    """Each reference stands after one '&', so nothing is decoded twice."""
+    return let(
+        F.split(c, "&"),
         lambda p: F.concat(
             p[0],
             F.array_join(
-                F.transform(F.slice(p, 2, F.greatest(F.size(p) - 1, F.lit(0))), _numeric_entity), ""
+                F.transform(F.slice(p, 2, F.greatest(F.size(p) - 1, F.lit(0))), _named_entity), ""
             ),
         ),
     )
-    return F.replace(numeric, F.lit("&amp;"), F.lit("&"))
 
 
 def decode_entities(c: Column | str) -> Column:
-    """Replace character references; ``&amp;`` last, so nothing is decoded twice."""
+    """Replace character references, numeric and named."""
     return let(col(c), lambda x: F.when(x.contains("&"), _decode(x)).otherwise(x))
 
 

@@ -56,8 +56,8 @@ def digest(c: Column) -> Column:
 
 
 def sample_key(id_col: Column | str, seed: int = SEED) -> Column:
-    """Uniform, reproducible sort key of a row: 32 hexadecimal digits."""
-    return F.md5(F.concat(F.lit(f"{seed}:"), col(id_col).cast("string")))
+    """Uniform, reproducible sort key of a row: 32 hexadecimal digits. A null id has a key of its own."""
+    return F.md5(F.coalesce(F.concat(F.lit(f"{seed}:"), col(id_col).cast("string")), F.lit(str(seed))))
 
 
 def word_tokens(c: Column | str) -> Column:

@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..fixed_values import SEED
-from ..functions.text import sample_key
-from .sampling import NOTHING, cuts, kept
+from ..lineage import written
+from .sampling import NOTHING, bounds, keyed_rows, marked
 
 
 def class_distribution(df: DataFrame, label: str = "bias") -> DataFrame:
@@ -35,18 +35,23 @@ def balance(
     which rows left over in the other classes fill. Both steps take rows in
     hash order.
     """
-    keyed = df.withColumn("_key", sample_key(id_col, seed))
-    rows = keyed.select(label, "_key")
+    keyed, rows = keyed_rows(df, id_col, label, seed)
 
     def quotas(sizes: dict) -> dict:
         return {g: min(math.ceil(target / len(sizes)), n) for g, n in sizes.items()}
 
-    sizes, base = cuts(rows, label, quotas)
-    in_base = kept(label, base)
+    sizes, base, shares = bounds(rows, quotas)
+    if not sizes:
+        return df.withColumn("is_fill", F.lit(False))
+    split = marked(keyed, base, shares, "_base")
     missing = target - sum(quotas(sizes).values())
-    in_fill = F.lit(False)
-    if missing > 0:
-        rest = rows.filter(~in_base).select(F.lit(0).alias("_all"), "_key")
-        _, fill = cuts(rest, "_all", lambda left: {g: min(missing, n) for g, n in left.items()})
-        in_fill = F.col("_key") <= F.lit(fill.get(0, NOTHING))
-    return keyed.filter(in_base | in_fill).select(*df.columns, (~in_base).alias("is_fill"))
+    if missing <= 0:
+        return split.filter("_base").select(*df.columns, F.lit(False).alias("is_fill"))
+    left = split.filter(~F.col("_base")).select(*df.columns, "_key", F.lit("all").alias("_group"))
+    rest = written(left.select("_group", "_key"), "keys")
+    _, fill, shares = bounds(rest, lambda n: {g: min(missing, k) for g, k in n.items()})
+    if shares:  # rows alike in all columns on both sides of the bound: mark the rest by itself
+        filled = marked(left, fill, shares, "_fill").filter("_fill").select(*df.columns, F.lit(True).alias("is_fill"))
+        return split.filter("_base").select(*df.columns, F.lit(False).alias("is_fill")).unionByName(filled)
+    in_fill = F.col("_key") < F.lit(fill.get("all", NOTHING))
+    return split.filter(F.col("_base") | in_fill).select(*df.columns, (~F.col("_base")).alias("is_fill"))

@@ -30,12 +30,14 @@ from .balance import class_weights
 TEXT = "_text"  # input column of every fitted model
 
 
-def term_stages(ngram_range: tuple[int, int] = NGRAM_RANGE) -> list:
+def term_stages(
+    ngram_range: tuple[int, int] = NGRAM_RANGE, stop_words: list[str] = STOP_WORDS
+) -> list:
     """``TEXT`` to an array of n-grams in column ``_terms``."""
     low, high = ngram_range
     stages = [
         RegexTokenizer(inputCol=TEXT, outputCol="_words", pattern=WORD_RUN, gaps=False),
-        StopWordsRemover(inputCol="_words", outputCol="_g1", stopWords=STOP_WORDS),
+        StopWordsRemover(inputCol="_words", outputCol="_g1", stopWords=stop_words),
     ]
     stages += [NGram(n=n, inputCol="_g1", outputCol=f"_g{n}") for n in range(max(2, low), high + 1)]
     grams = ", ".join(f"_g{n}" for n in range(low, high + 1))
@@ -48,28 +50,36 @@ def fit_features(
     text_col: str,
     max_terms: int = MAX_TERMS,
     ngram_range: tuple[int, int] = NGRAM_RANGE,
-) -> list:
-    """Stages from text to a normalised TF-IDF vector in column ``features``.
+    stop_words: list[str] = STOP_WORDS,
+) -> tuple[list, list[str]]:
+    """Stages from text to a normalised TF-IDF vector in column ``features``, and the vocabulary.
 
     The vocabulary and its weights (``max_terms`` rows) come to the driver,
     as they become part of the model.
     """
-    vocab = features.vocabulary(docs, text_col, max_terms, ngram_range)
+    vocab = features.vocabulary(docs, text_col, max_terms, ngram_range, stop_words)
     rows = vocab.orderBy("term_id").select("term", "idf").collect()
     if not rows:
-        raise ValueError("no terms left to build a vocabulary from")
+        return [], []
     vectorizer = CountVectorizerModel.from_vocabulary(
         [r.term for r in rows], inputCol="_terms", outputCol="_tf"
     )
     scale = ElementwiseProduct(
         scalingVec=Vectors.dense([r.idf for r in rows]), inputCol="_tf", outputCol="_tfidf"
     )
-    return [
-        *term_stages(ngram_range),
+    stages = [
+        *term_stages(ngram_range, stop_words),
         vectorizer,
         scale,
         Normalizer(p=2.0, inputCol="_tfidf", outputCol="features"),
     ]
+    return stages, [r.term for r in rows]
+
+
+def term_vectors(stages: list, docs: DataFrame, text_col: str) -> DataFrame:
+    """``docs`` with _v: the vector of a text as a struct with ``indices`` and ``values``."""
+    vectors = PipelineModel(stages).transform(docs.withColumn(TEXT, F.coalesce(text_col, F.lit(""))))
+    return vectors.select(*docs.columns, F.unwrap_udt("features").alias("_v"))
 
 
 def fit_baseline(
@@ -80,18 +90,21 @@ def fit_baseline(
     ngram_range: tuple[int, int] = NGRAM_RANGE,
     max_iter: int = MAX_ITERATIONS,
     balanced: bool = True,
+    stop_words: list[str] = STOP_WORDS,
 ) -> PipelineModel:
     """Logistic regression with balanced class weights and an L2 penalty of strength C = 1.
 
     Spark divides the loss by the sum of the weights, so the penalty is
     divided by it too.
     """
-    stages = fit_features(train, text_col, max_terms, ngram_range)
+    stages, terms = fit_features(train, text_col, max_terms, ngram_range, stop_words)
+    if not terms:
+        raise ValueError("no terms left to build a vocabulary from")
     per_class = class_weights(train, label_col)
     if not balanced:
         per_class = per_class.withColumn("weight", F.lit(1.0))
     total = per_class.agg(F.sum(F.col("n") * F.col("weight"))).first()[0]
-    rows = train.join(F.broadcast(per_class.select(label_col, "weight")), label_col).select(
+    rows = train.join(per_class.select(label_col, "weight"), label_col).select(
         F.coalesce(text_col, F.lit("")).alias(TEXT),
         "weight",
         encode_label(label_col).cast("double").alias("label_id"),
@@ -142,6 +155,12 @@ def load_model(path: str) -> PipelineModel:
     return PipelineModel.load(path)
 
 
+def linear_parts(model: PipelineModel) -> tuple[list, list[list[float]], list[float]]:
+    """Feature stages, coefficients per label and intercepts, as ``features.linear_score`` takes them."""
+    fit = model.stages[-1]
+    return list(model.stages[:-1]), fit.coefficientMatrix.toArray().tolist(), list(fit.interceptVector)
+
+
 def coefficient_table(model: PipelineModel, spark) -> tuple[DataFrame, list[float]]:
     """Coefficients as (term, left, neutral, right) rows, and the intercepts."""
     vocab = next(s for s in model.stages if isinstance(s, CountVectorizerModel)).vocabulary

@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..fixed_values import LABELS
-
 
 def confusion(pairs: DataFrame) -> DataFrame:
     """model, y_true, y_pred, n. The only step that reads the rows; the rest reads this."""
@@ -14,19 +12,18 @@ def confusion(pairs: DataFrame) -> DataFrame:
 
 
 def confusion_matrix(counts: DataFrame) -> DataFrame:
-    """One row per true label, one column per predicted label, labels in sorted order."""
+    """model, y_true, y_pred, n: a row for every pair of the labels of a model seen on either side.
+
+    ``pivot("y_pred")`` on it gives the square form. Labels are few, so the
+    pairs are too.
+    """
+    names = counts.select("model", F.explode(F.array("y_true", "y_pred")).alias("label")).distinct()
+    true = names.withColumnRenamed("label", "y_true")
+    pred = names.withColumnRenamed("label", "y_pred")
     return (
-        counts.groupBy("model", "y_true")
-        .pivot("y_pred", sorted(LABELS))
-        .agg(F.sum("n"))
-        .select(
-            "model",
-            "y_true",
-            *[
-                F.coalesce(F.col(label), F.lit(0)).alias(f"pred_{label.lower()}")
-                for label in sorted(LABELS)
-            ],
-        )
+        true.join(pred, "model")
+        .join(counts, ["model", "y_true", "y_pred"], "left")
+        .select("model", "y_true", "y_pred", F.coalesce("n", F.lit(0)).alias("n"))
     )
 
 
@@ -114,7 +111,7 @@ def gap_summary(predictions: DataFrame) -> DataFrame:
             F.min("gap").alias("min_gap"),
             F.avg("gap").alias("avg_gap"),
             F.max("gap").alias("max_gap"),
-            F.percentile_approx("gap", 0.5, 10000).alias("median_gap"),
+            F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY gap)").alias("median_gap"),
         )
     )
 

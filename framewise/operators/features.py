@@ -1,10 +1,11 @@
-"""TF-IDF over word n-grams as long tables, and linear scoring on them."""
+"""Vocabulary of word n-grams, TF-IDF rows and linear scoring."""
 
 from __future__ import annotations
 
+import json
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..fixed_values import LABELS, MAX_TERMS, NGRAM_RANGE, STOP_WORDS
@@ -14,36 +15,27 @@ from ..functions.text import longer_runs, word_tokens
 from ..lineage import written
 
 
-def _with_runs(docs: DataFrame, text_col: str, n: int, keep: list[str]) -> DataFrame:
-    """``keep`` with _n1 .. _n{n}: the n-grams of the tokens that are not stop words."""
-    kept = F.filter(word_tokens(text_col), lambda t: ~t.isin(STOP_WORDS))
-    rows = docs.select(*keep, kept.alias("_n1"))
+def content_tokens(text_col: str, stop_words: list[str] = STOP_WORDS) -> Column:
+    """The tokens of a text that are not stop words, in order."""
+    tokens = word_tokens(text_col)
+    return F.filter(tokens, lambda t: ~t.isin(stop_words)) if stop_words else tokens
+
+
+def _with_runs(rows: DataFrame, n: int) -> DataFrame:
+    """_n1 (tokens) with _n2 .. _n{n}: the longer n-grams."""
     for k in range(2, n + 1):
         runs = longer_runs(F.col(f"_n{k - 1}"), F.col("_n1"), k)
         rows = rows.withColumn(f"_n{k}", runs)
     return rows
 
 
-def term_rows(
-    docs: DataFrame,
-    id_col: str,
-    text_col: str,
-    ngram_range: tuple[int, int] = NGRAM_RANGE,
-) -> DataFrame:
-    """id, term: one row per occurrence of an n-gram."""
-    low, high = ngram_range
-    rows = _with_runs(docs, text_col, high, [id_col])
-    grams = F.concat(*[F.col(f"_n{n}") for n in range(low, high + 1)])
-    return rows.select(id_col, F.explode(grams).alias("term"))
-
-
-def _occurrences(docs: DataFrame, text_col: str, n: int) -> DataFrame:
+def _occurrences(tokens: DataFrame, n: int) -> DataFrame:
     """term, is_first: one row per occurrence of an n-gram.
 
     The n-grams of a document are sorted inside its row and ``is_first`` is
     set once per document, so document counts need no grouping by document.
     """
-    rows = _with_runs(docs, text_col, n, []).select(F.sort_array(f"_n{n}").alias("_sorted"))
+    rows = _with_runs(tokens, n).select(F.sort_array(f"_n{n}").alias("_sorted"))
     flagged = F.transform(
         "_sorted",
         lambda term, i: F.struct(
@@ -62,6 +54,7 @@ def vocabulary(
     text_col: str,
     max_terms: int = MAX_TERMS,
     ngram_range: tuple[int, int] = NGRAM_RANGE,
+    stop_words: list[str] = STOP_WORDS,
 ) -> DataFrame:
     """term, term_id, cf, df, idf: the most frequent n-grams, ties by term. A stored table.
 
@@ -76,8 +69,9 @@ def vocabulary(
     """
     low, high = ngram_range
     floor, counted, parts = 1, [], None
+    tokens = written(docs.select(content_tokens(text_col, stop_words).alias("_n1")), "tokens")
     for n in range(1, high + 1):
-        rows = _occurrences(docs, text_col, n)
+        rows = _occurrences(tokens, n)
         if parts is not None:
             for words in (n - 1, 1 - n):  # the first and the last n - 1 words
                 part = F.substring_index(rows["term"], " ", words)
@@ -93,7 +87,7 @@ def vocabulary(
             floor = least if size == max_terms else 1
         parts = counts.filter(F.col("cf") >= floor).select(F.col("term").alias("_part"))
     order = Window.partitionBy(F.lit(0)).orderBy(F.desc("cf"), "term")
-    n_docs = docs.agg(F.count("*").alias("n")).scalar()
+    n_docs = tokens.agg(F.count("*").alias("n")).scalar()
     idf = F.log((F.lit(1) + n_docs) / (F.lit(1) + F.col("df"))) + 1
     numbered = best.select(
         "term", F.row_number().over(order).alias("term_id"), "cf", "df", idf.alias("idf")
@@ -101,64 +95,63 @@ def vocabulary(
     return written(numbered, "vocabulary")
 
 
-def weights(terms: DataFrame, vocab: DataFrame, id_col: str) -> DataFrame:
-    """id, term, weight: tf * idf over a vocabulary, each document scaled to length 1.
-
-    ``vocab`` should be a stored table: it is broadcast if its files are small,
-    as 8,000 terms are. Rows are laid out by document once; the counts and
-    the norm both use that layout.
-    """
-    counts = (
-        terms.join(vocab.select("term", "term_id"), "term")
-        .select(id_col, "term_id")
-        .repartition(F.col(id_col))
-        .groupBy(id_col, "term_id")
-        .agg(F.count("*").alias("tf"))
-    )
-    raw = counts.join(vocab.select("term", "term_id", "idf"), "term_id").select(
-        id_col, "term", (F.col("tf") * F.col("idf")).alias("_w")
-    )
-    norm = F.sqrt(F.sum(F.col("_w") * F.col("_w")).over(Window.partitionBy(id_col)))
-    return raw.select(id_col, "term", (F.col("_w") / norm).alias("weight"))
-
-
 def tfidf(
     docs: DataFrame,
     id_col: str,
     text_col: str,
     max_terms: int = MAX_TERMS,
     ngram_range: tuple[int, int] = NGRAM_RANGE,
+    stop_words: list[str] = STOP_WORDS,
 ) -> DataFrame:
-    """id, term, weight."""
-    vocab = vocabulary(docs, text_col, max_terms, ngram_range)
-    return weights(term_rows(docs, id_col, text_col, ngram_range), vocab, id_col)
+    """id, term, weight: tf * idf, each document scaled to length 1.
+
+    After the vocabulary no row is moved: every document is turned into a
+    sparse vector where it lies, and the vector is unfolded.
+    """
+    from .classifier import fit_features, term_vectors
+
+    stages, terms = fit_features(docs, text_col, max_terms, ngram_range, stop_words)
+    if not terms:
+        return docs.select(id_col, F.lit(None).cast("string").alias("term"), F.lit(0.0).alias("weight")).limit(0)
+    pairs = F.arrays_zip(F.col("_v.indices").alias("i"), F.col("_v.values").alias("w"))
+    rows = term_vectors(stages, docs, text_col).select(id_col, F.inline(pairs).alias("i", "weight"))
+    names = F.from_json(F.lit(json.dumps(terms)), "array<string>")
+    return rows.select(id_col, F.element_at(names, F.col("i") + 1).alias("term"), "weight")
+
+
+def _adding(coefficients: Column):
+    return lambda total, p: total + p["w"] * F.element_at(coefficients, p["i"] + 1)
 
 
 def linear_score(
-    docs: DataFrame, features: DataFrame, coefficients: DataFrame, id_col: str,
+    docs: DataFrame,
+    id_col: str,
+    text_col: str,
+    stages: list,
+    coefficients: list[list[float]],
     intercepts: list[float],
 ) -> DataFrame:
-    """id, conf_*, label from long features and a coefficient table.
+    """id, conf_*, label: one dot product per label with the vector of a document.
 
-    ``coefficients`` has term and one column per label in lower case
-    (``left``, ``neutral``, ``right``). Documents without a known term get the
-    intercepts.
+    ``stages`` as ``classifier.fit_features`` gives them; ``coefficients`` has
+    one list per label in the order of the vocabulary. Documents without a
+    known term get the intercepts. No row is moved.
     """
+    from .classifier import term_vectors
+
+    pairs = F.arrays_zip(F.col("_v.indices").alias("i"), F.col("_v.values").alias("w"))
+    staged = term_vectors(stages, docs, text_col).select(id_col, pairs.alias("_p"))
+    logits = []
+    for own, b in zip(coefficients, intercepts):
+        table = F.from_json(F.lit(json.dumps([float(x) for x in own])), "array<double>")
+        logits.append(
+            F.aggregate(
+                "_p", F.lit(0.0), _adding(table)
+            )
+            + F.lit(float(b))
+        )
     names = [x.lower() for x in LABELS]
-    sums = (
-        features.join(coefficients.select("term", *names), "term")
-        .groupBy(id_col)
-        .agg(*[F.sum(F.col("weight") * F.col(n)).alias(f"_s_{n}") for n in names])
-    )
-    logits = [
-        F.coalesce(F.col(f"_s_{n}"), F.lit(0.0)) + F.lit(float(b))
-        for n, b in zip(names, intercepts)
-    ]
-    staged = (
-        docs.select(id_col)
-        .join(sums, id_col, "left")
-        .select(id_col, *[x.alias(f"_z{i}") for i, x in enumerate(logits)])
-    )
+    staged = staged.select(id_col, *[x.alias(f"_z{i}") for i, x in enumerate(logits)])
     p = softmax([F.col(f"_z{i}") for i in range(len(names))])
     staged = staged.select(id_col, *[x.alias(f"_p{i}") for i, x in enumerate(p)])
     p = [F.col(f"_p{i}") for i in range(len(names))]

@@ -2,9 +2,8 @@
 
 A page table takes the place of fetching: a link is followed by joining it
 with the stored page of that address. All rows of a site are never put in
-one group; what a site contributes is bounded by the page, queue and link
-limits, and those are applied as rank limits that also run before the
-shuffle.
+one group unless bounds are asked for; those are rank limits that also run
+before the shuffle. Without them everything stored is used.
 """
 
 from __future__ import annotations
@@ -12,18 +11,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..fixed_values import (
-    MAX_ARTICLE_LINKS,
-    MAX_HOME_LINKS,
-    MAX_PAGES_PER_SITE,
-    MAX_QUEUE,
-    MIN_PER_SITE,
-    TARGET_TOTAL,
-)
+from ..fixed_values import MIN_PER_SITE
 from ..functions.html import headline_of, hrefs_of, visible
 from ..functions.text import digest, norm_key
 from ..functions.urls import canonical_url, is_article_link, resolve_url, site_links
-from ..lineage import scratch_path, written
+from ..lineage import removed, scratch_path, written
 from .dedup import dedup_headlines, keep_first, not_collected
 
 
@@ -55,29 +47,32 @@ def seed_urls(sections: DataFrame) -> DataFrame:
     return sections.select("source", "position", resolve_url("base", "section").alias("url"))
 
 
-def site_quota(n_sites: int, target: int = TARGET_TOTAL) -> int:
-    """Headlines wanted from each site."""
+def site_quota(n_sites: int, target: int) -> int:
+    """Headlines wanted from each site for ``target`` in all."""
     return max(MIN_PER_SITE, int(target / max(1, n_sites) + 0.5))
 
 
-def _first(df: DataFrame, by: list[str], order: list, n: int) -> DataFrame:
-    """First ``n`` rows of each group; each task cuts to ``n`` before the shuffle."""
+def _first(df: DataFrame, by: list[str], order: list, n: int | None) -> DataFrame:
+    """First ``n`` rows of each group, all if None; each task cuts to ``n`` before the shuffle."""
+    if n is None:
+        return df
     rank = F.row_number().over(Window.partitionBy(*by).orderBy(*order))
-    return df.withColumn("_rank", rank).filter(F.col("_rank") <= n)
+    return df.withColumn("_rank", rank).filter(F.col("_rank") <= n).drop("_rank")
 
 
 def frontier(
     facts: DataFrame,
     sites: DataFrame,
     seeds: DataFrame,
-    max_pages: int = MAX_PAGES_PER_SITE,
-    max_queue: int = MAX_QUEUE,
+    max_pages: int | None = None,
+    max_queue: int | None = None,
     mode: str = "suffix",
 ) -> DataFrame:
     """Breadth-first walk from the seeds: source, base, url, level, title, links.
 
-    At most ``max_pages`` stored pages per site, in order of level, then seed
-    position or url. Every level is written to the shared folder, which cuts
+    All stored pages that links reach, or at most ``max_pages`` of a site, in
+    order of level, then seed position or url; ``max_queue`` bounds the links a
+    site follows from one level. Every level is written to the shared folder, which cuts
     lineage and gives the next join true sizes: the links to follow are
     broadcast only if their files are small (``spark.sql.autoBroadcastJoinThreshold``),
     and ``facts`` then stays in place; otherwise both sides are shuffled.
@@ -99,38 +94,40 @@ def frontier(
     start = written(start, "seeds").join(pages, "url")
     save(_first(start, ["source"], ["_position", "url"], max_pages), 0)
     schema = "source string, base string, url string, title string, links array<string>, level int"
-    for level in range(1, max_pages):
+    level = 0
+    while True:
         visited = spark.read.schema(schema).parquet(path)
-        last = visited.filter(F.col("level") == level - 1)
+        last = visited.filter(F.col("level") == level)
         if last.isEmpty():
             break
+        level += 1
         queue = (
             last.select("source", "base", F.explode("links").alias("url"))
             .distinct()
             .join(visited.select("source", "url"), ["source", "url"], "left_anti")
         )
         queued = scratch_path(spark, "queue")
-        _first(queue, ["source"], ["url"], max_queue).drop("_rank").write.parquet(queued)
-        used = visited.groupBy("source").agg(F.count("*").alias("_used"))
+        _first(queue, ["source"], ["url"], max_queue).write.parquet(queued)
         found = spark.read.schema(queue.schema).parquet(queued).join(pages, "url")
-        found = (
-            _first(found, ["source"], ["url"], max_pages)
-            .join(used, "source")
-            .filter(F.col("_rank") + F.col("_used") <= max_pages)
-        )
+        if max_pages is not None:
+            used = visited.groupBy("source").agg(F.count("*").alias("_used"))
+            rank = F.row_number().over(Window.partitionBy("source").orderBy("url"))
+            found = found.withColumn("_rank", rank).filter(F.col("_rank") <= max_pages)
+            found = found.join(used, "source").filter(F.col("_rank") + F.col("_used") <= max_pages)
         save(found, level)
+        removed(spark, queued)
     return spark.read.schema(schema).parquet(path)
 
 
 def site_headlines(
-    visited: DataFrame, facts: DataFrame, quota: int, max_links: int = MAX_ARTICLE_LINKS
+    visited: DataFrame, facts: DataFrame, quota: int | None = None, max_links: int | None = None
 ) -> DataFrame:
     """source, level, kind, url, headline: titles of visited pages (kind 0) and of the
-    articles they link to (kind 1), each title once per site, at most ``quota`` per site.
+    articles they link to (kind 1), each title once per site.
 
-    Of each page the first ``max_links`` links not visited up to its level
-    count, in url order. A site brings at most max_pages * (1 + max_links)
-    rows here, so its window is bounded.
+    With ``max_links`` only the first links of each page that were not
+    visited up to its level count, in url order; with ``quota`` only so many
+    titles of a site, in order of level, kind and url.
     """
     own = visited.select(
         "source", "level", F.lit(0).alias("kind"), "url", F.col("title").alias("headline")
@@ -154,7 +151,7 @@ def site_headlines(
     found = own.unionByName(articles).filter(F.col("headline") != "")
     order = [F.col("level"), F.col("kind"), F.col("url")]
     once = dedup_headlines(found, order, within=["source"])
-    return _first(once, ["source"], ["level", "kind", "url"], quota).drop("_rank")
+    return _first(once, ["source"], ["level", "kind", "url"], quota)
 
 
 def attach_source(headlines: DataFrame, sites: DataFrame) -> DataFrame:
@@ -166,30 +163,28 @@ def top_up(
     collected: DataFrame,
     facts: DataFrame,
     sites: DataFrame,
-    needed: int,
-    max_links: int = MAX_HOME_LINKS,
+    needed: int | None = None,
+    max_links: int | None = None,
     mode: str = "suffix",
 ) -> DataFrame:
-    """Up to ``needed`` new headlines from articles linked on the home pages of the sites.
+    """New headlines from articles linked on the home pages of the sites.
 
-    In order of source_rank, then url: headline, url, source, category.
+    headline, url, source, category. ``needed`` bounds how many, in order of
+    source_rank, then url; ``max_links`` how many links of a home page count.
     """
+    own = site_links("base", F.col("hrefs"), mode)
     home = sites.withColumn("url", canonical_url("base")).join(facts.select("url", "hrefs"), "url")
     links = home.select(
         "source", "source_rank", "category",
-        F.explode(
-            F.slice(F.sort_array(site_links("base", F.col("hrefs"), mode)), 1, max_links)
-        ).alias("url"),
+        F.explode(own if max_links is None else F.slice(F.sort_array(own), 1, max_links)).alias("url"),
     )
     titles = facts.select("url", F.col("title").alias("headline"))
     found = written(links, "links").join(titles, "url").filter(F.col("headline") != "")
     once = dedup_headlines(found, [F.col("source_rank"), F.col("url")])
     fresh = not_collected(once, collected)
-    return (
-        fresh.orderBy("source_rank", "url")
-        .limit(max(0, needed))
-        .select("headline", "url", "source", "category")
-    )
+    if needed is not None:
+        fresh = fresh.orderBy("source_rank", "url").limit(max(0, needed))
+    return fresh.select("headline", "url", "source", "category")
 
 
 def source_counts(df: DataFrame) -> DataFrame:
@@ -198,3 +193,11 @@ def source_counts(df: DataFrame) -> DataFrame:
         F.count("*").alias("n_rows"),
         F.count_distinct(digest(norm_key("headline"))).alias("n_titles"),
     )
+
+
+def title_total(df: DataFrame) -> DataFrame:
+    """n_rows, n_titles: rows and distinct titles of all sources together."""
+    return df.agg(
+        F.count("*").alias("n_rows"),
+        F.count_distinct(digest(norm_key("headline"))).alias("n_titles"),
+    )

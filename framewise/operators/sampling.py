@@ -1,22 +1,22 @@
 """Exact samples by hash order, without sorting, shuffling or collecting a group.
 
-The reproducible key of a row is ``md5(seed:id)``. The n rows of a group
-with the smallest keys are those at or below the n-th smallest key, the
-group's *cut*. The cut is found by counting rows per key prefix: the prefix
+The reproducible key of a row is ``md5(seed:id)`` and, among rows of one id, a
+hash of the whole row. The n rows of a group with the smallest keys are those
+below the group's *bound*. It is found by counting rows per key prefix: the prefix
 in which the n-th key lies is read off the running count, and prefixes are
-made longer until few rows share the one that matters. Only those are
-ranked. Rows are then kept by comparing their key with the cut, so wide rows
-are never shuffled, whatever the size of a group, and the driver sees no
-more than one row per group.
+made longer until no row of that prefix is on the other side, or the key ends. Rows
+are then kept by comparing their key with the bound, so wide rows are never
+shuffled, whatever the size of a group. The driver sees one row per group.
 
-Ids must be unique, and groups few (labels).
+A null id is a value like any other. Rows that are alike in all columns are
+interchangeable: where a bound falls among them, the right number of them is taken.
 """
 
 from __future__ import annotations
 
+import json
 import math
 from collections.abc import Callable
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -26,88 +26,92 @@ from ..functions.text import sample_key
 from ..lineage import written
 
 STEP = 3  # hexadecimal digits a prefix grows by: 4096 parts
-RANKED_ROWS = 100_000  # rows of a group that may be ranked by one task
-MAX_GROUPS = 1000
-NOTHING, EVERYTHING = "", "~"  # below and above every hexadecimal key
+KEY_DIGITS = 48
+NOTHING, EVERYTHING = "", "~"  # below and above every key
 
 
-def _prefix_counts(rows: DataFrame, group: str, digits: int) -> DataFrame:
-    """Rows per group and key prefix; at most 4096 per group, as other prefixes are filtered out."""
-    prefix = F.substring("_key", 1, digits).alias("_prefix")
-    counts = rows.groupBy(group, prefix).agg(F.count("*").alias("_count"))
-    return written(counts, "prefixes")
+def row_key(df: DataFrame, id_col: str, seed: int = SEED) -> Column:
+    """48 hexadecimal digits: the sample key of the id, then a hash of the row."""
+    of_row = F.lpad(F.hex(F.xxhash64(*df.columns)), 16, "0")
+    return F.concat(sample_key(id_col, seed), F.lower(of_row))
 
 
-def _within(group: str, places: dict) -> Column:
-    """True for the rows of each group that share its prefix."""
-    tests = [F.col(group).eqNullSafe(F.lit(g)) & F.col("_key").startswith(p) for g, p in places.items()]
-    return reduce(lambda a, b: a | b, tests, F.lit(False))
+def _name(group: Column) -> Column:
+    """The group as a string that no two groups share."""
+    return F.coalesce(F.concat(F.lit("="), group.cast("string")), F.lit("null"))
 
 
-def _per_group(group: str, values: dict, otherwise) -> Column:
-    out = F.lit(otherwise)
-    for g, v in values.items():
-        out = F.when(F.col(group).eqNullSafe(F.lit(g)), F.lit(v)).otherwise(out)
-    return out
+def _looked_up(values: dict, otherwise: str) -> Column:
+    """The value of the row's group from a literal map."""
+    if not values:
+        return F.lit(otherwise)
+    table = F.from_json(F.lit(json.dumps(values)), "map<string,string>")
+    return F.coalesce(F.element_at(table, F.col("_group")), F.lit(otherwise))
 
 
-def _edges(counts: DataFrame, group: str, wanted: dict) -> list:
-    """Per group: the prefix that holds the wanted row, its rank there, and the rows there."""
-    running = Window.partitionBy(group).orderBy("_prefix")
-    upto, n = F.col("_upto"), _per_group(group, wanted, 0)
-    return (
-        counts.withColumn("_upto", F.sum("_count").over(running))
-        .filter((upto >= n) & (upto - F.col("_count") < n))
-        .select(group, "_prefix", (n - upto + F.col("_count")).alias("_left"), "_count")
-        .collect()
-    )
-
-
-def cuts(rows: DataFrame, group: str, quota: Callable[[dict], dict]) -> tuple[dict, dict]:
-    """(sizes, cuts) per group of ``rows`` (columns: group, _key).
+def bounds(rows: DataFrame, quota: Callable[[dict], dict]) -> tuple[dict, dict, dict]:
+    """(sizes, bounds, shares) per group of ``rows`` (columns: _group, _key; stored).
 
     ``quota`` turns the sizes of all groups into the number of rows wanted
-    from each; the cut is the key of the last wanted row.
+    from each. A row is wanted if its key is below the bound; of the rows
+    whose key is the bound, the share says how many, if not none.
     """
-    counts = _prefix_counts(rows, group, STEP)
-    total = counts.groupBy(group).agg(F.sum("_count").alias("_size")).limit(MAX_GROUPS + 1)
-    sizes = {r[0]: r[1] for r in total.collect()}
-    if len(sizes) > MAX_GROUPS:
-        raise ValueError(f"more than {MAX_GROUPS} groups in column {group!r}")
-    wanted = quota(sizes)
-    found = {g: NOTHING for g, n in wanted.items() if n <= 0}
-    found |= {g: EVERYTHING for g, n in wanted.items() if n >= sizes[g] and n > 0}
-    todo = {g: n for g, n in wanted.items() if g not in found}
-    digits = STEP
-    while todo:
-        narrow, wide, ranks = {}, {}, {}
-        for g, prefix, left, count in _edges(counts, group, todo):
-            (narrow if count <= RANKED_ROWS else wide)[g] = prefix
-            ranks[g] = left
-        if narrow:
-            found |= _ranked(rows, group, narrow, ranks)
-        todo = {g: ranks[g] for g in wide}
-        if wide:
-            digits += STEP
-            counts = _prefix_counts(rows.filter(_within(group, wide)), group, digits)
-    return sizes, found
-
-
-def _ranked(rows: DataFrame, group: str, places: dict, ranks: dict) -> dict:
-    """Per group: the key at the given rank among the rows that share the group's prefix."""
-    order = Window.partitionBy(group).orderBy("_key")
-    hits = (
-        rows.filter(_within(group, places))
-        .withColumn("_rank", F.row_number().over(order))
-        .filter(F.col("_rank") == _per_group(group, ranks, 0))
-        .select(group, "_key")
-    )
-    return {r[0]: r[1] for r in hits.collect()}
-
-
-def kept(group: str, found: dict) -> Column:
-    """True for the rows at or below the cut of their group."""
-    return F.col("_key") <= _per_group(group, found, NOTHING)
+    digits, parts, found, shares = STEP, rows, {}, {}
+    sizes = wanted = todo = None
+    while todo is None or todo:
+        prefix = F.substring("_key", 1, digits).alias("_prefix")
+        counts = written(parts.groupBy("_group", prefix).agg(F.count("*").alias("_count")), "prefixes")
+        if todo is None:
+            total = counts.groupBy("_group").agg(F.sum("_count").alias("n")).collect()
+            sizes = {r._group: r.n for r in total}
+            wanted = quota(sizes)
+            found |= {g: NOTHING for g, n in wanted.items() if n <= 0}
+            found |= {g: EVERYTHING for g, n in wanted.items() if n >= sizes[g] and n > 0}
+            todo = {g: n for g, n in wanted.items() if g not in found}
+            if not todo:
+                break
+        n = _looked_up({g: str(k) for g, k in todo.items()}, "0").cast("bigint")
+        upto = F.col("_upto")
+        running = Window.partitionBy("_group").orderBy("_prefix")  # at most 4096 rows of a group
+        edges = (
+            counts.withColumn("_upto", F.sum("_count").over(running))
+            .filter((upto >= n) & (upto - F.col("_count") < n))
+            .select("_group", "_prefix", (n - upto + F.col("_count")).alias("left"), "_count")
+            .collect()
+        )
+        todo, places = {}, {}
+        for r in edges:
+            if r.left == r["_count"]:
+                found[r._group] = r._prefix + EVERYTHING
+            elif digits >= KEY_DIGITS:
+                found[r._group], shares[r._group] = r._prefix, r.left
+            else:
+                todo[r._group], places[r._group] = r.left, r._prefix
+        if todo:
+            parts = rows.filter(F.col("_key").startswith(_looked_up(places, EVERYTHING)))
+            digits = min(digits + STEP, KEY_DIGITS)
+    return sizes, found, shares
+
+
+def marked(keyed: DataFrame, found: dict, shares: dict, flag: str) -> DataFrame:
+    """``keyed`` (with _group and _key) with the boolean ``flag``: below the bound of the group."""
+    bound = _looked_up(found, NOTHING)
+    out = keyed.withColumn(flag, F.col("_key") < bound)
+    if not shares:
+        return out
+    alike = (F.col("_key") == bound) & (_looked_up({g: "y" for g in shares}, "n") == "y")
+    share = _looked_up({g: str(n) for g, n in shares.items()}, "0").cast("bigint")
+    tied = keyed.filter(alike).groupBy(*keyed.columns).agg(F.count("*").alias("_n"))
+    tied = tied.withColumn("_nth", F.explode(F.sequence(F.lit(1).cast("bigint"), "_n")))
+    tied = tied.select(*keyed.columns, (F.col("_nth") <= share).alias(flag))
+    return out.filter(~alike).unionByName(tied)
+
+
+def keyed_rows(df: DataFrame, id_col: str, group: str | None, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
+    """``df`` with _group and _key, and these two columns as a stored table."""
+    name = _name(F.col(group)) if group else F.lit("all")
+    keyed = df.withColumn("_key", row_key(df, id_col, seed)).withColumn("_group", name)
+    return keyed, written(keyed.select("_group", "_key"), "keys")
 
 
 def take_fraction(
@@ -119,12 +123,9 @@ def take_fraction(
     seed: int = SEED,
 ) -> DataFrame:
     """Add the boolean ``flag``: true for the first ``size(n)`` rows of each group of n rows."""
-    by = group or "_all"
-    keyed = df.withColumn("_key", sample_key(id_col, seed))
-    if group is None:
-        keyed = keyed.withColumn("_all", F.lit(0))
-    _, found = cuts(keyed.select(by, "_key"), by, lambda n: {g: size(k) for g, k in n.items()})
-    return keyed.select(*df.columns, kept(by, found).alias(flag))
+    keyed, rows = keyed_rows(df, id_col, group, seed)
+    _, found, shares = bounds(rows, lambda n: {g: size(k) for g, k in n.items()})
+    return marked(keyed, found, shares, flag).select(*df.columns, flag)
 
 
 def stratified_split(
@@ -143,5 +144,5 @@ def plain_split(
 
 def eval_sample(df: DataFrame, id_col: str, fraction: float = TEST_FRACTION) -> DataFrame:
     """round(fraction * n) of all rows."""
-    marked = take_fraction(df, id_col, lambda n: round(fraction * n), "_taken")
-    return marked.filter("_taken").drop("_taken")
+    taken = take_fraction(df, id_col, lambda n: round(fraction * n), "_taken")
+    return taken.filter("_taken").drop("_taken")

@@ -30,9 +30,16 @@ LogitScorer = Callable[[], Callable[[Sequence[str]], np.ndarray]]
 DISPLAY = {"bert": "BERT", "baseline": "Baseline"}
 
 
-def with_gate(df: DataFrame, headline: str = "headline") -> DataFrame:
-    """Add gate: the name of the stage that decides the row."""
-    return df.withColumn("gate", G.deciding_stage(headline))
+REJECTED = "rejected"
+
+
+def with_gate(df: DataFrame, headline: str = "headline", gates: bool = True) -> DataFrame:
+    """Add gate: the name of the stage that decides the row; ``rejected`` if it is null or blank.
+
+    Without ``gates`` every other row goes to the model.
+    """
+    stage = G.deciding_stage(headline) if gates else F.lit("model")
+    return df.withColumn("gate", F.when(is_blank(headline), F.lit(REJECTED)).otherwise(stage))
 
 
 def split_blank(df: DataFrame, headline: str = "headline") -> tuple[DataFrame, DataFrame]:
@@ -64,7 +71,14 @@ def _scored(gated: DataFrame, id_col: str, text_col: str, run) -> DataFrame:
         id_col, "gate", F.when(G.is_model_prediction(F.col("gate")), F.col(text_col)).alias("_text")
     )
     id_type = dict(gated.dtypes)[id_col]
-    return to_score.mapInPandas(run, f"{id_col} {id_type}, gate string, _scores array<double>")
+    if id_type.startswith("struct"):  # pandas would turn it into something else
+        to_score = to_score.withColumn(id_col, F.to_json(id_col))
+        back = F.from_json(id_col, id_type)
+    else:
+        back = F.col(id_col)
+    kept = "string" if id_type.startswith("struct") else id_type
+    scored = to_score.mapInPandas(run, f"{id_col} {kept}, gate string, _scores array<double>")
+    return scored.withColumn(id_col, back)
 
 
 def _is_model() -> Column:
@@ -74,14 +88,15 @@ def _is_model() -> Column:
 def _finish(
     df: DataFrame, id_col: str, conf: list[Column], label: Column, gap: Column, reason: Column
 ) -> DataFrame:
-    """Put gate results and model results into one table of predictions."""
-    c = [F.when(_is_model(), m).otherwise(g) for m, g in zip(conf, G.gate_confidence())]
+    """Put gate results and model results into one table; rejected rows have no label and no numbers."""
+    by_gate = ~_is_model() & (F.col("gate") != REJECTED)
+    c = [F.when(_is_model(), m).when(by_gate, g) for m, g in zip(conf, G.gate_confidence())]
     return df.select(
         id_col,
-        F.when(_is_model(), label).otherwise(F.lit("Neutral")).alias("label"),
+        F.when(_is_model(), label).when(by_gate, F.lit("Neutral")).alias("label"),
         *[x.alias(f"conf_{n.lower()}") for n, x in zip(LABELS, c)],
-        S.confidence_map(c).alias("confidence"),
-        F.when(_is_model(), gap).otherwise(F.lit(1.0)).alias("gap"),
+        F.when(_is_model() | by_gate, S.confidence_map(c)).alias("confidence"),
+        F.when(_is_model(), gap).when(by_gate, F.lit(1.0)).alias("gap"),
         "gate",
         F.when(_is_model(), reason).otherwise(G.gate_reasoning(F.col("gate"))).alias("reasoning"),
         _is_model().alias("is_model_prediction"),
@@ -123,8 +138,9 @@ def predict(
     text_col: str = "headline",
     margin: float = MARGIN,
     raw_text: bool = False,
+    gates: bool = True,
 ) -> DataFrame:
-    """Label every row of ``df``.
+    """Label every row of ``df``; null and blank headlines are rejected, with a null label.
 
     ``nli``       scorer: factory of ``f(texts, hypotheses) -> [n, 10]`` entailment scores
     ``bert``      scorer: factory of ``f(texts) -> [n, 3]`` logits in label order
@@ -137,7 +153,7 @@ def predict(
     if model != "lexical" and scorer is None:
         raise ValueError(f"model {model!r} needs a scorer")
 
-    gated = with_gate(df.select(id_col, text_col), text_col)
+    gated = with_gate(df.select(id_col, text_col), text_col, gates)
 
     if model == "lexical":
         words = F.when(_is_model(), S.known_words(text_col))

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..fixed_values import TARGET_TOTAL
 from ..functions.labels import map_category
 from ..functions.text import clean_text, digest, sample_key, strip
 from ..operators.balance import balance
@@ -22,14 +21,15 @@ def labelled(raw: DataFrame) -> DataFrame:
     )
 
 
-def prepare(raw: DataFrame, target: int = TARGET_TOTAL, id_col: str = "headline_id") -> DataFrame:
+def prepare(raw: DataFrame, target: int | None = None, id_col: str = "headline_id") -> DataFrame:
     """headline, clean_headline, url, source, category, bias.
 
-    ``id_col`` must be unique in ``raw``. Duplicates are removed after
+    With a ``target`` the classes are balanced to it; without, all rows count. Duplicates are removed after
     balancing and the gap they leave is not refilled; of equal clean texts
     the row taken for its class, of the first class, in hash order, stays.
     """
-    picked = balance(labelled(raw), id_col, target)
-    order = [F.col("is_fill"), F.col("bias"), sample_key(id_col), F.col(id_col)]
+    rows = labelled(raw)
+    picked = rows.withColumn("is_fill", F.lit(False)) if target is None else balance(rows, id_col, target)
+    order = [F.col("is_fill"), F.col("bias"), sample_key(id_col), F.col(id_col), F.col("url")]
     once = keep_first(picked, [digest(F.col("clean_headline"))], order)
     return once.select("headline", "clean_headline", "url", "source", "category", "bias")

@@ -6,13 +6,14 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..fixed_values import MAX_ITERATIONS, MAX_TERMS, NGRAM_RANGE, TEST_FRACTION
+from ..fixed_values import MAX_ITERATIONS, MAX_TERMS, NGRAM_RANGE, STOP_WORDS, TEST_FRACTION
 from ..functions.labels import map_category
 from ..functions.text import is_blank
 from ..lineage import written
 from ..operators.classifier import fit_baseline, predict_baseline
-from ..operators.evaluate import classification_report, confusion
+from ..operators.evaluate import classification_report, confusion, confusion_matrix
 from ..operators.sampling import eval_sample, stratified_split
+from .predict import LogitScorer, PairScorer, predict
 
 
 def usable(processed: DataFrame, blank_too: bool = True) -> DataFrame:
@@ -35,32 +36,50 @@ def train(
     test_fraction: float = TEST_FRACTION,
     max_iter: int = MAX_ITERATIONS,
     balanced: bool = True,
-) -> tuple[PipelineModel, DataFrame]:
-    """The fitted model and its classification report on the test split."""
+    stop_words: list[str] = STOP_WORDS,
+) -> tuple[PipelineModel, DataFrame, DataFrame]:
+    """The fitted model, its classification report on the test split, and the confusion matrix."""
     rows = written(usable(processed).select(id_col, text_col, "bias"), "usable")
     split = stratified_split(rows, id_col, "bias", test_fraction)
     model = fit_baseline(
         split.filter(~F.col("is_test")), text_col, "bias",
-        max_terms, ngram_range, max_iter, balanced,
+        max_terms, ngram_range, max_iter, balanced, stop_words,
     )
-    return model, report_on(model, split.filter("is_test"), text_col)
+    counts = written(counts_on(model, split.filter("is_test"), id_col, text_col), "confusion")
+    return model, classification_report(counts), confusion_matrix(counts)
 
 
-def report_on(model: PipelineModel, rows: DataFrame, text_col: str = "clean_headline") -> DataFrame:
-    scored = predict_baseline(model, rows.select(F.col(text_col), F.col("bias").alias("y_true")), text_col)
-    pairs = scored.select(F.lit("baseline").alias("model"), "y_true", "y_pred")
-    return classification_report(confusion(pairs))
+def counts_on(
+    scorer: PipelineModel | PairScorer | LogitScorer | None,
+    rows: DataFrame,
+    id_col: str = "headline_id",
+    text_col: str = "clean_headline",
+    model: str = "baseline",
+) -> DataFrame:
+    """model, y_true, y_pred, n of any scorer on ``rows`` (text and bias), without the gates.
+
+    A blank text, which ``predict`` rejects, is given to the fitted model as it is; a
+    scorer passed in is not asked, and the row counts as ``none``.
+    """
+    if model == "baseline":
+        pairs = predict_baseline(scorer, rows.select(text_col, F.col("bias").alias("y_true")), text_col)
+    else:
+        found = rows.select(F.struct(id_col, "bias").alias("_row"), text_col)
+        found = predict(found, model, scorer, "_row", text_col, gates=False)
+        pairs = found.select(F.col("_row.bias").alias("y_true"), F.coalesce("label", F.lit("none")).alias("y_pred"))
+    return confusion(pairs.select(F.lit(model).alias("model"), "y_true", "y_pred"))
 
 
 def evaluate(
-    model: PipelineModel,
+    scorer: PipelineModel | PairScorer | LogitScorer | None,
     processed: DataFrame,
     how: str = "holdout",
     id_col: str = "headline_id",
     text_col: str = "clean_headline",
     test_fraction: float = TEST_FRACTION,
+    model: str = "baseline",
 ) -> DataFrame:
-    """Report of a trained model.
+    """Report of a trained model, or of a scorer as ``predict`` takes it for ``model``.
 
     ``holdout``  the rows training held out
     ``sample``   a fifth of all rows, which overlaps the training rows
@@ -71,4 +90,4 @@ def evaluate(
         rows = eval_sample(usable(processed, blank_too=False), id_col, test_fraction)
     else:
         raise ValueError(f"unknown evaluation {how!r}")
-    return report_on(model, rows, text_col)
+    return classification_report(counts_on(scorer, rows, id_col, text_col, model))

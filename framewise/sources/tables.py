@@ -25,22 +25,6 @@ CSV_OPTIONS = {
 }
 
 
-SMALL_INPUT = 256 * 1024 * 1024
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Give every core a share of a small table that is stored in few row groups.
-
-    Only below ``SMALL_INPUT`` bytes by the optimizer's estimate; a larger
-    table is split by its files and is never shuffled for this.
-    """
-    spark = df.sparkSession
-    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    if int(size) > SMALL_INPUT:
-        return df
-    return df.repartition(spark.sparkContext.defaultParallelism)
-
-
 def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Empty strings come back as null."""
     rows = spark.read.schema(schema).options(**CSV_OPTIONS, multiLine="true").csv(path)

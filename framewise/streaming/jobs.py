@@ -9,7 +9,7 @@ from pyspark.sql.streaming import StreamingQuery
 from ..fixed_values import DEFAULT_MODEL, LABELS, MODELS
 from ..functions import gates as G
 from ..functions.text import digest, is_blank, norm_key
-from ..lineage import written
+from ..lineage import removed, scratch_path
 from ..operators.dedup import keep_first
 
 
@@ -46,9 +46,16 @@ def gated_requests(requests: DataFrame, id_col: str = "headline_id") -> DataFram
 
 
 def gate_stream(
-    requests: DataFrame, path: str, checkpoint: str, id_col: str = "headline_id"
+    requests: DataFrame,
+    path: str,
+    checkpoint: str,
+    id_col: str = "headline_id",
+    trigger: dict | None = None,
 ) -> StreamingQuery:
-    """Write gated requests as Parquet, one folder per status; exactly once, no state."""
+    """Write gated requests as Parquet, one folder per status; exactly once, no state.
+
+    ``trigger`` as for ``DataStreamWriter.trigger``; by default what is there, once.
+    """
     return (
         gated_requests(requests, id_col)
         .writeStream.format("parquet")
@@ -56,13 +63,17 @@ def gate_stream(
         .option("path", path)
         .option("checkpointLocation", checkpoint)
         .outputMode("append")
-        .trigger(availableNow=True)
+        .trigger(**(trigger or {"availableNow": True}))
         .start()
     )
 
 
 def collect_stream(
-    headlines: DataFrame, path: str, checkpoint: str, order: list[Column]
+    headlines: DataFrame,
+    path: str,
+    checkpoint: str,
+    order: list[Column],
+    trigger: dict | None = None,
 ) -> StreamingQuery:
     """Append titles never seen before; within a batch the first in ``order`` wins.
 
@@ -79,18 +90,21 @@ def collect_stream(
         session = batch.sparkSession
         query_id = session.read.json(f"{checkpoint}/metadata").first()["id"]
         once = keep_first(batch.select(*columns), [digest(norm_key("headline"))], order)
-        once = written(once.withColumn("title_key", digest(norm_key("headline"))), "batch")
+        scratch = scratch_path(session, "batch")
+        once.withColumn("title_key", digest(norm_key("headline"))).write.parquet(scratch)
+        once = session.read.parquet(scratch)
         own = (F.col("query_id") == query_id) & (F.col("batch_id") == batch_id)
         stored = read_collected(session, path, once).filter(~own).select("title_key")
         seen = stored.join(once.select("title_key"), "title_key", "left_semi")
         fresh = once.join(seen, "title_key", "left_anti")
         fresh.write.mode("overwrite").parquet(f"{path}/query_id={query_id}/batch_id={batch_id}")
+        removed(session, scratch)
 
     _ensure_folder(spark, path)
     return (
         headlines.writeStream.foreachBatch(merge)
         .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
+        .trigger(**(trigger or {"availableNow": True}))
         .start()
     )
 

@@ -10,7 +10,8 @@ SF = "/root/testdata/sf0.001"
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
+    shared = tmp_path_factory.mktemp("spark")
     session = (
         SparkSession.builder.master("local[8]")
         .appName("tests")
@@ -19,6 +20,8 @@ def spark():
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "6g")
         .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.sql.warehouse.dir", str(shared / "warehouse"))
+        .config("spark.checkpoint.dir", str(shared / "checkpoints"))
         .getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")

@@ -306,3 +306,19 @@ def test_lexical_score(spark):
     wanted = {"this", "text", "criticizes", "the", "government", "or", "ruling", "party"}
     assert got[0][0] == len(wanted & {"the", "government", "ruling", "party"}) / len(wanted)
     assert got[1] == [0.0] * 10
+
+
+def test_all_named_references(spark):
+    texts = ["caf&iacute; &agrave; &rarr;", "&amp;lt; &lt;b&gt;", "&copy2 &notanentity; &AMP", "&CounterClockwiseContourIntegral;", "a & b && &;"]
+    want = ["café".replace("é", "í") + " à →", "&lt; <b>", "©2 ¬anentity; &", "∳", "a & b && &;"]
+    assert apply(spark, texts, decode_entities("x")) == want
+
+
+def test_broken_markup_takes_linear_time(spark):
+    import time
+
+    pages = ["<script " * 130_000, "<a " * 350_000, "<title>" * 150_000, "<!--" * 250_000, '<meta "' * 150_000, "<h1 " * 250_000]
+    df = spark.createDataFrame([(p,) for p in pages], "x string")
+    start = time.time()
+    got = df.select(extract_headline("x").alias("t"), F.size(extract_links("x")).alias("n")).collect()
+    assert len(got) == len(pages) and time.time() - start < 60

@@ -92,15 +92,43 @@ def test_balance_equals_brute_force(spark, sizes, target):
     assert rows(B.balance(df, "id", target), "id", "is_fill") == brute_balance(items, target)
 
 
-def test_cuts_with_long_prefixes(spark, monkeypatch):
-    """With few rows allowed to be ranked, prefixes grow until the result is the same."""
+def test_prefixes_grow_until_the_bound_is_exact(spark, monkeypatch):
     items = [(k, ("Left", "Neutral", "Right")[k % 3 if k % 2 else 0]) for k in range(3000)]
     df = spark.createDataFrame(items, "id int, bias string")
-    monkeypatch.setattr(sampling, "RANKED_ROWS", 1)
     monkeypatch.setattr(sampling, "STEP", 1)
     assert rows(B.balance(df, "id", 1700), "id", "is_fill") == brute_balance(items, 1700)
 
 
+@pytest.mark.parametrize("target,wanted", [(3, 3), (9, 9), (10, 10), (50, 14)])
+def test_rows_of_one_id_are_taken_one_by_one(spark, target, wanted):
+    """Ten like rows of one id and four null ids in one class."""
+    df = spark.createDataFrame([(1, "Left")] * 10 + [(None, "Left")] * 4, "id int, bias string")
+    got = B.balance(df, "id", target)
+    assert got.count() == wanted and got.filter("is_fill").count() == 0
+    split = sampling.stratified_split(df, "id", "bias", target / 20)
+    assert split.count() == 14 and split.filter("is_test").count() == -(-14 * target // 20) if target <= 20 else True
+
+
+def test_fill_falls_among_like_rows(spark):
+    df = spark.createDataFrame([(1, "Left")] * 10 + [(2, "Right")], "id int, bias string")
+    got = B.balance(df, "id", 8)
+    assert (got.count(), got.filter("is_fill").count()) == (8, 3)
+
+
+def test_null_ids_and_groups_are_split_too(spark):
+    df = spark.createDataFrame([(k, "a") for k in range(7)] + [(None, "a")] * 3 + [(k, None) for k in range(5)], "id int, bias string")
+    split = sampling.stratified_split(df, "id", "bias", 0.4)
+    assert rows(split.groupBy("bias", "is_test").count().na.fill("none")) == [
+        ("a", False, 6), ("a", True, 4), ("none", False, 3), ("none", True, 2)
+    ]
+
+
+def test_many_groups(spark):
+    df = spark.range(6000).selectExpr("id", "id % 1500 AS bias")
+    split = sampling.stratified_split(df, "id", "bias", 0.5)
+    assert split.filter("is_test").groupBy("bias").count().filter("count = 2").count() == 1500
+
+
 def test_samples_are_filters_without_a_shuffle(spark):
     df = spark.createDataFrame([(k, "Left") for k in range(50)], "id int, bias string")
     for out in (B.balance(df, "id", 20), sampling.plain_split(df, "id"), sampling.stratified_split(df, "id", "bias")):
@@ -154,9 +182,9 @@ def test_report(spark, tmp_path):
     assert got.keys() == want.keys()
     for label in want:
         assert got[label] == pytest.approx(want[label]), label
-    assert rows(E.confusion_matrix(counts)) == [
-        ("m", "Left", 1, 1, 0), ("m", "Neutral", 0, 1, 0), ("m", "Right", 1, 0, 1)
-    ]
+    want = {("Left", "Left"): 1, ("Left", "Neutral"): 1, ("Neutral", "Neutral"): 1, ("Right", "Left"): 1, ("Right", "Right"): 1}
+    names = ("Left", "Neutral", "Right")
+    assert rows(E.confusion_matrix(counts)) == [("m", a, b, want.get((a, b), 0)) for a in names for b in names]
     assert rows(E.accuracy_and_f1(counts)) == [("m", pytest.approx(0.6), pytest.approx(11 / 18))]
     path = str(tmp_path / "report")
     tables.write_report(report, path)
@@ -169,6 +197,11 @@ def test_label_seen_only_as_prediction_has_zero_recall(spark):
     pairs = spark.createDataFrame([("m", "Left", "Right")], "model string, y_true string, y_pred string")
     got = {r.label: (r.precision, r.recall, r.f1, r.support) for r in E.per_class(E.confusion(pairs)).collect()}
     assert got == {"Left": (0.0, 0.0, 0.0, 1), "Right": (0.0, 0.0, 0.0, 0)}
+    odd = spark.createDataFrame([("m", "Left", "Right"), ("m", "Left", "other"), ("n", "x", "x")], "model string, y_true string, y_pred string")
+    names, n = ("Left", "Right", "other"), {"Right": 1, "other": 1}
+    assert rows(E.confusion_matrix(E.confusion(odd))) == [
+        ("m", a, b, n.get(b, 0) if a == "Left" else 0) for a in names for b in names
+    ] + [("n", "x", "x", 1)]
 
 
 def test_tfidf(spark):
@@ -195,7 +228,10 @@ def test_vocabulary_counts_repeats_and_documents(spark):
 @pytest.mark.parametrize("max_terms,ngram_range", [(5, (1, 3)), (40, (1, 3)), (10000, (1, 3)), (30, (2, 3)), (7, (3, 3))])
 def test_vocabulary_equals_counting_everything(spark, sf, max_terms, ngram_range):
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
-    terms = features.term_rows(docs, "doc_id", "text", ngram_range)
+    low, high = ngram_range
+    runs = features._with_runs(docs.select("doc_id", features.content_tokens("text").alias("_n1")), high)
+    grams = F.concat(*[F.col(f"_n{n}") for n in range(low, high + 1)])
+    terms = runs.select("doc_id", F.explode(grams).alias("term"))
     counts = terms.groupBy("term").agg(F.count("*").alias("cf"), F.count_distinct("doc_id").alias("df"))
     want = [tuple(r) for r in counts.orderBy(F.desc("cf"), "term").limit(max_terms).collect()]
     got = features.vocabulary(docs, "text", max_terms, ngram_range).orderBy("term_id")
@@ -342,12 +378,17 @@ def test_prepare_and_train(spark, sf, tmp_path):
     assert 0 < ready.count() <= 30
     assert ready.groupBy("bias").count().filter("count > 10").count() == 0
     rows_in = raw.withColumn("clean_headline", F.lower("headline"))
-    model, report = train(rows_in, max_terms=200, max_iter=5)
+    model, report, matrix = train(rows_in, max_terms=200, max_iter=5)
+    assert matrix.count() == matrix.select("y_true").distinct().count() ** 2
     assert {"accuracy", "macro avg", "weighted avg"} <= {r.label for r in report.collect()}
     assert evaluate(model, rows_in, "sample").filter("label = 'accuracy'").count() == 1
     with pytest.raises(ValueError):
         evaluate(model, rows_in, "other")
-    from framewise.operators.classifier import coefficient_table, load_model, save_model
+    flat = lambda: lambda texts: np.zeros((len(texts), 3))
+    by_logits = {r.label: r for r in evaluate(flat, rows_in, model="bert").collect()}
+    assert by_logits["Left"].recall == 1.0 and by_logits["Left"].model == "bert"
+    assert evaluate(None, rows_in, "sample", model="lexical").filter("label = 'accuracy'").count() == 1
+    from framewise.operators.classifier import linear_parts, load_model, save_model
 
     path = str(tmp_path / "model")
     save_model(model, path)
@@ -356,16 +397,10 @@ def test_prepare_and_train(spark, sf, tmp_path):
         rows(predict(raw, "baseline", m), "headline_id", "label", "conf_left", "gate") for m in (model, again)
     ]
     assert both[0] == both[1]
-    # The same probabilities from the coefficient table and the long features.
-    table, intercepts = coefficient_table(model, spark)
-    terms = features.term_rows(rows_in, "headline_id", "clean_headline")
-    vocab = spark.createDataFrame(
-        [(t, i, float(w)) for i, (t, w) in enumerate(zip(model.stages[5].vocabulary, model.stages[6].getScalingVec()))],
-        "term string, term_id int, idf double",
-    )
-    linear = features.linear_score(
-        rows_in, features.weights(terms, vocab, "headline_id"), table, "headline_id", intercepts
-    )
+    # The same probabilities from the parts of the model, without a shuffle.
+    linear = features.linear_score(rows_in, "headline_id", "clean_headline", *linear_parts(again))
+    plan = linear._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan
     from framewise.operators.classifier import predict_baseline
 
     direct = predict_baseline(model, rows_in.select("headline_id", "clean_headline"), "clean_headline")
@@ -415,12 +450,11 @@ class FakeSession:
         self.folder = folder
 
 
-def test_shared_folder_of_a_cluster():
+def test_shared_folder_must_be_named():
     assert shared_folder(FakeSession("yarn", "hdfs:///shared")) == "hdfs:///shared"
-    with pytest.raises(RuntimeError):
-        shared_folder(FakeSession("yarn", None))
-    local = FakeSession("local[2]", None)
-    assert shared_folder(local) == local.folder
+    for master in ("yarn", "local[2]", "local-cluster[2,1,1024]"):
+        with pytest.raises(RuntimeError):
+            shared_folder(FakeSession(master, None))
 
 
 def test_pages_table(spark, sf):

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from framewise.functions.html import extract_links
 from framewise.functions.urls import authority
-from framewise.sources.tables import read_pages, spread
+from framewise.functions.scores import known_words, lexical_scores
+from framewise.sources.tables import read_pages
 
 FIVE = ["Left", "Left-Center", "Center", "Center-Right", "Right"]
 RAW_CATEGORIES = ["Left", " Left-Center\t", "Center", "Center-Right ", "Right", "Unknown", None, "left"]
@@ -31,6 +33,31 @@ TOPICS = [
 ]
 
 
+def prepared(spark: SparkSession) -> None:
+    """Where no shared folder is named, use one under the warehouse."""
+    named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not (named or spark.conf.get("spark.checkpoint.dir", None)):
+        warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+        spark.conf.set("spark.checkpoint.dir", f"{warehouse}/framewise-scratch")
+
+
+def odd_text(text: Column, number: Column) -> Column:
+    """``text``; in some rows null, blank, or with an address in it."""
+    return (
+        F.when(number % 50 == 7, F.lit(None))
+        .when(number % 50 == 8, F.lit("  \t"))
+        .when(number % 50 == 9, F.concat(text, F.lit(" see HTTP://example.org/a?b=c now")))
+        .otherwise(text)
+    )
+
+
+def odd_ids(rows: DataFrame) -> DataFrame:
+    """``rows`` with some repeated and some ids null."""
+    number = F.col("headline_id")
+    both = rows.unionByName(rows.filter(number % 40 == 0))
+    return both.withColumn("headline_id", F.when(number % 41 != 0, number))
+
+
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
@@ -43,12 +70,13 @@ def headlines(spark: SparkSession, sf: str, topics: bool = True) -> DataFrame:
     """headline_id, headline, url, source, category, source_rank from documents.
 
     The headline is the whole text, followed by a topic where both gates
-    and the hypotheses should have something to find.
+    and the hypotheses should have something to find; see ``odd_text``.
     """
     d = table(spark, sf, "documents")
     rank = F.regexp_extract("source", "([0-9]+)$", 1).cast("int")
     topic = pick(TOPICS, F.col("doc_id") % len(TOPICS))
-    text = F.concat("text", F.lit(" "), topic) if topics else F.col("text")
+    body = odd_text(F.col("text"), F.col("doc_id"))
+    text = F.concat(body, F.lit(" "), topic) if topics else body
     return d.select(
         F.col("doc_id").alias("headline_id"),
         text.alias("headline"),
@@ -59,18 +87,39 @@ def headlines(spark: SparkSession, sf: str, topics: bool = True) -> DataFrame:
     )
 
 
-def wide_headlines(spark: SparkSession, sf: str) -> DataFrame:
-    """``headlines`` for work that is heavy per row."""
-    return spread(headlines(spark, sf))
+def pages(spark: SparkSession, sf: str) -> DataFrame:
+    return read_pages(spark, f"{sf}/pages.parquet")
 
 
-def pages(spark: SparkSession, sf: str) -> DataFrame:
-    return spread(read_pages(spark, f"{sf}/pages.parquet"))
+def varied_pages(spark: SparkSession, sf: str) -> DataFrame:
+    """The given pages, some with a shared title, some without a title, some with an empty one."""
+    n, html = F.col("page_id"), F.col("html")
+    no_title = F.regexp_replace(html, "(?is)<title\\b[^<>]*>.*?</title>", "")
+    shared = F.concat(F.lit('<meta property="og:title" content="Shared &amp; &rarr; '), n, F.lit(' &eacute;">'))
+    heading = F.concat(F.lit("<h1 class=top> Heading <b>"), n, F.lit("</b>&nbsp;</h1>"))
+    return pages(spark, sf).withColumn(
+        "html",
+        F.when(n % 7 == 1, F.concat(shared, html))
+        .when(n % 7 == 2, F.concat(heading, no_title))
+        .when(n % 7 == 3, F.concat(F.lit('<meta property="og:title" content="">'), html))
+        .when(n % 7 == 4, F.concat(F.lit("<title> </title>"), no_title, heading))
+        .when(n % 7 == 5, F.regexp_replace(no_title, "(?is)<h1\\b[^<>]*>.*?</h1>", ""))
+        .otherwise(html),
+    )
+
+
+ANCHORS = [
+    "mailto:a@b.c", "javascript:void(0)", "//{host}/two", "https://other.example.invalid/z",
+    "https://evil{host}/suffix?x=1", "rel/path/", "../up", "./here", "?q=1", "#part", "/video/1", "/a/./b/../c",
+]
 
 
 def based_pages(spark: SparkSession, sf: str) -> DataFrame:
+    """Pages with more kinds of links than they have, and the site they belong to."""
     origin = F.regexp_extract("url", "^([a-z]+://[^/?#]*)", 1)
-    return pages(spark, sf).withColumn("base", origin)
+    links = "".join(f"<a class='x' href='{a}'>x</a>" for a in ANCHORS)
+    more = F.replace(F.lit(links), F.lit("{host}"), authority("url"))
+    return pages(spark, sf).withColumn("base", origin).withColumn("html", F.concat("html", more))
 
 
 def site_pages(spark: SparkSession, sf: str) -> DataFrame:
@@ -135,36 +184,32 @@ def sites(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def sections(spark: SparkSession, sf: str) -> DataFrame:
-    """source, base, position, section: paths of the first and the last page of each host."""
+    """source, base, position, section: the paths of all pages of each host."""
     path = F.regexp_extract("url", "^[a-z]+://[^/?#]*(.*)$", 1)
-    ends = (
+    place = F.row_number().over(W.partitionBy("source").orderBy("page_id")) - 1
+    return (
         table(spark, sf, "pages")
-        .select("page_id", authority("url").alias("source"), path.alias("path"))
-        .groupBy("source")
-        .agg(F.min_by("path", "page_id").alias("first"), F.max_by("path", "page_id").alias("last"))
-    )
-    return ends.select(
-        "source",
-        F.concat(F.lit("https://"), "source").alias("base"),
-        F.posexplode(F.array("first", "last")).alias("position", "section"),
+        .select("page_id", authority("url").alias("source"), path.alias("section"))
+        .select("source", F.concat(F.lit("https://"), "source").alias("base"), place.alias("position"), "section")
     )
 
 
 def pair_scores(spark: SparkSession, sf: str) -> DataFrame:
-    """headline_id, hypothesis, score: a score table as an outside scorer would leave it."""
-    from framewise.operators.scoring import hypothesis_pairs
+    """headline_id, hypothesis, score: the lexical scores, as rows an outside scorer would leave."""
+    from framewise.fixed_values import HYPOTHESES
 
-    docs = table(spark, sf, "documents").select(
-        F.col("doc_id").alias("headline_id"), F.col("n_chars").alias("headline")
-    )
-    score = ((F.col("headline_id") * 7 + F.col("hyp_id") * 13 + F.col("headline")) % 101) / 100.0
-    return hypothesis_pairs(docs).select("headline_id", "hypothesis", score.alias("score"))
+    words = headlines(spark, sf).select("headline_id", known_words("headline").alias("_words"))
+    names = F.array(*[F.lit(h) for _, h in HYPOTHESES])
+    scored = words.select("headline_id", lexical_scores(F.col("_words")).alias("_s"), names.alias("_h"))
+    return scored.select("headline_id", F.inline(F.arrays_zip("_h", "_s")).alias("hypothesis", "score"))
 
 
 def logits(spark: SparkSession, sf: str) -> DataFrame:
-    """headline_id, logits: the first three components of each embedding."""
-    e = F.col("embedding")
-    return table(spark, sf, "embeddings").select(
-        F.col("vec_id").alias("headline_id"),
-        F.array(*[e[i].cast("double") * 10 for i in range(3)]).alias("logits"),
-    )
+    """headline_id, logits: three sums over the whole of each embedding."""
+
+    def third(k: int) -> Column:
+        own = F.filter("embedding", lambda x, i: i % 3 == k)
+        return F.aggregate(own, F.lit(0.0), lambda a, x: a + x.cast("double"))
+
+    rows = table(spark, sf, "embeddings")
+    return rows.select(F.col("vec_id").alias("headline_id"), F.array(*[third(k) for k in range(3)]).alias("logits"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framewise.fixed_values import LABELS
+from framewise.fixed_values import LABELS, MAX_PAGES_PER_SITE, MAX_QUEUE, TARGET_TOTAL
 from framewise.functions import gates as G
 from framewise.functions.labels import decode_label, encode_label, map_category
 from framewise.functions.numbers import round_half_even
@@ -15,6 +15,7 @@ from framewise.operators import balance as B
 from framewise.operators import classifier, evaluate, features, links, sampling, scoring
 from framewise.operators.dedup import dedup_headlines
 from framewise.operators.keywords import keyword_hits
+from framewise.plans.collect import collect
 from framewise.plans.predict import predict
 from framewise.plans.prepare import prepare
 from framewise.plans.train import evaluate as evaluate_model
@@ -27,11 +28,10 @@ from . import inputs as I
 
 CONF = [f"conf_{x.lower()}" for x in LABELS]
 DECISION = ["headline_id", "gate", "label", *CONF, "gap", "is_model_prediction"]
-MAX_ITER = 20
 
 
 def gate_headlines(spark: SparkSession, sf: str) -> DataFrame:
-    h = I.wide_headlines(spark, sf).filter(~is_blank("headline"))
+    h = I.headlines(spark, sf).filter(~is_blank("headline"))
     h = h.select(
         "headline_id",
         G.is_non_political("headline").alias("is_non_political"),
@@ -51,17 +51,17 @@ def gate_headlines(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def keyword_counts(spark: SparkSession, sf: str) -> DataFrame:
-    return keyword_hits(I.wide_headlines(spark, sf))
+    return keyword_hits(I.headlines(spark, sf))
 
 
 def clean_headlines(spark: SparkSession, sf: str) -> DataFrame:
-    return I.wide_headlines(spark, sf).select(
+    return I.headlines(spark, sf).select(
         "headline_id", clean_text("headline").alias("clean_headline")
     )
 
 
 def norm_keys(spark: SparkSession, sf: str) -> DataFrame:
-    return I.wide_headlines(spark, sf).select("headline_id", norm_key("headline").alias("norm_key"))
+    return I.headlines(spark, sf).select("headline_id", norm_key("headline").alias("norm_key"))
 
 
 def label_codes(spark: SparkSession, sf: str) -> DataFrame:
@@ -88,8 +88,10 @@ def class_distribution(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def source_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows and titles of every source, and of all together under a null source."""
     d = I.table(spark, sf, "documents").select("source", F.col("text").alias("headline"))
-    return links.source_counts(d)
+    total = links.title_total(d).select(F.lit(None).cast("string").alias("source"), "n_rows", "n_titles")
+    return links.source_counts(d).unionByName(total)
 
 
 def class_weights(spark: SparkSession, sf: str) -> DataFrame:
@@ -120,7 +122,7 @@ def seed_urls(spark: SparkSession, sf: str) -> DataFrame:
 
 def site_quota(spark: SparkSession, sf: str) -> DataFrame:
     sites = I.sites(spark, sf)
-    return sites.select("source", F.lit(links.site_quota(sites.count())).alias("quota"))
+    return sites.select("source", F.lit(links.site_quota(sites.count(), TARGET_TOTAL)).alias("quota"))
 
 
 def hypothesis_table(spark: SparkSession, sf: str) -> DataFrame:
@@ -132,8 +134,7 @@ def hypothesis_table(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def hypothesis_pairs(spark: SparkSession, sf: str) -> DataFrame:
-    d = I.table(spark, sf, "documents").select(F.col("doc_id").alias("headline_id"), "lang")
-    return scoring.hypothesis_pairs(d, headline="lang")
+    return scoring.hypothesis_pairs(I.headlines(spark, sf))
 
 
 def nli_class_scores(spark: SparkSession, sf: str) -> DataFrame:
@@ -152,7 +153,7 @@ def nli_decisions(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def score_headlines(spark: SparkSession, sf: str) -> DataFrame:
-    return predict(I.wide_headlines(spark, sf), "lexical").select(*DECISION)
+    return predict(I.headlines(spark, sf), "lexical").select(*DECISION)
 
 
 def lexical_batch():
@@ -187,11 +188,11 @@ def logit_batch():
 
 
 def score_headlines_nli(spark: SparkSession, sf: str) -> DataFrame:
-    return predict(I.wide_headlines(spark, sf), "nli", lexical_batch).select(*DECISION)
+    return predict(I.headlines(spark, sf), "nli", lexical_batch).select(*DECISION)
 
 
 def score_headlines_bert(spark: SparkSession, sf: str) -> DataFrame:
-    return predict(I.wide_headlines(spark, sf), "bert", logit_batch).select(*DECISION)
+    return predict(I.headlines(spark, sf), "bert", logit_batch).select(*DECISION)
 
 
 def gap_summary(spark: SparkSession, sf: str) -> DataFrame:
@@ -209,7 +210,8 @@ def _target(df: DataFrame) -> int:
 
 def balance_classes(spark: SparkSession, sf: str) -> DataFrame:
     h = I.headlines(spark, sf).withColumn("bias", map_category("category"))
-    return B.balance(h.select("headline_id", "bias"), "headline_id", _target(h))
+    h = I.odd_ids(h.select("headline_id", "bias"))
+    return B.balance(h, "headline_id", _target(h))
 
 
 def _raw(spark: SparkSession, sf: str) -> DataFrame:
@@ -218,25 +220,30 @@ def _raw(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def prepare_dataset(spark: SparkSession, sf: str) -> DataFrame:
-    raw = _raw(spark, sf)
+    raw = I.odd_ids(_raw(spark, sf))
     return prepare(raw, _target(raw))
 
 
 def _processed(spark: SparkSession, sf: str) -> DataFrame:
-    """headline_id, clean_headline, category: a stored table, as preparation leaves it."""
-    clean = clean_text("headline").alias("clean_headline")
-    return written(I.wide_headlines(spark, sf).select("headline_id", clean, "category"), "processed")
+    """headline_id, clean_headline, category: a stored table, as preparation leaves it.
+
+    Some texts and categories are null, for what drops them to have work.
+    """
+    n = F.col("headline_id")
+    clean = F.when(n % 60 != 12, clean_text("headline")).alias("clean_headline")
+    category = F.when(n % 60 != 11, F.col("category")).alias("category")
+    return written(I.headlines(spark, sf).select("headline_id", clean, category), "processed")
 
 
 def train_test_split(spark: SparkSession, sf: str) -> DataFrame:
-    rows = usable(_processed(spark, sf)).select("headline_id", "bias")
+    rows = I.odd_ids(usable(_processed(spark, sf)).select("headline_id", "bias"))
     both = sampling.stratified_split(rows, "headline_id", "bias", flag="test_stratified")
     return sampling.plain_split(both, "headline_id", flag="test_plain")
 
 
 def eval_sample(spark: SparkSession, sf: str) -> DataFrame:
     rows = I.headlines(spark, sf).withColumn("bias", map_category("category"))
-    return sampling.eval_sample(rows.select("headline_id", "bias"), "headline_id")
+    return sampling.eval_sample(I.odd_ids(rows.select("headline_id", "bias")), "headline_id")
 
 
 def _pairs(spark: SparkSession, sf: str) -> DataFrame:
@@ -245,7 +252,9 @@ def _pairs(spark: SparkSession, sf: str) -> DataFrame:
         F.col("doc_id").alias("headline_id"),
         decode_label(F.col("quality") + F.col("toxic")).alias("y_true"),
     )
-    found = score_headlines(spark, sf).select("headline_id", F.col("label").alias("y_pred"))
+    found = score_headlines(spark, sf).select(
+        "headline_id", F.coalesce("label", F.lit("none")).alias("y_pred")
+    )
     return truth.join(found, "headline_id").withColumn("model", F.lit("lexical"))
 
 
@@ -287,7 +296,7 @@ def softmax_labels(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def page_headlines(spark: SparkSession, sf: str) -> DataFrame:
-    return links.page_headlines(I.pages(spark, sf))
+    return links.page_headlines(I.varied_pages(spark, sf))
 
 
 def page_links(spark: SparkSession, sf: str) -> DataFrame:
@@ -305,23 +314,38 @@ def frontier_levels(spark: SparkSession, sf: str) -> DataFrame:
     return _walk(spark, sf)[2].select("source", "url", "level", "title")
 
 
+def frontier_bounded(spark: SparkSession, sf: str) -> DataFrame:
+    """The same walk within the bounds of a polite crawl, given as arguments."""
+    facts = written(links.page_facts(I.site_pages(spark, sf)), "facts")
+    sites = written(I.sites(spark, sf), "sites")
+    seeds = links.seed_urls(I.sections(spark, sf))
+    walked = links.frontier(facts, sites, seeds, MAX_PAGES_PER_SITE, MAX_QUEUE)
+    return walked.select("source", "url", "level", "title")
+
+
+def collect_headlines(spark: SparkSession, sf: str) -> DataFrame:
+    """The whole job over all stored pages."""
+    sites = written(I.sites(spark, sf), "sites")
+    return collect(I.site_pages(spark, sf), sites, I.sections(spark, sf))
+
+
 def site_headlines(spark: SparkSession, sf: str) -> DataFrame:
     facts, sites, visited = _walk(spark, sf)
-    found = links.site_headlines(visited, facts, links.site_quota(sites.count()))
+    found = links.site_headlines(visited, facts)
     return links.attach_source(found, sites).select(
         "source", "category", "level", "kind", "url", "headline"
     )
 
 
 def top_up_headlines(spark: SparkSession, sf: str) -> DataFrame:
-    """First pass of all sites, then a second pass for two more titles per site."""
+    """What a second pass over the home pages adds to half the titles of the first."""
     facts, sites, visited = _walk(spark, sf)
-    n_sites = sites.count()
-    found = links.site_headlines(visited, facts, links.site_quota(n_sites))
+    found = links.site_headlines(visited, facts)
     order = [F.col("source_rank"), F.col("level"), F.col("kind"), F.col("url")]
     unique = dedup_headlines(links.attach_source(found, sites), order)
-    collected = written(unique.select("headline", "url", "source", "category"), "collected")
-    return collected.unionByName(links.top_up(collected, facts, sites, 2 * n_sites))
+    half = unique.filter(F.col("source_rank") % 2 == 0)
+    collected = written(half.select("headline", "url", "source", "category"), "collected")
+    return collected.unionByName(links.top_up(collected, facts, sites))
 
 
 def tfidf_vocabulary(spark: SparkSession, sf: str) -> DataFrame:
@@ -338,41 +362,91 @@ def tfidf_weights(spark: SparkSession, sf: str) -> DataFrame:
 def linear_score(spark: SparkSession, sf: str) -> DataFrame:
     """Linear scores with coefficients that follow from the term by rule."""
     docs = _processed(spark, sf)
-    terms = features.term_rows(docs, "headline_id", "clean_headline")
-    vocab = features.vocabulary(docs, "clean_headline")
-    size = F.length("term")
-    coefficients = vocab.select(
-        "term",
+    stages, terms = classifier.fit_features(docs, "clean_headline")
+    rule = [
+        [((len(t) * 7 + ord(t[0]) * (3 + k)) % 11 - 5) / 4.0 for t in terms] for k in range(len(LABELS))
+    ]
+    return features.linear_score(docs, "headline_id", "clean_headline", stages, rule, [0.1, 0.0, -0.1])
+
+
+def baseline_train(spark: SparkSession, sf: str) -> DataFrame:
+    """What must hold at the one optimum of the loss, and the rows it is reached on.
+
+    label, n_train, support (test rows), and is_optimal: over the training
+    rows the weighted sum of (probability - truth) is 0, as the intercepts are free.
+    """
+    processed = _processed(spark, sf)
+    model, report, matrix = train(processed)
+    rows = sampling.stratified_split(usable(processed), "headline_id", "bias").filter("NOT is_test")
+    weights = B.class_weights(rows).select("bias", "weight")
+    found = classifier.probabilities(model, rows.select("bias", "clean_headline"), F.col("clean_headline"))
+    found = found.join(weights, "bias")
+    sums = found.agg(
+        F.sum("weight").alias("total"),
         *[
-            (((size * 7 + F.ascii("term") * (3 + k)) % 11 - 5) / F.lit(4.0)).alias(x.lower())
+            F.sum(F.col("weight") * (F.col("_proba")[k] - (F.col("bias") == x).cast("double"))).alias(x)
             for k, x in enumerate(LABELS)
         ],
+    ).first()
+    shown = [(x, abs(sums[x]) / sums["total"] < 1e-3) for x in LABELS]
+    optimal = spark.createDataFrame(shown, "label string, is_optimal boolean")
+    sizes = rows.groupBy(F.col("bias").alias("label")).agg(F.count("*").alias("n_train"))
+    tested = matrix.groupBy(F.col("y_true").alias("label")).agg(F.sum("n").alias("in_matrix"))
+    return (
+        report.join(sizes, "label")
+        .join(tested, "label")
+        .join(optimal, "label")
+        .select("label", "n_train", "support", "in_matrix", "is_optimal")
     )
-    weights = features.weights(terms, vocab, "headline_id")
-    return features.linear_score(docs, weights, coefficients, "headline_id", [0.1, 0.0, -0.1])
-
-
-def baseline_train(spark: SparkSession, sf: str) -> DataFrame:
-    return train(_processed(spark, sf), max_iter=MAX_ITER)[1]
 
 
 def baseline_predict(spark: SparkSession, sf: str) -> DataFrame:
-    """Fit, save, load, then label every headline that passes the gates."""
+    """Fit, save, load, then label every headline that passes the gates.
+
+    The label of rows a gate decides is exact; rows of the model show that
+    the coefficients of the loaded model, scored by themselves, say the same.
+    """
     rows = usable(_processed(spark, sf))
-    fitted = classifier.fit_baseline(rows, "clean_headline", "bias", max_iter=MAX_ITER)
+    fitted = classifier.fit_baseline(rows, "clean_headline", "bias")
     path = scratch_path(spark, "model")
     classifier.save_model(fitted, path)
     model = classifier.load_model(path)
-    return predict(I.wide_headlines(spark, sf), "baseline", model).select(*DECISION)
+    found = predict(I.headlines(spark, sf), "baseline", model)
+    clean = I.headlines(spark, sf).select("headline_id", clean_text("headline").alias("clean_headline"))
+    own = features.linear_score(clean, "headline_id", "clean_headline", *classifier.linear_parts(model))
+    own = own.select(F.col("headline_id"), *[F.col(c).alias(f"own_{c}") for c in CONF])
+    both = found.join(own, "headline_id")
+    near = F.greatest(*[F.abs(F.col(c) - F.col(f"own_{c}")) for c in CONF]) < 2e-4
+    one = F.abs(F.col(CONF[0]) + F.col(CONF[1]) + F.col(CONF[2]) - 1) < 2e-4
+    is_model = F.col("is_model_prediction")
+    return both.select(
+        "headline_id",
+        "gate",
+        F.when(~is_model, F.col("label")).alias("gate_label"),
+        is_model,
+        F.when(is_model, near).alias("same_as_loaded_table"),
+        F.when(is_model, one).alias("sums_to_one"),
+    )
 
 
 def baseline_evaluate(spark: SparkSession, sf: str) -> DataFrame:
-    """Both kinds of evaluation of one trained model."""
+    """Both kinds of evaluation of one trained model, and of a scorer passed in.
+
+    model, how, label, support of every row, and whether its measures lie in [0, 1].
+    """
     processed = _processed(spark, sf)
-    model, _ = train(processed, max_terms=1000, max_iter=MAX_ITER)
-    holdout = evaluate_model(model, processed).withColumn("how", F.lit("holdout"))
-    sample = evaluate_model(model, processed, "sample").withColumn("how", F.lit("sample"))
-    return holdout.unionByName(sample)
+    model = train(processed)[0]
+    parts = [
+        evaluate_model(scorer, processed, how, model=name).withColumn("how", F.lit(how))
+        for name, scorer in (("baseline", model), ("bert", logit_batch), ("nli", lexical_batch))
+        for how in ("holdout", "sample")
+    ]
+    out = parts[0]
+    for more in parts[1:]:
+        out = out.unionByName(more)
+    inside = F.col("f1").between(0, 1) & F.coalesce(F.col("precision").between(0, 1), F.lit(True))
+    seen = (F.col("support") > 0) & (F.col("label") != "none")
+    return out.filter(seen).select("model", "how", "label", "support", inside.alias("in_range"))
 
 
 def csv_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
@@ -392,9 +466,8 @@ def _document_stream(spark: SparkSession, sf: str) -> DataFrame:
     stream = (
         spark.readStream.schema(schema).option("pathGlobFilter", "documents.parquet").parquet(sf)
     )
-    return stream.select(
-        F.col("doc_id").alias("headline_id"), F.col("text").alias("headline"), "source"
-    )
+    text = I.odd_text(F.col("text"), F.col("doc_id"))
+    return stream.select(F.col("doc_id").alias("headline_id"), text.alias("headline"), "source")
 
 
 def stream_gate(spark: SparkSession, sf: str) -> DataFrame:
@@ -415,6 +488,14 @@ def stream_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return read_collected(spark, out, like).select("headline_id", "headline", "source")
 
 
+def _checked(query):
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        I.prepared(spark)
+        return query(spark, sf)
+
+    return run
+
+
 QUERIES = {
     "score_headlines": score_headlines,
     "gate_headlines": gate_headlines,
@@ -448,6 +529,8 @@ QUERIES = {
     "page_headlines": page_headlines,
     "page_links": page_links,
     "frontier_levels": frontier_levels,
+    "frontier_bounded": frontier_bounded,
+    "collect_headlines": collect_headlines,
     "site_headlines": site_headlines,
     "top_up_headlines": top_up_headlines,
     "tfidf_vocabulary": tfidf_vocabulary,
@@ -460,3 +543,4 @@ QUERIES = {
     "stream_gate": stream_gate,
     "stream_dedup": stream_dedup,
 }
+QUERIES = {name: _checked(query) for name, query in QUERIES.items()}
