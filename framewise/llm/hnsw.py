@@ -29,7 +29,8 @@ from .files import NewFile, at
 SHARDS = 8
 LINKS = 16  # links a new point makes; a layer keeps twice as many
 BEAM = 48  # candidates while building, and the first beam of searches
-AUDIT = 200  # vectors of a shard whose neighbours are also found by comparing with all
+AUDIT = 1000  # vectors of a shard whose neighbours are also found by comparing with all
+ENOUGH = 20  # close pairs among them, to judge searches by those
 RECALL = 0.97  # share of those that a search must find
 SLACK = 0.04  # below the threshold, still followed
 TOGETHER = 256  # searches in step
@@ -199,25 +200,27 @@ class Graph:
             out.append(found + np.array([[a], [0]]))
         return tuple(np.concatenate(out, 1))
 
-    def audit(self, threshold: float, slack: float = SLACK) -> float:
+    def audit(self, threshold: float, slack: float | None = SLACK) -> float:
         """Widen the beam until searches find ``RECALL`` of the neighbours that a full comparison finds."""
         n = len(self.vectors)
         pick = np.unique(np.linspace(0, n - 1, min(n, AUDIT)).astype(int))
-        truth = self.vectors[pick] @ self.vectors.T >= threshold
-        # close pairs may be rare: if those picked have none, their nearest is what must be found
-        alone = truth.sum(1) <= 1
         cosine = self.vectors[pick] @ self.vectors.T
         cosine[np.arange(len(pick)), pick] = -np.inf
-        nearest = cosine.argmax(1)
+        row, point = np.nonzero(cosine >= threshold)
+        if len(row) < ENOUGH:  # too few close pairs to judge by: then the nearest must be found, however far
+            row, point = np.arange(len(pick)), cosine.argmax(1)
+            slack = None
+        truth = np.unique(row * n + point)
         while self.beam < n:
-            row, point = self.within(self.vectors[pick], threshold - slack)
-            hit = np.zeros(truth.shape, bool)
-            hit[row, point] = True
-            close = (hit & truth)[~alone].sum() / max(1, truth[~alone].sum())
-            ids, _ = self.layers[0].search(self.vectors[pick], self._descend(self.vectors[pick], 1), self.beam)
-            first = (ids == nearest[:, None]).any(1).mean()
-            if min(close if (~alone).any() else 1.0, first) >= RECALL:
-                return float(min(close if (~alone).any() else 1.0, first))
+            if slack is None:
+                ids, _ = self.layers[0].search(self.vectors[pick], self._descend(self.vectors[pick], 1), self.beam)
+                got = (np.arange(len(pick))[:, None] * n + ids)[ids >= 0]
+            else:
+                q, x = self.within(self.vectors[pick], threshold - slack)
+                got = q * n + x
+            recall = float(np.isin(truth, got).mean())
+            if recall >= RECALL:
+                return recall
             self.beam *= 2
         self.beam = n  # then all are compared
         return 1.0
