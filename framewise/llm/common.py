@@ -23,11 +23,22 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written as Parquet to the shared folder and read back: computed once, lineage cut."""
+    """``df`` written as Parquet to the shared folder and read back: computed once, lineage cut.
+
+    Its shuffle files go as soon as the table is written; nothing needs them then.
+    """
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -68,31 +79,21 @@ def components(edges: DataFrame) -> DataFrame:
         both = links.select(F.col("a").alias("node"), F.col("b").alias("next")).unionByName(
             links.select(F.col("b").alias("node"), F.col("a").alias("next"))
         )
-        hook = stored(
-            both.groupBy("node").agg(F.min("next").alias("next")).select(
-                "node", F.least("node", "next").alias("root")
-            ),
-            "hook",
-        )
-        while True:
-            far = hook.alias("h").join(
-                hook.select(F.col("node").alias("root"), F.col("root").alias("far")), "root"
-            )
-            moved = stored(
-                far.select("node", F.col("far").alias("root"), (F.col("far") < F.col("root")).alias("m")),
-                "hook",
-            )
+        hook = both.groupBy("node").agg(F.min("next").alias("next"))
+        hook = stored(hook.select("node", F.least("node", "next").alias("root")), "hook")
+        more = True
+        while more:
+            far = hook.select(F.col("node").alias("root"), F.col("root").alias("far"))
+            moved = hook.join(far, "root").select("node", F.col("far").alias("root"), (F.col("far") < F.col("root")).alias("m"))
+            moved = stored(moved, "hook")
             more = not moved.filter("m").isEmpty()
             forget(hook)
             hook = moved.select("node", "root")
-            if not more:
-                break
         at = hook.select(F.col("node").alias("a"), F.col("root").alias("ra"))
         bt = hook.select(F.col("node").alias("b"), F.col("root").alias("rb"))
         left = links.join(at, "a").join(bt, "b").filter("ra <> rb")
-        fewer = stored(
-            left.select(F.col("ra").alias("a"), F.col("rb").alias("b")).distinct(), "edges"
-        )
+        fewer = left.select(F.col("ra").alias("a"), F.col("rb").alias("b")).distinct()
+        fewer = stored(fewer, "edges")
         if names is None:
             names = hook
         else:

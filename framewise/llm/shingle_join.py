@@ -31,7 +31,7 @@ import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, row_key, stored
+from .common import components, forget, row_key, stored
 from .scan import LOWER, batch_bytes, mix, slices, span_hashes, words
 
 WORDS = 5
@@ -42,6 +42,8 @@ BLOCK = 4096
 #: Orders of the hashes whose least hash brings points together first.
 RUNS = 3
 _FULL = 0xFFFF
+#: Sets of more shingles have finer counts too.
+LARGE = 1024
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 
 
@@ -205,9 +207,9 @@ def _sets(docs: DataFrame, width: int) -> DataFrame:
                         order = hashes if k == 0 else mix(hashes ^ _ODD[k])
                         runs[full, k] = np.minimum.reduceat(order, at).view(np.int64)
                 lists = pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(hashes.view(np.int64)))
-                raw = counts.astype("<u2")
+                raw = [c.tobytes() + _fine(hashes[first[i] : first[i + 1]]) for i, c in enumerate(counts.astype("<u2"))]
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(a, len(n)), pa.array(n), pa.array(f1), pa.array(f2), pa.array(runs.tolist(), pa.list_(pa.int64())), lists, pa.array([c.tobytes() for c in raw], pa.binary())],
+                    [ids.slice(a, len(n)), pa.array(n), pa.array(f1), pa.array(f2), pa.array(runs.tolist(), pa.list_(pa.int64())), lists, pa.array(raw, pa.binary())],
                     names=["id", "n", "f1", "f2", "runs", "hashes", "counts"],
                 )
 
@@ -285,8 +287,33 @@ def _edges_of(batch: pa.RecordBatch) -> np.ndarray:
     return np.append(np.flatnonzero(new), batch.num_rows)
 
 
-def _counts(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), "<u2").reshape(-1, GROUPS)
+def _counts(rows: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join([x[: 2 * GROUPS] for x in rows]), "<u2").reshape(-1, GROUPS)
+
+
+def _fine(hashes: np.ndarray) -> bytes:
+    """Counts of a large set over more groups, an eighth of its size or more, a byte each.
+
+    The bound by ``GROUPS`` groups says little where hundreds of shingles share a group.
+    """
+    if len(hashes) <= LARGE:
+        return b""
+    groups = 1 << (len(hashes) - 1).bit_length() - 3
+    counts = np.bincount((mix(hashes) % np.uint64(groups)).astype(np.int64), minlength=groups)
+    return (np.full(groups, 255) if counts.max() >= 255 else counts).astype(np.uint8).tobytes()
+
+
+def _fine_bound(a: bytes, b: bytes, none: int) -> int:
+    """Bound of the overlap from the fine counts of two sets; ``none`` if one has none."""
+    a, b = (np.frombuffer(x, np.uint8, offset=2 * GROUPS).astype(np.uint16) for x in (a, b))
+    if not len(a) or not len(b):
+        return none
+    while len(a) != len(b):  # groups are powers of two: the halves of the longer one fall together
+        a, b = (a, b) if len(a) < len(b) else (b, a)
+        half = len(b) // 2
+        full = (b >= 255).all()
+        b = np.full(half, 0xFFFF, np.uint16) if full else b[:half] + b[half:]
+    return int(np.minimum(a, b).sum(dtype=np.int64))
 
 
 def _pairs(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
@@ -304,14 +331,14 @@ class _Union:
 
 
 def _links_within(runs, which, ids, sizes, counts, hashes, first, share) -> tuple[np.ndarray, np.ndarray]:
-    """Links that connect the points of one run as all its links would, each verified.
+    """(least id, id) of the points that verified links connect within one run.
 
     ``which`` is the order this run belongs to; pairs that share a run of an
     earlier order are looked at there.
     """
     order = np.lexsort((*counts.T[:3], sizes))
     tree = CountTree(counts[order], sizes[order])
-    union, found = _Union(len(ids)), []
+    union = _Union(len(ids))
 
     def verify(q: int, others: np.ndarray) -> None:
         others = others[union.root[others] != union.root[q]]
@@ -327,7 +354,6 @@ def _links_within(runs, which, ids, sizes, counts, hashes, first, share) -> tupl
         for x in others[_similar(overlap, sizes[q], sizes[others], share)].tolist():
             if union.root[x] != union.root[q]:
                 union.join(x, q)
-                found.append((q, x))
 
     verify(int(order[len(order) // 2]), np.arange(len(ids)))
     kinds, n = np.unique(union.root, return_counts=True)
@@ -345,8 +371,12 @@ def _links_within(runs, which, ids, sizes, counts, hashes, first, share) -> tupl
         edge = np.append(np.flatnonzero(np.append(True, q[1:] != q[:-1])), len(q)) if len(q) else [0]
         for c, d in zip(edge[:-1], edge[1:]):
             verify(int(q[c]), x[c:d])
-    pairs = np.array(found, np.int64).reshape(-1, 2)
-    return ids[pairs[:, 0]], ids[pairs[:, 1]]
+    # stars, so that later rounds over links are few
+    least = np.full(len(ids), np.iinfo(np.int64).max)
+    np.minimum.at(least, union.root, ids)
+    least = least[union.root]
+    other = least != ids
+    return least[other], ids[other]
 
 
 def _first_links(points: DataFrame, share: tuple[int, int]) -> DataFrame:
@@ -369,7 +399,7 @@ def _first_links(points: DataFrame, share: tuple[int, int]) -> DataFrame:
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _by_cell(batches):
             edges, nth = _edges_of(batch), batch.column(1).to_numpy() % RUNS
-            ids, sizes, counts = batch.column(3).to_numpy(), batch.column(4).to_numpy(), _counts(batch.column(6))
+            ids, sizes, counts = batch.column(3).to_numpy(), batch.column(4).to_numpy(), _counts(batch.column(6).to_pylist())
             runs = batch.column(5).flatten().to_numpy().reshape(-1, RUNS)
             hashes = batch.column(7).flatten().to_numpy().view(np.uint64)
             first = np.append(0, np.cumsum(pa.compute.list_value_length(batch.column(7)).to_numpy()))
@@ -406,7 +436,8 @@ def _other_pairs(points: DataFrame, names: DataFrame, share: tuple[int, int]) ->
         for batch in _by_cell(batches):
             edges = _edges_of(batch)
             comp, ids, sizes = (batch.column(k).to_numpy() for k in (3, 4, 5))
-            runs, counts = batch.column(6).flatten().to_numpy().reshape(-1, RUNS), _counts(batch.column(7))
+            runs, raw = batch.column(6).flatten().to_numpy().reshape(-1, RUNS), batch.column(7).to_pylist()
+            counts = _counts(raw)
 
             def open_(i, j):
                 return (comp[i] != comp[j]) & (runs[i] != runs[j]).all(1) & _similar(np.minimum(sizes[i], sizes[j]), sizes[i], sizes[j], share)
@@ -437,7 +468,11 @@ def _other_pairs(points: DataFrame, names: DataFrame, share: tuple[int, int]) ->
                     use = open_(i, j)
                     out.append(np.stack([i[use], j[use]]))
             i, j = np.concatenate(out, 1)
-            yield _pairs(ids[i], ids[j])
+            keep = np.ones(len(i), bool)
+            for k in np.flatnonzero((sizes[i] > LARGE) & (sizes[j] > LARGE)).tolist():
+                a, b = int(i[k]), int(j[k])
+                keep[k] = _similar(_fine_bound(raw[a], raw[b], int(sizes[a])), int(sizes[a]), int(sizes[b]), share)
+            yield _pairs(ids[i[keep]], ids[j[keep]])
 
     return laid.mapInArrow(find, "a bigint, b bigint").distinct()
 
@@ -483,9 +518,12 @@ def jaccard_components(
     same = stored(same.distinct(), "equal-sets")
     points = sets.join(first, ["n", "f1", "f2"]).filter("id = rep").dropDuplicates(["id", "n", "f1", "f2"])
     points = stored(points.select("id", "n", "runs", "hashes", "counts"), "points")
+    forget(sets)
     links = stored(_first_links(points, share), "links")
-    more = _verified(_other_pairs(points, components(links), share), points, share)
-    names = components(links.unionByName(stored(more, "links")).unionByName(same))
+    names = components(links)
+    more = stored(_verified(stored(_other_pairs(points, names, share), "pairs"), points, share), "links")
+    stars = names.filter("node <> component").select(F.col("component").alias("a"), F.col("node").alias("b"))
+    names = components(stars.unionByName(more).unionByName(same))
     out = census.join(names, F.col("doc_id") == F.col("node"), "left")
     out = out.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("bigint"), "copies")))
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
