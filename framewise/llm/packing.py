@@ -10,7 +10,8 @@ lengths (at most ``capacity`` rows) and its size does not grow with the corpus:
   the rounds' answers is the fractional solution; the best prices give a lower
   bound on the number of sequences.
 * Rounding: whole parts of the fractional solution first. What is left is packed
-  by the same program again on what remains, the longest lengths first.
+  by the same program again on what remains, the longest lengths first, or by
+  best fit, whichever takes fewer sequences.
 
 Pieces are then dealt to the places of the plan by their rank within a length.
 Ranks come from counts per (length, bucket), so that a length which a third of
@@ -19,6 +20,7 @@ all pieces share is ranked in many tasks.
 
 from __future__ import annotations
 
+import bisect
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -32,6 +34,8 @@ from .common import stored
 from .tokens import encoder
 
 ROUNDS = 24
+#: How fast the price of a length that is covered too little grows.
+LEARN = 2.0
 #: Configurations this close to the dearest count as dearest too.
 SLACK = 0.02
 #: Shares in which the pieces of one length are ranked.
@@ -121,6 +125,7 @@ def plan_packing(histogram: dict[int, int], capacity: int, rounds: int = ROUNDS)
 
     for config, share in sorted(fraction.items(), key=lambda x: (-x[1], x[0])):
         take(config, int(share))
+    over, before = left.copy(), dict(used)
     while (left > 0).any():
         have = np.flatnonzero(left)
         best, last = _knapsack(prices[have], lengths[have], capacity)
@@ -128,9 +133,53 @@ def plan_packing(histogram: dict[int, int], capacity: int, rounds: int = ROUNDS)
             if left[k]:
                 rest = _filling(last, lengths[have], capacity - int(lengths[k]))
                 take(_held(left, lengths, int(k), [int(have[i]) for i in rest], capacity), int(left[k]))
+    # the remainder, or all, by best fit alone, if that takes fewer
+    for start, remainder in ((before, over), ({}, np.array([histogram[int(x)] for x in lengths], np.int64))):
+        other = _best_fit(lengths, remainder, capacity, dict(start))
+        if sum(other.values()) < sum(used.values()):
+            used = other
     return Plan([(tuple(int(lengths[k]) for k in c), n) for c, n in sorted(used.items())], max(bound, volume))
 
 
+def _best_fit(lengths: np.ndarray, left: np.ndarray, capacity: int, used: dict) -> dict:
+    """Add to ``used`` the configurations that best fit gives, longest lengths first.
+
+    Sequences with equal contents are one entry, so the work depends on the
+    lengths and not on how many pieces there are.
+    """
+    open_: dict[int, list[tuple[tuple[int, ...], int]]] = {}
+    rooms: list[int] = []
+
+    def put(room: int, config: tuple[int, ...], n: int) -> None:
+        if room not in open_:
+            bisect.insort(rooms, room)
+            open_[room] = []
+        open_[room].append((config, n))
+
+    for k in np.flatnonzero(left)[::-1].tolist():
+        length, n = int(lengths[k]), int(left[k])
+        while n:
+            at = bisect.bisect_left(rooms, length)
+            if at == len(rooms):
+                room, config, there = capacity, (), n
+            else:
+                room = rooms[at]
+                config, there = open_[room].pop()
+                if not open_[room]:
+                    del open_[room], rooms[at]
+            each = min(room // length, n)
+            many = min(there, n // each)
+            put(room - each * length, config + (k,) * each, many)
+            n -= each * many
+            if there > many and config:
+                put(room, config, there - many)
+    for entries in open_.values():
+        for config, n in entries:
+            config = tuple(sorted(config, reverse=True))
+            used[config] = used.get(config, 0) + n
+    return used
+
+
 def _held(left, lengths, first: int, rest: list[int], capacity: int) -> tuple[int, ...]:
     """``first`` and ``rest`` without what is used up; room that opens goes to the longest that fits."""
     config, spare = [first], left.copy()
@@ -175,7 +224,7 @@ def _fractional(lengths, count, capacity, rounds, volume):
                 kinds, copies = np.unique(config, return_counts=True)
                 covered[kinds] += copies * n * scale
                 answer[config] = answer.get(config, 0.0) + n * scale
-        prices = lengths / capacity * np.exp(np.clip(0.5 * (t / rounds - covered / count), -3, 3))
+        prices = lengths / capacity * np.exp(np.clip(LEARN * (t / rounds - covered / count), -3, 3))
     return int(np.ceil(bound - 1e-6)), best_prices, answer
 
 
