@@ -82,8 +82,12 @@ def trigrams(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def has_letter(data: np.ndarray, at: np.ndarray) -> np.ndarray:
     """Whether each text has a letter of any script."""
-    ascii_letter = np.concatenate([[0], np.cumsum(_LETTER[data] & (data < 0x80))])
-    found = ascii_letter[at[1:]] > ascii_letter[at[:-1]]
+    found = np.zeros(len(at) - 1, bool)
+    for a, b in slices(at, 1 << 19):
+        part = data[at[a] : at[b]]
+        letters = np.append(0, np.cumsum(_LETTER[part] & (part < 0x80), dtype=np.int32))
+        own = at[a : b + 1] - at[a]
+        found[a:b] = letters[own[1:]] > letters[own[:-1]]
     for i in np.flatnonzero(~found & (at[1:] > at[:-1])):
         found[i] = any(c.isalpha() for c in data[at[i] : at[i + 1]].tobytes().decode(errors="replace"))
     return found
@@ -91,7 +95,7 @@ def has_letter(data: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 def _margins(odds: np.ndarray, data: np.ndarray, at: np.ndarray) -> np.ndarray:
     out = np.zeros((len(at) - 1, odds.shape[1]))
-    for a, b in slices(at, 1 << 20):
+    for a, b in slices(at, 1 << 19):
         own = at[a : b + 1] - at[a]
         filled = np.flatnonzero(own[1:] > own[:-1])
         if len(filled):
@@ -120,12 +124,12 @@ def fit_languages(rows: DataFrame, most: int = FIT_ROWS) -> LanguageModel | None
         for batch in batches:
             data, at = batch_bytes(batch.column(0))
             langs = np.array(batch.column(1).to_pylist())
-            for lang in set(langs.tolist()):
-                mine = np.flatnonzero(langs == lang)
-                part = np.concatenate([data[at[i] : at[i + 1]] for i in mine])
-                sizes = np.append(0, np.cumsum(at[mine + 1] - at[mine]))
-                bucket, _ = trigrams(part, sizes)
-                total[lang] = total.get(lang, 0) + np.bincount(bucket, minlength=BUCKETS)
+            for a, b in slices(at, 1 << 19):
+                bucket, _ = trigrams(data[at[a] : at[b]], at[a : b + 1] - at[a])
+                size = np.diff(at[a : b + 1])
+                for lang in set(langs[a:b].tolist()):
+                    mine = np.repeat(langs[a:b] == lang, size)
+                    total[lang] = total.get(lang, 0) + np.bincount(bucket[mine], minlength=BUCKETS)
         for lang, n in total.items():
             seen = np.flatnonzero(n)
             yield pa.RecordBatch.from_pydict({"lang": [lang] * len(seen), "bucket": seen.astype(np.int32), "n": n[seen]})

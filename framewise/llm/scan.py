@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes looked at together; longer texts are cut by those who call, never shortened.
-SLICE = 2 << 20
+SLICE = 1 << 20
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _BASE_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)

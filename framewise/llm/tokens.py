@@ -9,7 +9,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-from .scan import SLICE, batch_bytes, slices, span_hashes
+from .scan import batch_bytes, slices, span_hashes
 
 #: Pieces kept by a worker; beyond it the table is begun anew. Only speed depends on it.
 PIECES_KEPT = 4_000_000
@@ -61,8 +61,8 @@ class PieceEncoder:
 
     def _forget(self) -> None:
         self.keys = np.zeros(0, np.uint64)  # hashes in order
-        self.first = np.zeros(0, np.int64)  # where the ids of each begin
-        self.count = np.zeros(0, np.int64)
+        self.first = np.zeros(0, np.int32)  # where the ids of each begin
+        self.count = np.zeros(0, np.int32)
         self.ids = np.zeros(1 << 16, self.dtype)
         self.used = 0
 
@@ -154,10 +154,10 @@ class PieceEncoder:
         if self.used + len(ids) > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros(max(len(self.ids), len(ids)), self.dtype)])
         self.ids[self.used : self.used + len(ids)] = ids
-        first = self.used + np.cumsum(counts) - counts
+        first = (self.used + np.cumsum(counts) - counts).astype(np.int32)
         self.used += len(ids)
         back = np.argsort(keys)
         place = np.searchsorted(self.keys, keys[back])
         self.keys = np.insert(self.keys, place, keys[back])
         self.first = np.insert(self.first, place, first[back])
-        self.count = np.insert(self.count, place, counts[back])
+        self.count = np.insert(self.count, place, counts[back].astype(np.int32))
