@@ -3,7 +3,7 @@
 Every shard's graph is built by a task of its own and laid down in the shared
 folder with the beam width that passed an audit: known vectors are searched with
 growing beams until enough of the neighbours that a full comparison finds are
-found. Then every vector asks every shard of its dimension. What comes near the threshold
+found, by vectors of the shard and of others, in small groups and in large ones. Then every vector asks every shard of its dimension. What comes near the threshold
 is verified as a cosine in double precision, and links are united to components.
 Equal vectors are one point with a weight.
 
@@ -30,8 +30,9 @@ SHARDS = 8
 LINKS = 16  # links a new point makes; a layer keeps twice as many
 BEAM = 48  # candidates while building, and the first beam of searches
 AUDIT = 1000  # vectors of a shard whose neighbours are also found by comparing with all
-ENOUGH = 20  # close pairs among them, to judge searches by those
-RECALL = 0.97  # share of those that a search must find
+ENOUGH = 20  # of them with close neighbours, to judge searches by those
+FEW = 16  # close neighbours; vectors with more are judged apart
+RECALL = 0.97  # share of its close neighbours that a search must find, on average
 SLACK = 0.04  # below the threshold, still followed
 TOGETHER = 256  # searches in step
 
@@ -200,25 +201,57 @@ class Graph:
             out.append(found + np.array([[a], [0]]))
         return tuple(np.concatenate(out, 1))
 
-    def audit(self, threshold: float, slack: float | None = SLACK) -> float:
-        """Widen the beam until searches find ``RECALL`` of the neighbours that a full comparison finds."""
+    def audit(self, threshold: float, slack: float = SLACK, others: np.ndarray | None = None) -> float:
+        """Widen the beam until searches find ``RECALL`` of the neighbours that a full comparison finds.
+
+        Asked are points of the graph and ``others``, unit vectors that are not in it. Each with close
+        neighbours counts once, whatever their number. The recall is the worst of these: vectors
+        with few and with many close neighbours, points and others.
+        """
         n = len(self.vectors)
         pick = np.unique(np.linspace(0, n - 1, min(n, AUDIT)).astype(int))
-        cosine = self.vectors[pick] @ self.vectors.T
-        cosine[np.arange(len(pick)), pick] = -np.inf
-        row, point = np.nonzero(cosine >= threshold)
-        if len(row) < ENOUGH:  # too few close pairs to judge by: then the nearest must be found, however far
-            row, point = np.arange(len(pick)), cosine.argmax(1)
-            slack = None
-        truth = np.unique(row * n + point)
+        asked = self.vectors[pick]
+        if others is not None:
+            asked = np.concatenate([asked, others])
+        own = np.arange(len(asked)) < len(pick)
+        close, best, nearest = np.zeros(len(asked), np.int64), np.full(len(asked), -np.inf, np.float32), np.zeros(len(asked), np.int64)
+        for a in range(0, n, 4096):
+            cosine = asked @ self.vectors[a : a + 4096].T
+            inside = np.flatnonzero((pick >= a) & (pick < a + 4096))
+            cosine[inside, pick[inside] - a] = -np.inf
+            close += (cosine >= threshold).sum(1)
+            top = cosine.argmax(1)
+            value = cosine[np.arange(len(asked)), top]
+            nearest[value > best] = a + top[value > best]
+            best = np.maximum(best, value)
+        few = (close > 0) & (close <= FEW)
+        many = close > FEW
+        judged = [x for x in (many & own, many & ~own) if x.any()]
+        parts = [few & own, few & ~own]
+        judged += parts if min(x.sum() for x in parts) >= ENOUGH else [few] if few.any() else []
+        # too few with close neighbours outside large groups: there the nearest must be found, however far
+        far = np.flatnonzero(~many) if few.sum() < ENOUGH else np.zeros(0, np.int64)
+        with_close = np.flatnonzero(close)
         while self.beam < n:
-            if slack is None:
-                ids, _ = self.layers[0].search(self.vectors[pick], self._descend(self.vectors[pick], 1), self.beam)
-                got = (np.arange(len(pick))[:, None] * n + ids)[ids >= 0]
-            else:
-                q, x = self.within(self.vectors[pick], threshold - slack)
-                got = q * n + x
-            recall = float(np.isin(truth, got).mean())
+            found = np.zeros(len(asked), np.int64)
+            for a in range(0, len(with_close), 64):
+                some = with_close[a : a + 64]
+                row, point = self.within(asked[some], threshold - slack)
+                self_found = own[some[row]] & (pick[np.minimum(some[row], len(pick) - 1)] == point)
+                row, point = row[~self_found], point[~self_found]
+                for c in range(0, len(row), 1 << 16):
+                    r, x = some[row[c : c + (1 << 16)]], point[c : c + (1 << 16)]
+                    good = np.einsum("ij,ij->i", asked[r], self.vectors[x]) >= threshold - 1e-6  # as exact as float32
+                    found += np.bincount(r[good], minlength=len(asked))
+            share = np.minimum(found / np.maximum(close, 1), 1)
+            recall = min((float(share[x].mean()) for x in judged), default=1.0)
+            if len(far) and recall >= RECALL:
+                hit = 0
+                for a in range(0, len(far), TOGETHER):
+                    some = far[a : a + TOGETHER]
+                    ids, _ = self.layers[0].search(asked[some], self._descend(asked[some], 1), self.beam)
+                    hit += int((ids == nearest[some, None]).any(1).sum())
+                recall = min(recall, hit / len(far))
             if recall >= RECALL:
                 return recall
             self.beam *= 2
@@ -242,23 +275,32 @@ def _matrix(column: pa.Array) -> np.ndarray:
 
 
 def build_graphs(points: DataFrame, folder: str, threshold: float) -> DataFrame:
-    """A graph per (dim, shard) of ``points`` (id, embedding, dim, shard): dim, shard, file, beam, recall."""
+    """A graph per (dim, shard) of ``points`` (id, embedding, dim, shard, shards): dim, shard, file, beam, recall."""
+    kinds = pa.schema([("dim", pa.int32()), ("shard", pa.int32()), ("file", pa.string()), ("beam", pa.int64()), ("recall", pa.float64())])
 
-    def build(table: pa.Table) -> pa.Table:
+    def build(table: pa.Table, others: pa.Table) -> pa.Table:
+        if not len(table):
+            return kinds.empty_table()
         raw = _matrix(table["embedding"].combine_chunks())
         unit = (raw / np.linalg.norm(raw, axis=1, keepdims=True)).astype(np.float32)
         graph = Graph.build(unit)
-        recall = graph.audit(threshold)
+        asked = _matrix(others["embedding"].combine_chunks()) if len(others) else np.zeros((0, raw.shape[1]))
+        recall = graph.audit(threshold, others=(asked / np.linalg.norm(asked, axis=1, keepdims=True)).astype(np.float32))
         dim, shard = table["dim"][0].as_py(), table["shard"][0].as_py()
         file = NewFile(folder, f"graph-{dim}-{shard}.npz")
         ids = np.asarray(table["id"].to_numpy(), "<i8").tobytes()
         file.write(len(ids).to_bytes(8, "little") + ids + raw.tobytes() + graph.to_bytes())
         file.finish()
         row = {"dim": [dim], "shard": [shard], "file": [file.path.rsplit("/", 1)[1]], "beam": [graph.beam], "recall": [recall]}
-        kinds = pa.schema([("dim", pa.int32()), ("shard", pa.int32()), ("file", pa.string()), ("beam", pa.int64()), ("recall", pa.float64())])
         return pa.table(row, kinds)
 
-    made = points.groupBy("dim", "shard").applyInArrow(build, "dim int, shard int, file string, beam bigint, recall double")
+    count = points.groupBy("dim").agg(F.count("*").alias("n"))
+    drawn = points.join(count, "dim").filter(F.pmod(F.xxhash64("embedding", F.lit("audit")), F.lit(1 << 30)) * F.col("n") < F.lit(AUDIT << 30))
+    place = F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).alias("to")
+    others = drawn.select("embedding", "dim", "shard", place).filter("to <> shard").select("embedding", "dim", F.col("to").alias("shard"))
+    others = stored(others, "audit")
+    pairs = points.select("id", "embedding", "dim", "shard").groupBy("dim", "shard").cogroup(others.groupBy("dim", "shard"))
+    made = pairs.applyInArrow(build, "dim int, shard int, file string, beam bigint, recall double")
     return stored(made, "graphs")
 
 
@@ -319,7 +361,7 @@ def near_duplicate_vectors(
     kinds = kinds.select(F.col("rep").alias("id"), "embedding", "weight", F.size("embedding").alias("dim"))
     points = stored(kinds.withColumn("shard", F.pmod(F.xxhash64("embedding"), F.lit(shards)).cast("int")), "vectors")
     folder = new_path(vectors.sparkSession, "graphs")
-    graphs = build_graphs(points.select("id", "embedding", "dim", "shard"), folder, threshold)
+    graphs = build_graphs(points.select("id", "embedding", "dim", "shard", F.lit(shards).alias("shards")), folder, threshold)
     links = stored(linked_points(points, graphs, folder, threshold), "vector-links")
     weight = points.select("id", "weight")
     ends = links.select(F.col("a").alias("id"), F.col("b").alias("other")).unionByName(

@@ -186,6 +186,42 @@ def test_graph_recall_and_bytes():
     assert few.audit(0.9) == 1.0 and len(few.within(unit[:3], 0.99)[0]) >= 3
 
 
+def skewed(seed=4):
+    """A group of near copies of a third, pairs, and points alone, 16 wide."""
+    draw = np.random.default_rng(seed)
+    base = draw.normal(size=(1200, 16))
+    base[:400] = base[0] + 0.05 * draw.normal(size=(400, 16))
+    base[400:500] = base[500:600] + 0.05 * draw.normal(size=(100, 16))
+    return (base / np.linalg.norm(base, axis=1, keepdims=True)).astype(np.float32)
+
+
+def test_audit_sees_pairs_beside_a_large_group():
+    graph = hnsw.Graph.build(skewed())
+    near = graph.vectors @ graph.vectors.T >= 0.9
+    np.fill_diagonal(near, False)
+    pairs = np.flatnonzero((near.sum(1) > 0) & (near.sum(1) < 5))
+    links = graph.layers[0].links
+    links[np.isin(links, pairs)] = -1  # nobody leads to a member of a pair
+    assert graph.audit(0.9) >= hnsw.RECALL
+    unit = skewed()[400:600]
+    row, point = graph.within(unit, 0.86)
+    found = {(int(r), int(p)) for r, p in zip(row, point)}
+    assert sum((i, 500 + i) in found and (100 + i, 400 + i) in found for i in range(100)) >= 97
+
+
+def test_audit_asks_with_vectors_of_other_shards():
+    unit, draw = skewed(), np.random.default_rng(5)
+    graph = hnsw.Graph.build(unit)
+    others = unit[600:700] + 0.01 * draw.normal(size=(100, 16)).astype(np.float32)
+    others /= np.linalg.norm(others, axis=1, keepdims=True)
+    target = (graph.vectors @ others.T).argmax(0)
+    links = graph.layers[0].links
+    links[np.isin(links, target)] = -1  # found by no search that comes from outside
+    assert graph.audit(0.9, others=others) >= hnsw.RECALL
+    row, point = graph.within(others, 0.86)
+    assert len({r for r, p in zip(row.tolist(), point.tolist()) if p == 600 + r}) >= 97
+
+
 def test_queries_equal_their_sql(spark):
     sf = "/root/testdata/sf0.001"
     con = duckdb.connect()
