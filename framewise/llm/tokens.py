@@ -36,26 +36,34 @@ def tokenizer_path(name: str) -> str:
 def encoder(path: str) -> "PieceEncoder":
     """The encoder of this worker process for a tokenizer file."""
     if path not in _encoders:
-        _encoders[path] = PieceEncoder(path)
+        _encoders[path] = PieceEncoder(path, added_tokens=True)
     return _encoders[path]
 
 
 class PieceEncoder:
-    """Same ids as the library gives for the whole text, special tokens taken as plain text.
+    """Same ids as the library gives for the whole text.
+
+    With ``added_tokens`` the content of an added token, such as ``<|endoftext|>``, becomes its
+    id as in the library; without, it is plain text. ``encoder`` asks for the former.
 
     Both the word and the byte-level tokenizers end a word where letters, signs
     and digits meet and before a blank, so the ids of a text are those of its
     pieces one after the other. Pieces are found and hashed (64 bits) for many
     texts at once. Texts with other characters, or with blanks and line breaks
-    in a row, are cut at single blanks only and given to the library.
+    in a row, are cut at single blanks only and given to the library, and so
+    are texts that hold an added token, which are not cut in or beside it.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, added_tokens: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
+        self.library.encode_special_tokens = True  # pieces hold no added token, and put together they must not
+        added = self.library.get_added_tokens_decoder().values() if added_tokens else []
+        self.added = sorted((t.content for t in added if t.content), key=len, reverse=True)
+        # what is looked for in the normalized text cannot be found in the bytes
+        self.never_cut = self.library.normalizer is not None and any(t.normalized for t in added)
         self.dtype = np.dtype("<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4")
         self._forget()
 
@@ -80,11 +88,15 @@ class PieceEncoder:
         pair |= (kind[:-1] == _BLANK) & (kind[1:] == _BREAK)
         lead, then = data[:-1], data[1:]
         pair |= (lead == 0xC3) & ((then == 0x97) | (then == 0xB7)) | (lead == 0xC9) & (then >= 0x90)
-        wrong = np.concatenate([wrong, np.flatnonzero(pair)])
+        held = np.array(self._added_in(data), np.int64)
+        wrong = np.concatenate([wrong, np.flatnonzero(pair), held])
         filled = np.flatnonzero(at[1:] > at[:-1])
         plain = np.ones(len(at) - 1, bool)
         plain[filled[kind[at[filled + 1] - 1] == _BLANK]] = False
         plain[np.searchsorted(at, wrong, "right") - 1] = False
+        special = np.full(len(at) - 1, self.never_cut)
+        special[np.searchsorted(at, held, "right") - 1] = True
+        plain &= ~special
         begins = np.empty(len(data), bool)
         begins[1:] = (kind[1:] <= _BREAK) | (kind[1:] != kind[:-1]) & (kind[:-1] != _BLANK)
         begins[at[:-1][at[:-1] < len(data)]] = True
@@ -103,16 +115,45 @@ class PieceEncoder:
             if plain[i]:
                 yield flat[bounds[i] : bounds[i + 1]]
             else:
-                yield self._odd(data[at[i] : at[i + 1]].tobytes().decode())
-
-    def _odd(self, text: str) -> np.ndarray:
+                yield self._odd(data[at[i] : at[i + 1]].tobytes().decode(), bool(special[i]))
+
+    def _added_in(self, data: np.ndarray) -> list[int]:
+        """Where the bytes of added tokens begin; one that runs on into the next text does no harm."""
+        found, raw = [], data.tobytes() if self.added else b""
+        for content in self.added:
+            content = content.encode()
+            i = raw.find(content)
+            while i >= 0:
+                found.append(i)
+                i = raw.find(content, i + 1)
+        return found
+
+    def _odd(self, text: str, special: bool = False) -> np.ndarray:
+        if not special:
+            parts = _CUT.split(text)
+        elif self.never_cut:
+            parts = [text]
+        else:
+            parts = self._around_added(text)
         out = []
-        parts = _CUT.split(text)
+        self.library.encode_special_tokens = not special
         for i in range(0, len(parts), 10_000):
             found = self.library.encode("".join(parts[i : i + 10_000]), add_special_tokens=False)
             out.append(np.array(found.ids, self.dtype))
+        self.library.encode_special_tokens = True
         return np.concatenate(out)
 
+    def _around_added(self, text: str) -> list[str]:
+        """``text`` cut at single blanks, but not in an added token or beside it."""
+        spans = sorted((m.start(), m.start() + len(c)) for c in self.added for m in re.finditer(f"(?={re.escape(c)})", text))
+        starts = np.array([a - 1 for a, _ in spans])
+        ends = np.maximum.accumulate(np.array([b for _, b in spans]))
+        cuts = np.array([m.start() for m in _CUT.finditer(text)], np.int64)
+        before = np.searchsorted(starts, cuts, "right") - 1
+        free = cuts[(before < 0) | (cuts > ends[np.maximum(before, 0)])] if len(spans) else cuts
+        edges = [0, *free.tolist(), len(text)]
+        return [text[a:b] for a, b in zip(edges[:-1], edges[1:])]
+
     def _rows(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """For each piece its row in the table, learning new ones."""
         hashes = span_hashes(data, starts, ends)

@@ -50,6 +50,34 @@ def test_ids_are_those_of_the_library(name):
         assert [i.tolist() for i in encode(pa.array(odd))] == [ids_of(name, t) for t in odd]
 
 
+@pytest.mark.parametrize("name", [WORD, BYTE])
+def test_added_tokens_in_texts_are_those_of_the_library(name):
+    from tokenizers import Tokenizer
+
+    from framewise.llm.tokens import encoder
+
+    plain = Tokenizer.from_file(tokenizer_path(name))
+    end, start = "<|endoftext|>", "<|startoftext|>"
+    rows = [f"a {end} b", end, end + end, f"{end} x", f"x {end}", f"x{end}y", f"a  {end}  b", f"é {end}\n\n{start} b c", end.upper(), f"<|{end}|>"]
+    rows += ["ends with <|endof", "text|> begins", None, "", "a plain text", f"{'word ' * 12000}{end} {'é word ' * 12000}{start}", f"two {start}{end} 12 ab"]
+    expected = [plain.encode(t or "", add_special_tokens=False).ids for t in rows]
+    assert len(expected[0]) == (4 if name == BYTE else 3)
+    for _ in range(2):
+        assert [i.tolist() for i in encoder(tokenizer_path(name))(pa.array(rows))] == expected
+
+
+def test_documents_with_added_tokens(spark):
+    from tokenizers import Tokenizer
+
+    rows = [(1, "a <|endoftext|> b"), (2, "then another")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    for name, run in ((BYTE, lambda p: token_files.token_digest(df, p, end=2)), (WORD, lambda p: packing.pack_documents(df, p))):
+        plain = Tokenizer.from_file(tokenizer_path(name))
+        end = 2 if name == BYTE else 0
+        expected = {i: crc(plain.encode(t, add_special_tokens=False).ids + [end]) for i, t in rows}
+        assert {r.doc_id: r.ids_crc32 for r in run(tokenizer_path(name)).collect()} == expected
+
+
 def test_piece_table_begun_anew(monkeypatch):
     monkeypatch.setattr("framewise.llm.tokens.PIECES_KEPT", 50)
     encode = PieceEncoder(tokenizer_path(WORD))
