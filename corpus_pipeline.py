@@ -11,8 +11,15 @@ from framewise.llm.tokens import tokenizer_path
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is told: without a letter, or between two languages, they go."""
-    found = language.identify(docs, language.learn_languages(docs))
+    """Documents whose language is told: without a letter, or between two languages, they go.
+
+    Where there is nothing to learn a language from (no ``lang``, or all rows with one held out),
+    only those without a letter go.
+    """
+    model = language.learn_languages(docs)
+    if model is None:
+        return language.with_letters(docs)
+    found = language.identify(docs, model)
     return found.filter(~F.col("lang_ambiguous")).select(*docs.columns)
 
 

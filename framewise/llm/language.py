@@ -169,8 +169,8 @@ def fit_languages(rows: DataFrame, most: int = FIT_ROWS) -> LanguageModel | None
 def identify(docs: DataFrame, model: LanguageModel | None, text: str = "text", ambiguous: float = AMBIGUOUS) -> DataFrame:
     """``docs`` with lang_pred, lang_score (0 to 1) and lang_ambiguous, replacing columns of these names.
 
-    A null text or one without a letter is ``und`` with score 0. Without a model every text is.
-    Only ``text`` is looked at.
+    A null text or one without a letter is ``und`` with score 0. Without a model every text is,
+    and all are ambiguous: who drops those should then use ``with_letters``. Only ``text`` is looked at.
     """
     added = ("lang_pred", "lang_score", "lang_ambiguous")
     rows = docs.drop(*added)
@@ -195,6 +195,17 @@ def identify(docs: DataFrame, model: LanguageModel | None, text: str = "text", a
     return rows.mapInArrow(predict, f"{schema}, lang_pred string, lang_score double, lang_ambiguous boolean")
 
 
+def with_letters(docs: DataFrame, text: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose text has a letter of any script."""
+    place = docs.columns.index(text)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(has_letter(*batch_bytes(batch.column(place)))))
+
+    return docs.mapInArrow(keep, docs.schema)
+
+
 def held_out(id: str = "doc_id", parts: int = 3, which: int = 1) -> Column:
     """Whether crc32 of the id as text leaves ``which``; a null id is not held out."""
     return F.coalesce(F.crc32(F.col(id).cast("string").cast("binary")) % parts == which, F.lit(False))

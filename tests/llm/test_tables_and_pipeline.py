@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from framewise.llm import hnsw, mixing, queries, url_filter, warc
+from framewise.llm import hnsw, language, mixing, queries, url_filter, warc
 from framewise.llm.common import new_path
 
 from .test_text_operators import brute_components, brute_sets, ids_of
@@ -235,6 +235,19 @@ def test_queries_equal_their_sql(spark):
         assert Counter(map(tuple, mine.select(*columns).collect())) == Counter(theirs.fetchall()), name
 
 
+def test_nothing_to_learn_a_language_from(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(60)
+    rows = [(9001, "123 !!", None, "s", 6), (9002, None, None, "s", 0), (None, "Ж", None, "s", 1)]
+    extra = spark.createDataFrame(rows, docs.schema)
+    none = docs.withColumn("lang", F.lit(None).cast("string")).unionByName(extra)
+    held = docs.filter(language.held_out()).unionByName(extra)
+    for given in (none, held):
+        kept = corpus_pipeline.known_language(spark, given, "")
+        assert kept.columns == docs.columns
+        lettered = [r.doc_id for r in given.collect() if any(c.isalpha() for c in r.text or "")]
+        assert Counter(r.doc_id for r in kept.collect()) == Counter(lettered) and None in lettered
+
+
 def test_pipeline_stage_by_stage(spark, tmp_path):
     sf = str(tmp_path / "sf")
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").filter("doc_id < 300")
