@@ -25,8 +25,10 @@ from pyspark.sql import functions as F
 from .common import components, new_path, stored
 from .files import NewFile, at
 
-#: Shards of the vectors of a dimension: choose it so that a shard fits a task (about 500 bytes a vector).
+#: Fewest shards of the vectors of a dimension; there are more where a shard would pass what follows.
 SHARDS = 8
+SHARD_VECTORS = 200_000
+SHARD_BYTES = 512 << 20  # of a task: 28 bytes a component (Arrow, float64 twice, float32) and 600 a vector
 LINKS = 16  # links a new point makes; a layer keeps twice as many
 BEAM = 48  # candidates while building, and the first beam of searches
 AUDIT = 1000  # vectors of a shard whose neighbours are also found by comparing with all
@@ -160,30 +162,34 @@ def _insert(layer: Layer, new: np.ndarray, entry: np.ndarray, beam: int) -> None
 
 
 class Graph:
-    """Layers over unit vectors (float32); layer 0 holds all points, each above about a sixteenth."""
+    """Layers over unit vectors (float32); layer 0 holds all points, each above about a sixteenth.
 
-    def __init__(self, vectors: np.ndarray, layers: list[np.ndarray], entry: int, beam: int = BEAM):
-        self.vectors, self.entry, self.beam = vectors, entry, beam
-        self.layers = [Layer(vectors, links) for links in layers]
+    Inside, points are in the order of their levels, highest first; ``order`` gives their given places.
+    """
+
+    def __init__(self, vectors: np.ndarray, layers: list[np.ndarray], order: np.ndarray, beam: int = BEAM):
+        self.vectors, self.order, self.beam = vectors, order, beam
+        self.layers = [Layer(vectors[: len(links)], links) for links in layers]
 
     @classmethod
     def build(cls, vectors: np.ndarray, seed: int = 11) -> "Graph":
         n = len(vectors)
         level = np.minimum(np.floor(-np.log(1 - np.random.default_rng(seed).random(n)) / np.log(LINKS)), 6).astype(int)
         order = np.argsort(-level, kind="stable")
-        graph = cls(vectors, [], int(order[0]))
+        vectors = vectors[order]  # members of a layer are its first points
+        graph = cls(vectors, [], order)
         for k in range(int(level.max()), -1, -1):
-            layer = Layer(vectors, np.full((n, 2 * LINKS), -1))
-            members, size = order[level[order] >= k], 1
-            while size < len(members):
-                new = members[size : size + min(TOGETHER, size)]
+            members, size = int((level >= k).sum()), 1
+            layer = Layer(vectors[:members], np.full((members, 2 * LINKS), -1, np.int32))
+            while size < members:
+                new = np.arange(size, min(size + min(TOGETHER, size), members))
                 _insert(layer, new, graph._descend(vectors[new]), BEAM)
                 size += len(new)
             graph.layers.insert(0, layer)
         return graph
 
     def _descend(self, asked: np.ndarray, bottom: int = 0) -> np.ndarray:
-        entry = np.full(len(asked), self.entry)
+        entry = np.zeros(len(asked), np.int64)
         for layer in self.layers[bottom:][::-1]:
             ids, _ = layer.search(asked, entry, 4)
             entry = ids[:, 0]
@@ -191,6 +197,10 @@ class Graph:
 
     def within(self, asked: np.ndarray, floor: float) -> tuple[np.ndarray, np.ndarray]:
         """(row of ``asked``, point) with a cosine of about ``floor`` or more."""
+        row, point = self._within(asked, floor)
+        return row, self.order[point]
+
+    def _within(self, asked: np.ndarray, floor: float) -> tuple[np.ndarray, np.ndarray]:
         if self.beam >= len(self.vectors):
             return np.nonzero(asked @ self.vectors.T >= floor)
         out = [np.zeros((2, 0), np.int64)]
@@ -236,7 +246,7 @@ class Graph:
             found = np.zeros(len(asked), np.int64)
             for a in range(0, len(with_close), 64):
                 some = with_close[a : a + 64]
-                row, point = self.within(asked[some], threshold - slack)
+                row, point = self._within(asked[some], threshold - slack)
                 self_found = own[some[row]] & (pick[np.minimum(some[row], len(pick) - 1)] == point)
                 row, point = row[~self_found], point[~self_found]
                 for c in range(0, len(row), 1 << 16):
@@ -260,14 +270,15 @@ class Graph:
 
     def to_bytes(self) -> bytes:
         out = io.BytesIO()
-        layers = np.stack([x.links for x in self.layers]).astype(np.int32)
-        np.savez(out, vectors=self.vectors, layers=layers, entry=self.entry, beam=self.beam)
+        layers = {f"layer{k}": x.links for k, x in enumerate(self.layers)}
+        np.savez(out, vectors=self.vectors, order=self.order, beam=self.beam, **layers)
         return out.getvalue()
 
     @classmethod
     def from_bytes(cls, raw: bytes) -> "Graph":
         z = np.load(io.BytesIO(raw))
-        return cls(z["vectors"], list(z["layers"].astype(np.int64)), int(z["entry"]), int(z["beam"]))
+        layers = [z[f"layer{k}"] for k in range(sum(name.startswith("layer") for name in z.files))]
+        return cls(z["vectors"], layers, z["order"], int(z["beam"]))
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -343,6 +354,14 @@ def linked_points(points: DataFrame, graphs: DataFrame, folder: str, threshold:
     return asked.select("id", "embedding", "file", "dim").mapInArrow(ask, "a bigint, b bigint").distinct()
 
 
+def with_shards(points: DataFrame, fewest: int = SHARDS) -> DataFrame:
+    """``points`` (embedding, dim) with shards, as many as their count needs, and shard."""
+    most = F.least(F.lit(SHARD_VECTORS), F.greatest(F.lit(1), F.floor(F.lit(SHARD_BYTES) / (F.col("dim") * 28 + 600))))
+    needed = F.greatest(F.lit(fewest), F.ceil(F.count("*") / most)).cast("int").alias("shards")
+    count = stored(points.groupBy("dim").agg(needed), "shards")
+    return points.join(count, "dim").withColumn("shard", F.pmod(F.xxhash64("embedding"), F.col("shards")).cast("int"))
+
+
 def near_duplicate_vectors(
     vectors: DataFrame, threshold: float = 0.9, shards: int = SHARDS, id: str = "vec_id", embedding: str = "embedding"
 ) -> DataFrame:
@@ -359,9 +378,9 @@ def near_duplicate_vectors(
     usable = rows.filter("id is not null").filter(F.col("embedding").isNotNull() & sound & F.exists("embedding", lambda x: x != 0))
     kinds = usable.groupBy("embedding").agg(F.min("id").alias("rep"), F.count("*").alias("weight"))
     kinds = kinds.select(F.col("rep").alias("id"), "embedding", "weight", F.size("embedding").alias("dim"))
-    points = stored(kinds.withColumn("shard", F.pmod(F.xxhash64("embedding"), F.lit(shards)).cast("int")), "vectors")
+    points = with_shards(stored(kinds, "vectors"), shards)
     folder = new_path(vectors.sparkSession, "graphs")
-    graphs = build_graphs(points.select("id", "embedding", "dim", "shard", F.lit(shards).alias("shards")), folder, threshold)
+    graphs = build_graphs(points.select("id", "embedding", "dim", "shard", "shards"), folder, threshold)
     links = stored(linked_points(points, graphs, folder, threshold), "vector-links")
     weight = points.select("id", "weight")
     ends = links.select(F.col("a").alias("id"), F.col("b").alias("other")).unionByName(

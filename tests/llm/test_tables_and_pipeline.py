@@ -222,6 +222,23 @@ def test_audit_asks_with_vectors_of_other_shards():
     assert len({r for r, p in zip(row.tolist(), point.tolist()) if p == 600 + r}) >= 97
 
 
+def test_shards_grow_with_the_count(spark, monkeypatch):
+    monkeypatch.setattr(hnsw, "SHARD_VECTORS", 50)
+    df = spark.createDataFrame([(i, [float(i), 1.0], 2) for i in range(1000)] + [(i, [float(i)], 1) for i in range(5)], "id long, embedding array<double>, dim int")
+    rows = hnsw.with_shards(df).select("dim", "shards", "shard").collect()
+    assert {(r.dim, r.shards) for r in rows} == {(2, 20), (1, 8)} and len(rows) == 1005
+    assert max(Counter((r.dim, r.shard) for r in rows).values()) < 100
+
+
+def test_upper_layers_hold_their_members_only():
+    unit = skewed()
+    graph = hnsw.Graph.build(unit)
+    sizes = [x.links.shape[0] for x in graph.layers]
+    assert sizes[0] == len(unit) and sum(sizes[1:]) < len(unit) // 4
+    row, point = hnsw.Graph.from_bytes(graph.to_bytes()).within(unit, 0.86)
+    assert {(i, i) for i in range(len(unit))} <= set(zip(row.tolist(), point.tolist()))
+
+
 def test_queries_equal_their_sql(spark):
     sf = "/root/testdata/sf0.001"
     con = duckdb.connect()
