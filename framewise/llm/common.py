@@ -4,9 +4,13 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+#: Rows of a task counted together by ``repeats``, buckets summed up together by ``counted_before``.
+TOGETHER = 1 << 16
+BUCKETS = 1 << 12
+
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder of ``spark.checkpoint.dir``; where that is unset, one under the warehouse."""
@@ -64,6 +68,39 @@ def row_key(id_col: str, text_col: str | Column) -> Column:
     )
 
 
+def repeats(rows: DataFrame) -> DataFrame:
+    """The different rows of stretches of ``rows``, with copies and block (names the stretch).
+
+    Equal rows are counted before they are shuffled. A row that is repeated without
+    end shows once per stretch of ``TOGETHER`` rows, so copies never exceeds that.
+    """
+    names = rows.columns
+    dealt = rows.withColumn("block", F.shiftright(F.monotonically_increasing_id(), TOGETHER.bit_length() - 1))
+    return dealt.groupBy(*names, "block").agg(F.count("*").alias("copies"))
+
+
+def counted_before(counts: DataFrame, group: list[str], bucket: str) -> DataFrame:
+    """``counts`` (group..., bucket, n) with before, the sum of n in smaller buckets of the group, and total.
+
+    Sums up ``BUCKETS`` buckets at a time and then those sums, so that no task sees all buckets of a group.
+    """
+    counts = stored(counts.withColumn("part", F.floor(F.col(bucket) / BUCKETS)), "counts")
+    parts = counts.groupBy(*group, "part").agg(F.sum("n").alias("n"))
+    order = Window.partitionBy(*group).orderBy("part")
+    parts = parts.select(
+        *[F.col(g).alias(f"_{g}") for g in group],
+        F.col("part").alias("_part"),
+        (F.sum("n").over(order) - F.col("n")).alias("_before"),
+        F.sum("n").over(Window.partitionBy(*group)).alias("total"),
+    )
+    within = F.sum("n").over(Window.partitionBy(*group, "part").orderBy(bucket)) - F.col("n")
+    same = F.col("part") == F.col("_part")
+    for g in group:
+        same &= F.col(g).eqNullSafe(F.col(f"_{g}"))
+    out = counts.withColumn("before", within).join(parts, same)
+    return out.select(*group, bucket, "n", (F.col("before") + F.col("_before")).alias("before"), "total")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node, component (both bigint) for ``edges`` (a, b): the smallest node reachable.
 

@@ -10,6 +10,7 @@ from .hnsw import near_duplicate_vectors
 from .language import held_out, identify, learn_languages
 from .mixing import mix_oracle, mix_sources
 from .packing import pack_documents
+from .sharding import shard_plan, sharding_oracle
 from .shingle_join import jaccard_components
 from .token_files import token_digest
 from .tokens import tokenizer_path
@@ -79,6 +80,13 @@ def op10_embedding_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return near_duplicate_vectors(table(spark, sf, "embeddings"))
 
 
+def op13_sharding(spark: SparkSession, sf: str) -> DataFrame:
+    plan = shard_plan(table(spark, sf, "documents"), shards=24)
+    return plan.select(
+        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
+    )
+
+
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_ngram_jaccard": op2_ngram_jaccard,
@@ -90,6 +98,7 @@ QUERIES = {
     "op8_url_filter": op8_url_filter,
     "op9_toxicity": op9_toxicity,
     "op10_embedding_dedup": op10_embedding_dedup,
+    "op13_sharding": op13_sharding,
 }
 
 ORACLE = {
@@ -104,6 +113,7 @@ ORACLE = {
       CASE WHEN original <> page_id THEN original END AS refers_to
     FROM rows LEFT JOIN last USING (html)""",
     "op3_mix_sources": mix_oracle(),
+    "op13_sharding": sharding_oracle(),
     "op4_exact_dedup": r"""
     WITH rows AS (
       SELECT doc_id, length(coalesce(text, '')) AS n,
