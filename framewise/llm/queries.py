@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .block_names import exact_dedup
+from .hard_negatives import hard_negatives, hard_negatives_oracle
 from .hnsw import near_duplicate_vectors
 from .language import held_out, identify, learn_languages
 from .mixing import mix_oracle, mix_sources
@@ -80,6 +81,12 @@ def op10_embedding_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return near_duplicate_vectors(table(spark, sf, "embeddings"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf: str) -> DataFrame:
+    vectors = table(spark, sf, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(vectors.withColumn("label", label), positives=5, negatives=10, percent=(30, 90))
+
+
 def op13_sharding(spark: SparkSession, sf: str) -> DataFrame:
     plan = shard_plan(table(spark, sf, "documents"), shards=24)
     return plan.select(
@@ -98,6 +105,7 @@ QUERIES = {
     "op8_url_filter": op8_url_filter,
     "op9_toxicity": op9_toxicity,
     "op10_embedding_dedup": op10_embedding_dedup,
+    "op11_hard_negatives": op11_hard_negatives,
     "op13_sharding": op13_sharding,
 }
 
@@ -113,6 +121,7 @@ ORACLE = {
       CASE WHEN original <> page_id THEN original END AS refers_to
     FROM rows LEFT JOIN last USING (html)""",
     "op3_mix_sources": mix_oracle(),
+    "op11_hard_negatives": hard_negatives_oracle(),
     "op13_sharding": sharding_oracle(),
     "op4_exact_dedup": r"""
     WITH rows AS (
