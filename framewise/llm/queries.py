@@ -11,6 +11,7 @@ from .hnsw import near_duplicate_vectors
 from .language import held_out, identify, learn_languages
 from .mixing import mix_oracle, mix_sources
 from .packing import pack_documents
+from .ranked_search import ranked_search, search_oracle
 from .sharding import shard_plan, sharding_oracle
 from .shingle_join import jaccard_components
 from .token_files import token_digest
@@ -87,6 +88,10 @@ def op11_hard_negatives(spark: SparkSession, sf: str) -> DataFrame:
     return hard_negatives(vectors.withColumn("label", label), positives=5, negatives=10, percent=(30, 90))
 
 
+def op12_ranked_search(spark: SparkSession, sf: str) -> DataFrame:
+    return ranked_search(table(spark, sf, "documents"), table(spark, sf, "benchmark"), k=20)
+
+
 def op13_sharding(spark: SparkSession, sf: str) -> DataFrame:
     plan = shard_plan(table(spark, sf, "documents"), shards=24)
     return plan.select(
@@ -106,6 +111,7 @@ QUERIES = {
     "op9_toxicity": op9_toxicity,
     "op10_embedding_dedup": op10_embedding_dedup,
     "op11_hard_negatives": op11_hard_negatives,
+    "op12_ranked_search": op12_ranked_search,
     "op13_sharding": op13_sharding,
 }
 
@@ -122,6 +128,7 @@ ORACLE = {
     FROM rows LEFT JOIN last USING (html)""",
     "op3_mix_sources": mix_oracle(),
     "op11_hard_negatives": hard_negatives_oracle(),
+    "op12_ranked_search": search_oracle(),
     "op13_sharding": sharding_oracle(),
     "op4_exact_dedup": r"""
     WITH rows AS (

@@ -70,9 +70,9 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return mix((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
 
 
-def words(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends of the runs without white space, and where each text's words begin."""
-    word = ~WHITE[data]
+def words(data: np.ndarray, at: np.ndarray, apart: np.ndarray = WHITE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the runs without a byte of ``apart``, and where each text's words begin."""
+    word = ~apart[data]
     before = np.empty_like(word)
     before[1:] = word[:-1]
     before[:1] = False
