@@ -15,10 +15,13 @@ How this spreads over a cluster without losing a link:
 * Documents with equal sets are one point.
 * Points that share the least hash under one of three orders meet first, each in
   a tree; links found there are verified at once, and only as many as
-  connect the points leave the task. Then the points meet by all hashes that similar sets
-  must share, but only where those lie in different components, and only pairs that
-  have not met before count. So a group of many copies costs each copy a few
-  comparisons, and still no link between components is missed.
+  connect the points leave the task. Where more than ``BLOCK`` share a hash, blocks of
+  them meet a few points that stand in all blocks, so this step is linear in the points.
+* Then the points meet by the hashes that similar sets must share: the first of each set,
+  those last that ``HOT`` or more have there. Only points of different
+  components meet, a pair counts only at its first common hash, and
+  only if no bound on its counts forbids it. So a group of many copies, or a passage that many texts share, costs each
+  text a few comparisons, and still no link between components is missed.
 """
 
 from __future__ import annotations
@@ -31,7 +34,7 @@ import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, forget, row_key, stored
+from .common import components, forget, repeats, row_key, stored
 from .scan import LOWER, batch_bytes, mix, slices, span_hashes, words
 
 WORDS = 5
@@ -39,11 +42,13 @@ GROUPS = 64
 LEAF = 16
 #: Points of one hash that one task compares; more are dealt to several tasks.
 BLOCK = 4096
+#: Points that stand in all blocks of a run.
+PIVOTS = 32
+#: So many points make a hash one that sets are not told apart by.
+HOT = 64
 #: Orders of the hashes whose least hash brings points together first.
 RUNS = 3
-_FULL = 0xFFFF
-#: Sets of more shingles have finer counts too.
-LARGE = 1024
+_FULL = 0xFF
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 
 
@@ -90,7 +95,7 @@ def _batch_sets(column: pa.Array, width: int):
 
 
 def _census(docs: DataFrame, share: tuple[int, int], width: int) -> DataFrame:
-    """key, doc_id, n, copies, credit per row key: credit below 0 means similar to no other row.
+    """key, doc_id, n, copies, credit per row (and stretch of its repeats): credit below 0 means similar to no other row.
 
     Of a set's smallest hashes, (those that may be lacking) + a tenth of the
     set are looked at; a similar set has the tenth (of the smaller set) too.
@@ -177,26 +182,21 @@ def _census(docs: DataFrame, share: tuple[int, int], width: int) -> DataFrame:
     # rows without a bucket are sums and sizes of rows; they go by their key
     dealt = dealt.repartition(F.when(F.col("bucket") < 0, F.col("key")).otherwise(F.col("bucket").cast("bigint")))
     met = dealt.sortWithinPartitions("bucket").mapInArrow(meet, kinds)
-    return met.groupBy("key").agg(
-        F.max("doc_id").alias("doc_id"),
-        F.max("n").alias("n"),
-        F.count("n").alias("copies"),
-        F.sum("credit").alias("credit"),
-    )
+    met = stored(met.select("key", "doc_id", "n", "credit"), "credits")
+    # keys are hashes: rows whose keys agree by chance share what speaks for them, so none is lost
+    credits = met.filter("n is null").groupBy("key").agg(F.sum("credit").alias("more"))
+    own = repeats(met.filter("n is not null"))
+    census = own.join(credits, "key", "left").withColumn("credit", F.col("credit") + F.coalesce("more", F.lit(0)))
+    return census.select("key", "doc_id", "n", "copies", "credit")
 
 
 def _sets(docs: DataFrame, width: int) -> DataFrame:
-    """id, n, f1, f2 (fingerprint of the set), runs (its least hash under each of ``RUNS`` orders), hashes, counts."""
+    """key, doc_id, n, f1, f2 (fingerprint of the set), runs (its least hash under each of ``RUNS`` orders), hashes, counts."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0)
-            for a, hashes, first in _batch_sets(batch.column(1), width):
+            for a, hashes, first in _batch_sets(batch.column(2), width):
                 n = np.diff(first)
-                of = np.repeat(np.arange(len(n)), n)
-                counts = np.bincount(of * GROUPS + (mix(hashes) % np.uint64(GROUPS)).astype(np.int64), minlength=len(n) * GROUPS)
-                counts = counts.reshape(len(n), GROUPS)
-                counts[(counts > _FULL).any(1)] = _FULL  # then the bound is the other set's size
                 f1, f2, runs = np.zeros(len(n), np.int64), np.zeros(len(n), np.int64), np.zeros((len(n), RUNS), np.int64)
                 full = np.flatnonzero(n)
                 if len(full):
@@ -207,17 +207,47 @@ def _sets(docs: DataFrame, width: int) -> DataFrame:
                         order = hashes if k == 0 else mix(hashes ^ _ODD[k])
                         runs[full, k] = np.minimum.reduceat(order, at).view(np.int64)
                 lists = pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(hashes.view(np.int64)))
-                raw = [c.tobytes() + _fine(hashes[first[i] : first[i + 1]]) for i, c in enumerate(counts.astype("<u2"))]
+                raw = [_counts(hashes[i:j]).tobytes() for i, j in zip(first[:-1], first[1:])]
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(a, len(n)), pa.array(n), pa.array(f1), pa.array(f2), pa.array(runs.tolist(), pa.list_(pa.int64())), lists, pa.array(raw, pa.binary())],
-                    names=["id", "n", "f1", "f2", "runs", "hashes", "counts"],
+                    [*(batch.column(k).slice(a, len(n)) for k in (0, 1)), pa.array(n), pa.array(f1), pa.array(f2), pa.array(runs.tolist(), pa.list_(pa.int64())), lists, pa.array(raw, pa.binary())],
+                    names=["key", "doc_id", "n", "f1", "f2", "runs", "hashes", "counts"],
                 )
 
-    return docs.mapInArrow(
-        make, "id bigint, n bigint, f1 bigint, f2 bigint, runs array<bigint>, hashes array<bigint>, counts binary"
+    return docs.select("key", "doc_id", "text").mapInArrow(
+        make, "key bigint, doc_id bigint, n bigint, f1 bigint, f2 bigint, runs array<bigint>, hashes array<bigint>, counts binary"
     )
 
 
+def _counts(hashes: np.ndarray) -> np.ndarray:
+    """How many hashes fall into each group, a byte a group: ``GROUPS`` or more groups, a power of two.
+
+    There are half as many as hashes up to 512 hashes and an eighth of very many. With fewer, sets without a
+    common hash would look alike. A count beyond a byte fills all, which bounds nothing.
+    """
+    bits = max(len(hashes) - 1, 1).bit_length()
+    groups = max(GROUPS, min(256, 1 << bits - 1), 1 << max(bits - 3, 0))
+    counts = np.bincount((mix(hashes) % np.uint64(groups)).astype(np.int64), minlength=groups)
+    return (np.full(groups, _FULL) if counts.max() >= _FULL else counts).astype(np.uint8)
+
+
+def _folded(raw: bytes, groups: int = GROUPS) -> np.ndarray:
+    """Counts over fewer groups: groups are powers of two, so the halves fall together."""
+    counts = np.frombuffer(raw, np.uint8)
+    if counts[0] == _FULL and (counts == _FULL).all():
+        return np.full(groups, 0xFFFF, np.uint16)
+    return counts.reshape(-1, groups).sum(0, dtype=np.uint16)
+
+
+def _points(rows: list[bytes]) -> np.ndarray:
+    return np.stack([_folded(x) for x in rows]) if rows else np.zeros((0, GROUPS), np.uint16)
+
+
+def _bound(a: bytes, b: bytes) -> int:
+    """Bound of the overlap of two sets from their counts."""
+    groups = min(len(a), len(b))
+    return int(np.minimum(_folded(a, groups), _folded(b, groups)).sum(dtype=np.int64))
+
+
 class CountTree:
     """Points packed into leaves and nodes in order of size and counts; nodes keep upper corner and least size."""
 
@@ -287,35 +317,6 @@ def _edges_of(batch: pa.RecordBatch) -> np.ndarray:
     return np.append(np.flatnonzero(new), batch.num_rows)
 
 
-def _counts(rows: list[bytes]) -> np.ndarray:
-    return np.frombuffer(b"".join([x[: 2 * GROUPS] for x in rows]), "<u2").reshape(-1, GROUPS)
-
-
-def _fine(hashes: np.ndarray) -> bytes:
-    """Counts of a large set over more groups, an eighth of its size or more, a byte each.
-
-    The bound by ``GROUPS`` groups says little where hundreds of shingles share a group.
-    """
-    if len(hashes) <= LARGE:
-        return b""
-    groups = 1 << (len(hashes) - 1).bit_length() - 3
-    counts = np.bincount((mix(hashes) % np.uint64(groups)).astype(np.int64), minlength=groups)
-    return (np.full(groups, 255) if counts.max() >= 255 else counts).astype(np.uint8).tobytes()
-
-
-def _fine_bound(a: bytes, b: bytes, none: int) -> int:
-    """Bound of the overlap from the fine counts of two sets; ``none`` if one has none."""
-    a, b = (np.frombuffer(x, np.uint8, offset=2 * GROUPS).astype(np.uint16) for x in (a, b))
-    if not len(a) or not len(b):
-        return none
-    while len(a) != len(b):  # groups are powers of two: the halves of the longer one fall together
-        a, b = (a, b) if len(a) < len(b) else (b, a)
-        half = len(b) // 2
-        full = (b >= 255).all()
-        b = np.full(half, 0xFFFF, np.uint16) if full else b[:half] + b[half:]
-    return int(np.minimum(a, b).sum(dtype=np.int64))
-
-
 def _pairs(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
     both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0) if len(a) else np.zeros((0, 2), np.int64)
     return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"])
@@ -379,27 +380,36 @@ def _links_within(runs, which, ids, sizes, counts, hashes, first, share) -> tupl
     return least[other], ids[other]
 
 
-def _first_links(points: DataFrame, share: tuple[int, int]) -> DataFrame:
-    """Verified links among points that share the least hash under one of the orders.
+def _shared_runs(points: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """id, nth, run, m of the runs that ``m`` > 1 points share; the points with runs of more than ``BLOCK`` made different.
 
-    A run of many points is dealt to blocks of about ``BLOCK``, every two of which meet.
+    So points share a run in the second table only if ``_first_links`` has seen them together.
     """
     runs = points.select("id", F.posexplode("runs").alias("nth", "run"))
-    sizes = runs.groupBy("nth", "run").agg(F.count("*").alias("m")).filter("m > 1")
-    sizes = sizes.select("nth", "run", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
-    cells = runs.join(sizes, ["nth", "run"])
-    own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
-    cells = cells.withColumn("own", own).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    # one number names the cell within a run: its order, and the two blocks
-    cell = F.col("nth") + RUNS * F.least("own", "with")
-    cells = cells.select("id", "run", cell.cast("int").alias("cell_a"), F.greatest("own", "with").alias("cell_b"))
-    laid = cells.join(points, "id").select("run", "cell_a", "cell_b", "id", "n", "runs", "counts", "hashes")
-    laid = laid.repartition("run", "cell_a", "cell_b").sortWithinPartitions("run", "cell_a", "cell_b")
+    sizes = stored(runs.groupBy("nth", "run").agg(F.count("*").alias("m")).filter("m > 1"), "run-sizes")
+    wide = runs.join(sizes.filter(F.col("m") > BLOCK), ["nth", "run"]).groupBy("id").agg(F.collect_list("nth").alias("wide"))
+    own = F.transform("runs", lambda r, k: F.when(F.array_contains("wide", k), F.xxhash64("id", k)).otherwise(r))
+    own = F.when(F.col("wide").isNull(), F.col("runs")).otherwise(own)
+    return runs.join(sizes, ["nth", "run"]), points.join(wide, "id", "left").withColumn("runs", own).drop("wide")
+
+
+def _first_links(points: DataFrame, runs: DataFrame, share: tuple[int, int]) -> DataFrame:
+    """Verified links among ``points`` that share the least hash under one of the orders.
+
+    All pairs of a run are looked at, except that a run of more than ``BLOCK`` points is
+    dealt to blocks of about as many, which have about ``PIVOTS`` points in common.
+    """
+    blocks = F.ceil(F.col("m") / BLOCK).cast("int")
+    pivot = (F.col("m") > BLOCK) & (F.pmod(F.xxhash64("id", F.lit("pivot")), F.col("m")) < PIVOTS)
+    own = F.array(F.pmod(F.xxhash64("id"), blocks).cast("int"))
+    cells = runs.withColumn("block", F.explode(F.when(pivot, F.sequence(F.lit(0), blocks - 1)).otherwise(own)))
+    laid = cells.join(points, "id").select("run", "nth", "block", "id", "n", "runs", "counts", "hashes")
+    laid = laid.repartition("run", "nth", "block").sortWithinPartitions("run", "nth", "block")
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _by_cell(batches):
-            edges, nth = _edges_of(batch), batch.column(1).to_numpy() % RUNS
-            ids, sizes, counts = batch.column(3).to_numpy(), batch.column(4).to_numpy(), _counts(batch.column(6).to_pylist())
+            edges, nth = _edges_of(batch), batch.column(1).to_numpy()
+            ids, sizes, counts = batch.column(3).to_numpy(), batch.column(4).to_numpy(), _points(batch.column(6).to_pylist())
             runs = batch.column(5).flatten().to_numpy().reshape(-1, RUNS)
             hashes = batch.column(7).flatten().to_numpy().view(np.uint64)
             first = np.append(0, np.cumsum(pa.compute.list_value_length(batch.column(7)).to_numpy()))
@@ -414,30 +424,62 @@ def _first_links(points: DataFrame, share: tuple[int, int]) -> DataFrame:
     return laid.mapInArrow(find, "a bigint, b bigint").distinct()
 
 
-def _other_pairs(points: DataFrame, names: DataFrame, share: tuple[int, int]) -> DataFrame:
-    """a, b: all pairs that may still link two components.
+def _prefixes(points: DataFrame, names: DataFrame, share: tuple[int, int]) -> DataFrame:
+    """id, comp, n, runs, counts, prefix: the hashes of which a similar set must have one.
 
-    They share one of the hashes that a similar pair must share, no run of
-    ``_first_links``, and the bound by counts lets them be similar.
+    Hashes are in one order for all sets, by size and those last that ``HOT`` or more sets have
+    among the first by size.
     """
-    few = F.col("n") - F.ceil(F.col("n") * share[0] / share[1]) + 1
-    keys = points.select("id", F.explode(F.slice("hashes", F.lit(1), few.cast("int"))).alias("key"))
-    keys = keys.join(names, F.col("id") == F.col("node"), "left").select("id", "key", F.coalesce("component", "id").alias("comp"))
-    sizes = keys.groupBy("key").agg(F.count("*").alias("m"), F.min("comp").alias("c0"), F.max("comp").alias("c1"))
-    sizes = sizes.filter("c0 <> c1").select("key", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
-    own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
-    cells = keys.join(sizes, "key").withColumn("own", own)
-    cells = cells.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    cells = cells.select("key", F.least("own", "with").alias("cell_a"), F.greatest("own", "with").alias("cell_b"), "comp", "id")
-    laid = cells.join(points.select("id", "n", "runs", "counts"), "id").select("key", "cell_a", "cell_b", "comp", "id", "n", "runs", "counts")
+    few = (F.col("n") - F.ceil(F.col("n") * share[0] / share[1]) + 1).cast("int")
+    hot = points.select(F.explode(F.slice("hashes", F.lit(1), few)).alias("key")).groupBy("key").agg(F.count("*").alias("m"))
+    hot = stored(hot.filter(F.col("m") >= HOT).select("key"), "hot-hashes")
+    held = points.select("id", F.explode("hashes").alias("key")).join(hot, "key").groupBy("id").agg(F.collect_list("key").alias("hot"))
+    out = points.join(held, "id", "left").join(names, F.col("id") == F.col("node"), "left")
+    none = F.array().cast("array<bigint>")
+    hot = F.coalesce("hot", none)
+    ordered = F.concat(F.array_except("hashes", hot), F.array_intersect("hashes", hot))
+    return out.select(
+        "id", F.coalesce("component", "id").alias("comp"), "n", "runs",
+        "counts", F.slice(ordered, F.lit(1), few).alias("prefix"),
+    )
+
+
+def _other_pairs(prefixes: DataFrame, share: tuple[int, int]) -> DataFrame:
+    """a, b: all pairs that may still link two components, each found at its first common hash.
+
+    They share no run of ``_first_links``, and the bound by counts lets them be similar. Of a hash
+    that more than ``BLOCK`` points share, those outside the largest component ask all, block by block.
+    """
+    keys = prefixes.select("id", "comp", F.explode("prefix").alias("key"))
+    sizes = keys.groupBy("key", "comp").agg(F.count("*").alias("m"))
+    sizes = sizes.groupBy("key").agg(
+        F.sum("m").alias("m"), F.count("*").alias("comps"), F.max_by("comp", F.struct("m", "comp")).alias("top"), F.max("m").alias("most")
+    ).filter("comps > 1")
+    few = F.col("m") <= BLOCK
+    sizes = sizes.select(
+        "key",
+        "top",
+        F.when(few, 1).otherwise(F.ceil((F.col("m") - F.col("most")) / BLOCK)).cast("int").alias("asks"),
+        F.when(few, 1).otherwise(F.ceil(F.col("m") / BLOCK)).cast("int").alias("all"),
+    )
+    cells = keys.join(sizes, "key")
+    place = F.xxhash64("id")
+    own_ask, own_all = F.pmod(place, F.col("asks")).cast("int"), F.pmod(place, F.col("all")).cast("int")
+    asked = F.transform(F.sequence(F.lit(0), F.col("asks") - 1), lambda k: F.struct(k.alias("a"), own_all.alias("b")))
+    asking = F.transform(F.sequence(F.lit(0), F.col("all") - 1), lambda k: F.struct(own_ask.alias("a"), k.alias("b")))
+    cell = F.when(F.col("comp") == F.col("top"), asked).otherwise(F.array_distinct(F.concat(asked, asking)))
+    cells = cells.select("id", "key", F.explode(cell).alias("cell"))
+    cells = cells.select("id", "key", F.col("cell.a").alias("cell_a"), F.col("cell.b").alias("cell_b"))
+    laid = cells.join(prefixes, "id").select("key", "cell_a", "cell_b", "comp", "id", "n", "runs", "counts", "prefix")
     laid = laid.repartition("key", "cell_a", "cell_b").sortWithinPartitions("key", "cell_a", "cell_b")
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _by_cell(batches):
             edges = _edges_of(batch)
-            comp, ids, sizes = (batch.column(k).to_numpy() for k in (3, 4, 5))
+            key, comp, ids, sizes = (batch.column(k).to_numpy() for k in (0, 3, 4, 5))
             runs, raw = batch.column(6).flatten().to_numpy().reshape(-1, RUNS), batch.column(7).to_pylist()
-            counts = _counts(raw)
+            counts, prefix = _points(raw), batch.column(8).flatten().to_numpy()
+            begin = np.append(0, np.cumsum(pa.compute.list_value_length(batch.column(8)).to_numpy()))
 
             def open_(i, j):
                 return (comp[i] != comp[j]) & (runs[i] != runs[j]).all(1) & _similar(np.minimum(sizes[i], sizes[j]), sizes[i], sizes[j], share)
@@ -468,22 +510,26 @@ def _other_pairs(points: DataFrame, names: DataFrame, share: tuple[int, int]) ->
                     use = open_(i, j)
                     out.append(np.stack([i[use], j[use]]))
             i, j = np.concatenate(out, 1)
-            keep = np.ones(len(i), bool)
-            for k in np.flatnonzero((sizes[i] > LARGE) & (sizes[j] > LARGE)).tolist():
-                a, b = int(i[k]), int(j[k])
-                keep[k] = _similar(_fine_bound(raw[a], raw[b], int(sizes[a])), int(sizes[a]), int(sizes[b]), share)
+            keep = np.zeros(len(i), bool)
+            for k, (x, y) in enumerate(zip(i.tolist(), j.tolist())):
+                if _similar(_bound(raw[x], raw[y]), int(sizes[x]), int(sizes[y]), share):
+                    mine = prefix[begin[x] : begin[x + 1]]
+                    common = np.isin(mine, prefix[begin[y] : begin[y + 1]])
+                    keep[k] = mine[common.argmax()] == key[x]
             yield _pairs(ids[i[keep]], ids[j[keep]])
 
     return laid.mapInArrow(find, "a bigint, b bigint").distinct()
 
 
-def one_of_component(docs: DataFrame, found: DataFrame, id: str = "doc_id") -> DataFrame:
-    """The rows of ``docs`` that stand for their component: those with its smallest id.
-
-    Rows with a null id stay.
-    """
-    gone = found.filter("component_id <> doc_id").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(gone, F.col(id) == F.col("_id"), "left_anti")
+def one_of_component(docs: DataFrame, found: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``docs`` that stand for their component, as ``jaccard_components`` found it: one row each."""
+    keyed = docs.withColumn("_id", F.col(id).cast("bigint")).withColumn("_key", F.xxhash64(row_key("_id", text)))
+    # the different rows; all but one of a component go, and repeats of a row that stays are sought only among those that have any
+    rows = found.groupBy("row_hash", "doc_id").agg(F.max("kept").alias("kept"), F.count("*").alias("copies"))
+    rows = stored(rows.filter("not kept or copies > 1").withColumnsRenamed({"row_hash": "_k", "doc_id": "_d"}), "leaving")
+    same = (F.col("_key") == F.col("_k")) & F.col("_id").eqNullSafe(F.col("_d"))
+    once = keyed.join(rows.filter("kept"), same, "left_semi").dropDuplicates(["_key", "_id"])
+    return keyed.join(rows, same, "left_anti").unionByName(once).drop("_key", "_id")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, share: tuple[int, int]) -> DataFrame:
@@ -498,32 +544,49 @@ def _verified(pairs: DataFrame, sets: DataFrame, share: tuple[int, int]) -> Data
 def jaccard_components(
     docs: DataFrame, share: tuple[int, int] = (4, 5), width: int = WORDS, id: str = "doc_id", text: str = "text"
 ) -> DataFrame:
-    """One row per row of ``docs``: doc_id, n_shingles, component_id.
+    """One row per row of ``docs``: doc_id, n_shingles, component_id, row_hash, kept.
 
     Two documents link when their shingle sets overlap by ``share`` of their
-    union or more. The component's id is the smallest doc_id reachable. A null
-    or empty text, or one without words, has 0 shingles and links with
-    nothing; rows with a null id link with nothing and have a null component.
-    Rows that share an id are one document with several texts. Other columns
-    are not read. An empty table gives an empty table.
+    union or more. The component's id is the smallest doc_id reachable (null if
+    none has one). A null or empty text, or one without words, has 0 shingles and links with
+    nothing. Every row is a document: rows with a null id or one id and several texts link by their texts like others.
+    Of a component the row with the smallest id (null last, then by row_hash, a hash of id and text) is kept;
+    equal rows share its decision. Other columns are not read. An empty table gives an empty table.
     """
     rows = docs.select(F.col(id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
-    rows = rows.withColumn("row_key", row_key("doc_id", "text")).withColumn("key", F.xxhash64("row_key"))
+    rows = rows.withColumn("key", F.xxhash64(row_key("doc_id", "text")))
     census = stored(_census(rows, share, width), "census")
-    left = census.filter("credit >= 0 and doc_id is not null").select("key")
-    near = rows.join(left, "key", "left_semi").select(F.col("doc_id").alias("id"), "text")
-    sets = stored(_sets(near, width), "sets")
-    first = sets.groupBy("n", "f1", "f2").agg(F.min("id").alias("rep"))
-    same = sets.join(first, ["n", "f1", "f2"]).filter("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b"))
-    same = stored(same.distinct(), "equal-sets")
-    points = sets.join(first, ["n", "f1", "f2"]).filter("id = rep").dropDuplicates(["id", "n", "f1", "f2"])
+    near = rows.join(census.filter("credit >= 0").select("key").distinct(), "key", "left_semi")
+    # numbered once and stored, so a node is one row and no hash
+    sets = stored(_sets(near, width).filter("n > 0").withColumn("id", F.monotonically_increasing_id()), "sets")
+    nodes = sets.select("id", "key", "doc_id", "n", "f1", "f2")
+    first = nodes.groupBy("n", "f1", "f2").agg(F.min("id").alias("rep"))
+    same = nodes.join(first, ["n", "f1", "f2"]).select("id", "key", "doc_id", "rep")
+    same = stored(same, "equal-sets")
+    points = sets.join(first.select(F.col("rep").alias("id")), "id", "left_semi")
     points = stored(points.select("id", "n", "runs", "hashes", "counts"), "points")
     forget(sets)
-    links = stored(_first_links(points, share), "links")
-    names = components(links)
-    more = stored(_verified(stored(_other_pairs(points, names, share), "pairs"), points, share), "links")
+    runs, points = _shared_runs(points)
+    names = components(_first_links(points, runs, share))
+    prefixes = stored(_prefixes(points, names, share), "prefixes")
+    more = _verified(stored(_other_pairs(prefixes, share), "pairs"), points, share)
     stars = names.filter("node <> component").select(F.col("component").alias("a"), F.col("node").alias("b"))
-    names = components(stars.unionByName(more).unionByName(same))
-    out = census.join(names, F.col("doc_id") == F.col("node"), "left")
+    names = components(stars.unionByName(more))
+    # rows of equal sets have the component of their point
+    of_rows = same.join(names, F.col("rep") == F.col("node"), "left")
+    of_rows = of_rows.groupBy("key", "doc_id").agg(F.min(F.coalesce("component", "rep")).alias("node"))
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("best")
+    named = stored(of_rows, "row-components")
+    named = named.join(named.groupBy("node").agg(best), "node")
+    named = named.select(F.col("key").alias("_key"), F.col("doc_id").alias("_id"), "best")
+    out = census.join(named, (F.col("key") == F.col("_key")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left")
     out = out.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("bigint"), "copies")))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+    alone = F.col("best").isNull()
+    stays = alone | ((F.col("key") == F.col("best.key")) & F.col("doc_id").eqNullSafe(F.col("best.doc_id")))
+    return out.select(
+        "doc_id",
+        F.col("n").alias("n_shingles"),
+        F.when(alone, F.col("doc_id")).otherwise(F.col("best.doc_id")).alias("component_id"),
+        F.col("key").alias("row_hash"),
+        stays.alias("kept"),
+    )

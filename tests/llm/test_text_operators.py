@@ -169,8 +169,11 @@ def test_jaccard_join(spark, docs):
     assert sum(names[i] != i for i in names) > 20
 
 
-def test_jaccard_join_of_one_large_family_in_blocks(spark, monkeypatch):
-    monkeypatch.setattr(shingle_join, "BLOCK", 16)
+@pytest.mark.parametrize("block, hot", [(16, 64), (4096, 3), (16, 3)])
+def test_jaccard_join_of_one_large_family_in_blocks(spark, monkeypatch, block, hot):
+    monkeypatch.setattr(shingle_join, "BLOCK", block)
+    monkeypatch.setattr(shingle_join, "HOT", hot)
+    monkeypatch.setattr(shingle_join, "PIVOTS", 2)
     import random
 
     draw = random.Random(9)
@@ -185,6 +188,39 @@ def test_jaccard_join_of_one_large_family_in_blocks(spark, monkeypatch):
     assert {r.doc_id: r.component_id for r in found.collect()} == brute_components(brute_sets(rows))
 
 
+def test_texts_that_share_a_passage_or_an_id(spark, monkeypatch):
+    """Every link is found among families that share a passage, with null and repeated ids; decisions are by row."""
+    monkeypatch.setattr(shingle_join, "BLOCK", 8)
+    monkeypatch.setattr(shingle_join, "HOT", 4)
+    import random
+
+    draw = random.Random(21)
+    passage = [f"shared{i}" for i in range(40)]
+    rows = []
+    for family in range(12):
+        base = [f"f{family}w{i}" for i in range(60)]
+        for _ in range(6):
+            words = list(base)
+            for _ in range(draw.choice([0, 1, 2, 5, 9])):
+                words[draw.randrange(60)] = f"own{draw.random()}"
+            rows.append((len(rows), " ".join(words[:30] + passage + words[30:])))
+    near = rows[0][1] + " more"
+    rows += [(0, rows[40][1] + " x"), (None, near), (None, near), (None, "quite another text without kin"), (3, "a clean text of id three " * 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    sets = brute_sets([(k, t) for k, (_, t) in enumerate(rows)])
+    names = brute_components(sets)
+    least = {}
+    for k, top in names.items():
+        if rows[k][0] is not None:
+            least[top] = min(least.get(top, 1 << 60), rows[k][0])
+    expected = sorted(str((rows[k][0], len(sets[k]), least.get(names[k]))) for k in names)
+    found = shingle_join.jaccard_components(docs).collect()
+    assert sorted(str((r.doc_id, r.n_shingles, r.component_id)) for r in found) == expected
+    kept = shingle_join.one_of_component(docs, shingle_join.jaccard_components(docs)).collect()
+    assert len(kept) == len(set(names.values()))
+    assert sum(r.doc_id is None for r in kept) == 1 and (3, rows[-1][1]) in [(r.doc_id, r.text) for r in kept]
+
+
 def test_bound_by_counts_holds():
     draw = np.random.default_rng(2)
     counts = draw.integers(0, 6, (300, shingle_join.GROUPS)).astype("<u2")
@@ -200,24 +236,25 @@ def test_bound_by_counts_holds():
     assert (found >= truth).all()
 
 
-def test_fine_bound_holds():
+def test_bound_of_two_sets_holds():
     draw = np.random.default_rng(6)
-    for n in (1100, 2000, 2100, 5000):
+    for n in (1, 3, 60, 300, 1100, 2000, 2100, 5000):
         a = np.unique(draw.integers(0, 1 << 63, n).astype(np.uint64))
         b = np.unique(np.concatenate([a[: n // 2], draw.integers(0, 1 << 63, n // 2 + 30).astype(np.uint64)]))
-        raw = [bytes(2 * shingle_join.GROUPS) + shingle_join._fine(x) for x in (a, b)]
-        bound = shingle_join._fine_bound(*raw, -1)
-        assert len(np.intersect1d(a, b)) <= bound < 0.9 * n
-    assert shingle_join._fine(a[:500]) == b""
+        raw = [shingle_join._counts(x).tobytes() for x in (a, b)]
+        bound = shingle_join._bound(*raw)
+        assert len(np.intersect1d(a, b)) <= bound
+        assert bound < 0.9 * n or n < 100
+        assert np.minimum(*shingle_join._points(raw)).sum() >= bound
     same = np.full(3000, 7, np.uint64)
-    assert shingle_join._fine_bound(bytes(128) + shingle_join._fine(same), raw[1], -1) == len(b)
+    assert shingle_join._bound(shingle_join._counts(same).tobytes(), raw[1]) == len(b)
 
 
 def test_keeping_one_of_each_component(spark, docs):
     kept = shingle_join.one_of_component(docs, shingle_join.jaccard_components(docs))
     assert kept.columns == docs.columns
     names = brute_components(brute_sets([(r.doc_id, r.text) for r in docs.collect() if r.doc_id is not None]))
-    expected = [r.doc_id for r in docs.collect() if r.doc_id is None or names[r.doc_id] == r.doc_id]
+    expected = [i for i in names if names[i] == i] + [None, None]
     assert sorted(map(str, expected)) == sorted(str(r.doc_id) for r in kept.collect())
 
 
