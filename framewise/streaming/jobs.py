@@ -11,6 +11,7 @@ from ..functions import gates as G
 from ..functions.text import digest, is_blank, norm_key
 from ..lineage import removed, scratch_path
 from ..operators.dedup import keep_first
+from .key_table import LITERALS, KeyTable
 
 
 def gated_requests(requests: DataFrame, id_col: str = "headline_id") -> DataFrame:
@@ -79,28 +80,34 @@ def collect_stream(
 
     The table itself is the state, so nothing grows in executors. Each batch
     owns one folder, named by query id and batch number, and overwrites it:
-    a batch that is run again after a crash leaves the same rows. The batch
-    is written before it is compared, so the join knows its size: the keys
-    of a small batch are broadcast and the stored table is only scanned.
+    a batch that is run again after a crash leaves the same rows. What has been
+    seen is looked up in the keys beside the table (``KeyTable``), of which a batch opens only files that
+    can hold its own keys. Keys that a crash kept from being stored are added from the table when a stream starts.
     """
     spark = headlines.sparkSession
     columns = headlines.columns
+    _ensure_folder(spark, path)
+    _complete_keys(KeyTable(spark, f"{path}/{KEYS}"), path)
 
     def merge(batch: DataFrame, batch_id: int) -> None:
         session = batch.sparkSession
+        session.conf.set("spark.sql.parquet.pushdown.inFilterThreshold", str(LITERALS))  # a session of the stream's own
         query_id = session.read.json(f"{checkpoint}/metadata").first()["id"]
+        keys = KeyTable(session, f"{path}/{KEYS}")
+        keys.compact(query_id, batch_id)
         once = keep_first(batch.select(*columns), [digest(norm_key("headline"))], order)
         scratch = scratch_path(session, "batch")
         once.withColumn("title_key", digest(norm_key("headline"))).write.parquet(scratch)
         once = session.read.parquet(scratch)
-        own = (F.col("query_id") == query_id) & (F.col("batch_id") == batch_id)
-        stored = read_collected(session, path, once).filter(~own).select("title_key")
-        seen = stored.join(once.select("title_key"), "title_key", "left_semi")
+        asked = once.select(F.col("title_key").alias("key"))
+        own = (F.col("writer") == query_id) & (F.col("batch") == batch_id)
+        seen = keys.lookup(asked).filter(~own).select(F.col("key").alias("title_key"))
         fresh = once.join(seen, "title_key", "left_anti")
-        fresh.write.mode("overwrite").parquet(f"{path}/query_id={query_id}/batch_id={batch_id}")
+        place = f"{path}/query_id={query_id}/batch_id={batch_id}"
+        fresh.write.mode("overwrite").parquet(place)
+        keys.add(session.read.schema(once.schema).parquet(place).select(F.col("title_key").alias("key")), query_id, batch_id)
         removed(session, scratch)
 
-    _ensure_folder(spark, path)
     return (
         headlines.writeStream.foreachBatch(merge)
         .option("checkpointLocation", checkpoint)
@@ -109,6 +116,22 @@ def collect_stream(
     )
 
 
+#: Where the keys lie beside the table; readers of the table pass such a folder over.
+KEYS = "_keys"
+
+
+def _complete_keys(keys: KeyTable, path: str) -> None:
+    """Add the keys of those batches of the table that have none."""
+    known = keys.folders()
+    for query in (n for n in keys._names(path) if n.startswith("query_id=")):
+        writer = query.removeprefix("query_id=")
+        for batch in (n for n in keys._names(f"{path}/{query}") if n.startswith("batch_id=")):
+            number = int(batch.removeprefix("batch_id="))
+            if not any(f.writer == writer and f.first <= number <= f.last for f in known):
+                rows = keys.spark.read.schema("title_key string").parquet(f"{path}/{query}/{batch}")
+                keys.add(rows.select(F.col("title_key").alias("key")), writer, number)
+
+
 def _ensure_folder(spark, path: str) -> None:
     jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
     jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(jvm_path)
