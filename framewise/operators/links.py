@@ -25,7 +25,7 @@ def page_facts(pages: DataFrame) -> DataFrame:
     facts = parsed.select(
         "page_id", "url", headline_of(F.col("_m")).alias("title"), hrefs_of(F.col("_m")).alias("hrefs")
     )
-    return keep_first(facts, [F.col("url")], [F.col("page_id")])
+    return keep_first(written(facts, "parsed"), [F.col("url")], [F.col("page_id")])
 
 
 def page_headlines(pages: DataFrame) -> DataFrame:

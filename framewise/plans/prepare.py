@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.labels import map_category
 from ..functions.text import clean_text, digest, sample_key, strip
+from ..lineage import written
 from ..operators.balance import balance
 from ..operators.dedup import keep_first
 
@@ -31,5 +32,6 @@ def prepare(raw: DataFrame, target: int | None = None, id_col: str = "headline_i
     rows = labelled(raw)
     picked = rows.withColumn("is_fill", F.lit(False)) if target is None else balance(rows, id_col, target)
     order = [F.col("is_fill"), F.col("bias"), sample_key(id_col), F.col(id_col), F.col("url")]
+    picked = written(picked, "picked")
     once = keep_first(picked, [digest(F.col("clean_headline"))], order)
     return once.select("headline", "clean_headline", "url", "source", "category", "bias")

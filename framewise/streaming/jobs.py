@@ -95,8 +95,9 @@ def collect_stream(
         query_id = session.read.json(f"{checkpoint}/metadata").first()["id"]
         keys = KeyTable(session, f"{path}/{KEYS}")
         keys.compact(query_id, batch_id)
-        once = keep_first(batch.select(*columns), [digest(norm_key("headline"))], order)
-        scratch = scratch_path(session, "batch")
+        came, scratch = scratch_path(session, "came"), scratch_path(session, "batch")
+        batch.select(*columns).write.parquet(came)
+        once = keep_first(session.read.parquet(came), [digest(norm_key("headline"))], order)
         once.withColumn("title_key", digest(norm_key("headline"))).write.parquet(scratch)
         once = session.read.parquet(scratch)
         asked = once.select(F.col("title_key").alias("key"))
@@ -106,6 +107,7 @@ def collect_stream(
         place = f"{path}/query_id={query_id}/batch_id={batch_id}"
         fresh.write.mode("overwrite").parquet(place)
         keys.add(session.read.schema(once.schema).parquet(place).select(F.col("title_key").alias("key")), query_id, batch_id)
+        removed(session, came)
         removed(session, scratch)
 
     return (

@@ -47,7 +47,17 @@ def test_dedup_keeps_the_first(spark):
     assert rows(not_collected(new, once)) == [("New",)]
 
 
-def test_dedup_of_one_hot_title_is_combined_before_the_shuffle(spark):
+def test_dedup_sorts_no_whole_rows(spark, tmp_path):
+    rows = [(i, f"Title {i % 7}", i % 3, "long " * 50) for i in range(100)] + [(200, "Again", 1, "x")] * 3 + [(None, None, None, None)] * 2
+    spark.createDataFrame(rows, "id long, headline string, rank int, body string").write.parquet(str(tmp_path / "in"))
+    once = dedup_headlines(spark.read.parquet(str(tmp_path / "in")), [F.col("rank"), F.col("id")])
+    plan = once._jdf.queryExecution().sparkPlan().toString()
+    assert "ShuffledHashJoin" in plan and "Sort" not in plan.replace("SortMergeJoin", "Sort").replace("SortOrder", "")
+    got = sorted((r.headline or "", -1 if r.id is None else r.id) for r in once.collect())
+    assert got == [("", -1), ("Again", 200)] + [(f"Title {t}", min(range(t, 100, 7), key=lambda i: (i % 3, i))) for t in range(7)]
+
+
+def test_dedup_of_one_hot_title(spark):
     df = spark.range(200000).select(
         F.when(F.col("id") % 3 == 0, F.lit("Same title")).otherwise(F.col("id").cast("string")).alias("headline"),
         "id",
@@ -55,8 +65,6 @@ def test_dedup_of_one_hot_title_is_combined_before_the_shuffle(spark):
     once = dedup_headlines(df, [F.col("id")])
     assert once.count() == 200000 - 66667 + 1
     assert once.filter("headline = 'Same title'").first().id == 0
-    plan = once._jdf.queryExecution().executedPlan().toString()
-    assert "partial_min_by" in plan
 
 
 def test_site_quota():
