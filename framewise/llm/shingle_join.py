@@ -31,7 +31,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import components, forget, repeats, row_key, stored
@@ -44,8 +44,8 @@ LEAF = 16
 BLOCK = 4096
 #: Points that stand in all blocks of a run.
 PIVOTS = 32
-#: So many points make a hash one that sets are not told apart by.
-HOT = 64
+#: A hash that so many points share stands behind all others.
+HOT = 4
 #: Orders of the hashes whose least hash brings points together first.
 RUNS = 3
 _FULL = 0xFF
@@ -431,17 +431,29 @@ def _prefixes(points: DataFrame, names: DataFrame, share: tuple[int, int]) -> Da
     among the first by size.
     """
     few = (F.col("n") - F.ceil(F.col("n") * share[0] / share[1]) + 1).cast("int")
-    hot = points.select(F.explode(F.slice("hashes", F.lit(1), few)).alias("key")).groupBy("key").agg(F.count("*").alias("m"))
+    sets = points.select("id", "hashes", few.alias("few"), F.slice("hashes", F.lit(1), 2 * few).alias("look"))
+    hot = sets.select(F.explode(F.slice("hashes", F.lit(1), F.col("few"))).alias("key")).groupBy("key").agg(F.count("*").alias("m"))
     hot = stored(hot.filter(F.col("m") >= HOT).select("key"), "hot-hashes")
-    held = points.select("id", F.explode("hashes").alias("key")).join(hot, "key").groupBy("id").agg(F.collect_list("key").alias("hot"))
-    out = points.join(held, "id", "left").join(names, F.col("id") == F.col("node"), "left")
-    none = F.array().cast("array<bigint>")
-    hot = F.coalesce("hot", none)
-    ordered = F.concat(F.array_except("hashes", hot), F.array_intersect("hashes", hot))
-    return out.select(
-        "id", F.coalesce("component", "id").alias("comp"), "n", "runs",
-        "counts", F.slice(ordered, F.lit(1), few).alias("prefix"),
-    )
+
+    def held(which: DataFrame, where: str) -> DataFrame:
+        own = which.select("id", F.explode(where).alias("key")).join(hot, "key").groupBy("id")
+        return which.join(own.agg(F.collect_list("key").alias("hot")), "id", "left")
+
+    def ordered(where: str) -> Column:
+        many = F.coalesce("hot", F.array().cast("array<bigint>"))
+        return F.concat(F.array_except(where, many), F.array_intersect(where, many))
+
+    # twice as many hashes as needed are enough for most sets; all hashes of the others are looked at
+    near = held(sets, "look")
+    cold = F.size("look") - F.coalesce(F.size("hot"), F.lit(0))
+    enough = (cold >= F.col("few")) | (F.size("look") == F.size("hashes"))
+    prefix = F.when(enough, F.slice(ordered("look"), F.lit(1), F.col("few"))).alias("prefix")
+    near = stored(near.select("id", "few", prefix), "prefixes")
+    rest = sets.join(near.filter("prefix is null").select("id"), "id", "left_semi")
+    rest = held(rest, "hashes").select("id", F.slice(ordered("hashes"), F.lit(1), F.col("few")).alias("prefix"))
+    all_ = near.filter("prefix is not null").select("id", "prefix").unionByName(rest)
+    out = points.select("id", "n", "runs", "counts").join(all_, "id").join(names, F.col("id") == F.col("node"), "left")
+    return out.select("id", F.coalesce("component", "id").alias("comp"), "n", "runs", "counts", "prefix")
 
 
 def _other_pairs(prefixes: DataFrame, share: tuple[int, int]) -> DataFrame:
@@ -450,7 +462,7 @@ def _other_pairs(prefixes: DataFrame, share: tuple[int, int]) -> DataFrame:
     They share no run of ``_first_links``, and the bound by counts lets them be similar. Of a hash
     that more than ``BLOCK`` points share, those outside the largest component ask all, block by block.
     """
-    keys = prefixes.select("id", "comp", F.explode("prefix").alias("key"))
+    keys = prefixes.select("id", "comp", F.posexplode("prefix").alias("pos", "key"))
     sizes = keys.groupBy("key", "comp").agg(F.count("*").alias("m"))
     sizes = sizes.groupBy("key").agg(
         F.sum("m").alias("m"), F.count("*").alias("comps"), F.max_by("comp", F.struct("m", "comp")).alias("top"), F.max("m").alias("most")
@@ -468,17 +480,18 @@ def _other_pairs(prefixes: DataFrame, share: tuple[int, int]) -> DataFrame:
     asked = F.transform(F.sequence(F.lit(0), F.col("asks") - 1), lambda k: F.struct(k.alias("a"), own_all.alias("b")))
     asking = F.transform(F.sequence(F.lit(0), F.col("all") - 1), lambda k: F.struct(own_ask.alias("a"), k.alias("b")))
     cell = F.when(F.col("comp") == F.col("top"), asked).otherwise(F.array_distinct(F.concat(asked, asking)))
-    cells = cells.select("id", "key", F.explode(cell).alias("cell"))
-    cells = cells.select("id", "key", F.col("cell.a").alias("cell_a"), F.col("cell.b").alias("cell_b"))
-    laid = cells.join(prefixes, "id").select("key", "cell_a", "cell_b", "comp", "id", "n", "runs", "counts", "prefix")
+    cells = cells.select("id", "key", "pos", F.explode(cell).alias("cell"))
+    cells = cells.select("id", "key", "pos", F.col("cell.a").alias("cell_a"), F.col("cell.b").alias("cell_b"))
+    before = F.slice("prefix", F.lit(1), F.col("pos")).alias("before")  # the hashes that precede this one
+    laid = cells.join(prefixes, "id").select("key", "cell_a", "cell_b", "comp", "id", "n", "runs", "counts", before)
     laid = laid.repartition("key", "cell_a", "cell_b").sortWithinPartitions("key", "cell_a", "cell_b")
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _by_cell(batches):
             edges = _edges_of(batch)
-            key, comp, ids, sizes = (batch.column(k).to_numpy() for k in (0, 3, 4, 5))
+            comp, ids, sizes = (batch.column(k).to_numpy() for k in (3, 4, 5))
             runs, raw = batch.column(6).flatten().to_numpy().reshape(-1, RUNS), batch.column(7).to_pylist()
-            counts, prefix = _points(raw), batch.column(8).flatten().to_numpy()
+            counts, before = _points(raw), batch.column(8).flatten().to_numpy()
             begin = np.append(0, np.cumsum(pa.compute.list_value_length(batch.column(8)).to_numpy()))
 
             def open_(i, j):
@@ -513,9 +526,7 @@ def _other_pairs(prefixes: DataFrame, share: tuple[int, int]) -> DataFrame:
             keep = np.zeros(len(i), bool)
             for k, (x, y) in enumerate(zip(i.tolist(), j.tolist())):
                 if _similar(_bound(raw[x], raw[y]), int(sizes[x]), int(sizes[y]), share):
-                    mine = prefix[begin[x] : begin[x + 1]]
-                    common = np.isin(mine, prefix[begin[y] : begin[y + 1]])
-                    keep[k] = mine[common.argmax()] == key[x]
+                    keep[k] = not np.isin(before[begin[x] : begin[x + 1]], before[begin[y] : begin[y + 1]]).any()
             yield _pairs(ids[i[keep]], ids[j[keep]])
 
     return laid.mapInArrow(find, "a bigint, b bigint").distinct()
