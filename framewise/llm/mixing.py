@@ -50,6 +50,11 @@ def repetition_rates(
     return out.select("source", "n_docs", "n_chars", "weight", rate.alias("rate"))
 
 
+def row_name(id: str, text: str) -> Column:
+    """What tells a row from others: its id and the md5 of its text."""
+    return F.concat_ws(":", F.coalesce(F.col(id).cast("string"), F.lit("null")), F.md5(F.coalesce(F.col(text), F.lit(""))))
+
+
 def uniform(*parts: str | Column) -> Column:
     """A number in [0, 1) from the first 12 hex digits of the md5 of ``parts``."""
     text = F.concat_ws(":", *[F.col(p).cast("string") if isinstance(p, str) else p for p in parts])
@@ -75,10 +80,14 @@ def mix_sources(
     """Every row of ``docs`` as often as its Poisson number says, in an order shuffled as a whole.
 
     Adds copy (from 1), copies and mix_key, replacing columns of these names.
-    Copies are dealt to partitions by mix_key and stand in its order there. Rows
-    with the same id (or a null id) and source draw the same number. Weights
+    Copies are dealt to partitions by mix_key and stand in its order there. A row's number
+    follows from its id and text, so rows with a null or a repeated id draw each their own. Rows that agree in both
+    draw each their own too, by their places in the table (only for them a mixture
+    depends on how the table is stored). Texts are read whole, however long. Weights
     and rates as in ``repetition_rates``. Empty input gives an empty table.
     """
+    docs = docs.withColumn("_row", row_name(id, text))
+    again = stored(docs.groupBy("_row").agg(F.count("*").alias("_n")).filter("_n > 1").select(F.col("_row").alias("_again")), "repeated-rows")
     rates = repetition_rates(docs, weights, power, size, source, text)
     draws = F.greatest(F.ceil(F.col("rate") / MEAN), F.lit(1)).cast("int")
     rates = rates.withColumn("_draws", draws)
@@ -90,16 +99,20 @@ def mix_sources(
     at = docs.drop("copy", "copies", "mix_key").join(
         rates, F.col(source).eqNullSafe(F.col("_source"))
     )
-    row = F.coalesce(F.col(id).cast("string"), F.lit("null"))
-    number = F.aggregate(
-        F.sequence(F.lit(1), "_draws"),
-        F.lit(0),
-        lambda n, j: n + F.size(F.filter("_cdf", lambda c: c <= uniform(F.lit(seed), row, j.cast("string")))),
-    )
+    at = at.withColumn("_place", F.monotonically_increasing_id())
+    at = at.join(again, F.col("_row") == F.col("_again"), "left")
+    row = F.when(F.col("_again").isNull(), F.col("_row")).otherwise(F.concat_ws(":", "_row", F.col("_place").cast("string")))
+    at = at.withColumn("_row", row)
+
+    def drawn(j: Column) -> Column:
+        number = F.transform(F.array(uniform(F.lit(seed), "_row", j.cast("string"))), lambda u: F.size(F.filter("_cdf", lambda c: c <= u)))
+        return F.get(number, 0)
+
+    number = F.aggregate(F.sequence(F.lit(1), "_draws"), F.lit(0), lambda n, j: n + drawn(j))
     at = at.withColumn("copies", number).filter("copies > 0")
     at = at.withColumn("copy", F.explode(F.sequence(F.lit(1), "copies")))
-    at = at.withColumn("mix_key", F.md5(F.concat_ws(":", F.lit(seed), row, F.col("copy").cast("string"))))
-    at = at.select(*[c for c in docs.columns if c not in ("copy", "copies", "mix_key")], "copy", "copies", "mix_key")
+    at = at.withColumn("mix_key", F.md5(F.concat_ws(":", F.lit(seed), "_row", F.col("copy").cast("string"))))
+    at = at.select(*[c for c in docs.columns if c not in ("copy", "copies", "mix_key", "_row")], "copy", "copies", "mix_key")
     return at.repartition("mix_key").sortWithinPartitions("mix_key")
 
 
@@ -119,13 +132,13 @@ def mix_oracle(seed: str = "mix", power: float = 0.5) -> str:
     ), cdf AS (
       SELECT source, k, sum(p) OVER (PARTITION BY source ORDER BY k) AS c FROM steps
     ), drawn AS (
-      SELECT d.*, ('0x' || substr(md5('{seed}:' || coalesce(doc_id::VARCHAR, 'null') || ':1'), 1, 12))::BIGINT
-        / 281474976710656.0::DOUBLE AS u FROM documents d
+      SELECT d.*, coalesce(doc_id::VARCHAR, 'null') || ':' || md5(coalesce(text, '')) AS row_name,
+        ('0x' || substr(md5('{seed}:' || row_name || ':1'), 1, 12))::BIGINT / 281474976710656.0::DOUBLE AS u FROM documents d
     ), counted AS (
-      SELECT d.doc_id, d.lang, d.source, d.n_chars, d.text, count(*)::INTEGER AS copies
+      SELECT d.doc_id, d.lang, d.source, d.n_chars, d.text, d.row_name, count(*)::INTEGER AS copies
       FROM drawn d JOIN cdf ON d.source IS NOT DISTINCT FROM cdf.source AND cdf.c <= d.u
       GROUP BY ALL
     )
     SELECT doc_id, text, lang, source, n_chars, t.copy::INTEGER AS copy, copies,
-      md5('{seed}:' || coalesce(doc_id::VARCHAR, 'null') || ':' || t.copy) AS mix_key
+      md5('{seed}:' || row_name || ':' || t.copy) AS mix_key
     FROM counted, LATERAL (SELECT unnest(range(1, copies + 1)) AS copy) AS t"""
