@@ -46,13 +46,12 @@ def with_revisits(pages: DataFrame, least: int = LEAST, id: str = "page_id", url
         F.col(url).alias("url"),
         F.encode(F.coalesce(F.col(html), F.lit("")), "UTF-8").alias("payload"),
     )
-    content = F.concat(F.octet_length("payload").cast("string"), F.lit(":"), F.sha2("payload", 256))
-    keyed = pages.select(
-        F.col(id).cast("bigint").alias("page_id"), F.encode(F.coalesce(F.col(html), F.lit("")), "UTF-8").alias("payload")
-    ).filter(F.octet_length("payload") >= least)
-    first = keyed.select("page_id", content.alias("content")).groupBy("content")
-    first = first.agg(F.max("page_id").alias("original"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    rows = rows.withColumn("content", content).join(first, "content", "left")
+    # smaller payloads can't match and stay where they are
+    large = rows.filter(F.octet_length("payload") >= least)
+    small = rows.filter(F.octet_length("payload") < least).withColumn("original", F.lit(None).cast("bigint"))
+    large = large.withColumn("content", F.concat(F.octet_length("payload").cast("string"), F.lit(":"), F.sha2("payload", 256)))
+    first = large.groupBy("content").agg(F.max("page_id").alias("original"), F.count("*").alias("n"))
+    rows = large.join(first.filter("n > 1").drop("n"), "content", "left").drop("content").unionByName(small)
     original = F.when(~F.col("page_id").eqNullSafe(F.col("original")), F.col("original"))
     return rows.select("page_id", "url", "payload", F.sha1("payload").alias("sha1"), original.alias("original"))
 
@@ -182,6 +181,16 @@ def records_in(f, start: int, end: int) -> Iterator[tuple[int, dict]]:
             data.start, place = data.start + place, 0
 
 
+def ranges(files: DataFrame, split: int = SPLIT_BYTES) -> DataFrame:
+    """file, start: the ranges of all archives, dealt to as many partitions (of at least 1 MiB together).
+
+    The number is given: Spark sees only the bytes of the names and would merge all into one task.
+    """
+    count = files.agg(F.sum(F.ceil(F.col("n_bytes") / max(split, 1 << 20)))).first()[0] or 1
+    start = F.sequence(F.lit(0).cast("bigint"), F.col("n_bytes") - 1, F.lit(split).cast("bigint"))
+    return files.select("file", F.explode(start).alias("start")).repartition(int(count))
+
+
 def read_warc(files: DataFrame, folder: str, split: int = SPLIT_BYTES) -> DataFrame:
     """All records of the archives: file, offset and the fields of ``RECORDS``.
 
@@ -189,8 +198,7 @@ def read_warc(files: DataFrame, folder: str, split: int = SPLIT_BYTES) -> DataFr
     and length of the one it stands for. Records of other types come with
     their block as payload. What is no WARC member is passed over.
     """
-    parts = files.select("file", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n_bytes") - 1, F.lit(split).cast("bigint"))).alias("start"))
-    parts = parts.repartition("file", "start")
+    parts = ranges(files, split)
     kind = pa.schema([("file", pa.string()), ("offset", pa.int64()), *[(c, pa.string()) for c in ("record_type", "record_id", "refers_to", "target_uri", "digest")], ("length", pa.int64()), ("payload", pa.binary())])
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -213,7 +221,8 @@ def read_warc(files: DataFrame, folder: str, split: int = SPLIT_BYTES) -> DataFr
 def warc_round_trip(pages: DataFrame) -> DataFrame:
     """Write ``pages`` as archives and read them back: page_id, payload_bytes, payload_digest, record_type, refers_to.
 
-    Digest and size of a response are those of the payload that was read.
+    Digest and size of a response are those of the payload that was read. An empty table has no
+    archive and gives an empty table. Columns other than page_id, url and html are not read, whatever their names.
     """
     folder = new_path(pages.sparkSession, "warc")
     files = write_warc(with_revisits(pages), folder)
