@@ -18,7 +18,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import new_path, stored
@@ -88,15 +89,17 @@ def rank_table(counts: DataFrame) -> np.ndarray:
 
 
 class _TokenFile:
-    """A file of one range of ids while it is written."""
+    """A file of one range of texts while it is written."""
 
-    def __init__(self, folder: str, place: int, first: int | None):
-        self.place, self.first, self.texts, self.ids = place, first, 0, 0
-        self.file = NewFile(folder, f"ids-{place + 1:08d}.bin")
+    def __init__(self, folder: str, place: int):
+        self.first, self.texts, self.ids = None, 0, 0
+        self.file = NewFile(folder, f"ids-{place:08d}.bin")
 
-    def write(self, names: pa.Array, sizes: pa.Array, control: pa.Array, data: pa.Array) -> None:
-        control, data = b"".join(control.to_pylist()), b"".join(data.to_pylist())
-        n = np.asarray(sizes.to_numpy(), "<i8")
+    def write(self, names: pa.Array, sizes: list[int], control: list[bytes], data: list[bytes]) -> None:
+        if not self.texts:
+            self.first = names[0].as_py()
+        control, data = b"".join(control), b"".join(data)
+        n = np.array(sizes, "<i8")
         head = np.array([len(n), n.sum(), len(control), len(data), names.null_count, 0], "<i8")
         ids = np.asarray(names.fill_null(0).to_numpy(), "<i8")
         for part in (MAGIC, head.tobytes(), ids.tobytes(), n.tobytes(), control, data):
@@ -119,7 +122,10 @@ def write_tokens(
     """Write the ids of all texts to ``folder``, texts in ascending order of ``id``.
 
     Each text ends with the id ``end``. Null texts are empty; rows with a null
-    id come first, rows that share an id follow each other in any order.
+    id come first, rows that share an id follow each other by a hash of their text, so
+    that many such rows are several tasks' and several files' share. Files follow each
+    other by name. An empty table has no files. Other columns are not read. Texts are
+    encoded twice, to count the ids and to write them; that costs less than keeping them.
     Returns one row per file: file, first_id, n_texts, n_ids, n_bytes. The
     ranking lies beside the files as ``ranks.bin`` (little-endian uint32).
     """
@@ -133,48 +139,29 @@ def write_tokens(
     rank[ids] = np.arange(len(ids), dtype="<u4")
     shared = spark.sparkContext.broadcast(rank)  # vocabulary size x 4 bytes
 
-    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, ranks = encoder(path), shared.value
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode, ranks, out = encoder(path), shared.value, None
         for batch in batches:
-            n, control, data = [], [], []
-            for found in encode(batch.column(1)):
+            start, total, sizes, control, data = 0, 0, [], [], []
+            for i, found in enumerate(encode(batch.column(1))):
                 c, d = pack(np.append(ranks[found], ranks[end]))
-                n.append(len(found) + 1)
+                sizes.append(len(found) + 1)
                 control.append(c)
                 data.append(d)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int64()), pa.array(control, pa.binary()), pa.array(data, pa.binary())],
-                names=["id", "n", "control", "data"],
-            )
-
-    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = None
-        for batch in batches:
-            where, sizes = batch.column(0).to_numpy(), batch.column(2).to_numpy()
-            full = np.cumsum(sizes) // BLOCK_IDS
-            edges = np.flatnonzero((np.diff(full) > 0) | (np.diff(where) != 0)) + 1
-            for a, b in zip([0, *edges], [*edges, len(sizes)]):
-                part = batch.slice(a, b - a)
-                if out is None or out.place != where[a]:
-                    if out is not None:
-                        yield out.finish()
-                    out = _TokenFile(folder, int(where[a]), part.column(1)[0].as_py())
-                out.write(*part.columns[1:])
+                total += sizes[-1]
+                if total >= BLOCK_IDS or i == batch.num_rows - 1:
+                    out = out or _TokenFile(folder, TaskContext.get().partitionId())
+                    out.write(batch.column(0).slice(start, i + 1 - start), sizes, control, data)
+                    start, total, sizes, control, data = i + 1, 0, [], [], []
         if out is not None:
             yield out.finish()
 
-    # Bounds of the ranges from the ids alone, so that texts are not encoded a second time for them.
+    # ranges from ids and hashes before any text is encoded
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    cuts = docs.select(F.percentile_approx("id", [i / parts for i in range(1, parts)] or [0.5], 10_000)).first()[0]
-    bounds = F.lit([int(c) for c in cuts]) if cuts else F.array().cast("array<bigint>")
-    place = F.when(F.col("id").isNull(), -1).otherwise(
-        F.size(F.filter(bounds, lambda c: c < F.col("id")))
-    )
-    coded = docs.mapInArrow(code, "id bigint, n bigint, control binary, data binary")
-    files = coded.withColumn("place", place).repartition(parts, "place")
-    files = files.select("place", "id", "n", "control", "data").sortWithinPartitions("place", "id")
+    order = [F.asc_nulls_first("id"), F.col("hash")]
+    laid = docs.withColumn("hash", F.xxhash64("text")).repartitionByRange(parts, *order).sortWithinPartitions(*order)
     return stored(
-        files.mapInArrow(write, "file string, first_id bigint, n_texts bigint, n_ids bigint, n_bytes bigint"),
+        laid.select("id", "text").mapInArrow(write, "file string, first_id bigint, n_texts bigint, n_ids bigint, n_bytes bigint"),
         "token-files",
     )
 
@@ -195,17 +182,23 @@ def _blocks(path: str) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.
             )
 
 
+def read_plan(files: DataFrame) -> DataFrame:
+    """file, start: each file in a partition of about its own, with the number of ids before it.
+
+    The number is given: Spark sees only the bytes of the names and would merge all into one task.
+    """
+    order = Window.orderBy("file")  # one row per file
+    started = files.withColumn("start", F.sum("n_ids").over(order) - F.col("n_ids"))
+    return started.select("file", "start").repartition(max(1, files.count()))
+
+
 def read_tokens(files: DataFrame, folder: str) -> DataFrame:
     """id, start, n_tokens, ids (array<int>), ids_crc32 of each text, read from the files.
 
     ``start`` counts the ids of all texts before it in the order of the files.
     Tasks read whole files; a file holds one task's share of the texts.
     """
-    from pyspark.sql import Window
-
-    order = Window.orderBy(F.col("first_id").asc_nulls_first())  # one row per file
-    files = files.withColumn("start", F.sum("n_ids").over(order) - F.col("n_ids"))
-    files = files.select("file", "start").repartition("file")
+    files = read_plan(files)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, root = at(folder)

@@ -57,6 +57,29 @@ def test_every_record_is_read_once_whatever_the_ranges(spark, pages, split):
             assert (int(r.record_id.split(":")[2]), bytes(r.payload)) in payloads
 
 
+def test_ranges_are_many_tasks(spark):
+    files = spark.createDataFrame([(f"part-{i}", 100 * warc.SPLIT_BYTES) for i in range(10)], "file string, n_bytes long")
+    parts = warc.ranges(files)
+    sizes = [r[0] for r in parts.groupBy(F.spark_partition_id()).count().select("count").collect()]
+    assert parts.count() == 1000 and len(sizes) > 100 and max(sizes) < 20
+
+
+def test_payload_beyond_one_range_and_clashing_columns(spark):
+    import random
+
+    draw = random.Random(3)
+    long = "".join(draw.choices("abcdefghijklmnopqrstuvwxyz \u00e9", k=400_000))
+    rows = [(1, "u", long, 1, "c"), (2, "u", long, 2, "d"), (3, "v", "x" * 999, 3, "e"), (4, "v", "x" * 999, 3, "e"), (5, None, None, None, None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, original long, content string")
+    folder = new_path(spark, "warc")
+    files = warc.write_warc(warc.with_revisits(pages), folder)
+    got = {r.record_id: (r.record_type, r.length, r.refers_to) for r in warc.read_warc(files, folder, split=20_000).collect()}
+    n = len(long.encode())
+    assert n > 20 * 20_000
+    assert got["urn:page:1"] == ("revisit", n, "urn:page:2") and got["urn:page:2"] == ("response", n, None)
+    assert got["urn:page:3"] == got["urn:page:4"] == ("response", 999, None) and got["urn:page:5"] == ("response", 0, None)
+
+
 def test_reader_passes_over_what_is_no_record():
     good = gzip.compress(warc._record(5, "u", b"payload", "00" * 20, None))
     data = b"junk" + warc.MAGIC + b"more" + gzip.compress(b"no record") + good + b"\x1f\x8b" + good[:-9]

@@ -6,6 +6,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from framewise.llm import block_names, language, mixing, packing, shingle_join, token_files, toxicity
 from framewise.llm.common import components, new_path
@@ -297,10 +298,12 @@ def test_mixing(spark, docs):
     mixed = mixing.mix_sources(docs)
     assert mixed.columns == [c for c in docs.columns if c != "copies"] + ["copy", "copies", "mix_key"]
     rows = mixed.collect()
-    assert sorted(r.mix_key for r in rows) == sorted(r.mix_key for r in mixing.mix_sources(docs.repartition(3)).collect())
+    once = {r for r, n in Counter((r.doc_id, r.text) for r in docs.collect()).items() if n == 1}
+    again = mixing.mix_sources(docs.repartition(3)).collect()
+    assert sorted(r.mix_key for r in rows if (r.doc_id, r.text) in once) == sorted(r.mix_key for r in again if (r.doc_id, r.text) in once)
     by_row = Counter((r.doc_id, r.text) for r in rows)
     for r in rows:
-        assert by_row[(r.doc_id, r.text)] % r.copies == 0
+        assert by_row[(r.doc_id, r.text)] % r.copies == 0 or (r.doc_id, r.text) not in once
     weights = spark.createDataFrame([("small", 3.0), (None, 1.0), ("big", -1.0), ("none", 9.0)], "source string, weight double")
     assert {r.source for r in mixing.mix_sources(docs, weights).collect()} <= {"small", None}
 
@@ -309,8 +312,6 @@ def test_mixing_draws_poisson_numbers(spark):
     many = spark.range(20_000).selectExpr("id AS doc_id", "repeat('x', 10) AS text", "if(id % 4 = 0, 'a', 'b') AS source")
     weights = spark.createDataFrame([("a", 3.0), ("b", 1.0)], "source string, weight double")
     n = mixing.mix_sources(many, weights).groupBy("source", "doc_id").count().groupBy("source")
-    from pyspark.sql import functions as F
-
     got = {r.source: r for r in n.agg(F.sum("count").alias("n"), F.sum(F.col("count") ** 2).alias("s"), F.count("*").alias("some")).collect()}
     for source, rows, rate in (("a", 5000, 3.0), ("b", 15_000, 1 / 3)):
         r = got[source]
@@ -321,6 +322,35 @@ def test_mixing_draws_poisson_numbers(spark):
     assert mixing.mix_sources(high, size=1000.0).count() == pytest.approx(40_000, rel=0.03)
 
 
+@pytest.mark.parametrize("seed", ["mix", "a", "b", "c"])
+def test_rows_without_an_id_draw_their_own_numbers(spark, seed):
+    rows = spark.range(3000).selectExpr("CAST(null AS long) AS doc_id", "concat('text ', lpad(id, 6, '0')) AS text", "'a' AS source")
+    mixed = mixing.mix_sources(rows, seed=seed)
+    assert mixed.count() == pytest.approx(3000, abs=150)
+    assert mixed.select("mix_key").distinct().count() == mixed.count()
+    equal = spark.range(3000).selectExpr("7L AS doc_id", "'the same text' AS text", "'a' AS source").repartition(3)
+    mixed = mixing.mix_sources(equal, seed=seed)
+    assert mixed.count() == pytest.approx(3000, abs=200)
+    assert mixed.select("mix_key").distinct().count() == mixed.count()
+
+
+def test_token_files_are_read_in_many_tasks_and_equal_ids_lie_in_several_files(spark):
+    docs = spark.range(4000).selectExpr("CAST(null AS long) AS doc_id", "concat('some words ', id) AS text", "1 AS hash", "'x' AS file")
+    folder = new_path(spark, "tokens")
+    files = token_files.write_tokens(docs, tokenizer_path(BYTE), 2, folder)
+    texts = [r.n_texts for r in files.collect()]
+    assert sum(texts) == 4000 and len(texts) == 8 and max(texts) < 1000
+    read = token_files.read_tokens(files, folder)
+    assert read.rdd.getNumPartitions() == 8
+    spans = sorted((r.start, r.n_tokens) for r in read.collect())
+    assert len(spans) == 4000 and all(a + n == b for (a, n), (b, _) in zip(spans, spans[1:]))
+    names = spark.createDataFrame([(f"ids-{i:08d}.bin", i, 1, 5, 100) for i in range(1000)], files.schema)
+    ranges = token_files.read_plan(names)
+    sizes = [r["count"] for r in ranges.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(sizes) > 100 and max(sizes) < 20
+    assert sorted(r.start for r in ranges.collect()) == [5 * i for i in range(1000)]
+
+
 def test_token_files(spark, docs):
     folder = new_path(spark, "tokens")
     files = token_files.write_tokens(docs, tokenizer_path(BYTE), 2, folder)
