@@ -1,8 +1,7 @@
 """Readers and writers of the job tables.
 
-Parquet between stages; CSV and JSON at the edges. CSV files hold texts
-with line breaks inside quotes, so one CSV file is read by one task:
-write many files rather than one large one.
+Parquet between stages; CSV and JSON at the edges. Texts in CSV files may hold
+line breaks inside quotes; a file is read by many tasks all the same, see ``csv_records``.
 """
 
 from __future__ import annotations
@@ -10,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .csv_records import records
+
 RAW_SCHEMA = "headline string, url string, source string, category string"
 PROCESSED_SCHEMA = (
     "headline string, clean_headline string, url string, source string, category string, "
@@ -26,8 +27,12 @@ CSV_OPTIONS = {
 
 
 def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Empty strings come back as null."""
-    rows = spark.read.schema(schema).options(**CSV_OPTIONS, multiLine="true").csv(path)
+    """The rows of all CSV files under ``path``; each has a heading. Empty strings come back as null.
+
+    The records are read at once into a stored table; only their columns are cut out later.
+    """
+    options = {k: v for k, v in CSV_OPTIONS.items() if k != "header"} | {"multiLine": "true"}
+    rows = records(spark, path).select(F.from_csv("record", schema, options).alias("r")).select("r.*")
     return rows.select(*[F.nullif(F.col(c), F.lit("")).alias(c) for c in rows.columns])
 
 

@@ -1,5 +1,7 @@
 """Literal rows and relations for the table operators and plans."""
 
+from collections import Counter
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -483,3 +485,33 @@ def test_partitions_do_not_change_results(spark, sf):
         bias = docs.withColumn("bias", F.when(F.col("source") == "src1", "Left").otherwise("Right"))
         results.append((rows(once, "headline_id"), rows(B.balance(bias, "headline_id", 30), "headline_id", "is_fill")))
     assert results[0] == results[1]
+
+
+@pytest.mark.parametrize("end", ["\n", "\r\n"])
+def test_one_csv_file_with_line_breaks_in_texts_is_read_by_many_tasks(spark, tmp_path, end):
+    import csv
+    import random
+
+    from framewise.sources import csv_records, tables
+
+    draw = random.Random(4)
+    parts = ["plain", "two\nlines", 'a "quoted" word', '"', "", "comma, here", "\n\n", "\r\nwindows", "é" * 40, "end\n", " blanks "]
+    made = [tuple("".join(draw.choices(parts, k=draw.randint(1, 6))) for _ in range(4)) for _ in range(6000)]
+    made[3000] = ("long " + "x\n" * 20_000 + '"', "u", "s", "c")  # runs over several splits
+    (tmp_path / "in").mkdir()
+    for name, some in (("one.csv", made), ("two.csv", made[:50]), ("none.csv", [])):
+        with open(tmp_path / "in" / name, "w", newline="") as f:
+            out = csv.writer(f, lineterminator=end)
+            out.writerow(["headline", "url", "source", "category"])
+            out.writerows(some)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", 16_384)
+    spark.conf.set("spark.sql.files.openCostInBytes", 1_024)
+    try:
+        lines = csv_records._lines(spark, str(tmp_path / "in"))
+        assert lines.rdd.getNumPartitions() > 30
+        got = tables.read_raw(spark, str(tmp_path / "in"), "csv").collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    expected = Counter(tuple(x or None for x in r) for r in made + made[:50] if any(x.strip() for x in r))
+    assert Counter(tuple(r) for r in got) == expected
