@@ -17,6 +17,7 @@ from ..functions.text import digest, norm_key
 from ..functions.urls import canonical_url, is_article_link, resolve_url, site_links
 from ..lineage import removed, scratch_path, written
 from .dedup import dedup_headlines, keep_first, not_collected
+from .layout import ByKey
 
 
 def page_facts(pages: DataFrame) -> DataFrame:
@@ -72,15 +73,14 @@ def frontier(
 
     All stored pages that links reach, or at most ``max_pages`` of a site, in
     order of level, then seed position or url; ``max_queue`` bounds the links a
-    site follows from one level. Every level is written to the shared folder, which cuts
-    lineage and gives the next join true sizes: the links to follow are
-    broadcast only if their files are small (``spark.sql.autoBroadcastJoinThreshold``),
-    and ``facts`` then stays in place; otherwise both sides are shuffled.
+    site follows from one level. Pages are laid out by url once: a level moves its links,
+    never the pages, and where it has few links it reads only their buckets. Every level
+    is written to the shared folder, which cuts lineage and gives the next join true sizes.
     """
     spark = facts.sparkSession
     path = scratch_path(spark, "frontier")
-    pages = facts.select("url", "title", "hrefs")
     links = F.sort_array(site_links("base", F.col("hrefs"), mode))
+    schema = "source string, base string, url string, title string, links array<string>, level int"
 
     def save(found: DataFrame, level: int) -> None:
         out = found.withColumn("links", links)
@@ -91,32 +91,31 @@ def frontier(
         .agg(F.min("position").alias("_position"))
         .join(sites.select("source", "base"), "source")
     )
-    start = written(start, "seeds").join(pages, "url")
-    save(_first(start, ["source"], ["_position", "url"], max_pages), 0)
-    schema = "source string, base string, url string, title string, links array<string>, level int"
-    level = 0
-    while True:
-        visited = spark.read.schema(schema).parquet(path)
-        last = visited.filter(F.col("level") == level)
-        if last.isEmpty():
-            break
-        level += 1
-        queue = (
-            last.select("source", "base", F.explode("links").alias("url"))
-            .distinct()
-            .join(visited.select("source", "url"), ["source", "url"], "left_anti")
-        )
-        queued = scratch_path(spark, "queue")
-        _first(queue, ["source"], ["url"], max_queue).write.parquet(queued)
-        found = spark.read.schema(queue.schema).parquet(queued).join(pages, "url")
-        if max_pages is not None:
-            used = visited.groupBy("source").agg(F.count("*").alias("_used"))
-            rank = F.row_number().over(Window.partitionBy("source").orderBy("url"))
-            found = found.withColumn("_rank", rank).filter(F.col("_rank") <= max_pages)
-            found = found.join(used, "source").filter(F.col("_rank") + F.col("_used") <= max_pages)
-        save(found, level)
-        removed(spark, queued)
-    return spark.read.schema(schema).parquet(path)
+    with ByKey(facts.select("url", "title", "hrefs"), "url") as pages:
+        start = pages.joined(written(start, "seeds"))
+        save(_first(start, ["source"], ["_position", "url"], max_pages), 0)
+        level = 0
+        while True:
+            visited = spark.read.schema(schema).parquet(path)
+            last = visited.filter(F.col("level") == level)
+            if last.isEmpty():
+                return visited
+            level += 1
+            queue = (
+                last.select("source", "base", F.explode("links").alias("url"))
+                .distinct()
+                .join(visited.select("source", "url"), ["source", "url"], "left_anti")
+            )
+            queued = scratch_path(spark, "queue")
+            _first(queue, ["source"], ["url"], max_queue).write.parquet(queued)
+            found = pages.joined(spark.read.schema(queue.schema).parquet(queued))
+            if max_pages is not None:
+                used = visited.groupBy("source").agg(F.count("*").alias("_used"))
+                rank = F.row_number().over(Window.partitionBy("source").orderBy("url"))
+                found = found.withColumn("_rank", rank).filter(F.col("_rank") <= max_pages)
+                found = found.join(used, "source").filter(F.col("_rank") + F.col("_used") <= max_pages)
+            save(found, level)
+            removed(spark, queued)
 
 
 def site_headlines(

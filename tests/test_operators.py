@@ -515,3 +515,28 @@ def test_one_csv_file_with_line_breaks_in_texts_is_read_by_many_tasks(spark, tmp
         spark.conf.unset("spark.sql.files.openCostInBytes")
     expected = Counter(tuple(x or None for x in r) for r in made + made[:50] if any(x.strip() for x in r))
     assert Counter(tuple(r) for r in got) == expected
+
+
+def test_a_level_moves_its_links_and_not_the_pages(spark, tmp_path, monkeypatch):
+    from framewise.operators import layout
+
+    pages = spark.range(20_000).select(F.concat(F.lit("u"), "id").alias("url"), F.lit("t" * 40).alias("title"))
+    spark.range(3000).select(F.concat(F.lit("u"), F.col("id") * 9).alias("url")).write.parquet(str(tmp_path / "links"))
+    links = spark.read.parquet(str(tmp_path / "links"))
+    few = links.limit(3).coalesce(1)
+    few.write.parquet(str(tmp_path / "few"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        with layout.ByKey(pages, "url", buckets=32) as table:
+            many = table.joined(links)
+            plan = many._jdf.queryExecution().executedPlan().toString()
+            assert plan.count("Exchange") == 1 and "Bucketed: true" in plan
+            assert many.count() == 2223 and many.filter("title is null").isEmpty()
+            some = table.joined(spark.read.parquet(str(tmp_path / "few")))
+            plan = some._jdf.queryExecution().executedPlan().toString()
+            opened = int(plan.split("SelectedBucketsCount: ")[1].split(" out of 32")[0])
+            assert opened <= 3 and some.count() == 3
+            assert table.joined(links.limit(0)).count() == 0
+        assert not spark.catalog.tableExists(table.name)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
