@@ -424,6 +424,40 @@ def _first_links(points: DataFrame, runs: DataFrame, share: tuple[int, int]) ->
     return laid.mapInArrow(find, "a bigint, b bigint").distinct()
 
 
+def _openness(batch: pa.RecordBatch, share: tuple[int, int]):
+    """Whether rows i and j may be a new link: of two components, no common run, sizes that fit.
+
+    Columns 3, 5 and 6 are component, size and runs.
+    """
+    comp, sizes, runs = batch.column(3).to_numpy(), batch.column(5).to_numpy(), batch.column(6).flatten().to_numpy().reshape(-1, RUNS)
+
+    def open_(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        out = (comp[i] != comp[j]) & _similar(np.minimum(sizes[i], sizes[j]), sizes[i], sizes[j], share)
+        for k in range(RUNS):
+            out &= runs[i, k] != runs[j, k]
+        return out
+
+    return open_
+
+
+def _small_pairs(m: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs of rows within cells of ``m`` rows, small ones only, by the distance of the two."""
+    cell = np.repeat(np.arange(len(m)), m)
+    small = np.flatnonzero((m <= 2 * LEAF)[cell])
+    for d in range(1, 2 * LEAF):
+        i, j = small[:-d], small[d:]
+        use = cell[i] == cell[j]
+        if not use.any():
+            return
+        yield i[use], j[use]
+
+
+def _askers(comp: np.ndarray) -> np.ndarray:
+    """Places of the points that are not of the largest component: it needn't ask."""
+    _, at, n = np.unique(comp, return_inverse=True, return_counts=True)
+    return np.flatnonzero(at != n.argmax())
+
+
 def _prefixes(points: DataFrame, names: DataFrame, share: tuple[int, int]) -> DataFrame:
     """id, comp, n, runs, counts, prefix: the hashes of which a similar set must have one.
 
@@ -482,38 +516,50 @@ def _other_pairs(prefixes: DataFrame, share: tuple[int, int]) -> DataFrame:
     cell = F.when(F.col("comp") == F.col("top"), asked).otherwise(F.array_distinct(F.concat(asked, asking)))
     cells = cells.select("id", "key", "pos", F.explode(cell).alias("cell"))
     cells = cells.select("id", "key", "pos", F.col("cell.a").alias("cell_a"), F.col("cell.b").alias("cell_b"))
+    cell = ["key", "cell_a", "cell_b"]
+
+    def laid_out(rows: DataFrame, *more: str | Column) -> DataFrame:
+        rows = rows.join(prefixes, "id").select(*cell, "comp", "id", "n", "runs", *more)
+        return rows.repartition(*cell).sortWithinPartitions(*cell)
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The rows that have a partner in their cell, as far as sizes and runs say."""
+        for batch in _by_cell(batches):
+            edges, open_ = _edges_of(batch), _openness(batch, share)
+            m, keep = np.diff(edges), np.zeros(batch.num_rows, bool)
+            for i, j in _small_pairs(m):
+                use = open_(i, j)
+                keep[i[use]] = keep[j[use]] = True
+            for k in np.flatnonzero(m > 2 * LEAF):
+                all_ = np.arange(edges[k], edges[k + 1])
+                ask = all_[_askers(batch.column(3).to_numpy()[all_])]
+                for c in range(0, len(ask), 256):
+                    use = open_(ask[c : c + 256, None], all_[None])
+                    keep[ask[c : c + 256]] |= use.any(1)
+                    keep[all_] |= use.any(0)
+            yield batch.select(["id", *cell, "pos"]).filter(pa.array(keep))
+
+    # whole counts and hashes go only where there is a partner at all
+    cells = laid_out(cells, "pos").mapInArrow(meet, "id bigint, key bigint, cell_a int, cell_b int, pos int")
     before = F.slice("prefix", F.lit(1), F.col("pos")).alias("before")  # the hashes that precede this one
-    laid = cells.join(prefixes, "id").select("key", "cell_a", "cell_b", "comp", "id", "n", "runs", "counts", before)
-    laid = laid.repartition("key", "cell_a", "cell_b").sortWithinPartitions("key", "cell_a", "cell_b")
+    laid = laid_out(stored(cells, "cells"), "counts", before)
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _by_cell(batches):
-            edges = _edges_of(batch)
+            edges, open_ = _edges_of(batch), _openness(batch, share)
             comp, ids, sizes = (batch.column(k).to_numpy() for k in (3, 4, 5))
-            runs, raw = batch.column(6).flatten().to_numpy().reshape(-1, RUNS), batch.column(7).to_pylist()
+            raw = batch.column(7).to_pylist()
             counts, before = _points(raw), batch.column(8).flatten().to_numpy()
             begin = np.append(0, np.cumsum(pa.compute.list_value_length(batch.column(8)).to_numpy()))
-
-            def open_(i, j):
-                return (comp[i] != comp[j]) & (runs[i] != runs[j]).all(1) & _similar(np.minimum(sizes[i], sizes[j]), sizes[i], sizes[j], share)
-
             out, m = [np.zeros((2, 0), np.int64)], np.diff(edges)
-            cell = np.repeat(np.arange(len(m)), m)
-            small = np.flatnonzero((m <= 2 * LEAF)[cell])
-            for d in range(1, 2 * LEAF):  # all pairs of all small cells at once
-                i, j = small[:-d], small[d:]
-                use = cell[i] == cell[j]
-                if not use.any():
-                    break
-                i, j = i[use], j[use]
+            for i, j in _small_pairs(m):  # all pairs of all small cells at once
                 use = open_(i, j)
                 i, j = i[use], j[use]
                 use = _similar(np.minimum(counts[i], counts[j]).sum(1, dtype=np.int64), sizes[i], sizes[j], share)
                 out.append(np.stack([i[use], j[use]]))
             for k in np.flatnonzero(m > 2 * LEAF):
                 a, b = edges[k], edges[k + 1]
-                kinds, at, n = np.unique(comp[a:b], return_inverse=True, return_counts=True)
-                ask = np.flatnonzero(at != n.argmax())  # points of the largest component needn't ask
+                ask = _askers(comp[a:b])
                 order = np.lexsort((*counts[a:b].T[:3], sizes[a:b]))
                 tree = CountTree(counts[a:b][order], sizes[a:b][order])
                 for c in range(0, len(ask), 128):
