@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.ml import PipelineModel
-from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import (
     CountVectorizerModel,
     ElementwiseProduct,
+    IndexToString,
     NGram,
     Normalizer,
     RegexTokenizer,
@@ -19,10 +22,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..fixed_values import LABELS, MAX_ITERATIONS, MAX_TERMS, NGRAM_RANGE, STOP_WORDS
-from ..functions.labels import encode_label
 from ..functions.numbers import round_half_even
 from ..functions.scores import best_label
 from ..functions.text import WORD_RUN
+from ..lineage import written
 from . import features
 from .balance import class_weights
 
@@ -95,7 +98,8 @@ def fit_baseline(
     """Logistic regression with balanced class weights and an L2 penalty of strength C = 1.
 
     Spark divides the loss by the sum of the weights, so the penalty is
-    divided by it too.
+    divided by it too. The vectors are stored once: every pass of the fit reads them.
+    Labels that no row has are not fitted; their probability is 0. The last stage names the others in order.
     """
     stages, terms = fit_features(train, text_col, max_terms, ngram_range, stop_words)
     if not terms:
@@ -103,13 +107,16 @@ def fit_baseline(
     per_class = class_weights(train, label_col)
     if not balanced:
         per_class = per_class.withColumn("weight", F.lit(1.0))
-    total = per_class.agg(F.sum(F.col("n") * F.col("weight"))).first()[0]
-    rows = train.join(per_class.select(label_col, "weight"), label_col).select(
-        F.coalesce(text_col, F.lit("")).alias(TEXT),
-        "weight",
-        encode_label(label_col).cast("double").alias("label_id"),
+    found = {r[0]: r for r in per_class.select(label_col, "n", "weight").collect()}  # a row per class
+    total = sum(r.n * r.weight for r in found.values())
+    present = [x for x in LABELS if x in found]
+    place = F.array_position(F.array(*[F.lit(x) for x in present]), F.col(label_col)) - 1
+    weight = F.element_at(F.create_map(*[F.lit(v) for x in present for v in (x, found[x].weight)]), F.col(label_col))
+    rows = train.filter(F.col(label_col).isin(present)).select(
+        F.coalesce(text_col, F.lit("")).alias(TEXT), weight.alias("weight"), place.cast("double").alias("label_id")
     )
-    vectors = PipelineModel(stages).transform(rows).select("features", "label_id", "weight")
+    vectors = PipelineModel(stages).transform(rows.hint("rebalance")).select("features", "label_id", "weight")
+    vectors = written(vectors, "vectors")
     regression = LogisticRegression(
         featuresCol="features",
         labelCol="label_id",
@@ -121,13 +128,47 @@ def fit_baseline(
         maxIter=max_iter,
         tol=1e-6,
     )
-    return PipelineModel([*stages, regression.fit(vectors)])
+    names = IndexToString(inputCol="prediction", outputCol="_predicted", labels=present)
+    return PipelineModel([*stages, regression.fit(vectors), names])
+
+
+def fitted_labels(model: PipelineModel) -> list[str]:
+    """The labels that ``model`` knows, in the order of its classes."""
+    return list(model.stages[-1].getLabels())
+
+
+def regression_of(model: PipelineModel) -> LogisticRegressionModel:
+    return next(s for s in model.stages if isinstance(s, LogisticRegressionModel))
+
+
+def gradient(model: PipelineModel, rows: DataFrame, text_col: str, label_col: str, weight_col: str) -> DataFrame:
+    """label, term_id, gradient: the slope of the penalised loss at each coefficient of ``model`` on ``rows``.
+
+    The intercepts have a null term_id; they are not penalised. At the optimum all are 0.
+    """
+    fit, labels = regression_of(model), fitted_labels(model)
+    scored = model.transform(rows.withColumn(TEXT, F.coalesce(text_col, F.lit(""))))
+    p = vector_to_array("probability")
+    off = [F.col(weight_col) * (F.get(p, k) - (F.col(label_col) == x).cast("double")) for k, x in enumerate(labels)]
+    scored = scored.select(F.col(weight_col).alias("_w"), F.unwrap_udt("features").alias("_v"), F.array(*off).alias("_off"))
+    total = scored.agg(F.sum("_w")).first()[0]
+    pairs = F.concat(
+        F.transform(F.arrays_zip(F.col("_v.indices").alias("i"), F.col("_v.values").alias("x")), lambda z: F.struct(z["i"].alias("i"), z["x"].alias("x"))),
+        F.array(F.struct(F.lit(None).cast("int").alias("i"), F.lit(1.0).alias("x"))),
+    )
+    each = scored.select("_off", F.inline(pairs).alias("term_id", "x"))
+    sums = each.groupBy("term_id").agg(*[F.sum(F.col("x") * F.col("_off")[k]).alias(f"_g{k}") for k in range(len(labels))])
+    named = F.array(*[F.struct(F.lit(x).alias("label"), F.lit(k).alias("k"), F.col(f"_g{k}").alias("g")) for k, x in enumerate(labels)])
+    sums = sums.select("term_id", F.inline(named))
+    coefficients = F.from_json(F.lit(json.dumps(fit.coefficientMatrix.toArray().tolist())), "array<array<double>>")
+    pull = F.coalesce(F.get(F.get(coefficients, F.col("k")), F.col("term_id")), F.lit(0.0)) * fit.getRegParam()
+    return sums.select("label", "term_id", (F.col("g") / total + pull).alias("gradient"))
 
 
 def probabilities(model: PipelineModel, df: DataFrame, text: Column) -> DataFrame:
     """``df`` with the array column ``_proba``, exact probabilities of ``text`` in label order."""
-    array = vector_to_array("probability")
-    in_order = F.array(*[F.coalesce(F.get(array, i), F.lit(0.0)) for i in range(len(LABELS))])
+    array, known = vector_to_array("probability"), fitted_labels(model)
+    in_order = F.array(*[F.get(array, known.index(x)) if x in known else F.lit(0.0) for x in LABELS])
     scored = model.transform(df.withColumn(TEXT, F.coalesce(text, F.lit(""))))
     return scored.select(*df.columns, in_order.alias("_proba"))
 
@@ -156,17 +197,22 @@ def load_model(path: str) -> PipelineModel:
 
 
 def linear_parts(model: PipelineModel) -> tuple[list, list[list[float]], list[float]]:
-    """Feature stages, coefficients per label and intercepts, as ``features.linear_score`` takes them."""
-    fit = model.stages[-1]
-    return list(model.stages[:-1]), fit.coefficientMatrix.toArray().tolist(), list(fit.interceptVector)
+    """Feature stages, coefficients per label and intercepts, as ``features.linear_score`` takes them.
+
+    A label that was not fitted has the intercept minus infinity, so its probability is 0.
+    """
+    fit, known = regression_of(model), fitted_labels(model)
+    matrix, intercepts = fit.coefficientMatrix.toArray(), list(fit.interceptVector)
+    stages = list(model.stages[: model.stages.index(fit)])
+    own = [matrix[known.index(x)].tolist() if x in known else [0.0] * matrix.shape[1] for x in LABELS]
+    return stages, own, [float(intercepts[known.index(x)]) if x in known else float("-inf") for x in LABELS]
 
 
 def coefficient_table(model: PipelineModel, spark) -> tuple[DataFrame, list[float]]:
     """Coefficients as (term, left, neutral, right) rows, and the intercepts."""
     vocab = next(s for s in model.stages if isinstance(s, CountVectorizerModel)).vocabulary
-    fit = model.stages[-1]
-    matrix = fit.coefficientMatrix.toArray()
+    _, matrix, intercepts = linear_parts(model)
     names = [x.lower() for x in LABELS]
     rows = [(t, *[float(matrix[k][i]) for k in range(len(names))]) for i, t in enumerate(vocab)]
     schema = "term string, " + ", ".join(f"{n} double" for n in names)
-    return spark.createDataFrame(rows, schema), [float(b) for b in fit.interceptVector]
+    return spark.createDataFrame(rows, schema), intercepts

@@ -66,10 +66,14 @@ def vocabulary(
     shorter ones inside it, so the lengths are counted one after the other:
     an n-gram is shuffled only if both its parts reach the count that the
     ``max_terms``-th term has so far. The result is the same.
+
+    The texts are dealt out evenly once, before they are cut into tokens: all lengths
+    are counted from that table, and documents may come in one large file.
     """
     low, high = ngram_range
     floor, counted, parts = 1, [], None
-    tokens = written(docs.select(content_tokens(text_col, stop_words).alias("_n1")), "tokens")
+    texts = docs.select(text_col).hint("rebalance")
+    tokens = written(texts.select(content_tokens(text_col, stop_words).alias("_n1")), "tokens")
     for n in range(1, high + 1):
         rows = _occurrences(tokens, n)
         if parts is not None:

@@ -27,6 +27,7 @@ from ..lineage import written
 
 STEP = 3  # hexadecimal digits a prefix grows by: 4096 parts
 KEY_DIGITS = 48
+STRETCH = 1 << 16  # rows alike that are counted together
 NOTHING, EVERYTHING = "", "~"  # below and above every key
 
 
@@ -101,8 +102,12 @@ def marked(keyed: DataFrame, found: dict, shares: dict, flag: str) -> DataFrame:
         return out
     alike = (F.col("_key") == bound) & (_looked_up({g: "y" for g in shares}, "n") == "y")
     share = _looked_up({g: str(n) for g, n in shares.items()}, "0").cast("bigint")
-    tied = keyed.filter(alike).groupBy(*keyed.columns).agg(F.count("*").alias("_n"))
-    tied = tied.withColumn("_nth", F.explode(F.sequence(F.lit(1).cast("bigint"), "_n")))
+    # rows alike are counted by stretches of the table and numbered by running sums over the stretches
+    stretch = F.shiftright(F.monotonically_increasing_id(), STRETCH.bit_length() - 1)
+    tied = keyed.filter(alike).withColumn("_stretch", stretch).groupBy(*keyed.columns, "_stretch").agg(F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy("_group").orderBy("_stretch").rowsBetween(Window.unboundedPreceding, -1))
+    tied = tied.withColumn("_before", F.coalesce(before, F.lit(0)))
+    tied = tied.withColumn("_nth", F.explode(F.sequence(F.col("_before") + 1, F.col("_before") + F.col("_n"))))
     tied = tied.select(*keyed.columns, (F.col("_nth") <= share).alias(flag))
     return out.filter(~alike).unionByName(tied)
 

@@ -39,7 +39,7 @@ def train(
     stop_words: list[str] = STOP_WORDS,
 ) -> tuple[PipelineModel, DataFrame, DataFrame]:
     """The fitted model, its classification report on the test split, and the confusion matrix."""
-    rows = written(usable(processed).select(id_col, text_col, "bias"), "usable")
+    rows = written(usable(processed).select(id_col, text_col, "bias").hint("rebalance"), "usable")
     split = stratified_split(rows, id_col, "bias", test_fraction)
     model = fit_baseline(
         split.filter(~F.col("is_test")), text_col, "bias",

@@ -540,3 +540,67 @@ def test_a_level_moves_its_links_and_not_the_pages(spark, tmp_path, monkeypatch)
         assert not spark.catalog.tableExists(table.name)
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_rows_alike_are_numbered_by_stretches(spark, monkeypatch):
+    monkeypatch.setattr(sampling, "STRETCH", 1 << 8)
+    alike = spark.range(20_000).select(F.lit(5).cast("long").alias("id"), F.lit("same").alias("text")).repartition(7)
+    other = spark.range(100, 1100).select("id", F.lit("own").alias("text"))
+    rows = alike.unionByName(other)
+    taken = sampling.take_fraction(rows, "id", lambda n: 12_345, "taken")
+    assert taken.count() == 21_000 and taken.filter("taken").count() == 12_345
+    both = {(r.id == 5, r.taken): r["count"] for r in taken.groupBy("id", "taken").count().collect() if r.id == 5}
+    assert sum(both.values()) == 20_000 and len(both) == 2
+
+
+def test_gradient_of_a_fit_and_of_one_stopped_early(spark):
+    from framewise.operators import classifier
+
+    words = {"Left": "red rose union", "Neutral": "plain grey report", "Right": "blue flag order"}
+    docs = [(f"{w} common word{i % 5}", label, 1.0 + i % 2) for i in range(20) for label, w in words.items()]
+    docs = spark.createDataFrame(docs, "text string, bias string, unused double")
+    weighed = docs.join(B.class_weights(docs).select("bias", "weight"), "bias")
+
+    def steepest(**options):
+        model = classifier.fit_baseline(docs, "text", "bias", max_terms=30, **options)
+        slopes = classifier.gradient(model, weighed, "text", "bias", "weight")
+        return slopes.agg(F.max(F.abs("gradient")), F.count("*")).first(), model
+
+    (largest, n), model = steepest()
+    assert largest < 5e-4 and n == 3 * 31
+    assert steepest(max_iter=2)[0][0] > 5e-3
+    # against the loss itself: a step along one coefficient
+    import numpy as np
+
+    stages, matrix, intercepts = classifier.linear_parts(model)
+    vectors = classifier.term_vectors(stages, weighed, "text").select("_v", "bias", "weight").collect()
+
+    def loss(matrix):
+        total = 0.0
+        for r in vectors:
+            z = np.array([b + sum(row[i] * x for i, x in zip(r._v.indices, r._v.values)) for row, b in zip(matrix, intercepts)])
+            total -= r.weight * (z[["Left", "Neutral", "Right"].index(r.bias)] - np.log(np.exp(z).sum()))
+        return total / 60 + 0.5 / 60 * (np.array(matrix) ** 2).sum()
+
+    early = steepest(max_iter=2)[1]
+    _, matrix, intercepts = classifier.linear_parts(early)
+    at = {(r.label, r.term_id): r.gradient for r in classifier.gradient(early, weighed, "text", "bias", "weight").collect()}
+    for k, label, i in ((0, "Left", 0), (1, "Neutral", 3), (2, "Right", 7)):
+        up, down = ([list(row) for row in matrix] for _ in range(2))
+        up[k][i] += 1e-4
+        down[k][i] -= 1e-4
+        assert at[label, i] == pytest.approx((loss(up) - loss(down)) / 2e-4, abs=1e-6)
+
+
+def test_a_label_that_no_row_has_is_not_predicted(spark, tmp_path):
+    from framewise.operators import classifier
+
+    rows_in = spark.createDataFrame([("red rose", "Left"), ("blue flag", "Right"), ("red union", "Left"), ("blue order", "Right")] * 3, "text string, bias string")
+    model = classifier.fit_baseline(rows_in, "text", "bias", max_terms=10, max_iter=50)
+    classifier.save_model(model, str(tmp_path / "m"))
+    model = classifier.load_model(str(tmp_path / "m"))
+    assert classifier.fitted_labels(model) == ["Left", "Right"]
+    got = classifier.predict_baseline(model, rows_in, "text").collect()
+    assert {(r.bias, r.y_pred, r.conf_neutral) for r in got} == {("Left", "Left", 0.0), ("Right", "Right", 0.0)}
+    own = features.linear_score(rows_in.withColumn("n", F.monotonically_increasing_id()), "n", "text", *classifier.linear_parts(model))
+    assert {(r.label, r.conf_neutral) for r in own.collect()} == {("Left", 0.0), ("Right", 0.0)}

@@ -125,8 +125,8 @@ def based_pages(spark: SparkSession, sf: str) -> DataFrame:
 def site_pages(spark: SparkSession, sf: str) -> DataFrame:
     """page_id, url, html: the given pages and, for each of their links, stored pages to follow.
 
-    A link ``/w`` leads to ``/w``, which links to ``/x/w``, which links to
-    ``/x/x/w``. The home page of a host links to ``/top/w``.
+    A link ``/w`` leads to ``/w``, which links to ``/x/w`` and to ``/video/w``, a path that no
+    article has; ``/x/w`` links to ``/x/x/w``. The home page of a host links to ``/top/w``.
     """
     p = pages(spark, sf).select(
         "page_id",
@@ -160,10 +160,11 @@ def site_pages(spark: SparkSession, sf: str) -> DataFrame:
         F.concat(F.lit("<title>Home "), "host", F.lit("</title>"), anchors("/top")).alias("html"),
     )
     return (
-        given.unionByName(stored(1, "", "Story ", "", anchors("/x")))
+        given.unionByName(stored(1, "", "Story ", "", F.concat(anchors("/x"), anchors("/video"))))
         .unionByName(stored(2, "/x", " STORY ", " ", anchors("/x/x")))
         .unionByName(stored(3, "/x/x", "Report ", "", anchors("/x/x/x")))
         .unionByName(stored(4, "/top", "Top ", "", F.lit("")))
+        .unionByName(stored(6, "/video", "Clip ", "", F.lit("")))
         .unionByName(home)
     )
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framewise.fixed_values import LABELS, MAX_PAGES_PER_SITE, MAX_QUEUE, TARGET_TOTAL
+from framewise.fixed_values import LABELS, MAX_PAGES_PER_SITE, MAX_QUEUE, MIN_PER_SITE, TARGET_TOTAL
 from framewise.functions import gates as G
 from framewise.functions.labels import decode_label, encode_label, map_category
 from framewise.functions.numbers import round_half_even
@@ -188,11 +188,11 @@ def logit_batch():
 
 
 def score_headlines_nli(spark: SparkSession, sf: str) -> DataFrame:
-    return predict(I.headlines(spark, sf), "nli", lexical_batch).select(*DECISION)
+    return predict(I.headlines(spark, sf), "nli", lexical_batch).select(*DECISION, "reasoning")
 
 
 def score_headlines_bert(spark: SparkSession, sf: str) -> DataFrame:
-    return predict(I.headlines(spark, sf), "bert", logit_batch).select(*DECISION)
+    return predict(I.headlines(spark, sf), "bert", logit_batch).select(*DECISION, "reasoning")
 
 
 def gap_summary(spark: SparkSession, sf: str) -> DataFrame:
@@ -232,7 +232,8 @@ def _processed(spark: SparkSession, sf: str) -> DataFrame:
     n = F.col("headline_id")
     clean = F.when(n % 60 != 12, clean_text("headline")).alias("clean_headline")
     category = F.when(n % 60 != 11, F.col("category")).alias("category")
-    return written(I.headlines(spark, sf).select("headline_id", clean, category), "processed")
+    rows = I.headlines(spark, sf).hint("rebalance").select("headline_id", clean, category)
+    return written(rows, "processed")
 
 
 def train_test_split(spark: SparkSession, sf: str) -> DataFrame:
@@ -329,6 +330,15 @@ def collect_headlines(spark: SparkSession, sf: str) -> DataFrame:
     return collect(I.site_pages(spark, sf), sites, I.sections(spark, sf))
 
 
+def collect_bounded(spark: SparkSession, sf: str) -> DataFrame:
+    """The whole job to a target, which sets the quota of a site and stops the second pass, with capped links."""
+    sites = written(I.sites(spark, sf), "sites")
+    return collect(
+        I.site_pages(spark, sf), sites, I.sections(spark, sf),
+        target=sites.count() * MIN_PER_SITE, max_article_links=3, max_home_links=9,
+    )
+
+
 def site_headlines(spark: SparkSession, sf: str) -> DataFrame:
     facts, sites, visited = _walk(spark, sf)
     found = links.site_headlines(visited, facts)
@@ -370,36 +380,38 @@ def linear_score(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def baseline_train(spark: SparkSession, sf: str) -> DataFrame:
-    """What must hold at the one optimum of the loss, and the rows it is reached on.
+    """The one optimum of the loss, and the rows it is reached on.
 
-    label, n_train, support (test rows), and is_optimal: over the training
-    rows the weighted sum of (probability - truth) is 0, as the intercepts are free.
+    label, n_train, support (test rows), in_matrix; n_slopes: coefficients, with the intercept;
+    is_optimal: the penalised loss has no slope above 5e-4 at any of them.
     """
     processed = _processed(spark, sf)
     model, report, matrix = train(processed)
     rows = sampling.stratified_split(usable(processed), "headline_id", "bias").filter("NOT is_test")
-    weights = B.class_weights(rows).select("bias", "weight")
-    found = classifier.probabilities(model, rows.select("bias", "clean_headline"), F.col("clean_headline"))
-    found = found.join(weights, "bias")
-    sums = found.agg(
-        F.sum("weight").alias("total"),
-        *[
-            F.sum(F.col("weight") * (F.col("_proba")[k] - (F.col("bias") == x).cast("double"))).alias(x)
-            for k, x in enumerate(LABELS)
-        ],
-    ).first()
-    shown = [(x, abs(sums[x]) / sums["total"] < 1e-3) for x in LABELS]
-    optimal = spark.createDataFrame(shown, "label string, is_optimal boolean")
+    weighed = rows.join(B.class_weights(rows).select("bias", "weight"), "bias")
+    slopes = classifier.gradient(model, weighed, "clean_headline", "bias", "weight")
+    slopes = slopes.groupBy("label").agg(
+        F.count("*").alias("n_slopes"), (F.max(F.abs("gradient")) < 5e-4).alias("is_optimal")
+    )
     sizes = rows.groupBy(F.col("bias").alias("label")).agg(F.count("*").alias("n_train"))
     tested = matrix.groupBy(F.col("y_true").alias("label")).agg(F.sum("n").alias("in_matrix"))
     return (
         report.join(sizes, "label")
         .join(tested, "label")
-        .join(optimal, "label")
-        .select("label", "n_train", "support", "in_matrix", "is_optimal")
+        .join(slopes, "label")
+        .select("label", "n_train", "support", "in_matrix", "n_slopes", "is_optimal")
     )
 
 
+def baseline_two_classes(spark: SparkSession, sf: str) -> DataFrame:
+    """A fit on rows of which none is Neutral: that class has no share of any headline."""
+    rows = usable(_processed(spark, sf)).filter("bias <> 'Neutral'")
+    model = classifier.fit_baseline(rows, "clean_headline", "bias")
+    found = predict(I.headlines(spark, sf), "baseline", model).filter("is_model_prediction")
+    one = F.abs(F.col(CONF[0]) + F.col(CONF[2]) - 1) < 2e-4
+    return found.select("headline_id", "conf_neutral", (F.col("label") == "Neutral").alias("is_neutral"), one.alias("sums_to_one"))
+
+
 def baseline_predict(spark: SparkSession, sf: str) -> DataFrame:
     """Fit, save, load, then label every headline that passes the gates.
 
@@ -430,9 +442,10 @@ def baseline_predict(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def baseline_evaluate(spark: SparkSession, sf: str) -> DataFrame:
-    """Both kinds of evaluation of one trained model, and of a scorer passed in.
+    """Both kinds of evaluation of one trained model, and of two scorers passed in.
 
-    model, how, label, support of every row, and whether its measures lie in [0, 1].
+    model, how, label, support of every row, and whether its measures lie in [0, 1]; for
+    the scorers, whose predictions SQL can make, precision, recall and f1.
     """
     processed = _processed(spark, sf)
     model = train(processed)[0]
@@ -446,7 +459,8 @@ def baseline_evaluate(spark: SparkSession, sf: str) -> DataFrame:
         out = out.unionByName(more)
     inside = F.col("f1").between(0, 1) & F.coalesce(F.col("precision").between(0, 1), F.lit(True))
     seen = (F.col("support") > 0) & (F.col("label") != "none")
-    return out.filter(seen).select("model", "how", "label", "support", inside.alias("in_range"))
+    exact = [F.when(F.col("model") != "baseline", round_half_even(F.col(c), 6)).alias(c) for c in ("precision", "recall", "f1")]
+    return out.filter(seen).select("model", "how", "label", "support", inside.alias("in_range"), *exact)
 
 
 def csv_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
@@ -531,12 +545,14 @@ QUERIES = {
     "frontier_levels": frontier_levels,
     "frontier_bounded": frontier_bounded,
     "collect_headlines": collect_headlines,
+    "collect_bounded": collect_bounded,
     "site_headlines": site_headlines,
     "top_up_headlines": top_up_headlines,
     "tfidf_vocabulary": tfidf_vocabulary,
     "tfidf_weights": tfidf_weights,
     "linear_score": linear_score,
     "baseline_train": baseline_train,
+    "baseline_two_classes": baseline_two_classes,
     "baseline_predict": baseline_predict,
     "baseline_evaluate": baseline_evaluate,
     "csv_roundtrip": csv_roundtrip,
