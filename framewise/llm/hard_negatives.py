@@ -40,7 +40,7 @@ _LONG = (1 << 63) - 1
 
 def quantised(column: pa.Array, width: int) -> np.ndarray:
     """floor(256 x) of every component: whole numbers as float64 where these are exact, else as objects."""
-    x = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, width)
+    x = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), width)
     if not x.size or np.abs(x).max() < 1 << 44:
         return np.floor(256 * x)
     whole = [int(v) * 256 if abs(v) >= 1 << 53 else math.floor(256 * v) for v in x.ravel().tolist()]
