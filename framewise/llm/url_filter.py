@@ -90,7 +90,7 @@ def with_features(rows: DataFrame) -> DataFrame:
             "longest_label": F.array_max(F.transform("_labels", lambda x: F.char_length(x))).cast("double"),
             "has_fragment": url.contains("#").cast("double"),
             "is_https": _ascii_lower(url).startswith("https://").cast("double"),
-            "suffix": F.element_at("_labels", -1),
+            "suffix": _suffix("host"),
         }
     ).drop("_chars", "_labels")
 
@@ -100,6 +100,24 @@ def _with_suffix(rows: DataFrame, suffixes: DataFrame) -> DataFrame:
     return known.fillna({"suffix_block_rate": 0.5, "suffix_share": 0.0})
 
 
+def _suffix(host: str) -> Column:
+    return F.element_at(F.split(host, "\\."), -1)
+
+
+def suffix_table(rows: DataFrame) -> DataFrame:
+    """suffix, suffix_share, suffix_block_rate over all ``rows`` (host, _rule): a stored table.
+
+    The share is of all rows, the rate of those that a rule names, drawn towards a half.
+    """
+    blocked = F.count_if(F.col("_rule.verdict") == "block")
+    table = rows.groupBy(_suffix("host").alias("suffix")).agg(
+        F.count("*").alias("n"), ((blocked + 1) / (F.count("_rule") + 2)).alias("suffix_block_rate")
+    )
+    table = stored(table, "suffix-counts")
+    total = table.agg(F.sum("n")).first()[0]
+    return table.select("suffix", (F.col("n") / total).alias("suffix_share"), "suffix_block_rate")
+
+
 def judge_urls(
     pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, most: int = FIT_ROWS, id: str = "page_id", url: str = "url"
 ) -> DataFrame:
@@ -108,7 +126,10 @@ def judge_urls(
     The verdict is the longest fitting rule's. Other URLs are blocked where
     the trees give blocking 0.5 or more; if all known verdicts are alike, that is
     the verdict, and if none is known, allow. Null URLs have empty host and
-    path and are judged like any. Ids are only handed on.
+    path and are judged like any. Ids are only handed on; repeated rows are judged alike.
+    URLs are read whole, however long. The trees are fitted on at most about ``most`` different
+    URLs that a rule names, weighted by their rows; counts per suffix cover all pages. Other columns are not
+    read, whatever their names. An empty table gives an empty table.
     """
     host, path = url_parts(url)
     rows = pages.select(F.col(id).alias("page_id"), F.col(url).alias("url"), host.alias("host"), path.alias("path"))
@@ -116,6 +137,8 @@ def judge_urls(
     known = rows.filter("_rule is not null").select(
         "url", "host", "path", (F.col("_rule.verdict") == "block").cast("double").alias("label")
     )
+    # each different URL once, with the number of its rows as its weight
+    known = stored(known.groupBy("url", "host", "path", "label").agg(F.count("*").cast("double").alias("weight")), "known-urls")
     n = known.groupBy("label").count().collect()  # two rows
     plain = [F.col(c) for c in ("page_id", "host", "path")] + [F.col("_rule.rule").alias("rule")]
     if len(n) < 2:
@@ -125,14 +148,10 @@ def judge_urls(
     share = int((1 << 30) * min(1.0, most / sum(r["count"] for r in n)))
     fit = known.filter(F.pmod(F.xxhash64("url"), F.lit(1 << 30)) < share)
     fit = stored(with_features(fit).drop("host", "path", "url"), "labelled-urls")
-    suffixes = fit.groupBy("suffix").agg(
-        ((F.sum("label") + 1) / (F.count("*") + 2)).alias("suffix_block_rate"), F.count("*").cast("double").alias("suffix_share")
-    )
-    total = fit.count()
-    suffixes = stored(suffixes.withColumn("suffix_share", F.col("suffix_share") / total), "suffixes")
+    suffixes = suffix_table(rows)
     assemble = VectorAssembler(inputCols=FEATURES, outputCol="features", handleInvalid="keep")
-    trees = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, seed=SEED, maxBins=32, subsamplingRate=1.0)
-    data = assemble.transform(_with_suffix(fit, suffixes)).select("features", "label")
+    trees = GBTClassifier(weightCol="weight", maxIter=TREES, maxDepth=DEPTH, seed=SEED, maxBins=32, subsamplingRate=1.0)
+    data = assemble.transform(_with_suffix(fit, suffixes)).select("features", "label", "weight")
     # a few ten thousand rows: as many tasks as cores work on them, not one for each tiny file
     model = PipelineModel([assemble, trees.fit(data.coalesce(pages.sparkSession.sparkContext.defaultParallelism))])
     judged = model.transform(_with_suffix(with_features(rows), suffixes))
