@@ -17,10 +17,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import stored
 from .scan import LOWER, batch_bytes, slices
 
 BUCKETS = 1 << 16
 #: At most about so many labelled rows are fitted, chosen by a hash of their id.
+#: Languages learned at most.
+LANGUAGES = 256
 FIT_ROWS = 20_000
 #: Gap between the losses of the two nearest codewords (per unit of bit weight) below which a text is ambiguous.
 AMBIGUOUS = 0.02
@@ -105,19 +108,26 @@ def _margins(odds: np.ndarray, data: np.ndarray, at: np.ndarray) -> np.ndarray:
     return out
 
 
-def _sampled(rows: DataFrame, most: int) -> DataFrame:
-    n = rows.count()
-    share = int((1 << 30) * min(1.0, most / max(n, 1)))
-    return rows.filter(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < share)
+def _sampled(rows: DataFrame, most: int, languages: int) -> DataFrame:
+    """Of ``rows`` (id, text, lang) at most about ``most``, as many of each language: all of a rare one.
+
+    Rows are drawn by a hash of id and text, so null and repeated ids make no difference. Of more than
+    ``languages`` languages those with the most rows are taken.
+    """
+    counts = rows.groupBy(F.col("lang").alias("_lang")).agg(F.count("*").alias("_n"))
+    counts = stored(counts.orderBy(F.desc("_n"), "_lang").limit(languages), "languages")
+    each = most / max(counts.count(), 1)
+    drawn = F.pmod(F.xxhash64("id", "text"), F.lit(1 << 30)) < F.lit(each * (1 << 30)) / F.col("_n")
+    return rows.join(F.broadcast(counts), F.col("lang") == F.col("_lang")).filter(drawn)  # ``languages`` rows at most
 
 
-def fit_languages(rows: DataFrame, most: int = FIT_ROWS) -> LanguageModel | None:
-    """Fit on ``rows`` (id, text, lang), at most about ``most`` of them.
+def fit_languages(rows: DataFrame, most: int = FIT_ROWS, languages: int = LANGUAGES) -> LanguageModel | None:
+    """Fit on ``rows`` (id, text, lang), at most about ``most`` of them, dealt evenly over the languages.
 
     Rows with a null language are left out. None if there is no row.
-    Languages x 65,536 counts reach the driver, whatever the rows.
+    ``languages`` x 65,536 counts at most reach the driver, whatever the rows.
     """
-    rows = _sampled(rows.filter("lang is not null").select("id", "text", "lang"), most).select("text", "lang")
+    rows = _sampled(rows.filter("lang is not null").select("id", "text", "lang"), most, languages).select("text", "lang")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, np.ndarray] = {}
