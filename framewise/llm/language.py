@@ -21,10 +21,10 @@ from .common import stored
 from .scan import LOWER, batch_bytes, slices
 
 BUCKETS = 1 << 16
-#: At most about so many labelled rows are fitted, chosen by a hash of their id.
+#: At most about so many labelled rows are fitted, chosen by a hash of their id and text.
+FIT_ROWS = 20_000
 #: Languages learned at most.
 LANGUAGES = 256
-FIT_ROWS = 20_000
 #: Gap between the losses of the two nearest codewords (per unit of bit weight) below which a text is ambiguous.
 AMBIGUOUS = 0.02
 UNKNOWN = "und"

@@ -121,6 +121,27 @@ URLS = [
 ]
 
 
+def test_suffix_counts_cover_all_pages(spark):
+    rows = [(i, f"http://a{i % 3}.net/x") for i in range(30)] + [(100 + i, f"http://b.dev/{i}") for i in range(60)] + [(200, "http://o.org/fr/"), (201, None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    host, path = url_filter.url_parts("url")
+    rows = pages.withColumns({"host": host, "path": path}).withColumn("_rule", url_filter.fitting_rule(F.col("host"), F.col("path"), url_filter.RULES))
+    table = {r.suffix: (round(r.suffix_share * 92), round(r.suffix_block_rate, 6)) for r in url_filter.suffix_table(rows).collect()}
+    assert table == {"net": (30, round(31 / 32, 6)), "dev": (60, 0.5), "org": (1, round(1 / 3, 6)), "": (1, 0.5)}
+    few = {r.page_id: r for r in url_filter.judge_urls(pages, most=2).collect()}
+    assert len(few) == 92 and all(few[i].verdict == "block" for i in range(30)) and few[200].verdict == "allow"
+
+
+def test_odd_urls_and_columns(spark):
+    long = "http://x.example/" + "a/1" * 50_000
+    rows = [(1, long, "p", "r", 1.0), (1, long, "p", "r", 1.0), (2, "http://a.net/", "p", "r", 1.0), (3, "http://o.org/fr/", "p", "r", 1.0)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, host string, suffix string, weight double")
+    got = url_filter.judge_urls(pages).collect()
+    assert sorted((r.page_id, r.rule) for r in got) == [(1, None), (1, None), (2, "net/"), (3, "org/fr/")]
+    assert len({(r.verdict, r.block_score) for r in got if r.page_id == 1}) == 1
+    assert url_filter.judge_urls(pages.limit(0)).count() == 0
+
+
 def test_url_rules(spark):
     df = spark.createDataFrame([(i, u[0], "h") for i, u in enumerate(URLS)] + [(None, "http://a.net/", "h")], "page_id long, url string, host string")
     rows = {r.page_id: r for r in url_filter.judge_urls(df).collect()}

@@ -377,6 +377,33 @@ def test_byte_code():
     assert token_files.unpack(control, data, sizes).tolist() == np.concatenate(parts).tolist()
 
 
+def test_rare_languages_and_rows_without_ids_are_learned(spark):
+    words = {"aa": "baba kala baba moko", "bb": "the strength of threads", "cc": "ziq wux qizzy jux"}
+    rows = [(None if i % 2 else 7, f"{words['aa']} {i}", "aa") for i in range(3000)] + [(i, f"{words['bb']} {i}", "bb") for i in range(300)]
+    rows += [(None, f"{words['cc']} {i}", "cc") for i in range(5)] + [(5, None, "cc"), (6, "no label", None)]
+    docs = spark.createDataFrame(rows, "id long, text string, lang string")
+    drawn = language._sampled(docs.filter("lang is not null"), 60, 256).groupBy("lang").count().collect()
+    n = {r.lang: r["count"] for r in drawn}
+    assert n["cc"] == 6 and 5 <= n["aa"] <= 40 and 8 <= n["bb"] <= 40
+    model = language.fit_languages(docs, 60)
+    found = language.identify(spark.createDataFrame([("moko baba",), ("threads of",), ("jux qizzy wux",), ("12",), (None,)], "text string"), model)
+    assert [r.lang_pred for r in found.collect()] == ["aa", "bb", "cc", "und", "und"]
+    assert language.fit_languages(docs, 60, languages=2).languages == ["aa", "bb"]
+
+
+def test_decoding_takes_the_nearest_codeword():
+    code = language.codewords(5)
+    draw = np.random.default_rng(4)
+    model = language.LanguageModel([f"l{i}" for i in range(5)], code, None, draw.random(code.shape[1]) + 0.5, draw.random(code.shape[1]) + 0.5)
+    margins = draw.normal(size=(200, code.shape[1]))
+    best, score, gap = model.decode(margins)
+    for i, row in enumerate(margins):
+        again, one, _ = model.decode(row[None])
+        assert again[0] == best[i] and one[0] == pytest.approx(score[i])
+    clean, _, wide = model.decode(code * 10.0)
+    assert clean.tolist() == list(range(5)) and (wide > language.AMBIGUOUS).all()
+
+
 def test_language_on_rows_not_learned(spark):
     data = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     odd = spark.createDataFrame([(-1, None, "en", "s", 0), (-2, "", "en", "s", 0), (-3, "12 345 !!", "en", "s", 0), (-4, "日本", None, "s", 0)], data.schema)
