@@ -55,7 +55,7 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 
 def _power(name: str, base: np.uint64, n: int) -> np.ndarray:
-    if len(_powers.get(name, ())) < n:
+    if name not in _powers or len(_powers[name]) < n:
         powers = np.full(max(n, SLICE + 1), base)
         powers[0] = 1
         _powers[name] = np.cumprod(powers)

@@ -489,3 +489,20 @@ def test_long_text_is_whole(spark):
     assert rows[1].n_shingles == 997 and rows[2].n_shingles == 998
     names = {r.doc_id: r.kept for r in block_names.exact_dedup(one).collect()}
     assert names == {1: True, 2: True}
+
+
+def test_toxicity_of_few_labelled_rows_ranks_those_not_learned(spark):
+    sf = "/root/testdata/sf0.001"
+    data, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    found = toxicity.score_toxicity(data, toxicity.learn_toxicity(data, labels)).join(labels, "doc_id")
+    found = found.filter(language.held_out("doc_id", 5, 0)).collect()
+    toxic, clean = ([r.toxic_score for r in found if r.toxic == k] for k in (1, 0))
+    assert toxic and clean and np.mean([[(a > b) + (a == b) / 2 for b in clean] for a in toxic]) > 0.8
+
+
+def test_hashes_of_no_words_in_a_fresh_worker(monkeypatch):
+    from framewise.llm import scan
+
+    monkeypatch.setattr(scan, "_powers", {})
+    none = np.zeros(0, np.int64)
+    assert len(scan.span_hashes(np.zeros(0, np.uint8), none, none)) == 0
