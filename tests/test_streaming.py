@@ -161,3 +161,17 @@ def test_predict_on_a_stream_equals_batch(spark, tmp_path):
     batch = predict(spark.read.schema(schema).parquet(source), "lexical").drop("confidence")
     got = spark.read.parquet(out).select(*batch.columns)
     assert got.count() == 3 and got.exceptAll(batch).isEmpty()
+
+
+def test_streams_read_a_table_that_is_a_folder_of_files(spark, sf, tmp_path):
+    from verification.queries import QUERIES
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    docs.repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    for name in ("stream_gate", "stream_dedup"):
+        whole, parts = QUERIES[name](spark, sf), QUERIES[name](spark, str(tmp_path))
+        assert whole.count() > 0
+        if name == "stream_gate":
+            assert whole.exceptAll(parts).isEmpty() and parts.exceptAll(whole).isEmpty()
+        else:
+            assert whole.select("headline_id").exceptAll(parts.select("headline_id")).isEmpty() and whole.count() == parts.count()
