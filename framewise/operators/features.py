@@ -3,8 +3,12 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,6 +18,9 @@ from ..functions.scores import best_label, softmax
 from ..functions.text import longer_runs, word_tokens
 from ..lineage import written
 
+#: Tasks leave out n-grams by their parts themselves where so few parts are left; more are joined.
+PARTS = 200_000
+
 
 def content_tokens(text_col: str, stop_words: list[str] = STOP_WORDS) -> Column:
     """The tokens of a text that are not stop words, in order."""
@@ -29,26 +36,56 @@ def _with_runs(rows: DataFrame, n: int) -> DataFrame:
     return rows
 
 
-def _occurrences(tokens: DataFrame, n: int) -> DataFrame:
-    """term, is_first: one row per occurrence of an n-gram.
-
-    The n-grams of a document are sorted inside its row and ``is_first`` is
-    set once per document, so document counts need no grouping by document.
-    """
-    rows = _with_runs(tokens, n).select(F.sort_array(f"_n{n}").alias("_sorted"))
-    flagged = F.transform(
-        "_sorted",
-        lambda term, i: F.struct(
-            term.alias("term"), (~term.eqNullSafe(F.get("_sorted", i - 1))).alias("is_first")
-        ),
-    )
-    return rows.select(F.inline(flagged))
+def _grams_of_batch(tokens: pa.Array, n: int, known: list[pa.Array | None]) -> pa.RecordBatch:
+    """term, cf, df of the n-grams of a batch of token lists whose parts are all in ``known`` (by length; None: any)."""
+    row = np.asarray(pc.list_parent_indices(tokens), np.int64)
+    coded = pc.list_flatten(tokens).dictionary_encode()
+    words, code = coded.dictionary, np.asarray(coded.indices, np.int64)
+    terms, gram, start = words, code, np.arange(len(code))  # number of the gram that starts at each of ``start``
+    for k in range(2, n + 1):
+        keep = np.ones(len(terms), bool) if known[k - 2] is None else np.asarray(pc.is_in(terms, known[k - 2]))
+        at = np.full(len(code) + 1, -1)
+        good = keep[gram]
+        at[start[good]] = gram[good]
+        first = start[good]
+        first = first[at[first + 1] >= 0]
+        first = first[first + k - 1 < len(row)]
+        first = first[row[first] == row[first + k - 1]]
+        found, gram = np.unique(at[first] * max(len(words), 1) + code[first + k - 1], return_inverse=True)
+        parts = [terms.take(pa.array(found // max(len(words), 1))), words.take(pa.array(found % max(len(words), 1)))]
+        terms, start = pc.binary_join_element_wise(*parts, " "), first
+    in_rows = np.unique(row[start] * max(len(terms), 1) + gram) % max(len(terms), 1)
+    cf, df = (np.bincount(x, minlength=len(terms)) for x in (gram, in_rows))
+    return pa.RecordBatch.from_arrays([terms, pa.array(cf, pa.int64()), pa.array(df, pa.int64())], names=["term", "cf", "df"])
+
+
+def _counts(tokens: DataFrame, n: int, known: list[list[str] | None]) -> DataFrame:
+    """term, cf, df of the n-grams of ``tokens`` (_n1): counted batch by batch, then summed up."""
+    shared = tokens.sparkSession.sparkContext.broadcast(known)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sets = None
+        for batch in batches:
+            column = batch.column(0)
+            if sets is None:
+                kind = column.type.value_type
+                sets = [None if s is None else pa.array(s, kind) for s in shared.value]
+            yield _grams_of_batch(column, n, sets)
+
+    rows = tokens.select("_n1").mapInArrow(count, "term string, cf bigint, df bigint")
+    return rows.groupBy("term").agg(F.sum("cf").alias("cf"), F.sum("df").alias("df"))
 
 
 def _top(counts: DataFrame, max_terms: int) -> DataFrame:
     return counts.orderBy(F.desc("cf"), "term").limit(max_terms)
 
 
+def _terms(counts: DataFrame) -> list[str] | None:
+    """The terms of ``counts`` if they are few enough to be sent to all tasks."""
+    rows = counts.select("term").limit(PARTS + 1).collect()
+    return [r.term for r in rows] if len(rows) <= PARTS else None
+
+
 def vocabulary(
     docs: DataFrame,
     text_col: str,
@@ -65,31 +102,31 @@ def vocabulary(
     move several times the text. An n-gram is never more frequent than the
     shorter ones inside it, so the lengths are counted one after the other:
     an n-gram is shuffled only if both its parts reach the count that the
-    ``max_terms``-th term has so far. The result is the same.
+    ``max_terms``-th term has so far. The result is the same. Tasks count the n-grams
+    of a batch as numbers; only different ones become strings and are shuffled.
 
     The texts are dealt out evenly once, before they are cut into tokens: all lengths
     are counted from that table, and documents may come in one large file.
     """
     low, high = ngram_range
-    floor, counted, parts = 1, [], None
+    floor, counted, lengths = 1, [], []
     texts = docs.select(text_col).hint("rebalance")
     tokens = written(texts.select(content_tokens(text_col, stop_words).alias("_n1")), "tokens")
     for n in range(1, high + 1):
-        rows = _occurrences(tokens, n)
-        if parts is not None:
+        parts = [_terms(x.filter(F.col("cf") >= floor)) for x in lengths]
+        counts = _counts(tokens, n, parts)
+        if parts and parts[-1] is None:
+            frequent = lengths[-1].filter(F.col("cf") >= floor).select(F.col("term").alias("_part"))
             for words in (n - 1, 1 - n):  # the first and the last n - 1 words
-                part = F.substring_index(rows["term"], " ", words)
-                rows = rows.join(parts, part == parts["_part"], "left_semi")
-        counts = rows.groupBy("term").agg(
-            F.count("*").alias("cf"), F.count_if("is_first").alias("df")
-        )
+                part = F.substring_index(F.col("term"), " ", words)
+                counts = counts.join(frequent, part == frequent["_part"], "left_semi")
         counts = written(counts.filter(F.col("cf") >= floor), f"terms-{n}")
+        lengths.append(counts)
         if n >= low:
             counted.append(counts)
             best = _top(reduce(DataFrame.unionByName, counted), max_terms)
             size, least = best.agg(F.count("*"), F.min("cf")).first()
             floor = least if size == max_terms else 1
-        parts = counts.filter(F.col("cf") >= floor).select(F.col("term").alias("_part"))
     order = Window.partitionBy(F.lit(0)).orderBy(F.desc("cf"), "term")
     n_docs = tokens.agg(F.count("*").alias("n")).scalar()
     idf = F.log((F.lit(1) + n_docs) / (F.lit(1) + F.col("df"))) + 1

@@ -604,3 +604,22 @@ def test_a_label_that_no_row_has_is_not_predicted(spark, tmp_path):
     assert {(r.bias, r.y_pred, r.conf_neutral) for r in got} == {("Left", "Left", 0.0), ("Right", "Right", 0.0)}
     own = features.linear_score(rows_in.withColumn("n", F.monotonically_increasing_id()), "n", "text", *classifier.linear_parts(model))
     assert {(r.label, r.conf_neutral) for r in own.collect()} == {("Left", 0.0), ("Right", 0.0)}
+
+
+@pytest.mark.parametrize("parts", [0, 5])
+def test_ngrams_of_parts_too_many_to_send_are_joined(spark, sf, monkeypatch, parts):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").limit(40)
+    wanted = features.vocabulary(docs, "text", 300, (1, 4), []).select("term", "term_id", "cf", "df").collect()
+    monkeypatch.setattr(features, "PARTS", parts)
+    assert features.vocabulary(docs, "text", 300, (1, 4), []).select("term", "term_id", "cf", "df").collect() == wanted
+
+
+def test_counting_ngrams_brings_no_occurrence_to_a_shuffle(spark):
+    from pyspark.sql import functions as F
+
+    tokens = spark.range(400).select(F.array_repeat(F.lit("word"), 50).alias("_n1")).coalesce(4)
+    for n in (1, 2, 3):
+        rows = features._counts(tokens, n, [["word"], ["word word"]][: n - 1])
+        assert [(r.cf, r.df) for r in rows.collect()] == [(400 * (51 - n), 400)]
+        plan = rows._jdf.queryExecution().executedPlan().toString()
+        assert "Generate" not in plan and "MapInArrow" in plan
