@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import (
@@ -17,9 +20,10 @@ from pyspark.ml.feature import (
     StopWordsRemover,
 )
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.linalg import Vectors
+from pyspark.ml.linalg import Vectors, VectorUDT
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from ..fixed_values import LABELS, MAX_ITERATIONS, MAX_TERMS, NGRAM_RANGE, STOP_WORDS
 from ..functions.numbers import round_half_even
@@ -79,10 +83,40 @@ def fit_features(
     return stages, [r.term for r in rows]
 
 
-def term_vectors(stages: list, docs: DataFrame, text_col: str) -> DataFrame:
-    """``docs`` with _v: the vector of a text as a struct with ``indices`` and ``values``."""
-    vectors = PipelineModel(stages).transform(docs.withColumn(TEXT, F.coalesce(text_col, F.lit(""))))
-    return vectors.select(*docs.columns, F.unwrap_udt("features").alias("_v"))
+VECTOR = "struct<type:tinyint,size:int,indices:array<int>,values:array<double>>"
+
+
+def term_vectors(stages: list, docs: DataFrame, text_col: str, kept: list[str] | None = None) -> DataFrame:
+    """Columns ``kept`` of ``docs`` (by default all) with _v: the vector of a text as a struct with ``indices`` and ``values``.
+
+    The same as the stages give, worked out batch by batch: n-grams are told apart as numbers.
+    """
+    vectorizer = next(s for s in stages if isinstance(s, CountVectorizerModel))
+    idf = next(s for s in stages if isinstance(s, ElementwiseProduct)).getScalingVec().toArray()
+    stop = next(s for s in stages if isinstance(s, StopWordsRemover)).getStopWords()
+    shared = docs.sparkSession.sparkContext.broadcast((vectorizer.vocabulary, idf))
+    tokens = features.content_tokens(F.coalesce(text_col, F.lit("")), [w.lower() for w in stop])
+    kept = kept or docs.columns
+    rows, place = docs.select(*kept, tokens.alias("_n1")), len(kept)
+
+    def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        terms = None
+        for batch in batches:
+            if terms is None:
+                names, weight = shared.value
+                terms = features.GramTable(names, batch.column(place).type.value_type)
+            at, index, count = terms.counted(batch.column(place))
+            value = count * weight[index]
+            length = np.sqrt(np.bincount(np.repeat(np.arange(len(at) - 1), np.diff(at)), value * value, len(at) - 1))
+            value = value / np.repeat(length, np.diff(at))
+            lists = [pa.ListArray.from_arrays(at.astype(np.int32), x) for x in (pa.array(index, pa.int32()), pa.array(value))]
+            n = len(at) - 1
+            own = [pa.array(np.zeros(n, np.int8)), pa.array(np.full(n, len(weight), np.int32)), *lists]
+            vector = pa.StructArray.from_arrays(own, names=["type", "size", "indices", "values"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:place], vector], names=[*kept, "_v"])
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema[:place])
+    return rows.mapInArrow(vectors, f"{schema}, _v {VECTOR}")
 
 
 def fit_baseline(
@@ -115,8 +149,10 @@ def fit_baseline(
     rows = train.filter(F.col(label_col).isin(present)).select(
         F.coalesce(text_col, F.lit("")).alias(TEXT), weight.alias("weight"), place.cast("double").alias("label_id")
     )
-    vectors = PipelineModel(stages).transform(rows.hint("rebalance")).select("features", "label_id", "weight")
-    vectors = written(vectors, "vectors")
+    vectors = written(term_vectors(stages, rows.hint("rebalance"), TEXT, ["label_id", "weight"]), "vectors")
+    # a stored vector is that struct: read as vectors
+    found = StructType([StructField("_v", VectorUDT()), *[f for f in vectors.schema if f.name != "_v"]])
+    vectors = train.sparkSession.read.schema(found).parquet(*vectors.inputFiles()).withColumnRenamed("_v", "features")
     regression = LogisticRegression(
         featuresCol="features",
         labelCol="label_id",

@@ -36,29 +36,63 @@ def _with_runs(rows: DataFrame, n: int) -> DataFrame:
     return rows
 
 
-def _grams_of_batch(tokens: pa.Array, n: int, known: list[pa.Array | None]) -> pa.RecordBatch:
-    """term, cf, df of the n-grams of a batch of token lists whose parts are all in ``known`` (by length; None: any)."""
+def _grams(tokens: pa.Array, most: int, known: list[pa.Array | None]) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
+    """For 1 to ``most`` words: different n-grams of a batch of token lists, and of each occurrence its number and its row.
+
+    Only n-grams whose parts are all in ``known`` (by length; None: any).
+    """
     row = np.asarray(pc.list_parent_indices(tokens), np.int64)
     coded = pc.list_flatten(tokens).dictionary_encode()
     words, code = coded.dictionary, np.asarray(coded.indices, np.int64)
     terms, gram, start = words, code, np.arange(len(code))  # number of the gram that starts at each of ``start``
-    for k in range(2, n + 1):
-        keep = np.ones(len(terms), bool) if known[k - 2] is None else np.asarray(pc.is_in(terms, known[k - 2]))
-        at = np.full(len(code) + 1, -1)
-        good = keep[gram]
-        at[start[good]] = gram[good]
-        first = start[good]
-        first = first[at[first + 1] >= 0]
-        first = first[first + k - 1 < len(row)]
-        first = first[row[first] == row[first + k - 1]]
-        found, gram = np.unique(at[first] * max(len(words), 1) + code[first + k - 1], return_inverse=True)
-        parts = [terms.take(pa.array(found // max(len(words), 1))), words.take(pa.array(found % max(len(words), 1)))]
-        terms, start = pc.binary_join_element_wise(*parts, " "), first
-    in_rows = np.unique(row[start] * max(len(terms), 1) + gram) % max(len(terms), 1)
-    cf, df = (np.bincount(x, minlength=len(terms)) for x in (gram, in_rows))
+    size = max(len(words), 1)
+    for k in range(1, most + 1):
+        if k > 1:
+            keep = np.ones(len(terms), bool) if known[k - 2] is None else np.asarray(pc.is_in(terms, known[k - 2]))
+            at = np.full(len(code) + 1, -1)
+            good = keep[gram]
+            at[start[good]] = gram[good]
+            first = start[good]
+            first = first[at[first + 1] >= 0]
+            first = first[first + k - 1 < len(row)]
+            first = first[row[first] == row[first + k - 1]]
+            found, gram = np.unique(at[first] * size + code[first + k - 1], return_inverse=True)
+            terms = pc.binary_join_element_wise(terms.take(pa.array(found // size)), words.take(pa.array(found % size)), " ")
+            start = first
+        yield terms, gram, row[start]
+
+
+def _grams_of_batch(tokens: pa.Array, n: int, known: list[pa.Array | None]) -> pa.RecordBatch:
+    """term, cf, df of the n-grams of a batch of token lists whose parts are all in ``known``."""
+    *_, (terms, gram, row) = _grams(tokens, n, known)
+    size = max(len(terms), 1)
+    cf, df = (np.bincount(x, minlength=len(terms)) for x in (gram, np.unique(row * size + gram) % size))
     return pa.RecordBatch.from_arrays([terms, pa.array(cf, pa.int64()), pa.array(df, pa.int64())], names=["term", "cf", "df"])
 
 
+class GramTable:
+    """Numbers of given n-grams, by the strings of their words."""
+
+    def __init__(self, terms: list[str], kind: pa.DataType):
+        self.terms = pa.array(terms, kind)
+        by_length: dict[int, set[str]] = {}
+        for term in terms:
+            words = term.split(" ")
+            for k in range(1, len(words) + 1):  # the parts of a term, too
+                by_length.setdefault(k, set()).update(" ".join(words[i : i + k]) for i in range(len(words) - k + 1))
+        self.parts = [pa.array(sorted(by_length.get(k, ())), kind) for k in range(1, max(by_length, default=0) + 1)]
+
+    def counted(self, tokens: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Where each row begins, and per row the numbers of its n-grams, ascending, with how often each occurs."""
+        size = max(len(self.terms), 1)
+        keys = [np.zeros(0, np.int64)]
+        for terms, gram, row in _grams(tokens, len(self.parts), self.parts):
+            number = pc.index_in(terms, self.terms).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)[gram]
+            keys.append(row[number >= 0] * size + number[number >= 0])
+        keys, count = np.unique(np.concatenate(keys), return_counts=True)
+        return np.searchsorted(keys // size, np.arange(len(tokens) + 1)), keys % size, count
+
+
 def _counts(tokens: DataFrame, n: int, known: list[list[str] | None]) -> DataFrame:
     """term, cf, df of the n-grams of ``tokens`` (_n1): counted batch by batch, then summed up."""
     shared = tokens.sparkSession.sparkContext.broadcast(known)
@@ -147,7 +181,7 @@ def tfidf(
     """id, term, weight: tf * idf, each document scaled to length 1.
 
     After the vocabulary no row is moved: every document is turned into a
-    sparse vector where it lies, and the vector is unfolded.
+    sparse vector where it lies, and the vector is unfolded into its terms.
     """
     from .classifier import fit_features, term_vectors
 
@@ -155,7 +189,7 @@ def tfidf(
     if not terms:
         return docs.select(id_col, F.lit(None).cast("string").alias("term"), F.lit(0.0).alias("weight")).limit(0)
     pairs = F.arrays_zip(F.col("_v.indices").alias("i"), F.col("_v.values").alias("w"))
-    rows = term_vectors(stages, docs, text_col).select(id_col, F.inline(pairs).alias("i", "weight"))
+    rows = term_vectors(stages, docs, text_col, [id_col]).select(id_col, F.inline(pairs).alias("i", "weight"))
     names = F.from_json(F.lit(json.dumps(terms)), "array<string>")
     return rows.select(id_col, F.element_at(names, F.col("i") + 1).alias("term"), "weight")
 
@@ -181,7 +215,7 @@ def linear_score(
     from .classifier import term_vectors
 
     pairs = F.arrays_zip(F.col("_v.indices").alias("i"), F.col("_v.values").alias("w"))
-    staged = term_vectors(stages, docs, text_col).select(id_col, pairs.alias("_p"))
+    staged = term_vectors(stages, docs, text_col, [id_col]).select(id_col, pairs.alias("_p"))
     logits = []
     for own, b in zip(coefficients, intercepts):
         table = F.from_json(F.lit(json.dumps([float(x) for x in own])), "array<double>")

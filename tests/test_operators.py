@@ -623,3 +623,24 @@ def test_counting_ngrams_brings_no_occurrence_to_a_shuffle(spark):
         assert [(r.cf, r.df) for r in rows.collect()] == [(400 * (51 - n), 400)]
         plan = rows._jdf.queryExecution().executedPlan().toString()
         assert "Generate" not in plan and "MapInArrow" in plan
+
+
+def test_vectors_by_batches_are_those_of_the_stages(spark):
+    from pyspark.ml import PipelineModel
+    from pyspark.sql import functions as F
+
+    from framewise.operators import classifier
+
+    texts = ["Modi to launch metro rail", None, "", "the of", "metro rail metro rail Modi", "İstanbul metro_rail x yy x yy"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "id long, t string").coalesce(1)
+    stages, terms = classifier.fit_features(docs, "t", 300, (1, 3), ["THE", "of", "to"])
+    assert len(terms) > 10
+    mine = classifier.term_vectors(stages, docs, "t", ["id"])
+    plan = mine._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "UDF" not in plan
+    theirs = PipelineModel(stages).transform(docs.withColumn(classifier.TEXT, F.coalesce("t", F.lit(""))))
+    theirs = {r.id: r.v for r in theirs.select("id", F.unwrap_udt("features").alias("v")).collect()}
+    for r in mine.collect():
+        wanted = theirs[r.id]
+        assert (r._v.type, r._v.size, r._v.indices) == (wanted.type, wanted.size, wanted.indices)
+        assert r._v["values"] == pytest.approx(wanted["values"], rel=1e-12)
