@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 #: Rows of a task counted together by ``repeats``, buckets summed up together by ``counted_before``.
 TOGETHER = 1 << 16
 BUCKETS = 1 << 12
+#: Rows of a few numbers that a task writes to a file of a stored table whose number of rows is known.
+ROWS = 1 << 14
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -30,12 +32,16 @@ def new_path(spark: SparkSession, name: str) -> str:
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def stored(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
     """``df`` written as Parquet to the shared folder and read back: computed once, lineage cut.
 
     Its shuffle files go as soon as the table is written; nothing needs them then.
+    ``rows``: about how many it has. Its last step then runs as a task per ``ROWS`` of them instead of one per
+    shuffle partition. On a local file system each file costs an executor three child processes (chmod).
     """
     spark = df.sparkSession
+    if rows is not None:
+        df = df.coalesce(max(1, -(-rows // ROWS)))
     path = new_path(spark, name)
     before = spark.conf.get(CLEANUP, "false")
     spark.conf.set(CLEANUP, "true")
@@ -101,28 +107,29 @@ def counted_before(counts: DataFrame, group: list[str], bucket: str) -> DataFram
     return out.select(*group, bucket, "n", (F.col("before") + F.col("_before")).alias("before"), "total")
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, rows: int | None = None) -> DataFrame:
     """node, component (both bigint) for ``edges`` (a, b): the smallest node reachable.
 
     Rounds of hooking every node of an edge to the smallest component next to
     it and then following those pointers to their end; the length of paths
     falls at least by half in a round. Edges inside a component leave the
-    table, nothing is collected but a row count.
+    table, nothing is collected but a row count. ``rows``: about how many edges there are, if known.
     """
     spark = edges.sparkSession
-    links = stored(edges.select("a", "b").filter("a <> b").distinct(), "edges")
-    names = None
-    while not links.isEmpty():
+    links = stored(edges.select("a", "b").filter("a <> b").distinct(), "edges", rows)
+    names, nodes = None, 0
+    while n := links.count():
+        nodes = nodes or 2 * n
         both = links.select(F.col("a").alias("node"), F.col("b").alias("next")).unionByName(
             links.select(F.col("b").alias("node"), F.col("a").alias("next"))
         )
         hook = both.groupBy("node").agg(F.min("next").alias("next"))
-        hook = stored(hook.select("node", F.least("node", "next").alias("root")), "hook")
+        hook = stored(hook.select("node", F.least("node", "next").alias("root")), "hook", 2 * n)
         more = True
         while more:
             far = hook.select(F.col("node").alias("root"), F.col("root").alias("far"))
             moved = hook.join(far, "root").select("node", F.col("far").alias("root"), (F.col("far") < F.col("root")).alias("m"))
-            moved = stored(moved, "hook")
+            moved = stored(moved, "hook", 2 * n)
             more = not moved.filter("m").isEmpty()
             forget(hook)
             hook = moved.select("node", "root")
@@ -130,14 +137,14 @@ def components(edges: DataFrame) -> DataFrame:
         bt = hook.select(F.col("node").alias("b"), F.col("root").alias("rb"))
         left = links.join(at, "a").join(bt, "b").filter("ra <> rb")
         fewer = left.select(F.col("ra").alias("a"), F.col("rb").alias("b")).distinct()
-        fewer = stored(fewer, "edges")
+        fewer = stored(fewer, "edges", n)
         if names is None:
             names = hook
         else:
             renamed = names.join(
                 hook.select(F.col("node").alias("root"), F.col("root").alias("up")), "root", "left"
             )
-            names = stored(renamed.select("node", F.coalesce("up", "root").alias("root")), "names")
+            names = stored(renamed.select("node", F.coalesce("up", "root").alias("root")), "names", nodes)
         forget(links)
         links = fewer
     if names is None:

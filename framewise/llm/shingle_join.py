@@ -48,6 +48,8 @@ PIVOTS = 32
 HOT = 4
 #: Orders of the hashes whose least hash brings points together first.
 RUNS = 3
+#: A point's prefix or hashes take the place of so many small rows when tasks are sized.
+WIDE = 8
 _FULL = 0xFF
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 
@@ -187,7 +189,7 @@ def _census(docs: DataFrame, share: tuple[int, int], width: int) -> DataFrame:
     credits = met.filter("n is null").groupBy("key").agg(F.sum("credit").alias("more"))
     own = repeats(met.filter("n is not null"))
     census = own.join(credits, "key", "left").withColumn("credit", F.col("credit") + F.coalesce("more", F.lit(0)))
-    return census.select("key", "doc_id", "n", "copies", "credit")
+    return stored(census.select("key", "doc_id", "n", "copies", "credit"), "census", met.count())
 
 
 def _sets(docs: DataFrame, width: int) -> DataFrame:
@@ -380,13 +382,13 @@ def _links_within(runs, which, ids, sizes, counts, hashes, first, share) -> tupl
     return least[other], ids[other]
 
 
-def _shared_runs(points: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _shared_runs(points: DataFrame, size: int) -> tuple[DataFrame, DataFrame]:
     """id, nth, run, m of the runs that ``m`` > 1 points share; the points with runs of more than ``BLOCK`` made different.
 
     So points share a run in the second table only if ``_first_links`` has seen them together.
     """
     runs = points.select("id", F.posexplode("runs").alias("nth", "run"))
-    sizes = stored(runs.groupBy("nth", "run").agg(F.count("*").alias("m")).filter("m > 1"), "run-sizes")
+    sizes = stored(runs.groupBy("nth", "run").agg(F.count("*").alias("m")).filter("m > 1"), "run-sizes", RUNS * size)
     wide = runs.join(sizes.filter(F.col("m") > BLOCK), ["nth", "run"]).groupBy("id").agg(F.collect_list("nth").alias("wide"))
     own = F.transform("runs", lambda r, k: F.when(F.array_contains("wide", k), F.xxhash64("id", k)).otherwise(r))
     own = F.when(F.col("wide").isNull(), F.col("runs")).otherwise(own)
@@ -458,7 +460,7 @@ def _askers(comp: np.ndarray) -> np.ndarray:
     return np.flatnonzero(at != n.argmax())
 
 
-def _prefixes(points: DataFrame, names: DataFrame, share: tuple[int, int]) -> DataFrame:
+def _prefixes(points: DataFrame, names: DataFrame, share: tuple[int, int], size: int) -> DataFrame:
     """id, comp, n, runs, counts, prefix: the hashes of which a similar set must have one.
 
     Hashes are in one order for all sets, by size and those last that ``HOT`` or more sets have
@@ -467,7 +469,7 @@ def _prefixes(points: DataFrame, names: DataFrame, share: tuple[int, int]) -> Da
     few = (F.col("n") - F.ceil(F.col("n") * share[0] / share[1]) + 1).cast("int")
     sets = points.select("id", "hashes", few.alias("few"), F.slice("hashes", F.lit(1), 2 * few).alias("look"))
     hot = sets.select(F.explode(F.slice("hashes", F.lit(1), F.col("few"))).alias("key")).groupBy("key").agg(F.count("*").alias("m"))
-    hot = stored(hot.filter(F.col("m") >= HOT).select("key"), "hot-hashes")
+    hot = stored(hot.filter(F.col("m") >= HOT).select("key"), "hot-hashes", WIDE * size)
 
     def held(which: DataFrame, where: str) -> DataFrame:
         own = which.select("id", F.explode(where).alias("key")).join(hot, "key").groupBy("id")
@@ -482,7 +484,7 @@ def _prefixes(points: DataFrame, names: DataFrame, share: tuple[int, int]) -> Da
     cold = F.size("look") - F.coalesce(F.size("hot"), F.lit(0))
     enough = (cold >= F.col("few")) | (F.size("look") == F.size("hashes"))
     prefix = F.when(enough, F.slice(ordered("look"), F.lit(1), F.col("few"))).alias("prefix")
-    near = stored(near.select("id", "few", prefix), "prefixes")
+    near = stored(near.select("id", "few", prefix), "prefixes", WIDE * size)
     rest = sets.join(near.filter("prefix is null").select("id"), "id", "left_semi")
     rest = held(rest, "hashes").select("id", F.slice(ordered("hashes"), F.lit(1), F.col("few")).alias("prefix"))
     all_ = near.filter("prefix is not null").select("id", "prefix").unionByName(rest)
@@ -612,28 +614,29 @@ def jaccard_components(
     """
     rows = docs.select(F.col(id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
     rows = rows.withColumn("key", F.xxhash64(row_key("doc_id", "text")))
-    census = stored(_census(rows, share, width), "census")
+    census = _census(rows, share, width)
     near = rows.join(census.filter("credit >= 0").select("key").distinct(), "key", "left_semi")
     # numbered once and stored, so a node is one row and no hash
     sets = stored(_sets(near, width).filter("n > 0").withColumn("id", F.monotonically_increasing_id()), "sets")
     nodes = sets.select("id", "key", "doc_id", "n", "f1", "f2")
     first = nodes.groupBy("n", "f1", "f2").agg(F.min("id").alias("rep"))
     same = nodes.join(first, ["n", "f1", "f2"]).select("id", "key", "doc_id", "rep")
-    same = stored(same, "equal-sets")
+    size = sets.count()
+    same = stored(same, "equal-sets", size)
     points = sets.join(first.select(F.col("rep").alias("id")), "id", "left_semi")
-    points = stored(points.select("id", "n", "runs", "hashes", "counts"), "points")
+    points = stored(points.select("id", "n", "runs", "hashes", "counts"), "points", WIDE * size)
     forget(sets)
-    runs, points = _shared_runs(points)
-    names = components(_first_links(points, runs, share))
-    prefixes = stored(_prefixes(points, names, share), "prefixes")
-    more = _verified(stored(_other_pairs(prefixes, share), "pairs"), points, share)
+    runs, points = _shared_runs(points, size)
+    names = components(_first_links(points, runs, share), RUNS * size)
+    prefixes = stored(_prefixes(points, names, share, size), "prefixes", WIDE * size)
+    more = _verified(stored(_other_pairs(prefixes, share), "pairs", WIDE * size), points, share)
     stars = names.filter("node <> component").select(F.col("component").alias("a"), F.col("node").alias("b"))
-    names = components(stars.unionByName(more))
+    names = components(stars.unionByName(more), RUNS * size)
     # rows of equal sets have the component of their point
     of_rows = same.join(names, F.col("rep") == F.col("node"), "left")
     of_rows = of_rows.groupBy("key", "doc_id").agg(F.min(F.coalesce("component", "rep")).alias("node"))
     best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("best")
-    named = stored(of_rows, "row-components")
+    named = stored(of_rows, "row-components", size)
     named = named.join(named.groupBy("node").agg(best), "node")
     named = named.select(F.col("key").alias("_key"), F.col("doc_id").alias("_id"), "best")
     out = census.join(named, (F.col("key") == F.col("_key")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left")

@@ -8,7 +8,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from framewise.llm import block_names, language, mixing, packing, shingle_join, token_files, toxicity
+from framewise.llm import block_names, common, language, mixing, packing, shingle_join, token_files, toxicity
 from framewise.llm.common import components, new_path
 from framewise.llm.tokens import PieceEncoder, tokenizer_path
 
@@ -222,6 +222,39 @@ def test_texts_that_share_a_passage_or_an_id(spark, monkeypatch):
     assert sum(r.doc_id is None for r in kept) == 1 and (3, rows[-1][1]) in [(r.doc_id, r.text) for r in kept]
 
 
+def test_small_tables_of_the_join_are_single_files_whatever_the_partitions(spark, docs, monkeypatch):
+    files = defaultdict(list)
+
+    def counted(df, name, *rows, f=common.stored):
+        out = f(df, name, *rows)
+        files[name].append(len(out.inputFiles()))
+        return out
+
+    expected = sorted(map(str, shingle_join.jaccard_components(docs).collect()))
+    for module in (common, shingle_join):
+        monkeypatch.setattr(module, "stored", counted)
+    held = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in held}
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        found = sorted(map(str, shingle_join.jaccard_components(docs).collect()))
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert found == expected
+    small = ("census", "equal-sets", "points", "run-sizes", "edges", "hook", "hot-hashes", "prefixes", "pairs", "row-components")
+    assert {name: max(files[name]) for name in small} == dict.fromkeys(small, 1)
+
+
+def test_tables_are_written_by_a_task_per_so_many_rows(spark, monkeypatch):
+    monkeypatch.setattr(common, "ROWS", 100)
+    out = common.stored(spark.range(0, 1000, 1, 50), "rows", 1000)
+    assert len(out.inputFiles()) == 10 and out.distinct().count() == 1000
+    assert len(common.stored(spark.range(0, 1000, 1, 5), "rows", 1000).inputFiles()) == 5
+    assert common.stored(spark.range(0), "rows", 0).count() == 0
+
+
 def test_bound_by_counts_holds():
     draw = np.random.default_rng(2)
     counts = draw.integers(0, 6, (300, shingle_join.GROUPS)).astype("<u2")
