@@ -16,6 +16,12 @@ def at(path: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(path)
 
 
+def removed(folder: str) -> None:
+    """Delete a folder of files that no task will read again."""
+    store, root = at(folder)
+    store.delete_dir(root)
+
+
 class NewFile:
     """A file that shows under its name only when whole, so that a repeated task does no harm."""
 

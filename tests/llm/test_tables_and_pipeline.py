@@ -283,6 +283,128 @@ def test_upper_layers_hold_their_members_only():
     assert {(i, i) for i in range(len(unit))} <= set(zip(row.tolist(), point.tolist()))
 
 
+def checked_links(spark, rows, threshold=0.9):
+    """How many rows have fewer links than a full comparison finds; none may have more. All links of a row lie in its component."""
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rows)], "vec_id long, embedding array<float>").repartition(3)
+    got = {r.vec_id: r for r in hnsw.near_duplicate_vectors(df, threshold).collect()}
+    unit = rows.astype(float) / np.linalg.norm(rows.astype(float), axis=1, keepdims=True)
+    near = unit @ unit.T >= threshold
+    links = near.sum(1) - 1
+    assert len(got) == len(rows) and all(got[i].n_links <= links[i] for i in got)
+    fewer = [i for i in got if got[i].n_links < links[i]]
+    full = [i for i in got if got[i].n_links == links[i]]
+    assert all(got[i].component_id == got[j].component_id for i in full for j in np.flatnonzero(near[i]).tolist())
+    return len(fewer)
+
+
+def test_a_dense_group_gives_counts_not_pairs(spark, monkeypatch):
+    sizes, stored = {}, hnsw.stored
+
+    def counted(df, name, rows=None):
+        out = stored(df, name, rows)
+        sizes[name] = out.count()
+        return out
+
+    monkeypatch.setattr(hnsw, "stored", counted)
+    draw = np.random.default_rng(7)
+    rows = draw.normal(size=(500, 16)).astype(np.float32)
+    rows[:400] = rows[0] + 0.05 * draw.normal(size=(400, 16))
+    assert checked_links(spark, rows) == 0
+    assert sizes["vector-links"] <= 400 * 2 * hnsw.SHARDS  # there are 79,800 links
+
+
+def test_links_by_cells_equal_a_full_comparison(spark, monkeypatch):
+    monkeypatch.setattr(hnsw, "CELL", 4)
+    draw = np.random.default_rng(9)
+    rows = draw.normal(size=(2000, 16)).astype(np.float32)
+    rows[:300] = rows[0] + 0.05 * draw.normal(size=(300, 16))
+    rows[300:600] = rows[600:900] + 0.3 * draw.normal(size=(300, 16))
+    rows[900:910] *= np.arange(2, 12)[:, None]
+    rows[1000:1005] = rows[1005]
+    assert checked_links(spark, rows) <= 4
+
+
+@pytest.mark.parametrize("walk", [0, 16])
+def test_nearest_points_by_a_walk_and_by_comparing_all(monkeypatch, walk):
+    monkeypatch.setattr(hnsw, "WALK", walk)
+    unit = skewed()
+    graph = hnsw.Graph.build(unit)
+    assert graph.walked(len(unit), graph.beam) == (walk == 0)
+    top, more = graph.best(graph.vectors, 0.5)
+    cosine = graph.vectors @ graph.vectors.T
+    asked = np.zeros(cosine.shape, bool)
+    np.put_along_axis(asked, top, True, 1)
+    assert top.shape == (len(unit), graph.beam) and (asked.sum(1) == graph.beam).all()
+    assert not asked[more[0], more[1]].any()
+    asked[more[0], more[1]] = True
+    some = 1.0 if walk else 0.97
+    assert (top[:, 0] == cosine.argmax(1)).mean() >= some and asked[cosine >= 0.5].mean() >= some
+    assert (np.diff(np.take_along_axis(cosine, top, 1)) <= 1e-6).all()
+
+
+@pytest.mark.parametrize("walk", [0, 16])
+def test_pairs_of_shards(tmp_path, monkeypatch, walk):
+    monkeypatch.setattr(hnsw, "WALK", walk)
+    monkeypatch.setattr(hnsw, "PART", 300)
+    folder, unit = str(tmp_path), skewed()
+    weight = np.arange(len(unit)) % 3 + 1
+    graph = hnsw.Graph.build(unit[::4])
+    hnsw._write(folder, "graph-16.npz", graph=np.frombuffer(graph.to_bytes(), np.uint8))
+    ids = [np.arange(k, len(unit), 2) for k in range(2)]
+    for k in range(2):
+        hnsw._write(folder, f"shard-16-{k}.npz", ids=ids[k], weight=weight[ids[k]], raw=2 * unit[ids[k]])
+        for a in range(0, 600, 300):
+            hnsw._cells(folder, 16, 48, unit[ids[k][a : a + 300]], hnsw._near(0.9), f"asked-16-{k}-48-{a}.npz")
+    one, two = (hnsw.Shard(folder, 16, k, 48, 300) for k in range(2))
+    degree, root = np.zeros(len(unit), int), np.arange(len(unit))
+    for found, links, other in (hnsw._links(one, None, 0.9), hnsw._links(two, None, 0.9), hnsw._links(one, two, 0.9)):
+        np.add.at(degree, found, links)
+        hnsw._unite(root, found, other)
+    near = unit.astype(float) @ unit.T.astype(float) >= 0.9
+    np.fill_diagonal(near, False)
+    assert (degree <= near @ weight).all() and (degree == near @ weight).mean() > 0.99
+    a, b = np.nonzero(near)
+    assert (root[a] == root[b]).mean() > 0.999 and len(np.unique(root)) == len(unit) - 399 - 100
+
+
+def test_beams_grow_until_links_are_found(spark, monkeypatch):
+    """Neighbours as far as they may be, and a first beam that finds few of them."""
+    monkeypatch.setattr(hnsw, "CELL", 4)
+    tried, ask = [], hnsw.ask_cells
+
+    def one_at_first(spark, shards, graphs, folder, beams, threshold):
+        tried.append(dict(beams))
+        return ask(spark, shards, graphs, folder, beams, threshold)
+
+    def from_one(points, folder, threshold, build=hnsw.build_graphs):
+        return build(points, folder, threshold).withColumn("beam", F.lit(1).cast("bigint"))
+
+    monkeypatch.setattr(hnsw, "ask_cells", one_at_first)
+    monkeypatch.setattr(hnsw, "build_graphs", from_one)
+    draw = np.random.default_rng(10)
+    rows = draw.normal(size=(800, 32)).astype(np.float32)
+    rows[:400] = rows[400:] + 0.45 * draw.normal(size=(400, 32))
+    assert checked_links(spark, rows) <= 40
+    assert len(tried) > 1 and tried[0] == {32: 1}
+
+
+def test_a_cosine_at_the_threshold_is_told_in_double_precision(spark):
+    draw = np.random.default_rng(11)
+    base = draw.normal(size=(60, 24))
+    side = draw.normal(size=(60, 24))
+    base /= np.linalg.norm(base, axis=1, keepdims=True)
+    side -= (side * base).sum(1, keepdims=True) * base
+    side /= np.linalg.norm(side, axis=1, keepdims=True)
+    cosine = 0.9 + np.linspace(-2e-7, 2e-7, 60)[:, None]
+    rows = np.concatenate([base, cosine * base + np.sqrt(1 - cosine**2) * side])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rows)], "vec_id long, embedding array<double>")
+    got = {r.vec_id: r.n_links for r in hnsw.near_duplicate_vectors(df).collect()}
+    unit = rows / np.linalg.norm(rows, axis=1, keepdims=True)
+    links = (unit @ unit.T >= 0.9).sum(1) - 1
+    assert 20 < links[:60].sum() < 40
+    assert got == dict(enumerate(links.tolist()))
+
+
 def test_queries_equal_their_sql(spark):
     sf = "/root/testdata/sf0.001"
     con = duckdb.connect()
